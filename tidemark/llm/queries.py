@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language_id, media, packing, token_counts, toxicity
+from tidemark.llm import decontaminate, language_id, media, near_dedup, packing, pii, token_counts, toxicity, url_filter, warc_fixity
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -31,6 +31,28 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model).withColumn("held_out", language_id.held_out())
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
+def op6_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as WARC records against a replica in which the records of every 97th page are damaged."""
+    pages = table(spark, sf_dir, "pages")
+    # one byte of the body, so that no range moves
+    hit = (F.col("page_id") % 97 == 13) & F.ascii("html").between(1, 127)
+    body = F.when(hit, F.concat(F.when(F.startswith("html", F.lit("~")), "!").otherwise("~"), F.substring("html", 2, 2**31 - 1))).otherwise(F.col("html"))
+    sides = [pages.select(F.col("page_id").alias("record_id"), warc_fixity.warc_record(F.col("page_id"), F.col("url"), h).alias("record")) for h in (F.col("html"), body)]
+    return warc_fixity.audit(*sides).withColumnRenamed("record_id", "page_id").withColumnsRenamed({"start": "start_offset", "end": "end_offset"})
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), end_id=2)
 
@@ -41,9 +63,28 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, model).withColumn("held_out", language_id.held_out())
 
 
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights, intercept = url_filter.train(url_filter.labelled_urls(spark))
+    return url_filter.judge(table(spark, sf_dir, "pages"), weights, intercept)
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_to_audio(table(spark, sf_dir, "documents"), arrays=False).drop("sample_rate")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op7_best_fit_packing, op8_toxicity, op10_media_columns)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_minhash_near_dedup, op4_decontamination, op5_pii, op6_warc_fixity, op7_best_fit_packing, op8_toxicity, op9_url_filters, op10_media_columns)}
+_LINE = "chr(13) || chr(10)"
+_RECORD = (
+    f"'WARC/1.1' || {_LINE} || 'WARC-Type: resource' || {_LINE} || 'WARC-Record-ID: <urn:page:' || page_id || '>' || {_LINE} || 'WARC-Target-URI: ' || coalesce(url, '') || {_LINE}"
+    f" || 'Content-Length: ' || strlen(coalesce(html, '')) || {_LINE} || {_LINE} || coalesce(html, '') || {_LINE} || {_LINE}"
+)
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_warc_fixity": f"""
+        WITH r AS (SELECT page_id, page_id % 97 = 13 AND ascii(html) BETWEEN 1 AND 127 AS damaged, {_RECORD} AS record FROM pages),
+        d AS (SELECT page_id, damaged, sha256(record) AS digest, strlen(record) AS n, count(*) AS copies FROM r GROUP BY ALL),
+        o AS (SELECT *, sum(n * copies) OVER (ORDER BY page_id NULLS FIRST, digest ROWS UNBOUNDED PRECEDING) AS upto FROM d)
+        SELECT page_id, copies::BIGINT AS copies, (upto - n * copies)::BIGINT AS start_offset, upto::BIGINT AS end_offset, digest AS record_sha256,
+            coalesce(damaged, FALSE) AS corrupt
+        FROM o""",
+}
