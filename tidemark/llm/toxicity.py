@@ -52,7 +52,7 @@ class _Meter:
     @staticmethod
     def _compressor(content: bytes) -> zstandard.ZstdCompressor:
         settings = zstandard.ZstdCompressionParameters.from_level(
-            6, source_size=128, dict_size=len(content), min_match=5, search_log=5, hash_log=15, chain_log=15, write_content_size=0, write_checksum=0, write_dict_id=0
+            7, source_size=128, dict_size=len(content), min_match=6, search_log=7, hash_log=16, chain_log=16, write_content_size=0, write_checksum=0, write_dict_id=0
         )
         own = zstandard.ZstdCompressionDict(content or b"\0" * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         return zstandard.ZstdCompressor(dict_data=own, compression_params=settings)
