@@ -6,9 +6,10 @@ buckets of the same sketch) propose pairs; the registers' Jaccard estimate, corr
 the hopeless ones; the full sets decide.
 
 Documents with equal sets are one class, so copies cost one row each. Large groups never spread into all their pairs:
-first every class of a bucket is compared with the bucket's leader, the links found are contracted to components, and
-only classes of one bucket that are still in different components are compared further, with other leaders and at last
-with each other. A pair within one component needs no comparison, so no link between components is lost.
+first every class of a bucket is compared with the bucket's leader, and the links found are contracted to components.
+What is left of buckets whose classes are still in different components is dealt into blocks of bounded size; blocks
+that share a bucket meet, and within such a pair of blocks classes of different components are compared: sizes, then
+estimates, then sets. A pair within one component needs no comparison, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -17,8 +18,9 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.scratch import Scratch
@@ -30,8 +32,11 @@ SHARE, SHARE_OF = 75, 100
 REGISTERS, MANTISSA, ROWS = 128, 10, 4
 #: Standard deviations by which an estimate may fall short of the threshold.
 SIGMAS = 5.0
-#: Rounds of comparing with one leader a bucket before the rest are compared with each other.
-LEADER_ROUNDS = 3
+#: Shingles of a block; one class with more is a block of its own.
+BLOCK_SHINGLES = 1 << 15
+#: Classes of one component that stand in blocks of their own, which need not meet each other.
+LARGE = 64
+_CHANCE = 4 * 0.17 / (1 << MANTISSA)
 _BUCKET_BITS = REGISTERS.bit_length() - 1
 
 
@@ -89,7 +94,7 @@ def estimate(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> tuple[float, int
         return 0.0, 0
     same = int(((a == b) & (a > 0)).sum())
     ratio = na / nb
-    chance = 0.17 / (1 << MANTISSA) * 4 * ratio / (1 + ratio) ** 2 * used
+    chance = _CHANCE * ratio / (1 + ratio) ** 2 * used
     return max(0.0, (same - chance) / used), used
 
 
@@ -128,15 +133,12 @@ def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes = np.diff(bounds)
             regs = registers(flat, np.repeat(np.arange(n), sizes), n)
             keys = bands(regs)
-            signs = np.packbits((regs & 1).astype(np.uint8), axis=1).view(np.int64)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id").slice(at, n),
                 "n_shingles": pa.array(sizes),
                 "digest": pa.array([_digest(flat[a:b]) for a, b in zip(bounds[:-1], bounds[1:])], pa.binary()),
                 "bands": pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.reshape(-1))),
                 "regs": pa.array([r.tobytes() for r in regs], pa.binary()),
-                "sign0": pa.array(np.ascontiguousarray(signs[:, 0])),
-                "sign1": pa.array(np.ascontiguousarray(signs[:, 1])),
             })
             at += n
 
@@ -181,14 +183,51 @@ def connected_components(links: DataFrame, scratch: Scratch, name: str, a: str =
     return roots
 
 
-def _cross(one: str, two: str) -> Column:
-    """Sizes and sketch bits that a linked pair can have; 5 standard deviations of the bits are allowed for."""
-    agree = REGISTERS - F.bit_count(F.col(f"{one}.sign0").bitwiseXOR(F.col(f"{two}.sign0"))) - F.bit_count(F.col(f"{one}.sign1").bitwiseXOR(F.col(f"{two}.sign1")))
-    match = (1 + SHARE / SHARE_OF) / 2
-    least = REGISTERS * match - SIGMAS * (REGISTERS * match * (1 - match)) ** 0.5
-    # Registers empty on both sides agree too, so the bound holds for every size.
-    sizes = (SHARE_OF * F.least(f"{one}.n", f"{two}.n")) >= (SHARE * F.greatest(f"{one}.n", f"{two}.n"))
-    return sizes & (agree >= least)
+def _compare_blocks(group: pd.DataFrame) -> pd.DataFrame:
+    """Links between classes of different components in a pair of blocks; a link joins them for what follows."""
+    group = group.drop_duplicates("node").sort_values("n", ignore_index=True)
+    sizes = group["n"].to_numpy()
+    regs = np.stack([np.frombuffer(r, np.uint16) for r in group["regs"]])
+    sets: dict[int, np.ndarray] = {}
+    members = group["members"].to_list()
+    root = group["root"].to_numpy().copy()
+    goal = SHARE / SHARE_OF
+    found = []
+    for i in range(len(group)):
+        stop = int(np.searchsorted(sizes * SHARE, sizes[i] * SHARE_OF, side="right"))  # sizes grow, so partners are a run
+        if stop <= i + 1:
+            continue
+        rest = slice(i + 1, stop)
+        filled = (regs[rest] > 0) | (regs[i] > 0)
+        used = filled.sum(1)
+        same = ((regs[rest] == regs[i]) & filled).sum(1)
+        ratio = sizes[i] / sizes[rest]
+        guess = (same - _CHANCE * ratio / (1 + ratio) ** 2 * used) / np.maximum(used, 1)
+        near = guess + SIGMAS * np.sqrt(goal * (1 - goal) / np.maximum(used, 1)) >= goal
+        for j in np.flatnonzero(near) + i + 1:
+            if root[i] == root[j]:
+                continue
+            for k in (i, j):
+                if k not in sets:
+                    sets[k] = np.frombuffer(members[k], np.uint64)
+            if linked(sets[i], sets[j]):
+                found.append((group["node"][i], group["node"][j]))
+                root[root == root[j]] = root[i]
+    return pd.DataFrame(found, columns=["a", "b"])
+
+
+def _blocks(mixed: DataFrame) -> DataFrame:
+    """node, root, block: classes of similar sizes and a common leader, in blocks of bounded size.
+
+    Large components stand apart from the rest, so that blocks of one component do not meet.
+    """
+    nodes = mixed.groupBy("node").agg(F.min("leader").alias("home"), F.first("root").alias("root"), F.first("n").alias("n"))
+    weights = nodes.groupBy("home", "root").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= LARGE).select("home", "root", F.lit(True).alias("large"))
+    tagged = nodes.join(weights, ["home", "root"], "left").withColumn("part", F.when(F.col("large"), F.hex("root")).otherwise("")).withColumn("size", F.floor(F.log(F.col("n")) / F.log(F.lit(SHARE_OF / SHARE))))
+    group = ["home", "part", "size"]
+    slots = tagged.groupBy(*group).agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("slots"))
+    placed = tagged.join(slots, group).withColumn("slot", F.pmod(F.xxhash64("node"), F.col("slots")))
+    return placed.select("node", "root", "n", "part", "size", F.struct(*group, "slot").alias("block"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -202,7 +241,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(spark, "near-dedup")
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sketches = scratch.keep(docs.mapInArrow(_sketch, f"doc_id {kind}, n_shingles long, digest binary, bands array<long>, regs binary, sign0 long, sign1 long"), "sketches")
+    sketches = scratch.keep(docs.mapInArrow(_sketch, f"doc_id {kind}, n_shingles long, digest binary, bands array<long>, regs binary"), "sketches")
     usable = sketches.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = scratch.keep(usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")), "classes")
     chosen = usable.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi")
@@ -214,9 +253,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     needed = scratch.keep(needed.join(classes, needed["node"] == classes["digest"]).select("node", "rep", "n"), "needed")
     texts = docs.join(needed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
     sets = texts.mapInArrow(_sets, "digest binary, members binary")
-    own = usable.select(F.col("digest").alias("node"), "regs", "sign0", "sign1").join(needed, "node")
-    sketch_of = scratch.keep(own.dropDuplicates(["node"]), "needed-sketches")
-    full = scratch.keep(sets.withColumnRenamed("digest", "node").join(sketch_of.select("node", "regs"), "node"), "sets")
+    own = chosen.select(F.col("digest").alias("node"), "regs").join(needed.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    full = scratch.keep(sets.withColumnRenamed("digest", "node").dropDuplicates(["node"]).join(own, "node"), "sets")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         sides = [full.select(F.col("node").alias(s), F.col("regs").alias(f"regs_{s}"), F.col("members").alias(f"members_{s}")) for s in "ab"]
@@ -226,26 +264,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
 
-    tried = scratch.keep(ordered(members.select(F.col("leader").alias("a"), F.col("node").alias("b"))), "pairs0")
-    links = verified(tried, "links0")
-    for step in range(1, LEADER_ROUNDS + 1):
-        roots = connected_components(links, scratch, f"round{step}")
-        placed = members.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        split = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
-        mixed = scratch.keep(placed.join(split, "key", "left_semi").join(sketch_of.select("node", "n", "sign0", "sign1"), "node"), f"mixed{step}")
-        if mixed.isEmpty():
-            break
-        if step < LEADER_ROUNDS:
-            turn = F.struct(F.xxhash64("node", "key", F.lit(step)).alias("h"), "node", "root", "n", "sign0", "sign1")
-            heads = mixed.groupBy("key").agg(F.min(turn).alias("l")).select("key", "l.*")
-        else:  # whatever is left, in full
-            heads = mixed
-        one, two = mixed.alias("one"), heads.alias("two")
-        pairs = one.join(two, (F.col("one.key") == F.col("two.key")) & (F.col("one.root") != F.col("two.root")) & _cross("one", "two"))
-        fresh = ordered(pairs.select(F.col("one.node").alias("a"), F.col("two.node").alias("b"))).join(tried, ["a", "b"], "left_anti")
-        fresh = scratch.keep(fresh, f"pairs{step}")
-        links = links.union(verified(fresh, f"links{step}"))
-        tried = tried.union(fresh)
+    stars = scratch.keep(ordered(members.select(F.col("leader").alias("a"), F.col("node").alias("b"))), "stars")
+    links = verified(stars, "star-links")
+    roots = connected_components(links, scratch, "first")
+    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    split = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
+    mixed = scratch.keep(placed.join(split, "key", "left_semi").join(needed.select("node", "n"), "node"), "mixed")
+    blocks = scratch.keep(_blocks(mixed), "blocks")
+    at = scratch.keep(mixed.select("key", "node").join(blocks.select("node", "part", "size", "block"), "node").select("key", "part", "size", "block").distinct(), "block-keys")
+    one, two = at.alias("one"), at.alias("two")
+    meet = (F.col("one.key") == F.col("two.key")) & (F.col("one.block") <= F.col("two.block")) & ((F.col("one.part") != F.col("two.part")) | (F.col("one.part") == "")) & (F.abs(F.col("one.size") - F.col("two.size")) <= 1)
+    pairs = scratch.keep(one.join(two, meet).select(F.col("one.block").alias("x"), F.col("two.block").alias("y")).distinct(), "block-pairs")
+    sides = pairs.select(F.xxhash64("x", "y").alias("pair"), F.explode(F.array("x", "y")).alias("block")).distinct()
+    stored = blocks.select("node", "root", "n", "block").join(full, "node")
+    dealt = sides.join(stored, "block").select("pair", "node", "root", "n", "regs", "members")
+    links = links.union(scratch.keep(dealt.groupBy("pair").applyInPandas(_compare_blocks, "a binary, b binary"), "block-links"))
     roots = connected_components(links, scratch, "last")
     grouped = classes.join(roots, classes["digest"] == roots["node"], "left").select("digest", "rep", F.coalesce("root", "digest").alias("root"))
     least = grouped.groupBy("root").agg(F.min("rep").alias("component_id"))
