@@ -17,15 +17,14 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.sampling import sample_ids
 from tidemark.llm.textkernel import hash_spans, lower_ascii, mix, runs, slices
 
 SAMPLE_DOCS = 400
 SAMPLE_WORDS = 160
-#: Languages a model can have: bounds what a sample sends to the driver.
-MAX_LANGUAGES = 64
 HASH_BITS = 16
 #: Words of a training chain, and how many words of one language stand together in it.
 CHAIN, RUN = 48, (6, 32)
@@ -193,10 +192,8 @@ def predict_batch(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray
 
 def training_sample(labelled: DataFrame, docs: int = SAMPLE_DOCS) -> pd.DataFrame:
     """``text`` and ``lang`` of up to ``docs`` rows a language, in the order of a hash of their ids."""
-    keys = labelled.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", F.xxhash64(F.col("doc_id").cast("string")).alias("h")).distinct()
-    ranked = keys.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("r") <= docs)
-    picked = ranked.orderBy("r", "lang").limit(docs * MAX_LANGUAGES).select("doc_id", "lang", "r")
-    near = labelled.select("doc_id", "lang", "text").join(F.broadcast(picked.select("doc_id", "lang")), ["doc_id", "lang"], "left_semi")
+    picked = F.broadcast(sample_ids(labelled, "lang", docs))
+    near = labelled.select("doc_id", "lang", "text").join(picked, ["doc_id", "lang"], "left_semi")
     # A bounded stretch of each text, from a place that its id's hash chooses.
     length, span = F.length("text"), 12 * SAMPLE_WORDS
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("place")), F.greatest(length - span, F.lit(0)) + 1)

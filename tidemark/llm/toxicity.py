@@ -20,9 +20,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.sampling import sample_ids
 from tidemark.llm.textkernel import is_space, lower_ascii, runs, slices
 
 WINDOW = 16
@@ -138,8 +139,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 40
 def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_DOCS) -> pd.DataFrame:
     """``text`` and ``toxic`` of up to ``per_class`` labelled texts of each class, in the order of a hash of their ids."""
     marks = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    ranked = marks.withColumn("r", F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id"))).filter(F.col("r") <= per_class)
-    picked = F.broadcast(ranked.select("doc_id", "toxic"))
+    picked = F.broadcast(sample_ids(marks, "toxic", per_class))
     length = F.length("text")
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("place")), F.greatest(length - SAMPLE_CHARS, F.lit(0)) + 1)
     near = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(picked, "doc_id")
