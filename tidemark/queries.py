@@ -1,6 +1,692 @@
-"""The engine's registered queries and the SQL each is checked against."""
+"""The engine's registered queries, each with the SQL that gives the same rows.
+
+The collection: ``orders`` and ``lineitem`` by month and by the nation of their customer or supplier, ``customer`` and
+``supplier`` by nation. Nulls are made from values where a query is about them.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.functions import keys as K
+from tidemark.functions.stats import correlation_p
+from tidemark.operators import bins, correlate, evaluate, factors, graph, index, joins, labels, measures, sketch, spatial, topology
+from tidemark.operators.measures import Source, Variable
+from tidemark.plans.search import Options, control, correlations
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a query under a name, with its SQL where SQL can express it."""
+
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def orders(spark: SparkSession, d: str) -> DataFrame:
+    """Orders with the nation of their customer."""
+    return table(spark, d, "orders").join(table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("nation")), "o_custkey")
+
+
+def lines(spark: SparkSession, d: str) -> DataFrame:
+    """Line items with the nation of their supplier."""
+    return table(spark, d, "lineitem").join(table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("nation")), "l_suppkey")
+
+
+def sources(spark: SparkSession, d: str) -> list[Source]:
+    month = lambda c: {"month": K.time_key(F.col(c), K.TimeUnit.MONTH)}
+    place = {"nation": F.col("nation").cast("string")}
+    discount = F.when(F.col("l_discount") > 0.05, F.col("l_discount"))
+    return [
+        Source("orders", orders(spark, d), month("o_orderdate"), place, ("o_totalprice",)),
+        Source("lineitem", lines(spark, d).withColumn("big_discount", discount), month("l_shipdate"), place, ("l_quantity", "l_extendedprice", "l_tax", "big_discount")),
+        Source("customer", table(spark, d, "customer").withColumn("nation", F.col("c_nationkey")), {}, place, ("c_acctbal",)),
+        Source("supplier", table(spark, d, "supplier").withColumn("nation", F.col("s_nationkey")), {}, place, ("s_acctbal",)),
+    ]
+
+
+def long(spark: SparkSession, d: str, round_dp: int | None = None) -> DataFrame:
+    return measures.measures(sources(spark, d), round_dp=round_dp)
+
+
+# The same long form in SQL.
+_RAW = """
+    o AS (SELECT *, c_nationkey AS nation FROM orders JOIN customer ON o_custkey = c_custkey),
+    l AS (SELECT *, s_nationkey AS nation, CASE WHEN l_discount > 0.05 THEN l_discount END AS big FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
+    ok AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, nation::VARCHAR AS nation, o_totalprice FROM o),
+    lk AS (SELECT strftime(l_shipdate, '%Y-%m') AS month, nation::VARCHAR AS nation, l_quantity, l_extendedprice, l_tax, big FROM l),
+    og AS (SELECT 'temporal' AS kind, 'orders_month' AS agg, month AS val, avg(o_totalprice) AS a, count(*) AS n FROM ok GROUP BY month
+        UNION ALL SELECT 'spatial', 'orders_nation', nation, avg(o_totalprice), count(*) FROM ok GROUP BY nation
+        UNION ALL SELECT 'st', 'orders_month_nation', month || ',' || nation, avg(o_totalprice), count(*) FROM ok GROUP BY ALL),
+    lg AS (SELECT 'temporal' AS kind, 'lineitem_month' AS agg, month AS val, avg(l_quantity) AS q, avg(l_extendedprice) AS e, avg(l_tax) AS t, avg(big) AS b, count(*) AS n FROM lk GROUP BY month
+        UNION ALL SELECT 'spatial', 'lineitem_nation', nation, avg(l_quantity), avg(l_extendedprice), avg(l_tax), avg(big), count(*) FROM lk GROUP BY nation
+        UNION ALL SELECT 'st', 'lineitem_month_nation', month || ',' || nation, avg(l_quantity), avg(l_extendedprice), avg(l_tax), avg(big), count(*) FROM lk GROUP BY ALL),
+    cg AS (SELECT 'spatial' AS kind, 'customer_nation' AS agg, c_nationkey::VARCHAR AS val, avg(c_acctbal) AS a, count(*) AS n FROM customer GROUP BY c_nationkey),
+    sg AS (SELECT 'spatial' AS kind, 'supplier_nation' AS agg, s_nationkey::VARCHAR AS val, avg(s_acctbal) AS a, count(*) AS n FROM supplier GROUP BY s_nationkey),
+    m0 AS (SELECT kind, agg, 'orders' AS tbl, 'avg_o_totalprice' AS var, val, a AS x FROM og UNION ALL SELECT kind, agg, 'orders', 'count', val, n FROM og
+        UNION ALL SELECT kind, agg, 'lineitem', 'avg_l_quantity', val, q FROM lg UNION ALL SELECT kind, agg, 'lineitem', 'avg_l_extendedprice', val, e FROM lg
+        UNION ALL SELECT kind, agg, 'lineitem', 'avg_l_tax', val, t FROM lg UNION ALL SELECT kind, agg, 'lineitem', 'avg_big_discount', val, b FROM lg
+        UNION ALL SELECT kind, agg, 'lineitem', 'count', val, n FROM lg
+        UNION ALL SELECT kind, agg, 'customer', 'avg_c_acctbal', val, a FROM cg UNION ALL SELECT kind, agg, 'customer', 'count', val, n FROM cg
+        UNION ALL SELECT kind, agg, 'supplier', 'avg_s_acctbal', val, a FROM sg UNION ALL SELECT kind, agg, 'supplier', 'count', val, n FROM sg)"""
+_LONG = f"WITH {_RAW}, m AS (SELECT * FROM m0), k AS (SELECT kind, agg, tbl, val FROM m WHERE var = 'count')"
+_ROUNDED = f"WITH {_RAW}, m AS (SELECT * REPLACE (round_even(x, 3) AS x) FROM m0), k AS (SELECT kind, agg, tbl, val FROM m WHERE var = 'count')"
+_PAIRS = """,
+    sz AS (SELECT kind, agg, tbl, count(*) AS n FROM k GROUP BY ALL),
+    kp AS (SELECT a.kind, a.agg AS agg1, b.agg AS agg2, count(*) AS overlap FROM k a JOIN k b ON a.kind = b.kind AND a.val = b.val AND a.tbl <> b.tbl
+        JOIN sz x ON x.agg = a.agg JOIN sz y ON y.agg = b.agg WHERE (x.n, a.agg) < (y.n, b.agg) GROUP BY ALL HAVING count(*) >= 5)"""
+_JOINED = """,
+    j AS (SELECT p.kind, p.agg1, a.tbl AS tbl1, a.var AS var1, p.agg2, b.tbl AS tbl2, b.var AS var2, a.val, a.x, b.x AS y
+        FROM kp p JOIN m a ON a.agg = p.agg1 JOIN m b ON b.agg = p.agg2 AND a.val = b.val)"""
+_STATS = """,
+    st AS (SELECT agg, var, sum(x) AS s, sum(x * x) AS ss, avg(x) AS mean, (count(*) - 1) * var_samp(x) AS res, count(*) AS cnt FROM m GROUP BY ALL)"""
+_R = "coalesce(covar_pop({x}, {y}) / nullif(stddev_pop({x}) * stddev_pop({y}), 0), 0)"
+_R0 = _R.format(x="coalesce(x, 0)", y="coalesce(y, 0)")
+_CORR = f""",
+    c AS (SELECT kind, agg1, tbl1, var1, agg2, tbl2, var2, count(*) AS n, {_R0} AS r, sum(coalesce(x, 0)) AS sx, sum(coalesce(y, 0)) AS sy, sum(coalesce(x, 0) * coalesce(y, 0)) AS sxy
+        FROM j GROUP BY ALL HAVING count(DISTINCT x) <> 1 AND count(DISTINCT y) <> 1)"""
+_P = """CASE WHEN {v} < 1 THEN NULL WHEN abs({r}) >= 1 THEN 0::DOUBLE
+    WHEN {v} % 2 = 0 THEN greatest(0, 1 - abs({r}) * (SELECT sum(coalesce((SELECT product((2 * j - 1) / (2 * j) * (1 - {r} * {r})) FROM range(1, k) q(j)), 1)) FROM range(1, greatest({v} // 2, 1) + 1) z(k)))
+    WHEN {v} = 1 THEN 1 - 2 / pi() * asin(abs({r}))
+    ELSE greatest(0, 1 - 2 / pi() * (asin(abs({r})) + abs({r}) * sqrt(1 - {r} * {r}) * (SELECT sum(coalesce((SELECT product((2 * j) / (2 * j + 1) * (1 - {r} * {r})) FROM range(1, k) q(j)), 1)) FROM range(1, greatest(({v} - 1) // 2, 1) + 1) z(k)))) END"""
+_P2 = _P.format(v="(n - 2)", r="r")
+
+
+def _rounded(df: DataFrame, dp: int = 6, *columns: str) -> DataFrame:
+    """Means of prices often lie halfway between two values of four places, where the last bit decides: they are nudged up."""
+    return df.withColumns({c: F.round(F.col(c) + (1e-7 if dp == 4 else 0.0), dp) for c in columns})
+
+
+# Keys and aggregation
+
+for _unit, _format in (("HOUR", "%Y-%m-%d-%H"), ("DAY", "%Y-%m-%d"), ("MONTH", "%Y-%m"), ("YEAR", "%Y"), ("QUARTER", None)):
+    _val = f"strftime(ts, '{_format}')" if _format else "strftime(ts, '%Y') || '-' || quarter(ts)"
+
+    @query(f"agg_time_{_unit.lower()}", f"SELECT {_val} AS val, round(avg(value), 6) AS avg_value, count(*) AS \"count\" FROM events GROUP BY 1")
+    def _agg_time(spark, d, unit=_unit):
+        return _rounded(measures.aggregate_by(table(spark, d, "events"), K.time_key(F.col("ts"), K.TimeUnit[unit]), [Variable("value")]), 6, "avg_value")
+
+
+@query("agg_space_nation", "SELECT c_nationkey::VARCHAR AS val, round(avg(c_acctbal), 6) AS avg_c_acctbal, count(*) AS \"count\" FROM customer GROUP BY 1")
+def agg_space_nation(spark, d):
+    return _rounded(measures.aggregate_by(table(spark, d, "customer"), K.space_key(F.col("c_nationkey")), [Variable("c_acctbal")]), 6, "avg_c_acctbal")
+
+
+@query("agg_space_levels", "SELECT n_regionkey || '-' || n_nationkey AS val, round(avg(c_acctbal), 6) AS avg_c_acctbal, count(*) AS \"count\" FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+def agg_space_levels(spark, d):
+    placed = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return _rounded(measures.aggregate_by(placed, K.space_key(F.col("n_regionkey"), F.col("n_nationkey")), [Variable("c_acctbal")]), 6, "avg_c_acctbal")
+
+
+@query("agg_time_space", "SELECT strftime(o_orderdate, '%Y-%m') || ',' || c_nationkey AS val, round(avg(o_totalprice) + 1e-7, 4) AS avg_o_totalprice, count(*) AS \"count\" FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
+def agg_time_space(spark, d):
+    key = K.joint_key(K.time_key(F.col("o_orderdate"), K.TimeUnit.MONTH), F.col("nation").cast("string"))
+    return _rounded(measures.aggregate_by(orders(spark, d), key, [Variable("o_totalprice")]), 4, "avg_o_totalprice")
+
+
+@query("agg_min_max_median_sum", """SELECT strftime(l_shipdate, '%Y-%m') AS val, min(l_quantity) AS min_l_quantity, max(l_quantity) AS max_l_quantity,
+    round(median(l_extendedprice) + 1e-7, 4) AS median_l_extendedprice, round(sum(l_quantity) + 1e-7, 4) AS sum_l_quantity, count(l_tax) AS count_l_tax FROM lineitem GROUP BY 1""")
+def agg_others(spark, d):
+    wanted = [Variable("l_quantity", "min"), Variable("l_quantity", "max"), Variable("l_extendedprice", "median"), Variable("l_quantity", "sum"), Variable("l_tax", "count")]
+    out = measures.aggregate_by(table(spark, d, "lineitem"), K.time_key(F.col("l_shipdate"), K.TimeUnit.MONTH), wanted, with_count=False)
+    return _rounded(out, 4, "median_l_extendedprice", "sum_l_quantity")
+
+
+@query("agg_all_keys", f"WITH {_RAW} SELECT kind, agg, val, round(q, 5) AS avg_l_quantity, round(e + 1e-7, 4) AS avg_l_extendedprice, round(t, 6) AS avg_l_tax, round(b, 6) AS avg_big_discount, n AS \"count\" FROM lg")
+def agg_all_keys(spark, d):
+    out = measures.aggregate_all(sources(spark, d)[1])
+    return _rounded(_rounded(_rounded(out, 6, "avg_l_tax", "avg_big_discount"), 5, "avg_l_quantity"), 4, "avg_l_extendedprice")
+
+
+@query("time_range", "SELECT strftime(l_shipdate, '%Y-%m-%d') AS val, count(*) AS \"count\" FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1997-01-01' GROUP BY 1")
+def time_range(spark, d):
+    kept = table(spark, d, "lineitem").filter("l_shipdate >= timestamp_ntz'1996-01-01' AND l_shipdate < timestamp_ntz'1997-01-01'")
+    return measures.aggregate_by(kept, K.time_key(F.col("l_shipdate"), K.TimeUnit.DAY), [])
+
+
+@query("measures_long", f"{_LONG} SELECT kind, agg, tbl, var, val, round(x + 1e-7, 4) AS x FROM m")
+def measures_long(spark, d):
+    return _rounded(long(spark, d), 4, "x")
+
+
+# The index and discovery
+
+
+@query("inv_index", f"{_LONG} SELECT kind, val, array_to_string(list_sort(list(DISTINCT agg)), '|') AS aggs FROM k GROUP BY ALL")
+def inv_index(spark, d):
+    return index.inverted_index(measures.keys_of(long(spark, d))).withColumn("aggs", F.array_join("aggs", "|"))
+
+
+@query("inv_index_cnt", f"{_LONG} SELECT kind, val, count(DISTINCT agg) AS cnt FROM k GROUP BY ALL")
+def inv_index_cnt(spark, d):
+    return index.index_counts(measures.keys_of(long(spark, d)))
+
+
+_CNT = ", ic AS (SELECT kind, val, count(DISTINCT agg) AS cnt FROM k GROUP BY ALL), tc AS (SELECT agg, val, cnt FROM k JOIN ic USING (kind, val))"
+_COST = ", sc AS (SELECT agg, count(*) AS n_keys, sum(cnt)::BIGINT AS rows_to_read, ((sum(cnt) - count(*)) // 5)::BIGINT AS max_joinable FROM tc GROUP BY agg)"
+
+
+@query("agg_cnt", f"{_LONG}{_CNT} SELECT agg, val, cnt FROM tc")
+def agg_cnt(spark, d):
+    return index.table_counts(measures.keys_of(long(spark, d)))
+
+
+@query("rows_to_read", f"{_LONG}{_CNT}{_COST} SELECT * FROM sc")
+def rows_to_read(spark, d):
+    return index.search_costs(measures.keys_of(long(spark, d)), 5)
+
+
+_CAND = "SELECT a.agg, b.agg AS cand, count(*) AS overlap FROM k a JOIN k b ON a.kind = b.kind AND a.val = b.val AND a.tbl <> b.tbl GROUP BY ALL HAVING count(*) >= 5"
+
+
+@query("join_candidates", f"{_LONG} {_CAND}")
+def join_candidates(spark, d):
+    return index.candidates(measures.keys_of(long(spark, d)), 5)
+
+
+_SAMPLED = """, rk AS (SELECT *, row_number() OVER (PARTITION BY agg ORDER BY cnt DESC, val) AS r FROM tc),
+    pk AS (SELECT rk.* FROM rk JOIN sc USING (agg) WHERE r <= floor(n_keys * 0.05)),
+    sl AS (SELECT agg, floor(max(rows_to_read) / sum(cnt))::BIGINT AS scale FROM pk JOIN sc USING (agg) GROUP BY agg),
+    es AS (SELECT a.agg, b.agg AS cand, count(*) * any_value(scale) AS estimate FROM pk JOIN k a ON a.agg = pk.agg AND a.val = pk.val JOIN k b ON a.kind = b.kind AND a.val = b.val AND a.tbl <> b.tbl
+        JOIN sl ON sl.agg = a.agg GROUP BY ALL HAVING estimate >= 5)"""
+
+
+@query("join_candidates_sampled", f"{_LONG}{_CNT}{_COST}{_SAMPLED} SELECT * FROM es")
+def join_candidates_sampled(spark, d):
+    return index.sampled_candidates(measures.keys_of(long(spark, d)), 5)
+
+
+@query("join_cost", f"""{_LONG}, s AS (SELECT kind, agg, count(*) AS cnt FROM k GROUP BY ALL HAVING count(*) >= 5),
+    w AS (SELECT *, row_number() OVER o - 1 AS i, count(*) OVER (PARTITION BY kind) AS n, avg(cnt) OVER (PARTITION BY kind ORDER BY cnt DESC, agg ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM s WINDOW o AS (PARTITION BY kind ORDER BY cnt DESC, agg))
+    SELECT kind, agg, cnt, round(i / n * cnt + (1 - i / n) * rest, 2) AS cost FROM w""")
+def join_cost(spark, d):
+    return index.join_costs(measures.keys_of(long(spark, d)), 5)
+
+
+@query("joinable_pairs", f"{_LONG}{_PAIRS} SELECT * FROM kp")
+def joinable_pairs(spark, d):
+    return index.joinable_pairs(measures.keys_of(long(spark, d)), 5)
+
+
+@query("all_pairs", f"{_LONG}{_PAIRS} SELECT x.kind, x.agg AS agg1, y.agg AS agg2 FROM sz x JOIN sz y ON x.kind = y.kind AND x.tbl <> y.tbl AND (x.n, x.agg) < (y.n, y.agg) WHERE x.n >= 5 AND y.n >= 5")
+def all_pairs(spark, d):
+    return index.all_pairs(measures.keys_of(long(spark, d)), 5)
+
+
+@query("discovery_method", f"""{_LONG}{_PAIRS}{_CNT}{_COST}{_SAMPLED},
+    ev AS (SELECT x.agg, sum(least(x.n, y.n)) AS all_cost, count(*) AS n_cands FROM sz x JOIN sz y ON x.kind = y.kind AND x.tbl <> y.tbl GROUP BY x.agg),
+    gs AS (SELECT es.agg, count(*) AS kk, avg(least(x.n, y.n)) AS each_ FROM es JOIN sz x ON x.agg = es.agg JOIN sz y ON y.agg = es.cand GROUP BY es.agg),
+    t AS (SELECT sz.agg, CASE WHEN n >= 100000 THEN 4.2 ELSE 0.1 END::DOUBLE * (n + rows_to_read) AS overhead, n, max_joinable, coalesce(n_cands, 0) AS n_cands, coalesce(all_cost, 0)::DOUBLE AS all_cost, coalesce(kk * each_, 0) AS guess
+        FROM sz JOIN sc USING (agg) LEFT JOIN ev USING (agg) LEFT JOIN gs USING (agg) WHERE n >= 5),
+    f AS (SELECT *, overhead + least(max_joinable, n_cands) * n AS find_cost FROM t)
+    SELECT agg, round(overhead, 3) AS overhead, round(find_cost, 3) AS find_cost, all_cost, CASE WHEN find_cost <= all_cost THEN 'INDEX_SEARCH' WHEN overhead >= all_cost THEN 'JOIN_ALL' WHEN overhead + guess <= all_cost THEN 'INDEX_SEARCH' ELSE 'JOIN_ALL' END AS method FROM f""")
+def discovery_method(spark, d):
+    return _rounded(index.choose_method(measures.keys_of(long(spark, d)), 5), 3, "overhead", "find_cost")
+
+
+def _monthly(spark, d) -> tuple[DataFrame, DataFrame]:
+    month = lambda c: K.time_key(F.col(c), K.TimeUnit.MONTH)
+    a = measures.aggregate_by(table(spark, d, "orders"), month("o_orderdate"), [Variable("o_totalprice")])
+    return a, measures.aggregate_by(table(spark, d, "lineitem"), month("l_shipdate"), [Variable("l_quantity"), Variable("l_tax")])
+
+
+_MONTHLY = """WITH a AS (SELECT strftime(o_orderdate, '%Y-%m') AS val, avg(o_totalprice) AS p, count(*) AS n FROM orders GROUP BY 1),
+    b AS (SELECT strftime(l_shipdate, '%Y-%m') AS val, avg(l_quantity) AS q, avg(l_tax) AS t, count(*) AS n FROM lineitem GROUP BY 1)"""
+
+
+@query("key_intersect", f"{_MONTHLY} SELECT val FROM a INTERSECT SELECT val FROM b")
+def key_intersect(spark, d):
+    return joins.shared_keys(*_monthly(spark, d))
+
+
+@query("key_overlap", f"{_MONTHLY} SELECT count(*) AS overlap FROM a JOIN b USING (val)")
+def key_overlap(spark, d):
+    return joins.shared_keys(*_monthly(spark, d)).agg(F.count(F.lit(1)).alias("overlap"))
+
+
+# Joins
+
+
+@query("align_inner", f"{_MONTHLY} SELECT val, round(p + 1e-7, 4) AS avg_o_totalprice_t1, round(q, 6) AS avg_l_quantity_t2 FROM a JOIN b USING (val)")
+def align_inner(spark, d):
+    a, b = _monthly(spark, d)
+    return _rounded(_rounded(joins.align_inner(a, ["avg_o_totalprice"], b, ["avg_l_quantity"]), 4, "avg_o_totalprice_t1"), 6, "avg_l_quantity_t2")
+
+
+@query("align_outer", f"{_MONTHLY} SELECT a.val AS key1, b.val AS key2, round(p + 1e-7, 4) AS avg_o_totalprice_t1, round(q, 6) AS avg_l_quantity_t2 FROM a FULL JOIN b ON a.val = b.val")
+def align_outer(spark, d):
+    a, b = _monthly(spark, d)
+    return _rounded(_rounded(joins.align_outer(a, ["avg_o_totalprice"], b, ["avg_l_quantity"]), 4, "avg_o_totalprice_t1"), 6, "avg_l_quantity_t2")
+
+
+@query("align_star", """SELECT a.val, round(a.x, 6) AS customer_avg_c_acctbal, round(b.x, 6) AS supplier_avg_s_acctbal, round(c.x + 1e-7, 4) AS orders_avg_o_totalprice FROM
+    (SELECT c_nationkey::VARCHAR AS val, avg(c_acctbal) AS x FROM customer GROUP BY 1) a JOIN (SELECT s_nationkey::VARCHAR AS val, avg(s_acctbal) AS x FROM supplier GROUP BY 1) b USING (val)
+    JOIN (SELECT c_nationkey::VARCHAR AS val, avg(o_totalprice) AS x FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1) c USING (val)""")
+def align_star(spark, d):
+    tables = {s.tbl: measures.aggregate_by(s.df, s.places["nation"], [Variable(m) for m in s.measures]) for s in sources(spark, d)}
+    out = joins.join_and_project(tables, [("customer", "avg_c_acctbal"), ("supplier", "avg_s_acctbal"), ("orders", "avg_o_totalprice")])
+    return _rounded(_rounded(out, 6, "customer_avg_c_acctbal", "supplier_avg_s_acctbal"), 4, "orders_avg_o_totalprice")
+
+
+@query("join_project_constrained", f"{_MONTHLY} SELECT val, round(p + 1e-7, 4) AS orders_avg_o_totalprice, a.n AS orders_samples, round(q, 6) AS lineitem_avg_l_quantity, b.n AS lineitem_samples FROM a JOIN b USING (val) WHERE a.n >= 5 AND b.n >= 60")
+def join_project_constrained(spark, d):
+    a, b = _monthly(spark, d)
+    out = joins.join_and_project({"orders": a, "lineitem": b}, [("orders", "avg_o_totalprice"), ("lineitem", "avg_l_quantity")], {"orders": 5, "lineitem": 60}, samples=True)
+    return _rounded(_rounded(out, 4, "orders_avg_o_totalprice"), 6, "lineitem_avg_l_quantity")
+
+
+@query("align_reduced", """SELECT val, round(a + 1e-7, 4) AS a, round(b, 6) AS b FROM (SELECT strftime(o_orderdate, '%Y-%m-%d') AS val, avg(o_totalprice) AS a FROM orders GROUP BY 1)
+    JOIN (SELECT strftime(l_shipdate, '%Y-%m-%d') AS val, avg(l_quantity) AS b FROM lineitem GROUP BY 1) USING (val)""")
+def align_reduced(spark, d):
+    day = lambda c: K.time_key(F.col(c), K.TimeUnit.DAY)
+    out = joins.align_reduced(table(spark, d, "orders"), day("o_orderdate"), table(spark, d, "lineitem"), day("l_shipdate"), "o_totalprice", "l_quantity")
+    return _rounded(_rounded(out, 4, "a"), 6, "b")
+
+
+# Profiles
+
+
+@query("col_stats", f"{_LONG}{_STATS} SELECT agg, var, round(s, 2) AS sum, round(ss, -2) AS sum_square, round(mean + 1e-7, 4) AS avg, round(res, -2) AS res_sum, cnt FROM st")
+def col_stats(spark, d):
+    out = measures.column_stats(long(spark, d))
+    return _rounded(_rounded(_rounded(out, 2, "sum"), -2, "sum_square", "res_sum"), 4, "avg")
+
+
+@query("col_profile", """SELECT 'lineitem' AS tbl, 'l_discount' AS var, round(avg((l_discount IS NULL)::INT), 2) AS missing_ratio, round(avg(coalesce(l_discount = 0, FALSE)::INT), 2) AS zero_ratio FROM lineitem
+    UNION ALL SELECT 'lineitem', 'big_discount', round(avg((big IS NULL)::INT), 2), round(avg(coalesce(big = 0, FALSE)::INT), 2) FROM (SELECT CASE WHEN l_discount > 0.05 THEN l_discount END AS big FROM lineitem)""")
+def col_profile(spark, d):
+    df = table(spark, d, "lineitem").withColumn("big_discount", F.when(F.col("l_discount") > 0.05, F.col("l_discount")))
+    return measures.column_profile(df, "lineitem", ("l_discount", "big_discount"))
+
+
+@query("total_vars", f"{_LONG} SELECT agg, count(*) FILTER (c > 1) AS n_vars FROM (SELECT agg, var, count(DISTINCT x) AS c FROM m GROUP BY ALL) GROUP BY agg")
+def total_vars(spark, d):
+    return measures.varying(long(spark, d))
+
+
+@query("label_columns", r"""WITH e AS (SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S') AS made, CASE WHEN event_id % 10 < 6 THEN lpad((60000 + event_id % 1000)::VARCHAR, 5, '0') ELSE 'none' END AS area,
+        'POINT (' || (event_id % 90) || '.5 ' || (event_id % 45) || '.25)' AS spot FROM events)
+    SELECT c AS "column", a AS axis, k AS kind, round(s, 6) AS share FROM (SELECT 'made' AS c, 'time' AS a, 'DateTime' AS k, avg(regexp_matches(made, '^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}')::INT) AS s FROM e
+    UNION ALL SELECT 'area', 'place', 'zipCode', avg(regexp_matches(area, '^\d{5}$')::INT) FROM e UNION ALL SELECT 'spot', 'place', 'geoCoordinate', avg(regexp_matches(spot, '^POINT')::INT) FROM e) WHERE s > 0.5""")
+def label_columns(spark, d):
+    e = table(spark, d, "events").select(
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("made"),
+        F.when(F.col("event_id") % 10 < 6, F.lpad((60000 + F.col("event_id") % 1000).cast("string"), 5, "0")).otherwise("none").alias("area"),
+        F.concat(F.lit("POINT ("), (F.col("event_id") % 90).cast("string"), F.lit(".5 "), (F.col("event_id") % 45).cast("string"), F.lit(".25)")).alias("spot"),
+    )
+    return _rounded(labels.match_shares(e).filter("share > 0.5"), 6, "share")
+
+
+# Statistics
+
+
+def _some_pairs(spark, d) -> DataFrame:
+    """Monthly and by-nation tables: few keys, many pairs."""
+    return index.joinable_pairs(measures.keys_of(long(spark, d)), 5).filter("kind <> 'st'")
+
+
+_FEW_JOINED = _PAIRS.replace("kp AS (", "kp0 AS (") + ", kp AS (SELECT * FROM kp0 WHERE kind <> 'st')" + _JOINED
+
+
+@query("pearson_pairs", f"{_LONG}{_FEW_JOINED}{_CORR} SELECT kind, agg1, var1, agg2, var2, n, round(r, 6) AS r, round({_P2}, 6) AS p FROM c")
+def pearson_pairs(spark, d):
+    out = correlate.pearson_pairs(long(spark, d), _some_pairs(spark, d))
+    return _rounded(out, 6, "r", "p").drop("tbl1", "tbl2")
+
+
+@query("pearson_masked", f"{_LONG}{_FEW_JOINED} SELECT kind, agg1, var1, agg2, var2, count(*) AS n, round({_R.format(x='x', y='y')}, 6) AS r FROM j WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY ALL")
+def pearson_masked(spark, d):
+    return _rounded(correlate.masked_pairs(long(spark, d), _some_pairs(spark, d)), 6, "r").drop("p")
+
+
+@query("pearson_pvalue", f"SELECT n, i, round({_P2}, 9) AS p FROM (SELECT n::BIGINT AS n, i::BIGINT AS i, (i / 10.0)::DOUBLE AS r FROM range(3, 60) t(n), range(-9, 10) u(i))")
+def pearson_pvalue(spark, d):
+    grid = spark.range(3, 60).withColumnRenamed("id", "n").withColumn("i", F.explode(F.sequence(F.lit(-9), F.lit(9)))).withColumn("i", F.col("i").cast("bigint"))
+    return grid.withColumn("p", F.round(correlation_p(F.col("i") / 10, F.col("n")), 9))
+
+
+_IMPUTED = f"{_LONG}{_STATS}{_FEW_JOINED}{_CORR}, i AS (SELECT c.*, x.s AS s1, x.ss AS q1, x.mean AS m1, x.res AS r1, x.cnt AS c1, y.s AS s2, y.ss AS q2, y.mean AS m2, y.res AS r2, y.cnt AS c2, x.cnt + y.cnt - c.n AS nn FROM c JOIN st x ON x.agg = agg1 AND x.var = var1 JOIN st y ON y.agg = agg2 AND y.var = var2 WHERE x.res <> 0 AND y.res <> 0)"
+
+
+@query("impute_avg", f"{_IMPUTED} SELECT agg1, var1, agg2, var2, round((sxy - m2 * sx - m1 * sy + n * m1 * m2) / sqrt(r1 * r2), 6) AS r_impute_avg FROM i")
+def impute_avg(spark, d):
+    m = long(spark, d)
+    return _rounded(correlate.pearson_pairs(m, _some_pairs(spark, d), measures.column_stats(m)), 6, "r_impute_avg").select("agg1", "var1", "agg2", "var2", "r_impute_avg")
+
+
+@query("impute_zero", f"{_IMPUTED} SELECT agg1, var1, agg2, var2, round((nn * sxy - s1 * s2) / nullif(sqrt(nn * q1 - s1 * s1) * sqrt(nn * q2 - s2 * s2), 0) + 1e-7, 4) AS r_impute_zero FROM i WHERE nn * q1 - s1 * s1 > 0.01 * s1 * s1 AND nn * q2 - s2 * s2 > 0.01 * s2 * s2")
+def impute_zero(spark, d):
+    m = long(spark, d)
+    stats = measures.column_stats(m)
+    sizes = [stats.select(F.col("agg").alias(f"agg{i}"), F.col("var").alias(f"var{i}"), F.col("sum").alias(f"s{i}"), F.col("sum_square").alias(f"q{i}"), F.col("cnt").alias(f"c{i}")) for i in "12"]
+    out = correlate.pearson_pairs(m, _some_pairs(spark, d), stats).join(sizes[0], ["agg1", "var1"]).join(sizes[1], ["agg2", "var2"]).withColumn("nn", F.expr("c1 + c2 - n"))
+    out = out.filter("nn * q1 - s1 * s1 > 0.01 * s1 * s1 AND nn * q2 - s2 * s2 > 0.01 * s2 * s2")
+    return _rounded(out, 4, "r_impute_zero").select("agg1", "var1", "agg2", "var2", "r_impute_zero")
+
+
+@query("impute_outer", """WITH a AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS val, avg(o_totalprice) AS x FROM orders GROUP BY 1), b AS (SELECT strftime(l_shipdate, '%Y-%m-%d') AS val, avg(l_quantity) AS y FROM lineitem GROUP BY 1),
+    o AS (SELECT x, y, avg(x) OVER () AS mx, avg(y) OVER () AS my FROM a FULL JOIN b ON a.val = b.val)
+    SELECT count(*) AS n, round(corr(coalesce(x, 0), coalesce(y, 0)), 6) AS zero_r, round(corr(coalesce(x, mx), coalesce(y, my)), 6) AS mean_r FROM o""")
+def impute_outer(spark, d):
+    """The explicit outer join, against which the closed forms can be checked."""
+    day = lambda c: K.time_key(F.col(c), K.TimeUnit.DAY)
+    a = measures.aggregate_by(table(spark, d, "orders"), day("o_orderdate"), [Variable("o_totalprice")])
+    b = measures.aggregate_by(table(spark, d, "lineitem"), day("l_shipdate"), [Variable("l_quantity")])
+    both = joins.align_outer(a, ["avg_o_totalprice"], b, ["avg_l_quantity"]).select(F.col("avg_o_totalprice_t1").alias("x"), F.col("avg_l_quantity_t2").alias("y"))
+    means = both.agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))  # one row
+    filled = both.crossJoin(F.broadcast(means))
+    r = lambda fx, fy: F.round(F.corr(F.coalesce("x", fx), F.coalesce("y", fy)), 6)
+    return filled.agg(F.count(F.lit(1)).alias("n"), r(F.lit(0.0), F.lit(0.0)).alias("zero_r"), r(F.col("mx"), F.col("my")).alias("mean_r"))
+
+
+@query("spearman", f"""{_LONG}{_FEW_JOINED}, f AS (SELECT kind, agg1, var1, agg2, var2, coalesce(x, 0) AS x, coalesce(y, 0) AS y FROM j),
+    k2 AS (SELECT *, rank() OVER (PARTITION BY kind, agg1, var1, agg2, var2 ORDER BY x) + (count(*) OVER (PARTITION BY kind, agg1, var1, agg2, var2, x) - 1) / 2 AS rx,
+        rank() OVER (PARTITION BY kind, agg1, var1, agg2, var2 ORDER BY y) + (count(*) OVER (PARTITION BY kind, agg1, var1, agg2, var2, y) - 1) / 2 AS ry FROM f),
+    c AS (SELECT kind, agg1, var1, agg2, var2, count(*) AS n, {_R.format(x='rx', y='ry')} AS r FROM k2 GROUP BY ALL)
+    SELECT kind, agg1, var1, agg2, var2, n, round(r, 6) AS r, round({_P2}, 6) AS p FROM c WHERE r <> 0""")
+def spearman(spark, d):
+    return _rounded(correlate.spearman_pairs(correlate.joined_pairs(long(spark, d), _some_pairs(spark, d))), 6, "r", "p")
+
+
+@query("kendall", f"""{_LONG}{_FEW_JOINED}, f AS (SELECT kind, agg1, var1, agg2, var2, val, coalesce(x, 0) AS x, coalesce(y, 0) AS y FROM j),
+    s AS (SELECT a.kind, a.agg1, a.var1, a.agg2, a.var2, sum(sign(a.x - b.x) * sign(a.y - b.y)) AS s, sum((a.x = b.x)::INT) AS tx, sum((a.y = b.y)::INT) AS ty, count(*) AS m
+        FROM f a JOIN f b ON a.agg1 = b.agg1 AND a.var1 = b.var1 AND a.agg2 = b.agg2 AND a.var2 = b.var2 AND a.val < b.val GROUP BY ALL)
+    SELECT kind, agg1, var1, agg2, var2, round(s / sqrt((m - tx)::DOUBLE * (m - ty)), 6) AS r FROM s WHERE m > tx AND m > ty AND s <> 0""")
+def kendall(spark, d):
+    return _rounded(correlate.kendall_pairs(correlate.joined_pairs(long(spark, d), _some_pairs(spark, d))), 6, "r").drop("n", "p")
+
+
+_LINES = "WITH f AS (SELECT strftime(l_shipdate, '%Y-%m') AS val, avg(l_quantity) AS a, avg(l_extendedprice) AS b, avg(l_tax) AS c, avg(l_discount) AS e FROM lineitem GROUP BY 1), m AS (SELECT count(*) AS n, corr(a, b) AS ab, corr(a, c) AS ac, corr(b, c) AS bc, corr(a, e) AS ae, corr(b, e) AS be, corr(c, e) AS ce FROM f), p1 AS (SELECT *, (ab - ac * bc) / sqrt((1 - ac * ac) * (1 - bc * bc)) AS r1, (ae - ac * ce) / sqrt((1 - ac * ac) * (1 - ce * ce)) AS ae_c, (be - bc * ce) / sqrt((1 - bc * bc) * (1 - ce * ce)) AS be_c FROM m)"
+
+
+def _line_means(spark, d) -> DataFrame:
+    return measures.aggregate_by(table(spark, d, "lineitem"), K.time_key(F.col("l_shipdate"), K.TimeUnit.MONTH), [Variable(c) for c in ("l_quantity", "l_extendedprice", "l_tax", "l_discount")])
+
+
+@query("partial_corr_1", f"{_LINES} SELECT 'avg_l_quantity' AS x, 'avg_l_extendedprice' AS y, n, round(r, 6) AS r, round({_P.format(v='(n - 3)', r='r')}, 6) AS p FROM (SELECT n, r1 AS r FROM p1)")
+def partial_corr_1(spark, d):
+    return _rounded(correlate.partial_correlations(_line_means(spark, d), [("avg_l_quantity", "avg_l_extendedprice")], ["avg_l_tax"], None), 6, "r", "p")
+
+
+@query("partial_corr_2", f"{_LINES} SELECT 'avg_l_quantity' AS x, 'avg_l_extendedprice' AS y, n, round(r, 6) AS r, round({_P.format(v='(n - 4)', r='r')}, 6) AS p FROM (SELECT n, (r1 - ae_c * be_c) / sqrt((1 - ae_c * ae_c) * (1 - be_c * be_c)) AS r FROM p1)")
+def partial_corr_2(spark, d):
+    return _rounded(correlate.partial_correlations(_line_means(spark, d), [("avg_l_quantity", "avg_l_extendedprice")], ["avg_l_tax", "avg_l_discount"], None), 6, "r", "p")
+
+
+@query("control_variables", f"""{_MONTHLY}, j AS (SELECT p, q, t FROM a JOIN b USING (val)), m AS (SELECT count(*) AS n, corr(p, q) AS pq, corr(p, t) AS pt, corr(q, t) AS qt FROM j)
+    SELECT 'orders' AS agg1, 'avg_o_totalprice' AS var1, 'lineitem' AS agg2, 'avg_l_quantity' AS var2, n, round((pq - pt * qt) / sqrt((1 - pt * pt) * (1 - qt * qt)), 6) AS r FROM m""")
+def control_variables(spark, d):
+    a, b = _monthly(spark, d)
+    out = control({"orders": a, "lineitem": b}, [("orders", "avg_o_totalprice", "lineitem", "avg_l_quantity")], [("lineitem", "avg_l_tax")], None)
+    return _rounded(out, 6, "r").drop("p")
+
+
+_BH = """, w AS (SELECT *, row_number() OVER (PARTITION BY agg1, var1 ORDER BY p, kind, agg2, var2) AS i, count(*) OVER (PARTITION BY agg1, var1) AS k FROM {c}),
+    z AS (SELECT *, max(CASE WHEN p < i / k * {q} THEN i END) OVER (PARTITION BY agg1, var1) AS last FROM w)"""
+
+
+@query("bh_fdr", f"{_LONG}{_FEW_JOINED}{_CORR}, cp AS (SELECT *, {_P2} AS p FROM c){_BH.format(c='cp', q='0.4')} SELECT kind, agg1, var1, agg2, var2, n, round(r, 6) AS r, round(p, 6) AS p FROM z WHERE i <= last AND abs(r) >= 0.1")
+def bh_fdr(spark, d):
+    out = correlate.benjamini_hochberg(correlate.pearson_pairs(long(spark, d), _some_pairs(spark, d)), 0.4, 0.1)
+    return _rounded(out, 6, "r", "p").drop("tbl1", "tbl2")
+
+
+@query("regress_ols", f"{_MONTHLY} SELECT round(regr_intercept(p, q), 2) AS intercept, round(regr_slope(p, q), 3) AS slope, round(regr_r2(p, q), 6) AS r2 FROM a JOIN b USING (val)")
+def regress_ols(spark, d):
+    a, b = _monthly(spark, d)
+    frame = joins.align_inner(a, ["avg_o_totalprice"], b, ["avg_l_quantity"])
+    fit = correlate.regress(frame, "avg_o_totalprice_t1", ["avg_l_quantity_t2"])
+    return spark.range(1).select(F.round(F.lit(fit["intercept"]), 2).alias("intercept"), F.round(F.lit(fit["coefficients"]["avg_l_quantity_t2"]), 3).alias("slope"), F.round(F.lit(fit["r2"]), 6).alias("r2"))
+
+
+# Searches
+
+_USABLE = "JOIN st u ON u.agg = agg1 AND u.var = var1 AND u.res <> 0 JOIN st v ON v.agg = agg2 AND v.var = var2 AND v.res <> 0"
+
+
+@query("find_correlations_from", f"""{_ROUNDED}{_STATS}{_PAIRS.replace("kp AS (", "kp0 AS (")}, kp AS (SELECT kind, CASE WHEN agg1 LIKE 'orders%' THEN agg1 ELSE agg2 END AS agg1, CASE WHEN agg1 LIKE 'orders%' THEN agg2 ELSE agg1 END AS agg2 FROM kp0 WHERE agg1 LIKE 'orders%' OR agg2 LIKE 'orders%'){_JOINED}{_CORR},
+    f AS (SELECT c.* FROM c {_USABLE} WHERE abs(r) >= 0.02)
+    SELECT kind, agg1, tbl1, var1, agg2, tbl2, var2, n, round(r, 5) AS r FROM f""")
+def find_correlations_from(spark, d):
+    out = correlations(long(spark, d, 3), Options(overlap=5, r_least=0.02, p_most=2.0), "orders")
+    return _rounded(out.select("kind", "agg1", "tbl1", "var1", "agg2", "tbl2", "var2", "n", "r"), 5, "r")
+
+
+@query("find_all_correlations", f"""{_ROUNDED}{_STATS}{_FEW_JOINED}{_CORR}, cp AS (SELECT c.*, {_P2} AS p FROM c {_USABLE}){_BH.format(c='cp', q='0.3')}
+    SELECT kind, agg1, tbl1, var1, agg2, tbl2, var2, n, round(r, 5) AS r, round(p, 5) AS p FROM z WHERE i <= last AND abs(r) >= 0.1""")
+def find_all_correlations(spark, d):
+    m = long(spark, d, 3).filter("kind <> 'st'")
+    out = correlations(m, Options(overlap=5, r_least=0.1, correction="FDR", q=0.3))
+    return _rounded(out.select("kind", "agg1", "tbl1", "var1", "agg2", "tbl2", "var2", "n", "r", "p"), 5, "r", "p")
+
+
+# Sketches and topology
+
+_SK = ", kk AS (SELECT agg, val FROM (SELECT agg, val, row_number() OVER (PARTITION BY agg ORDER BY md5(val), val) AS r FROM k) WHERE r <= 32)"
+
+
+@query("kmv_sketch", f"{_LONG}{_SK} SELECT agg, val FROM kk")
+def kmv_sketch(spark, d):
+    return measures.keys_of(sketch.sketch(long(spark, d), 32)).select("agg", "val")
+
+
+@query("sketch_corr", f"""{_LONG}{_FEW_JOINED}{_SK}, js AS (SELECT j.* FROM j JOIN kk a ON a.agg = agg1 AND a.val = j.val JOIN kk b ON b.agg = agg2 AND b.val = j.val)
+    SELECT kind, agg1, var1, agg2, var2, count(*) AS n, round({_R0}, 6) AS r FROM js GROUP BY ALL HAVING count(*) >= 3 AND count(DISTINCT x) <> 1 AND count(DISTINCT y) <> 1""")
+def sketch_corr(spark, d):
+    return _rounded(sketch.sketch_correlations(long(spark, d), _some_pairs(spark, d), 32), 6, "r").drop("tbl1", "tbl2", "p")
+
+
+_FEAT = """, th AS (SELECT agg, var, quantile_cont(x, 0.75) FILTER (x <> 0) AS hi, quantile_cont(x, 0.25) FILTER (x <> 0) AS lo, count(DISTINCT x) FILTER (x <> 0) AS c FROM m WHERE kind <> 'st' GROUP BY ALL),
+    ft AS (SELECT m.agg, m.var, m.val, CASE WHEN x > hi THEN 1 ELSE -1 END AS sign FROM m JOIN th ON m.agg = th.agg AND m.var = th.var WHERE c > 1 AND (x > hi OR x < lo))"""
+
+
+@query("polygamy_features", f"{_LONG}{_FEAT} SELECT agg, var, val, sign FROM ft")
+def polygamy_features(spark, d):
+    return topology.features(long(spark, d).filter("kind <> 'st'"))
+
+
+@query("polygamy_score", f"""{_LONG}{_FEAT}, n1 AS (SELECT agg, var, count(*) AS n FROM ft GROUP BY ALL),
+    g AS (SELECT a.agg AS agg1, a.var AS var1, b.agg AS agg2, b.var AS var2, sum(a.sign * b.sign) AS net, count(*) AS c FROM ft a JOIN ft b ON a.val = b.val AND a.agg <> b.agg GROUP BY ALL)
+    SELECT agg1, var1, agg2, var2, round(net / c, 6) AS score, round(2 * (c / n) / (c / n + 1), 6) AS strength FROM g JOIN n1 ON n1.agg = agg1 AND n1.var = var1""")
+def polygamy_score(spark, d):
+    f = topology.features(long(spark, d).filter("kind <> 'st'"))
+    return _rounded(topology.relationships(f, f), 6, "score", "strength")
+
+
+@query("polygamy_significant")
+def polygamy_significant(spark, d):
+    return topology.significant(long(spark, d).filter("kind = 'temporal'"), [7, 19])
+
+
+# Graphs
+
+def _corrs(spark, d) -> DataFrame:
+    return correlate.pearson_pairs(long(spark, d), _some_pairs(spark, d)).filter("abs(r) >= 0.05")
+
+
+_C = f"{_LONG}{_FEW_JOINED}{_CORR}, g AS (SELECT * FROM c WHERE abs(r) >= 0.05), e AS (SELECT least(tbl1 || '--' || var1, tbl2 || '--' || var2) AS src, greatest(tbl1 || '--' || var1, tbl2 || '--' || var2) AS dst, max(abs(r)) AS weight FROM g GROUP BY 1, 2)"
+
+
+@query("corr_graph_edges", f"{_C} SELECT src, dst, round(weight, 6) AS weight FROM e")
+def corr_graph_edges(spark, d):
+    return _rounded(graph.variable_edges(_corrs(spark, d)), 6, "weight")
+
+
+@query("table_graph_weights", f"{_C} SELECT least(tbl1, tbl2) AS src, greatest(tbl1, tbl2) AS dst, count(*) AS weight FROM g GROUP BY 1, 2")
+def table_graph_weights(spark, d):
+    return graph.table_edges(_corrs(spark, d))
+
+
+@query("degree_ranking", f"{_C} SELECT tbl, var, count(*) AS degree FROM (SELECT tbl1 AS tbl, var1 AS var FROM g UNION ALL SELECT tbl2, var2 FROM g) GROUP BY ALL")
+def degree_ranking(spark, d):
+    from tidemark.plans.engine import degree_ranking as ranking
+
+    return ranking(_corrs(spark, d))
+
+
+_Q = "SELECT p_partkey, p_size / 50 AS missing_ratio1, p_partkey % 10 / 10 AS missing_ratio2, p_partkey % 7 / 7 AS zero_ratio1, p_size % 9 / 9 AS zero_ratio2, p_partkey % 3 / 3 AS missing_ratio_o1, p_size % 4 / 4 AS missing_ratio_o2, p_partkey % 11 / 11 AS zero_ratio_o1, p_size % 5 / 5 AS zero_ratio_o2, (p_partkey % 21 - 10) / 10 AS r_val, p_size AS samples, 't' || p_partkey % 13 AS tbl1, 'u' || p_size % 6 AS tbl2 FROM part"
+
+
+def _quality(spark, d) -> DataFrame:
+    """Correlations with quality signals, made from parts."""
+    k, s = F.col("p_partkey"), F.col("p_size")
+    return table(spark, d, "part").select(
+        "p_partkey", (s / 50).alias("missing_ratio1"), (k % 10 / 10).alias("missing_ratio2"), (k % 7 / 7).alias("zero_ratio1"), (s % 9 / 9).alias("zero_ratio2"), (k % 3 / 3).alias("missing_ratio_o1"), (s % 4 / 4).alias("missing_ratio_o2"),
+        (k % 11 / 11).alias("zero_ratio_o1"), (s % 5 / 5).alias("zero_ratio_o2"), ((k % 21 - 10) / 10).alias("r_val"), s.alias("samples"), F.concat(F.lit("t"), (k % 13).cast("string")).alias("tbl1"), F.concat(F.lit("u"), (s % 6).cast("string")).alias("tbl2"),
+    )
+
+
+_PASS = "missing_ratio1 <= {0} AND missing_ratio2 <= {0} AND zero_ratio1 <= {1} AND zero_ratio2 <= {1} AND missing_ratio_o1 <= {2} AND missing_ratio_o2 <= {2} AND zero_ratio_o1 <= {3} AND zero_ratio_o2 <= {3} AND abs(r_val) >= {4} AND samples >= {5}"
+
+
+@query("signal_filter", f"SELECT p_partkey FROM ({_Q}) WHERE {_PASS.format('0.75', '0.8', '0.9', '0.9', '0.35', '5')}")
+def signal_filter(spark, d):
+    return graph.filter_signals(_quality(spark, d), [0.75, 0.8, 0.9, 0.9, 0.35, 5]).select("p_partkey")
+
+
+@query("coverage_ratio", f"SELECT count(DISTINCT t) AS n_tables FROM (SELECT tbl1 AS t FROM ({_Q}) WHERE abs(r_val) >= 0.85 UNION ALL SELECT tbl2 FROM ({_Q}) WHERE abs(r_val) >= 0.85)")
+def coverage_ratio(spark, d):
+    return graph.covered_tables(_quality(spark, d).filter(graph.signal_condition("r_val", 0.85)))
+
+
+_GRID = "SELECT 1.0::DOUBLE AS t_missing_ratio, 1.0::DOUBLE AS t_zero_ratio, 1.0::DOUBLE AS t_missing_ratio_o, 1.0::DOUBLE AS t_zero_ratio_o, i / 20.0::DOUBLE AS t_r_val, s::BIGINT AS t_samples FROM range(0, 20, 5) a(i), range(0, 50, 10) b(s)"
+
+
+@query("threshold_grid", f"""WITH q AS ({_Q}), g AS ({_GRID}), k AS (SELECT * FROM q JOIN g ON {_PASS.format('t_missing_ratio', 't_zero_ratio', 't_missing_ratio_o', 't_zero_ratio_o', 't_r_val', 't_samples')}),
+    t AS (SELECT t_r_val, t_samples, count(DISTINCT t) AS n FROM (SELECT t_r_val, t_samples, tbl1 AS t FROM k UNION ALL SELECT t_r_val, t_samples, tbl2 FROM k) GROUP BY ALL),
+    z AS (SELECT t_r_val, t_samples, count(*) AS n_edges FROM k GROUP BY ALL) SELECT t_r_val, t_samples, round(n / 19, 2) AS coverage, n_edges FROM t JOIN z USING (t_r_val, t_samples) WHERE round(n / 19, 2) >= 0.5""")
+def threshold_grid(spark, d):
+    grid = spark.range(0, 20, 5).withColumn("t_samples", F.explode(F.expr("sequence(0L, 40L, 10L)")))
+    one = F.lit(1.0)
+    grid = grid.select(one.alias("t_missing_ratio"), one.alias("t_zero_ratio"), one.alias("t_missing_ratio_o"), one.alias("t_zero_ratio_o"), (F.col("id") / 20.0).alias("t_r_val"), "t_samples")
+    return graph.threshold_grid(_quality(spark, d), grid, 19, 0.5).select("t_r_val", "t_samples", "coverage", "n_edges")
+
+
+_E = "SELECT DISTINCT 'n' || least(s_nationkey, s_suppkey % 23) AS src, 'n' || greatest(s_nationkey, s_suppkey % 23) AS dst FROM supplier WHERE s_nationkey <> s_suppkey % 23"
+
+
+def _plain_graph(spark, d) -> DataFrame:
+    a, b = F.col("s_nationkey").cast("bigint"), F.col("s_suppkey") % 23
+    return table(spark, d, "supplier").filter(a != b).select(F.concat(F.lit("n"), F.least(a, b).cast("string")).alias("src"), F.concat(F.lit("n"), F.greatest(a, b).cast("string")).alias("dst")).distinct()
+
+
+@query("modularity", f"""WITH e AS ({_E}), p AS (SELECT *, substr(src, 2)::INT % 4 AS c1, substr(dst, 2)::INT % 4 AS c2 FROM e), m AS (SELECT count(*) AS m FROM p),
+    d AS (SELECT c, count(*) AS d FROM (SELECT c1 AS c FROM p UNION ALL SELECT c2 FROM p) GROUP BY c), l AS (SELECT c1 AS c, count(*) AS l FROM p WHERE c1 = c2 GROUP BY 1)
+    SELECT round(sum(coalesce(l, 0) / m - (d / (2 * m)) * (d / (2 * m))), 6) AS modularity FROM d LEFT JOIN l USING (c), m""")
+def modularity(spark, d):
+    edges = _plain_graph(spark, d)
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    return _rounded(graph.modularity(edges, nodes.withColumn("community", F.substring("node", 2, 9).cast("int") % 4)), 6, "modularity")
+
+
+@query("avg_clustering", f"""WITH e AS ({_E}), b AS (SELECT src AS u, dst AS v FROM e UNION ALL SELECT dst, src FROM e), d AS (SELECT u, count(*) AS k FROM b GROUP BY u),
+    t AS (SELECT x.u, count(*) / 2 AS t FROM b x JOIN b y ON x.u = y.u JOIN b z ON z.u = x.v AND z.v = y.v GROUP BY x.u)
+    SELECT round(avg(CASE WHEN k < 2 THEN 0 ELSE coalesce(t, 0) / (k * (k - 1) / 2) END), 6) AS avg_clustering FROM d LEFT JOIN t USING (u)""")
+def avg_clustering(spark, d):
+    return _rounded(graph.average_clustering(_plain_graph(spark, d)), 6, "avg_clustering")
+
+
+@query("skyline", "WITH p AS (SELECT p_size AS coverage, max(p_retailprice) AS score FROM part GROUP BY 1) SELECT coverage, score FROM p a WHERE NOT EXISTS (SELECT 1 FROM p b WHERE b.coverage > a.coverage AND b.score >= a.score)")
+def skyline(spark, d):
+    points = table(spark, d, "part").select(F.col("p_size").alias("coverage"), F.col("p_retailprice").alias("score"))
+    return graph.skyline(points)
+
+
+@query("louvain")
+def louvain(spark, d):
+    """node, cluster of the correlation graph's communities."""
+    found = graph.communities(graph.variable_edges(_corrs(spark, d)))
+    rows = [F.struct(F.lit(f"{t}--{v}").alias("node"), F.lit(c).alias("cluster")) for c, tables in found.items() for t, vs in tables.items() for v in vs]
+    return spark.range(1).select(F.inline(F.array(*rows)))
+
+
+@query("factor_loadings")
+def factor_loadings(spark, d):
+    """node, factor, loading of three factors of the correlation matrix."""
+    names, matrix = factors.correlation_matrix(_corrs(spark, d))
+    loaded = factors.loadings(matrix, 3)
+    rows = [F.struct(F.lit(n).alias("node"), F.lit(f).alias("factor"), F.lit(float(loaded[i, f])).alias("loading")) for i, n in enumerate(names) for f in range(3)]
+    return spark.range(1).select(F.inline(F.array(*rows)))
+
+
+# Time bins, places, evaluation
+
+
+@query("events_tumbling", "SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts), '%Y-%m-%d %H:%M') AS bin_start, count(*) AS n, round(sum(value) + 1e-7, 4) AS total FROM events GROUP BY 1")
+def events_tumbling(spark, d):
+    out = bins.tumbling(table(spark, d, "events"), "6 hours")
+    return _rounded(out.withColumn("bin_start", F.date_format("bin_start", "yyyy-MM-dd HH:mm")), 4, "total")
+
+
+@query("events_sliding", "SELECT strftime(b, '%Y-%m-%d %H:%M') AS bin_start, count(*) AS n, round(sum(value) + 1e-7, 4) AS total FROM (SELECT value, unnest([time_bucket(INTERVAL 6 HOUR, ts), time_bucket(INTERVAL 6 HOUR, ts) - INTERVAL 6 HOUR]) AS b FROM events) GROUP BY 1")
+def events_sliding(spark, d):
+    out = bins.sliding(table(spark, d, "events"), "12 hours", "6 hours")
+    return _rounded(out.withColumn("bin_start", F.date_format("bin_start", "yyyy-MM-dd HH:mm")), 4, "total")
+
+
+@query("point_in_polygon", """WITH p AS (SELECT c_custkey AS point_id, (c_custkey % 97) / 10.0 + 0.03 AS lon, (c_custkey % 89) / 10.0 + 0.07 AS lat FROM customer),
+    r AS (SELECT 'box' || n_nationkey AS region, n_nationkey % 5 * 2 AS x, n_nationkey // 5 * 2 AS y FROM nation)
+    SELECT point_id, region FROM p JOIN r ON lon > x AND lon < x + 1 AND lat > y AND lat < y + 1""")
+def point_in_polygon(spark, d):
+    k = F.col("c_custkey")
+    points = table(spark, d, "customer").select(k.alias("point_id"), ((k % 97) / 10.0 + 0.03).alias("lon"), ((k % 89) / 10.0 + 0.07).alias("lat"))
+    x, y = (F.col("n_nationkey") % 5 * 2).cast("double"), (F.floor(F.col("n_nationkey") / 5) * 2).cast("double")
+    corner = lambda a, b: F.struct((x + a).alias("lon"), (y + b).alias("lat"))
+    regions = table(spark, d, "nation").select(F.concat(F.lit("box"), F.col("n_nationkey").cast("string")).alias("region"), F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1)).alias("ring"))
+    return spatial.locate(points, regions, 0.5).select("point_id", "region")
+
+
+@query("region_adjacency", """WITH r AS (SELECT n_nationkey AS k, n_nationkey % 5 AS x, n_nationkey // 5 AS y FROM nation)
+    SELECT 'box' || a.k AS region, 'box' || b.k AS neighbour FROM r a JOIN r b ON a.k <> b.k AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1""")
+def region_adjacency(spark, d):
+    x, y = (F.col("n_nationkey") % 5).cast("double"), F.floor(F.col("n_nationkey") / 5).cast("double")
+    corner = lambda a, b: F.struct((x + a).alias("lon"), (y + b).alias("lat"))
+    regions = table(spark, d, "nation").select(F.concat(F.lit("box"), F.col("n_nationkey").cast("string")).alias("region"), F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1)).alias("ring"))
+    return spatial.adjacency(regions)
+
+
+@query("discovery_precision_recall", f"""{_LONG}, f AS (SELECT agg, cand FROM ({_CAND.replace('>= 5', '>= 60')})), t AS (SELECT agg, cand FROM ({_CAND})),
+    b AS (SELECT count(*) FILTER (f.agg IS NOT NULL AND t.agg IS NOT NULL) AS tp, count(*) FILTER (t.agg IS NULL) AS fp, count(*) FILTER (f.agg IS NULL) AS fn FROM f FULL JOIN t ON f.agg = t.agg AND f.cand = t.cand)
+    SELECT tp, fp, fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall FROM b""")
+def discovery_precision_recall(spark, d):
+    k = measures.keys_of(long(spark, d))
+    out = evaluate.precision_recall(index.candidates(k, 60), index.candidates(k, 5), ["agg", "cand"])
+    return _rounded(out, 6, "precision", "recall").drop("f_score")
+
+
+@query("partition_scores", """WITH p AS (SELECT c_mktsegment AS a, c_nationkey % 5 AS b FROM customer), c AS (SELECT a, b, count(*)::DOUBLE AS n FROM p GROUP BY ALL),
+    i AS (SELECT sum(n * (n - 1) / 2) AS v FROM (SELECT a, sum(n) AS n FROM c GROUP BY a)), j AS (SELECT sum(n * (n - 1) / 2) AS v FROM (SELECT b, sum(n) AS n FROM c GROUP BY b)),
+    t AS (SELECT sum(n * (n - 1) / 2) AS ij, sum(n) AS n FROM c)
+    SELECT round((ij - i.v * j.v / (n * (n - 1) / 2)) / ((i.v + j.v) / 2 - i.v * j.v / (n * (n - 1) / 2)), 6) AS ari, round(ij / sqrt(i.v * j.v), 6) AS fowlkes_mallows FROM t, i, j""")
+def partition_scores(spark, d):
+    parts = table(spark, d, "customer").select(F.col("c_custkey").alias("node"), F.col("c_mktsegment").alias("a"), (F.col("c_nationkey") % 5).alias("b"))
+    return _rounded(evaluate.partition_scores(parts).select("ari", "fowlkes_mallows"), 6, "ari", "fowlkes_mallows")
+
+
+@query("events_rollup_stream", "SELECT event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS bin_start, count(*) AS n, round(avg(value), 6) AS avg_value FROM events GROUP BY ALL")
+def events_rollup_stream(spark, d):
+    """The stream's rows as they stand once all input has been read."""
+    import tempfile
+    import uuid
+
+    from tidemark.streaming import rollup
+
+    schema = table(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
+    name = f"rollup_{uuid.uuid4().hex[:8]}"
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
+    rollup.start(rollup.rollup(stream), name, f"{root}/{name}").awaitTermination()
+    return _rounded(spark.table(name).withColumn("bin_start", F.date_format("bin_start", "yyyy-MM-dd HH:mm")), 6, "avg_value")
+
