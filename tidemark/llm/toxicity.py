@@ -1,8 +1,8 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, on ordinary and on toxic text. The toxic one keeps the trained strings whose
-share of toxic texts is significantly larger than their share of ordinary ones, ahead of the ordinary content, so that
-the two compress alike but for what is special to toxic text. Each window of a text (``WINDOW`` words) is compressed
+Two zstandard dictionaries are trained, on ordinary and on toxic text. The toxic one keeps of its trained strings
+the beginnings whose share of toxic texts is significantly larger than their share of ordinary ones, ahead of the
+ordinary content, so that the two compress alike but for what is special to toxic text. Each window of a text (``WINDOW`` words) is compressed
 with both; the bytes that the toxic dictionary saves are the window's distance. A logistic curve fitted on labelled
 texts turns a text's largest, mean and repeated savings into a score, calibrated so that 0.5 separates the classes.
 
@@ -31,8 +31,10 @@ SAMPLE_DOCS = 1000
 #: Characters of a training text, from a place that its id's hash chooses.
 SAMPLE_CHARS = 6000
 ORDINARY_BYTES, TOXIC_BYTES = 16384, 16384
-#: Significance (likelihood ratio) of a string's excess in toxic texts.
-EXCESS = 30.0
+#: Significance (likelihood ratio) of a string's excess in toxic texts, and how many times more frequent it must be.
+EXCESS, TIMES = 25.0, 8.0
+#: Bytes of a string kept beyond its significant beginning, as a short one alone is below the least match.
+BEYOND = 2
 
 
 @dataclass
@@ -111,14 +113,33 @@ def describe(meter: _Meter, column: pa.Array) -> np.ndarray:
 
 
 def _excess(a: int, n: int, b: int, m: int) -> float:
-    """Likelihood ratio of a of n against b of m, 0 unless the first share is larger."""
-    if a * m <= b * n:
+    """Likelihood ratio of a of n against b of m, 0 unless the first share is ``TIMES`` the second."""
+    if a * m <= TIMES * (b + 0.5) * n:
         return 0.0
     p = (a + b) / (n + m)
     part = lambda k, t: (k * math.log(k / t / p) if k else 0.0) + ((t - k) * math.log((t - k) / t / (1 - p)) if t > k else 0.0)
     return 2 * (part(a, n) + part(b, m))
 
 
+def _special(trained: bytes, toxic: pd.Series, ordinary: pd.Series) -> bytes:
+    """What the trained strings have that is special to toxic text: of each, the beginning whose excess is most significant."""
+    strings = {w for w in trained.split() if 3 < len(w) <= 32}
+    heads = {w[:n] for w in strings for n in range(4, len(w) + 1)}
+
+    def texts_with(texts: pd.Series) -> Counter:
+        found: Counter = Counter()
+        for t in texts:
+            words = set(t.lower().encode().split())
+            found.update({w[:n] for w in words for n in range(4, min(len(w), 32) + 1)} & heads)
+        return found
+
+    in_toxic, in_ordinary = texts_with(toxic), texts_with(ordinary)
+    excess = {h: _excess(in_toxic[h], len(toxic), in_ordinary[h], len(ordinary)) for h in heads}
+    best = {w: max((w[:n] for n in range(4, len(w) + 1)), key=lambda h: (excess[h], len(h))) for w in strings}
+    kept = sorted({w[: len(h) + BEYOND] for w, h in best.items() if excess[h] > EXCESS})
+    return b" " + b" ".join(kept) + b" " if kept else b""
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 40) -> np.ndarray:
     """Newton's method; classes keep their own weights, so that 0.5 means likelier toxic than not."""
     x = np.hstack([x, np.ones((len(x), 1))])
@@ -174,11 +195,7 @@ def fit(sample: pd.DataFrame) -> Model:
     of_toxic, of_ordinary = samples(toxic), samples(ordinary)
     content = trained(of_ordinary, ORDINARY_BYTES, 32, 8)
     raw = b" ".join(trained(of_toxic, TOXIC_BYTES, k, d) for k, d in ((16, 6), (32, 8)))
-    strings = {w for w in raw.split() if 3 < len(w) <= 32}
-    has = lambda texts: Counter(w for t in texts for w in strings.intersection(t.lower().encode().split()))
-    in_toxic, in_ordinary = has(toxic), has(ordinary)
-    kept = sorted(w for w in strings if _excess(in_toxic[w], len(toxic), in_ordinary[w], len(ordinary)) > EXCESS)
-    special = b" " + b" ".join(kept) + b" " if kept else b""
+    special = _special(raw, toxic, ordinary)
     model = Model(content, special, flat.center, flat.scale, flat.weights)
     x = describe(_Meter(model), pa.array(sample["text"], pa.string()))
     model.center, model.scale = x.mean(0), x.std(0) + 1e-9
