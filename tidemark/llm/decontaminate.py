@@ -129,6 +129,27 @@ def banded_distance(item: bytes, text: bytes, low: int, high: int) -> tuple[int,
     return int(cost[at]), int(max(begin[at], 0)), int(place[at] + len(s))
 
 
+def least_distance(item: bytes, text: bytes) -> int:
+    """Least edits between ``item`` and any stretch of ``text``, bit-parallel over the item; screens for the alignment."""
+    full = (1 << len(item)) - 1
+    last = 1 << (len(item) - 1)
+    at: dict[int, int] = {}
+    for i, c in enumerate(item):
+        at[c] = at.get(c, 0) | 1 << i
+    up, down, score = full, 0, len(item)
+    best = score
+    for c in text:
+        eq = at.get(c, 0)
+        x = eq | down
+        h = (((eq & up) + up) ^ up) | eq
+        rise, fall = down | (full & ~(h | up)), up & h
+        score += 1 if rise & last else -1 if fall & last else 0
+        best = min(best, score)
+        rise, fall = (rise << 1) & full, (fall << 1) & full
+        up, down = fall | (full & ~(x | rise)), rise & x
+    return best
+
+
 def find_in_slice(block: Block, table: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """(text, item, start, end, edits) in folded bytes of each text."""
     grams = _grams(data)
@@ -143,34 +164,41 @@ def find_in_slice(block: Block, table: np.ndarray, data: np.ndarray, offsets: np
     at, spot, doc = at[whole], spot[whole], doc[whole]
     n = block.bounds[spot + 1] - block.bounds[spot]
     post = np.repeat(block.bounds[spot] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    local = np.repeat(at - offsets[:-1][doc], n)
     item, doc = block.item[post], np.repeat(doc, n)
-    diagonal = np.repeat(at - offsets[:-1][doc[np.cumsum(n) - n]] if len(at) else at, n) - block.place[post]
-    k = np.maximum(block.budget[item], 1)
     lengths = np.array([len(s) for s in block.items], np.int64)
-    base = lengths.max() + 1
-    step = (diagonal + base) // k  # bands step and step - 1 hold the diagonal
+    bound = lengths - Q + 1 - block.budget * Q
+    # A text that shares too few q-grams with an item anywhere cannot reach the bound in a band.
     key = doc * len(block.items) + item
-    keys = np.concatenate([key, key])
-    steps = np.concatenate([step, step - 1])
-    order = np.lexsort((steps, keys))
-    keys, steps = keys[order], steps[order]
-    if not len(keys):
+    likely = np.bincount(key)[key] >= bound[item]
+    key, item, place, local = key[likely], item[likely], block.place[post][likely], local[likely]
+    if not len(key):
         return []
-    first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (steps[1:] != steps[:-1])]))
-    count = np.diff(np.append(first, len(keys)))
-    it = keys[first] % len(block.items)
-    enough = count >= lengths[it] - Q + 1 - block.budget[it] * Q
+    base = int(lengths.max()) + 1
+    step = (local - place + base) // np.maximum(block.budget[item], 1)  # bands step and step - 1 hold the diagonal
+    width = int(step.max()) + 2
+    both = np.concatenate([key * width + step + 1, key * width + step])
+    bands, back, count = np.unique(both, return_inverse=True, return_counts=True)
+    band_item = (bands // width) % len(block.items)
+    enough = count >= bound[band_item]
+    # Several places of the text may hold one q-gram: distinct ones of the item are what the lemma counts.
+    hit = enough[back]
+    distinct = np.unique(back[hit] * base + np.concatenate([place, place])[hit])
+    enough &= np.bincount(distinct // base, minlength=len(bands)) >= bound[band_item]
     found: list[tuple[int, int, int, int, int]] = []
-    for f in first[enough]:
-        d, i = divmod(int(keys[f]), len(block.items))
+    for f in np.flatnonzero(enough):
+        pair, band = divmod(int(bands[f]), width)
+        d, i = divmod(pair, len(block.items))
         own, allowed = block.items[i], int(block.budget[i])
-        low = int(steps[f]) * max(allowed, 1) - int(base)
+        low = (band - 1) * max(allowed, 1) - base
         size = int(offsets[d + 1] - offsets[d])
         begin = max(0, low - allowed)
         text = data[offsets[d] + begin : offsets[d] + min(size, low + 3 * max(allowed, 1) + len(own))].tobytes()
         exact = text.find(own)
         if exact >= 0:
             edits, s, e = 0, exact, exact + len(own)
+        elif least_distance(own, text) > allowed:
+            continue
         else:
             edits, s, e = banded_distance(own, text, low - begin - allowed, low - begin + 3 * max(allowed, 1))
         if edits <= allowed:
