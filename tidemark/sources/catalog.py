@@ -79,6 +79,7 @@ class Catalog:
     def load_entries(self) -> Catalog:
         for r in self.spark.read.text(f"{self.root}/catalog").collect():
             e = Entry(**json.loads(r["value"]))
+            e.s_attrs = [tuple(a) for a in e.s_attrs]
             self.entries[e.tbl] = e
         return self
 
