@@ -34,8 +34,8 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, the one with the smallest id, of every group of near duplicates."""
-    return _only(docs, near_dedup.near_duplicates(docs).filter("kept"))
+    """Keep one document, the one with the smallest id, of every group of near duplicates; repeated rows stay once."""
+    return _only(docs, near_dedup.near_duplicates(docs).filter("kept")).dropDuplicates(["doc_id"])
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -197,7 +197,9 @@ def training_sample(labelled: DataFrame, docs: int = SAMPLE_DOCS) -> pd.DataFram
     # A bounded stretch of each text, from a place that its id's hash chooses.
     length, span = F.length("text"), 12 * SAMPLE_WORDS
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("place")), F.greatest(length - span, F.lit(0)) + 1)
-    return near.select("doc_id", "lang", F.substring(F.coalesce("text", F.lit("")), place.cast("int") + 1, F.lit(span)).alias("text")).toPandas().sort_values(["lang", "doc_id", "text"], ignore_index=True)
+    cut = near.select("doc_id", "lang", F.substring(F.coalesce("text", F.lit("")), place.cast("int") + 1, F.lit(span)).alias("text"))
+    # Rows that repeat an id count once.
+    return cut.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).toPandas().sort_values(["lang", "doc_id"], ignore_index=True)
 
 
 def fit(sample: pd.DataFrame, seed: int = 7) -> Model:

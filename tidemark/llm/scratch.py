@@ -48,6 +48,11 @@ class Scratch:
             delete(self.spark, self._paths.pop(name))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a folder of whatever store Spark's configuration knows."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -10,10 +10,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.scratch import shared_root
+from tidemark.llm.scratch import exists, shared_root
 from tidemark.llm.tokenization import Encoder, tokenizer_digest
 
 _CACHE = "tokenizer string, digest binary, n_tokens long"
@@ -21,7 +21,8 @@ _CACHE = "tokenizer string, digest binary, n_tokens long"
 
 def open_cache(spark: SparkSession, cache_dir: str, version: str) -> DataFrame:
     """The cached counts of one tokenizer version, one row a digest; makes the table where there is none."""
-    spark.createDataFrame([], _CACHE).write.mode("append").parquet(cache_dir)
+    if not exists(spark, cache_dir):
+        spark.createDataFrame([], _CACHE).write.mode("append").parquet(cache_dir)
     kept = spark.read.schema(_CACHE).parquet(cache_dir).filter(F.col("tokenizer") == version)
     return kept.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
@@ -48,11 +49,8 @@ def fill_cache(texts: DataFrame, tokenizer_path: str, cache_dir: str) -> int:
     distinct = texts.select(content.alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256))).dropDuplicates(["digest"])
     missing = distinct.join(open_cache(spark, cache_dir, version), "digest", "left_anti")
     counted = missing.select("digest", "text").mapInArrow(_encode(tokenizer_path), "digest binary, n_tokens long")
-    seen = F.count(F.lit(1)).alias("n")
-    from pyspark.sql import Observation
-
     watch = Observation()
-    counted.observe(watch, seen).select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache_dir)
+    counted.observe(watch, F.count(F.lit(1)).alias("n")).select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache_dir)
     return int(watch.get.get("n") or 0)
 
 
