@@ -195,3 +195,19 @@ def test_joins_with_constraints(spark):
     b = frame(spark, [("1", 3.0, 2), ("2", 4.0, 9)], "val string, avg_y double, count long")
     rows = joins.join_and_project({"a": a, "b": b}, [("a", "avg_x"), ("b", "avg_y")], {"a": 2}, samples=True).collect()
     assert [r.asDict() for r in rows] == [{"val": "1", "a_avg_x": 1.0, "a_samples": 5, "b_avg_y": 3.0, "b_samples": 2}]
+
+
+def test_communities_of_a_known_structure(spark):
+    from tidemark.operators import synthetic
+
+    of, edges = synthetic.community_graph(3, 5, 3, seed=2)
+    df = synthetic.sample(spark, len(of), edges, 800, seed=5)
+    names = [f"x{i}" for i in range(len(of))]
+    row, r = correlate.correlation_matrix(df, names)
+    values = row.select(*(c.alias("|".join(sorted(k))) for k, c in r.items())).first().asDict()
+    strong = [tuple(f"t--{v}" for v in k.split("|")) for k, v in values.items() if abs(v) >= 0.3]
+    found = graph.louvain([(a, b, 1.0) for a, b in strong], 0)
+    parts = frame(spark, [(n, of[int(n[4:])], c) for n, c in found.items()], "node string, a int, b int")
+    assert evaluate.partition_scores(parts).first().ari > 0.5
+    assert synthetic.sample(spark, 2, {}, 50, "binary").filter("x0 NOT IN (0, 1)").count() == 0
+    assert synthetic.calibrate([2.0], [200_000], [1.0], [100_000]) == 1.0

@@ -492,21 +492,21 @@ _FEAT = """, th AS (SELECT agg, var, quantile_cont(x, 0.75) FILTER (x <> 0) AS h
     ft AS (SELECT m.agg, m.var, m.val, CASE WHEN x > hi THEN 1 ELSE -1 END AS sign FROM m JOIN th ON m.agg = th.agg AND m.var = th.var WHERE c > 1 AND (x > hi OR x < lo))"""
 
 
-@query("polygamy_features", f"{_LONG}{_FEAT} SELECT agg, var, val, sign FROM ft")
-def polygamy_features(spark, d):
+@query("topology_features", f"{_LONG}{_FEAT} SELECT agg, var, val, sign FROM ft")
+def topology_features(spark, d):
     return topology.features(long(spark, d).filter("kind <> 'st'"))
 
 
-@query("polygamy_score", f"""{_LONG}{_FEAT}, n1 AS (SELECT agg, var, count(*) AS n FROM ft GROUP BY ALL),
+@query("topology_score", f"""{_LONG}{_FEAT}, n1 AS (SELECT agg, var, count(*) AS n FROM ft GROUP BY ALL),
     g AS (SELECT a.agg AS agg1, a.var AS var1, b.agg AS agg2, b.var AS var2, sum(a.sign * b.sign) AS net, count(*) AS c FROM ft a JOIN ft b ON a.val = b.val AND a.agg <> b.agg GROUP BY ALL)
     SELECT agg1, var1, agg2, var2, round(net / c, 6) AS score, round(2 * (c / n) / (c / n + 1), 6) AS strength FROM g JOIN n1 ON n1.agg = agg1 AND n1.var = var1""")
-def polygamy_score(spark, d):
+def topology_score(spark, d):
     f = topology.features(long(spark, d).filter("kind <> 'st'"))
     return _rounded(topology.relationships(f, f), 6, "score", "strength")
 
 
-@query("polygamy_significant")
-def polygamy_significant(spark, d):
+@query("topology_significant")
+def topology_significant(spark, d):
     return topology.significant(long(spark, d).filter("kind = 'temporal'"), [7, 19])
 
 
