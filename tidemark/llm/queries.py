@@ -80,6 +80,16 @@ _RECORD = (
 )
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_minhash_near_dedup": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+            ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+        u AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+        l AS (SELECT a.doc_id AS x, b.doc_id AS y FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+        e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+        r AS (SELECT doc_id AS d, doc_id AS m FROM s UNION SELECT e.y, r.m FROM r JOIN e ON r.d = e.x),
+        c AS (SELECT d, min(m) AS m FROM r GROUP BY d)
+        SELECT doc_id, len(s)::BIGINT AS n_shingles, m AS component_id, doc_id = m AS kept FROM s JOIN c ON d = doc_id""",
     "op6_warc_fixity": f"""
         WITH r AS (SELECT page_id, page_id % 97 = 13 AND ascii(html) BETWEEN 1 AND 127 AS damaged, {_RECORD} AS record FROM pages),
         d AS (SELECT page_id, damaged, sha256(record) AS digest, strlen(record) AS n, count(*) AS copies FROM r GROUP BY ALL),
