@@ -200,7 +200,7 @@ def test_joins_with_constraints(spark):
 def test_communities_of_a_known_structure(spark):
     from tidemark.operators import synthetic
 
-    of, edges = synthetic.community_graph(3, 5, 3, seed=2)
+    of, edges = synthetic.community_graph(3, 5, 3, inside=0.9, across=0.0, seed=2)
     df = synthetic.sample(spark, len(of), edges, 800, seed=5)
     names = [f"x{i}" for i in range(len(of))]
     row, r = correlate.correlation_matrix(df, names)
@@ -211,3 +211,15 @@ def test_communities_of_a_known_structure(spark):
     assert evaluate.partition_scores(parts).first().ari > 0.5
     assert synthetic.sample(spark, 2, {}, 50, "binary").filter("x0 NOT IN (0, 1)").count() == 0
     assert synthetic.calibrate([2.0], [200_000], [1.0], [100_000]) == 1.0
+
+
+def test_threshold_search(spark):
+    rows = [(0.1, 0.2, 0.0, 0.0, 0.1, 0.1, 0.0, 0.0, r, 10 + k, a, b) for k, (r, a, b) in enumerate([(0.9, "a", "b"), (0.8, "b", "c"), (-0.85, "a", "c"), (0.9, "x", "y"), (0.95, "y", "z"), (0.9, "x", "z"), (0.4, "a", "x")])]
+    names = [f"{s}{i}" for s in ("missing_ratio", "zero_ratio", "missing_ratio_o", "zero_ratio_o") for i in (1, 2)]
+    corrs = frame(spark, rows, ", ".join(f"{n} double" for n in names) + ", r_val double, samples int, tbl1 string, tbl2 string")
+    steps = {"missing_ratio": 0.5, "zero_ratio": 1.0, "missing_ratio_o": 1.0, "zero_ratio_o": 1.0, "r_val": 0.3, "samples": 100}
+    ranges = graph.signal_ranges(corrs, steps, 6, 0.9)
+    assert ranges["missing_ratio"] == [1.0, 0.5] and ranges["r_val"] == [0.4, 0.7] and ranges["samples"] == [10.0]
+    found = graph.search_thresholds(corrs, steps, 6, 0.9)
+    assert list(found) == [(1.0, 0.5)] and all(s[4] == 0.7 for s in found[1.0, 0.5])
+    assert graph.best_settings(found, [0.5, 1.0]).keys() == {0.5, 1.0}

@@ -171,6 +171,78 @@ def threshold_grid(corrs: DataFrame, grid: DataFrame, n_tables: int, least_cover
     return tables.join(sizes, names).filter(F.col("coverage") >= least_coverage)
 
 
+def signal_ranges(corrs: DataFrame, steps: dict[str, float], n_tables: int, least_coverage: float) -> dict[str, list[float]]:
+    """For each signal the thresholds, from the loosest on, up to the first that leaves too few of the tables.
+
+    Ratios go from 1 down to 0, |r| and samples from their least to their largest value; the loosest always stays. All
+    thresholds of all signals, a short list, are tested in one job.
+    """
+    bounds = corrs.agg(F.min(F.abs("r_val")).alias("r0"), F.max(F.abs("r_val")).alias("r1"), F.min("samples").alias("s0"), F.max("samples").alias("s1")).first()
+    span = {"r_val": (bounds.r0, bounds.r1), "samples": (bounds.s0, bounds.s1)}
+    lists = {}
+    for name, direction in SIGNALS.items():
+        low, high = (0.0, 1.0) if direction < 0 else span[name]
+        found = [float(t) for t in np.arange(low, high, steps[name])]
+        if not found or found[-1] != high:
+            found.append(float(high))
+        lists[name] = found[::-1] if direction < 0 else found
+    passed = [F.when(signal_condition(n, t), F.struct(F.lit(n).alias("signal"), F.lit(i).alias("i"))) for n, ts in lists.items() for i, t in enumerate(ts)]
+    kept = corrs.select("tbl1", "tbl2", F.explode(F.filter(F.array(*passed), lambda c: c.isNotNull())).alias("k"))
+    tables = kept.select("k.signal", "k.i", F.explode(F.array("tbl1", "tbl2")).alias("t")).groupBy("signal", "i").agg(F.countDistinct("t").alias("n"))
+    share = {(r.signal, r.i): r.n / n_tables for r in tables.collect()}
+    out = {}
+    for name, ts in lists.items():
+        good = [share.get((name, i), 0.0) >= least_coverage for i in range(len(ts))]
+        out[name] = ts[: good.index(False)] if False in good else ts
+        out[name] = out[name] or ts[:1]
+    return out
+
+
+def search_thresholds(corrs: DataFrame, steps: dict[str, float], n_tables: int, least_coverage: float, seed: int = 0) -> dict[tuple[float, float], list[list[float]]]:
+    """(coverage, modularity of the table graph's communities) -> settings of the six thresholds, the undominated ones only.
+
+    Settings are the product of the signals' ranges. Their coverage is one job; the table graph of each that covers
+    enough is small and is parted on the driver.
+    """
+    ranges = signal_ranges(corrs, steps, n_tables, least_coverage)
+    axes = [F.array(*(F.lit(float(t)) for t in ranges[n])) for n in SIGNALS]
+    grid = corrs.sparkSession.range(1)
+    for n, axis in zip(SIGNALS, axes):
+        grid = grid.withColumn(f"t_{n}", F.explode(axis))
+    points: dict[tuple[float, float], list[list[float]]] = {}
+    for r in threshold_grid(corrs, grid.drop("id"), n_tables, least_coverage).collect():
+        setting = [r[f"t_{n}"] for n in SIGNALS]
+        edges = [(e.src, e.dst, 1.0) for e in table_edges(filter_signals(corrs, setting)).filter("src <> dst").collect()]
+        score = round(plain_modularity(edges, louvain(edges, seed)), 2)
+        points.setdefault((float(r.coverage), score), []).append([round(t, 2) for t in setting])
+    best = [p for p in points if not any(q != p and q[0] >= p[0] and q[1] >= p[1] for q in points)]
+    return {p: points[p] for p in sorted(best)}
+
+
+def plain_modularity(edges: list[tuple[str, str, float]], part: dict[str, int]) -> float:
+    m = sum(w for *_, w in edges)
+    if not m:
+        return 0.0
+    inside: dict[int, float] = {}
+    ends: dict[int, float] = {}
+    for a, b, w in edges:
+        for n in (a, b):
+            ends[part[n]] = ends.get(part[n], 0.0) + w
+        if part[a] == part[b]:
+            inside[part[a]] = inside.get(part[a], 0.0) + w
+    return sum(inside.get(c, 0.0) / m - (d / (2 * m)) ** 2 for c, d in ends.items())
+
+
+def best_settings(points: dict[tuple[float, float], list[list[float]]], targets: list[float]) -> dict[float, tuple[float, list[float]]]:
+    """For each coverage the best score at or above it, with a setting that reaches it."""
+    out = {}
+    for t in targets:
+        fit = [(score, settings[0]) for (coverage, score), settings in points.items() if coverage >= t]
+        if fit:
+            out[t] = max(fit)
+    return out
+
+
 def skyline(points: DataFrame, x: str = "coverage", y: str = "score") -> DataFrame:
     """Points that no other one matches or beats in both coordinates; of equal points the last stays, once."""
     best = points.groupBy(x).agg(F.max(y).alias(y))
