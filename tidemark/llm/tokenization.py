@@ -19,6 +19,8 @@ from tidemark.llm.textkernel import hash_spans, slices
 
 #: Stretches kept by one task before it starts over: bounds its memory, not its result.
 CACHE_ENTRIES = 1_000_000
+#: Stretches given to the library as one text.
+JOIN = 64
 
 
 def tokenizer_digest(path: str) -> str:
@@ -50,7 +52,7 @@ class Encoder:
             tokenizer = Tokenizer.from_file(path)
             tokenizer.no_truncation()
             tokenizer.no_padding()
-            self._encode = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            self._encode = lambda texts: [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             with open(path, encoding="utf-8") as f:
                 spec = json.load(f)
             pre = spec.get("pre_tokenizer") or {}
@@ -58,6 +60,10 @@ class Encoder:
             added = spec.get("added_tokens") or []
             self._specials = [t["content"].encode() for t in added]
             self._splits = self._splits and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or " " in t["content"] for t in added)
+            if self._splits:  # in these vocabularies a token's characters stand for its bytes
+                vocabulary = tokenizer.get_vocab(with_added_tokens=False)
+                self._bytes = np.ones(max(vocabulary.values()) + 1, np.int64)
+                self._bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]
 
     def ids(self, column: pa.Array) -> Iterator[np.ndarray]:
         for piece in slices(column):
@@ -82,11 +88,11 @@ class Encoder:
         cut = (data == 32) & (((follow > 32) & (follow < 127)) | ((follow >= 0xC3) & (follow < 0xE0)))
         ends_text = offsets[1:] - 1
         cut[ends_text[ends_text >= 0]] &= False  # what follows the last byte is another text
+        spaced = cut.copy()
         cut[offsets[:-1][offsets[:-1] < len(data)]] = True
         start = np.flatnonzero(cut)
         end = np.append(start[1:], len(data))
-        hashes = hash_spans(data, start, end)
-        where = self._look_up(data, start, end, hashes)
+        where = self._look_up(data, start, end, spaced[start])
         count = self._count[where]
         bounds = np.concatenate([[0], np.cumsum(count)])
         flat = self._ids[np.repeat(self._at[where] - bounds[:-1], count) + np.arange(bounds[-1])]
@@ -94,8 +100,8 @@ class Encoder:
         for i in range(len(offsets) - 1):
             yield flat[at[i] : at[i + 1]]
 
-    def _look_up(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        distinct, example, back = np.unique(hashes, return_index=True, return_inverse=True)
+    def _look_up(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, spaced: np.ndarray) -> np.ndarray:
+        distinct, example, back = np.unique(hash_spans(data, start, end), return_index=True, return_inverse=True)
         if len(self._known) > CACHE_ENTRIES:
             self._known, self._count, self._at, self._ids = self._known[:0], self._count[:0], self._at[:0], self._ids[:0]
         place = np.searchsorted(self._known, distinct)
@@ -104,13 +110,34 @@ class Encoder:
         new[inside] = self._known[place[inside]] != distinct[inside]
         if new.any():
             pick = example[new]
-            found = self._encode([data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(start[pick], end[pick])])
-            count = np.fromiter(map(len, found), np.int64, len(found))
-            at = len(self._ids) + np.cumsum(count) - count
-            self._ids = np.concatenate([self._ids, np.fromiter((x for ids in found for x in ids), np.uint32, int(count.sum()))])
+            ids, at, count = self._encode_new(data.tobytes(), start[pick], end[pick], spaced[pick])
+            at += len(self._ids)
+            self._ids = np.concatenate([self._ids, ids])
             spots = place[new]
             self._known = np.insert(self._known, spots, distinct[new])
             self._count = np.insert(self._count, spots, count)
             self._at = np.insert(self._at, spots, at)
             place = np.searchsorted(self._known, distinct)
         return place[back]
+
+    def _encode_new(self, raw: bytes, start: np.ndarray, end: np.ndarray, spaced: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where each stretch's begin and how many they are.
+
+        Stretches that begin with the space of a cut start a pre-token wherever they stand, so ``JOIN`` of them are
+        encoded as one text; the bytes that ids stand for tell where each stretch ends.
+        """
+        order = np.argsort(~spaced, kind="stable")
+        bodies = [raw[a:b] for a, b in zip(start[order].tolist(), end[order].tolist())]
+        n = int(spaced.sum())
+        joined = [b"".join(bodies[i : min(i + JOIN, n)]) for i in range(0, n, JOIN)] + bodies[n:]
+        ids = np.concatenate(self._encode([t.decode("utf-8", "replace") for t in joined]))
+        upto, ends = np.cumsum(self._bytes[ids]), np.cumsum((end - start)[order])
+        last = np.searchsorted(upto, ends)
+        if int(upto[-1]) == int(ends[-1]) and np.array_equal(upto[last], ends):
+            sizes = np.diff(last + 1, prepend=0)
+        else:  # bytes that are no UTF-8 were replaced by longer ones
+            found = self._encode([t.decode("utf-8", "replace") for t in bodies])
+            ids, sizes = np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found))
+        count, at = np.empty_like(sizes), np.empty_like(sizes)
+        count[order], at[order] = sizes, np.cumsum(sizes) - sizes
+        return ids, at, count
