@@ -372,6 +372,36 @@ def test_posteriors_equal_a_plain_forward_backward():
         assert np.allclose(got[a:b], p / p.sum(1, keepdims=True))
 
 
+def test_languages_written_without_spaces(spark):
+    same, fill = "这是一个", "水火山川日月人口"
+    rng = random.Random(5)
+    signs = {"zh": "们国说时为后会学", "ja": "のはをがにでとも", "th": "กขคงจฉชซ"}
+
+    def text(lang):
+        body = "".join(rng.choice(signs[lang] + (fill if lang != "th" else "")) for _ in range(60))
+        return f"{same}{fill}，{body}。{fill}{same}"  # only the middle tells the language
+
+    rows = [(i, text(lang), lang) for i, lang in enumerate(["zh", "ja", "th"] * 30)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    fresh = ["zh", "ja", "th"] * 10
+    got = {r.doc_id: r for r in language_id.identify(documents(spark, [text(lang) for lang in fresh]), model).collect()}
+    assert [got[i].lang_pred for i in range(30)] == fresh and min(r.n_words for r in got.values()) >= 40
+
+
+def test_words_without_spaces_and_their_grams():
+    def words(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        found = language_id.word_runs(data, np.array([0, len(data)]))
+        return [text.encode()[a:b].decode() for a, b in zip(found.start, found.end)]
+
+    assert words("abc漢字仮名交、文。ไทย x𠀀𠀁𠀂，é") == ["abc", "漢字", "仮名", "交", "文", "ไท", "ย", "x", "𠀀𠀁", "𠀂", "é"]
+    data = np.frombuffer(("q" * 18 + "abcdefgh " + "q" * 18 + "zyxwvuts").encode(), np.uint8)
+    start, end = np.array([0, 27]), np.array([26, 53])
+    found = list(language_id.word_features(data, start, end, hash_spans(data, start, end), np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    entries = [int(((own if own is not None else np.arange(2)) == 0).sum()) for _, own in found]
+    assert sum(entries) == 1 + 8 + 24  # the word, affixes of 1 to 4 bytes, and all n-grams of 26 bytes
+
+
 def test_training_without_labels(spark):
     model = language_id.train(spark.createDataFrame([], "doc_id long, text string, lang string"))
     assert [r.lang_pred for r in language_id.identify(documents(spark, ["abc", ""]), model).orderBy("doc_id").collect()] == ["und", "und"]

@@ -1,7 +1,7 @@
 """Language identification of code-switched text by a linear-chain conditional random field.
 
-Each word is an observation whose features are its affixes, its character n-grams and the lexicons that hold it; the
-labels are languages, with learned transitions between neighbouring words. Forward-backward gives every word's
+Each word, or ``PIECE`` characters of a script without spaces, is an observation whose features are its affixes, all its
+character n-grams and the lexicons that hold it; the labels are languages, with learned transitions between neighbouring words. Forward-backward gives every word's
 posterior; a text's language is the one with the largest posterior sum, its score the mean posterior.
 
 Only texts carry labels, so training chains are made of runs of words of texts in known languages, which also shows
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.sampling import sample_ids
-from tidemark.llm.textkernel import hash_spans, lower_ascii, mix, runs, slices
+from tidemark.llm.textkernel import Words, hash_spans, lower_ascii, mix, runs, slices
 
 SAMPLE_DOCS = 400
 SAMPLE_WORDS = 160
@@ -31,6 +31,8 @@ CHAIN, RUN = 48, (6, 32)
 LEXICON_WORDS = 300
 EPOCHS = 12
 BLOCK = 32
+#: Characters of an observation in scripts that are written without spaces.
+PIECE = 2
 UNDETERMINED = "und"
 
 
@@ -51,26 +53,59 @@ def fold_case(data: np.ndarray) -> np.ndarray:
     return out + (capital.astype(np.uint8) << 5)
 
 
+#: First and last code points of scripts without spaces (Thai to Tibetan, Myanmar, Khmer, Tai scripts, Balinese, kana,
+#: bopomofo, Han, Yi, Javanese, half-width kana), and of punctuation and digits among them.
+_UNSPACED = np.array([(0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19FF), (0x1A20, 0x1AAF), (0x1B00, 0x1B7F), (0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3021, 0x3029), (0x3031, 0x3035), (0x3038, 0x303C), (0x3040, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0xA4CF), (0xA980, 0xA9FF), (0xAA60, 0xAA7F), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF)])
+_OUTSIDE = np.array([(0x2000, 0x206F), (0x3000, 0x3004), (0x3008, 0x3020), (0x3030, 0x3030), (0x303D, 0x303F), (0x30FB, 0x30FB), (0xFE10, 0xFE1F), (0xFE30, 0xFE6F), (0xFF01, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65)])
+
+
+def _among(code: np.ndarray, ranges: np.ndarray) -> np.ndarray:
+    spot = np.searchsorted(ranges[:, 0], code, side="right") - 1
+    return (spot >= 0) & (code <= ranges[spot, 1])
+
+
 def word_runs(data: np.ndarray, offsets: np.ndarray):
-    """Words are runs of a-z and bytes beyond ASCII, general punctuation (U+2000 to U+206F) and U+00A0 to U+00BF left out."""
+    """Words are runs of a-z and bytes beyond ASCII, punctuation (general, CJK, full-width) and U+00A0 to U+00BF left out.
+
+    What a run holds of scripts without spaces is cut into words of ``PIECE`` characters.
+    """
     inside = (data - np.uint8(97) < 26) | (data >= 0x80)
-    e2 = np.flatnonzero(data == 0xE2)
-    e2 = e2[e2 + 2 < len(data)]
-    e2 = e2[(data[e2 + 1] == 0x80) | (data[e2 + 1] == 0x81)]
     c2 = np.flatnonzero(data == 0xC2)
     c2 = c2[c2 + 1 < len(data)]
-    for spot in (e2, e2 + 1, e2 + 2, c2, c2 + 1):
-        inside[spot] = False
-    return runs(inside, offsets)
+    inside[c2] = inside[c2 + 1] = False
+    at = np.flatnonzero(data >= 0xE0)  # first bytes of three or four
+    size = np.where(data[at] >= 0xF0, 4, 3)
+    whole = at + size <= len(data)
+    at, size = at[whole], size[whole]
+    if not len(at):
+        return runs(inside, offsets)
+    byte = lambda i: (data[np.minimum(at + i, len(data) - 1)] & 63).astype(np.int64)
+    code = np.where(size == 3, (byte(0) & 15) << 12 | byte(1) << 6 | byte(2), (byte(0) & 7) << 18 | byte(1) << 12 | byte(2) << 6 | byte(3))
+    for spot in range(3):
+        inside[at[_among(code, _OUTSIDE)] + spot] = False
+    own = _among(code, _UNSPACED) & ~_among(code, _OUTSIDE)
+    at, size = at[own], size[own]
+    if not len(at):
+        return runs(inside, offsets)
+    text = np.searchsorted(offsets, at, side="right")
+    first = np.ones(len(at), bool)
+    first[1:] = (at[1:] != at[:-1] + size[:-1]) | (text[1:] != text[:-1])
+    place = np.arange(len(at))
+    place = place - np.maximum.accumulate(np.where(first, place, 0))
+    last = np.append(first[1:], True)
+    cut = runs(inside, np.unique(np.concatenate([offsets, at[place % PIECE == 0], (at + size)[last]])))
+    bounds = np.searchsorted(cut.start, offsets)
+    return Words(cut.start, cut.end, np.repeat(np.arange(len(offsets) - 1), np.diff(bounds)), bounds)
 
 
 #: Feature families, kept apart by a salt.
 _PREFIX, _SUFFIX, _GRAM, _WORD, _LEXICON = 1, 2, 3, 4, 5
-_WIDTH = 20  # bytes of a word's head in which n-grams are taken; the suffix is its true end
+_WIDTH = 20  # bytes of a word's head whose n-grams are taken for all words side by side; those beyond come one by one
+_GRAMS = 1 << 16  # n-grams beyond heads that are taken at once
 
 
 def word_features(data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray, lexicon: np.ndarray, lexicon_of: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
-    """Columns of hashed feature numbers, one entry a word, with a mask of the words that have the feature."""
+    """Hashed feature numbers and the words that have them, in order and possibly repeated; None stands for every word once."""
     size = end - start
     padded = np.concatenate([data, np.zeros(_WIDTH + 4, np.uint8)])
     mask = np.uint64((1 << HASH_BITS) - 1)
@@ -78,6 +113,9 @@ def word_features(data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes:
     def number(family: int, value: np.ndarray) -> np.ndarray:
         return (mix(value + np.uint64(family * 0x9E3779B97F4A7C15 % (1 << 64))) & mask).astype(np.int64)
 
+    def some(family: int, value: np.ndarray, has: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+        return (number(family, value), None) if has.all() else (number(family, value[has]), np.flatnonzero(has))
+
     yield number(_WORD, hashes), None
     head = np.zeros(len(start), np.uint64)
     tail = np.zeros(len(start), np.uint64)
@@ -86,17 +124,27 @@ def word_features(data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes:
         tail = tail | padded[np.maximum(end - n, 0)].astype(np.uint64) << np.uint64(8 * (n - 1))
         has = size >= n
         salt = np.uint64(n) << np.uint64(40)
-        yield number(_PREFIX, head | salt), has
-        yield number(_SUFFIX, tail | salt), has
+        yield some(_PREFIX, head | salt, has)
+        yield some(_SUFFIX, tail | salt, has)
+
+    def grams(at: np.ndarray) -> np.ndarray:
+        return padded[at].astype(np.uint64) | padded[at + 1].astype(np.uint64) << np.uint64(8) | padded[at + 2].astype(np.uint64) << np.uint64(16)
+
     for at in range(_WIDTH - 2):
         has = size >= at + 3
         if not has.any():
             break
-        gram = padded[start + at].astype(np.uint64) | padded[start + at + 1].astype(np.uint64) << np.uint64(8) | padded[start + at + 2].astype(np.uint64) << np.uint64(16)
-        yield number(_GRAM, gram), has
+        yield some(_GRAM, grams(start + at), has)
+    long = np.flatnonzero(size > _WIDTH)
+    more = size[long] - _WIDTH
+    upto = np.cumsum(more)
+    for low in range(0, int(upto[-1]) if len(long) else 0, _GRAMS):
+        j = np.arange(low, min(low + _GRAMS, int(upto[-1])))
+        w = np.searchsorted(upto, j, side="right")
+        yield number(_GRAM, grams(start[long[w]] + _WIDTH - 2 + j - (upto - more)[w])), long[w]
     if len(lexicon):
         spot = np.minimum(np.searchsorted(lexicon, hashes), len(lexicon) - 1)
-        yield number(_LEXICON, lexicon_of[spot].astype(np.uint64)), lexicon[spot] == hashes
+        yield some(_LEXICON, lexicon_of[spot].astype(np.uint64), lexicon[spot] == hashes)
 
 
 def emissions(model: Model, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -104,9 +152,13 @@ def emissions(model: Model, data: np.ndarray, start: np.ndarray, end: np.ndarray
     hashes = hash_spans(data, start, end)
     distinct, example, back = np.unique(hashes, return_index=True, return_inverse=True)
     score = np.zeros((len(distinct), len(model.labels)), np.float32)
-    for feature, has in word_features(data, start[example], end[example], distinct, model.lexicon, model.lexicon_of):
-        part = model.weights[feature]
-        score += part if has is None else part * has[:, None]
+    for feature, own in word_features(data, start[example], end[example], distinct, model.lexicon, model.lexicon_of):
+        if own is None:
+            score += model.weights[feature]
+        elif len(own):
+            first = np.flatnonzero(np.diff(own, prepend=-1))
+            part = model.weights[feature]
+            score[own[first]] += part if len(first) == len(own) else np.add.reduceat(part, first)
     return score[back]
 
 
@@ -228,10 +280,9 @@ def fit(sample: pd.DataFrame, seed: int = 7) -> Model:
     pick = np.sort(pick)  # distinct is ordered, so the lexicon is too
     lexicon, lexicon_of = distinct[pick], owner[pick]
     features, rows = [], []
-    for feature, has in word_features(data, words.start[example], words.end[example], distinct, lexicon, lexicon_of):
-        own = np.arange(len(distinct)) if has is None else np.flatnonzero(has)
-        features.append(feature[own])
-        rows.append(own)
+    for feature, own in word_features(data, words.start[example], words.end[example], distinct, lexicon, lexicon_of):
+        features.append(feature)
+        rows.append(np.arange(len(distinct)) if own is None else own)
     feature, row = np.concatenate(features), np.concatenate(rows)
     # Chains: runs of one language's words, taken in text order from random texts, until CHAIN words stand there.
     by_label = [np.flatnonzero(label_of == c) for c in range(k)]
