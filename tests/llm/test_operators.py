@@ -413,6 +413,32 @@ def test_samples_are_bounded_by_class(spark):
     assert got == {"rare": 50, "often": 50}
 
 
+def test_samples_hold_every_class_and_count_ids(spark):
+    many = spark.range(8000).select("id", F.concat(F.lit("c"), (F.col("id") % 80).cast("string")).alias("c"))
+    repeated = spark.range(60000).select((9000 + F.col("id") % 20).alias("id"), F.lit("repeated").alias("c"))
+    got = {r.c: r["count"] for r in sampling.sample_ids(many.union(repeated).withColumnRenamed("id", "doc_id"), "c", 5).groupBy("c").count().collect()}
+    assert len(got) == 81 and set(got.values()) == {5}
+
+
+def test_many_languages(spark):
+    rng = random.Random(2)
+    names = [f"l{i:02}" for i in range(70)]
+    own = {n: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for n in names}
+    text = lambda n, size: " ".join(rng.choice(own[n]) for _ in range(size))
+    rows = [(i, text(n, 60), n) for i, n in enumerate(names * 2)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    got = {r.doc_id: r for r in language_id.identify(documents(spark, [text(n, 30) for n in names]), model).collect()}
+    assert model.labels == names and [got[i].lang_pred for i in range(70)] == names
+
+
+def test_steps_equal_blocks():
+    rng = np.random.default_rng(1)
+    bounds = np.array([0, 1, 1, 40, 175])
+    score, trans = rng.normal(size=(175, 3)), rng.normal(size=(3, 3))
+    got = language_id._stepped(np.exp(score), bounds, np.exp(trans))
+    assert np.allclose(got, language_id.posteriors(score, bounds, trans))
+
+
 def test_toxicity(spark):
     rng = random.Random(1)
     plain = [f"{rng.choice('bdfglmnprt')}{rng.choice('aeiou')}{rng.choice('bdfglmnprt')}{rng.choice(['ing', 'ed', 'er', 'tion'])}" for _ in range(400)]

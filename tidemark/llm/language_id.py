@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.sampling import sample_ids
-from tidemark.llm.textkernel import Words, hash_spans, lower_ascii, mix, runs, slices
+from tidemark.llm.textkernel import SLICE_BYTES, Words, hash_spans, lower_ascii, mix, runs, slices
 
 SAMPLE_DOCS = 400
 SAMPLE_WORDS = 160
@@ -31,6 +31,10 @@ CHAIN, RUN = 48, (6, 32)
 LEXICON_WORDS = 300
 EPOCHS = 12
 BLOCK = 32
+#: With more labels than this, chains are stepped through word by word, as a block's product has their square.
+WIDE = 16
+#: Words of training chains whose probabilities are held at once, and such words a label where labels are many.
+HELD, LABEL_WORDS = 1 << 14, 2250
 #: Characters of an observation in scripts that are written without spaces.
 PIECE = 2
 UNDETERMINED = "und"
@@ -172,6 +176,8 @@ def posteriors(score: np.ndarray, bounds: np.ndarray, transitions: np.ndarray) -
         return np.zeros((0, k))
     a = np.exp(transitions.astype(np.float64))
     e = np.exp((score - score.max(1, keepdims=True)).astype(np.float64))
+    if k > WIDE:
+        return _stepped(e, bounds, a)
     n = np.diff(bounds)
     blocks = -(-n // BLOCK)
     block_bounds = np.concatenate([[0], np.cumsum(blocks)])
@@ -214,6 +220,27 @@ def posteriors(score: np.ndarray, bounds: np.ndarray, transitions: np.ndarray) -
     return out / out.sum(1, keepdims=True)
 
 
+def _stepped(e: np.ndarray, bounds: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """As ``posteriors``, over all chains side by side, with memory for one row a word."""
+    n = np.diff(bounds)
+    order = np.argsort(-n, kind="stable")
+    first, last, n = bounds[:-1][order], bounds[1:][order] - 1, n[order]
+    live = np.searchsorted(-n, -np.arange(int(n[0])), side="left")  # chains longer than t
+    out = np.empty_like(e)
+    for t, m in enumerate(live):
+        spot = first[:m] + t
+        v = (out[spot - 1] @ a if t else a.sum(0)) * e[spot]
+        out[spot] = v / v.sum(1, keepdims=True)
+    v = np.ones((len(n), e.shape[1]))
+    for m in live:
+        spot = last[:m]
+        out[spot] *= v[:m]
+        v[:m] = (v[:m] * e[spot]) @ a.T
+        v[:m] /= v[:m].sum(1, keepdims=True)
+        last = last - 1
+    return out / out.sum(1, keepdims=True)
+
+
 def _held(data: np.ndarray, bounds: np.ndarray, i: int) -> bool:
     """Whether text i holds a letter of any script."""
     own = data[bounds[i] : bounds[i + 1]]
@@ -223,7 +250,7 @@ def _held(data: np.ndarray, bounds: np.ndarray, i: int) -> bool:
 def predict_batch(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Language, score and number of words of each text."""
     names, scores, words_of = [], [], []
-    for piece in slices(column):
+    for piece in slices(column, SLICE_BYTES * WIDE // max(WIDE, len(model.labels))):
         data = fold_case(piece.data)
         words = word_runs(data, piece.offsets)
         p = posteriors(emissions(model, data, words.start, words.end), words.bounds, model.transitions)
@@ -286,7 +313,7 @@ def fit(sample: pd.DataFrame, seed: int = 7) -> Model:
     feature, row = np.concatenate(features), np.concatenate(rows)
     # Chains: runs of one language's words, taken in text order from random texts, until CHAIN words stand there.
     by_label = [np.flatnonzero(label_of == c) for c in range(k)]
-    chains = max(64, min(3000, len(hashes) // CHAIN))
+    chains = max(64, min(max(3000, k * LABEL_WORDS // CHAIN), len(hashes) // CHAIN))
     flat, tags = np.zeros((chains, CHAIN), np.int64), np.zeros((chains, CHAIN), np.int64)
     for c in range(chains):
         at = 0
@@ -310,25 +337,29 @@ def fit(sample: pd.DataFrame, seed: int = 7) -> Model:
         score = np.zeros((len(distinct), k))
         for c in range(k):
             score[:, c] = np.bincount(row, weights[feature, c], minlength=len(distinct))
-        e = np.exp(score - score.max(1, keepdims=True))[flat]
+        e_of = np.exp(score - score.max(1, keepdims=True))
         a = np.exp(transitions)
-        forward, backward = np.empty_like(e), np.empty_like(e)
-        v = np.full((chains, k), 1.0 / k)
-        for t in range(CHAIN):
-            v = (v @ a if t else v) * e[:, t]
-            v /= v.sum(1, keepdims=True)
-            forward[:, t] = v
-        v = np.ones((chains, k))
-        for t in range(CHAIN - 1, -1, -1):
-            backward[:, t] = v
-            v = (v * e[:, t]) @ a.T
-            v /= v.sum(1, keepdims=True)
-        p = forward * backward
-        p /= p.sum(2, keepdims=True)
-        expected = np.stack([np.bincount(flat.reshape(-1), p[:, :, c].reshape(-1), minlength=len(distinct)) for c in range(k)], 1)
-        right = backward[:, 1:] * e[:, 1:]
-        joint = forward[:, :-1, :, None] * a * right[:, :, None, :]
-        joint = (joint / joint.sum((2, 3), keepdims=True)).sum((0, 1))
+        expected, joint = np.zeros((len(distinct), k)), np.zeros((k, k))
+        for low in range(0, chains, HELD // CHAIN):
+            own = flat[low : low + HELD // CHAIN]
+            e = e_of[own]
+            forward, backward = np.empty_like(e), np.empty_like(e)
+            v = np.full((len(own), k), 1.0 / k)
+            for t in range(CHAIN):
+                v = (v @ a if t else v) * e[:, t]
+                v /= v.sum(1, keepdims=True)
+                forward[:, t] = v
+            v = np.ones((len(own), k))
+            for t in range(CHAIN - 1, -1, -1):
+                backward[:, t] = v
+                v = (v * e[:, t]) @ a.T
+                v /= v.sum(1, keepdims=True)
+            p = forward * backward
+            p /= p.sum(2, keepdims=True)
+            seen, at = np.unique(own, return_inverse=True)
+            expected[seen] += np.stack([np.bincount(at.reshape(-1), p[:, :, c].reshape(-1), minlength=len(seen)) for c in range(k)], 1)
+            left, right = forward[:, :-1].reshape(-1, k), (backward[:, 1:] * e[:, 1:]).reshape(-1, k)
+            joint += a * ((left / ((left @ a) * right).sum(1, keepdims=True)).T @ right)
         drift = gold - expected
         slope = np.stack([np.bincount(feature, drift[row, c], minlength=1 << HASH_BITS) for c in range(k)], 1) / chains - 1e-3 * weights
         slope_t = (gold_pairs - joint) / chains - 1e-3 * transitions
