@@ -462,6 +462,22 @@ def test_toxicity(spark):
     assert [r.predicted for r in toxicity.score_toxicity(documents(spark, ["a", None]), empty).collect()] == [0, 0]
 
 
+def test_toxicity_keeps_the_mix_of_all_labels(spark):
+    rng = random.Random(4)
+    pool = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(200)]
+    # half of the toxic texts, and a few of the ordinary ones, have the word: it tells less where toxic texts are rare
+    body = lambda bad: " ".join(rng.choice(pool) for _ in range(30)) + (" zookle vrimbort" * 3 if rng.random() < (0.6 if bad else 0.06) else "")
+    marks = [i % 20 == 0 for i in range(2000)]
+    docs = spark.createDataFrame([(i, body(m)) for i, m in enumerate(marks)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(m)) for i, m in enumerate(marks)], "doc_id long, toxic int")
+    absent = spark.createDataFrame([(9000 + i, 1) for i in range(500)], "doc_id long, toxic int")
+    assert toxicity.class_counts(docs, labels.union(absent)) == (1900, 100)
+    model, balanced = toxicity.train(docs, labels, 100), toxicity.fit(toxicity.training_sample(docs, labels, 100))
+    assert abs(model.weights[-1] - balanced.weights[-1] - np.log(100 / 1900)) < 1e-9
+    scored = toxicity.score_toxicity(docs, model).agg(F.avg("score")).first()[0]
+    assert 0.02 <= scored <= 0.1  # five in a hundred are toxic
+
+
 def test_scratch_needs_a_shared_folder(spark):
     assert scratch.shared_root(spark).startswith("file:")
     kept = scratch.Scratch(spark, "t")

@@ -6,7 +6,8 @@ ordinary content, so that the two compress alike but for what is special to toxi
 with both; the bytes that the toxic dictionary saves are the window's distance. A logistic curve fitted on labelled
 texts turns a text's largest, mean and repeated savings into a score, calibrated so that 0.5 separates the classes.
 
-Training reads a bounded sample: up to ``SAMPLE_DOCS`` labelled texts a class, drawn by hash. Scoring reads whole texts.
+Training reads a bounded sample: up to ``SAMPLE_DOCS`` labelled texts a class, drawn by hash. The intercept is moved from
+the sample's mix of classes to that of all labelled texts, which are counted. Scoring reads whole texts.
 """
 
 from __future__ import annotations
@@ -141,7 +142,7 @@ def _special(trained: bytes, toxic: pd.Series, ordinary: pd.Series) -> bytes:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 40) -> np.ndarray:
-    """Newton's method; classes keep their own weights, so that 0.5 means likelier toxic than not."""
+    """Newton's method; classes keep their own weights, so that 0.5 means likelier toxic than not in the given mix."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
     penalty = np.full(len(w), ridge)
@@ -157,10 +158,20 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 40
     return w
 
 
+def _marks(labels: DataFrame) -> DataFrame:
+    """One mark, the worst, of each labelled id."""
+    return labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
+def class_counts(docs: DataFrame, labels: DataFrame) -> tuple[int, int]:
+    """How many ordinary and toxic documents are labelled."""
+    found = {r.toxic: r["count"] for r in _marks(labels).join(docs.select("doc_id"), "doc_id", "left_semi").groupBy("toxic").count().collect()}
+    return found.get(0, 0), found.get(1, 0)
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_DOCS) -> pd.DataFrame:
     """``text`` and ``toxic`` of up to ``per_class`` labelled texts of each class, in the order of a hash of their ids."""
-    marks = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    picked = F.broadcast(sample_ids(marks, "toxic", per_class))
+    picked = F.broadcast(sample_ids(_marks(labels), "toxic", per_class))
     length = F.length("text")
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("place")), F.greatest(length - SAMPLE_CHARS, F.lit(0)) + 1)
     near = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(picked, "doc_id")
@@ -168,11 +179,15 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_
     return cut.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).toPandas().sort_values(["doc_id"], ignore_index=True)
 
 
-def fit(sample: pd.DataFrame) -> Model:
-    """Dictionaries and calibration from labelled texts; without both classes every score is the share of toxic ones."""
+def fit(sample: pd.DataFrame, counts: tuple[int, int] | None = None) -> Model:
+    """Dictionaries and calibration from labelled texts; without both classes every score is the share of toxic ones.
+
+    ``counts`` are the ordinary and toxic documents that the sample stands for, itself by default.
+    """
     sample = sample.drop_duplicates("text")
     toxic, ordinary = sample[sample["toxic"] == 1]["text"], sample[sample["toxic"] == 0]["text"]
-    share = (len(toxic) + 0.5) / (len(sample) + 1)
+    n0, n1 = counts or (len(ordinary), len(toxic))
+    share = (n1 + 0.5) / (n0 + n1 + 1)
     flat = Model(b"", b"", np.zeros(FEATURES), np.ones(FEATURES), np.append(np.zeros(FEATURES), math.log(share / (1 - share)) if len(toxic) else -9.0))
     if len(toxic) < 8 or len(ordinary) < 8:
         return flat
@@ -200,6 +215,7 @@ def fit(sample: pd.DataFrame) -> Model:
     x = describe(_Meter(model), pa.array(sample["text"], pa.string()))
     model.center, model.scale = x.mean(0), x.std(0) + 1e-9
     model.weights = _logistic((x - model.center) / model.scale, sample["toxic"].to_numpy(float))
+    model.weights[-1] += math.log(n1 / n0) - math.log(len(toxic) / len(ordinary))
     return model
 
 
@@ -215,7 +231,7 @@ def _run(model: Model):
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_DOCS) -> Model:
-    return fit(training_sample(docs, labels, per_class))
+    return fit(training_sample(docs, labels, per_class), class_counts(docs, labels))
 
 
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
