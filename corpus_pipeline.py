@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import decontaminate, language_id, near_dedup, packing, pii
 from tidemark.llm.scratch import Scratch
 
-#: A document whose words agree less than this on any language is rejected.
+#: A document whose words are less certain than this, on average, of any known language is rejected.
 LEAST_SCORE = 0.5
 
 
@@ -23,19 +23,19 @@ def _only(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without text or letters, and those in no language the model knows.
+    """Drop documents without text or letters, and those in no language the model knows; known ones may alternate.
 
     The model learns from the labelled rows of its own input. Rows with a null id are dropped, as no later stage could
     name them.
     """
     model = language_id.train(docs.filter(~language_id.held_out()))
-    verdicts = language_id.identify(docs, model)
-    return _only(docs, verdicts.filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)))
+    verdicts = language_id.identify(docs, model, certainty=True)
+    return _only(docs, verdicts.filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("certainty") >= LEAST_SCORE)))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, the one with the smallest id, of every group of near duplicates; repeated rows stay once."""
-    return _only(docs, near_dedup.near_duplicates(docs).filter("kept")).dropDuplicates(["doc_id"])
+    """Keep one document, the one with the smallest id, of every group of near duplicates; repeated rows of an id and text stay once."""
+    return _only(docs, near_dedup.near_duplicates(docs).filter("kept")).dropDuplicates(["doc_id", "text"])
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

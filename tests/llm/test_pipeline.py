@@ -1,5 +1,6 @@
 """Each stage of the pipeline on what its predecessor kept, against plain versions, and the registered queries."""
 
+import random
 import re
 
 import duckdb
@@ -8,7 +9,7 @@ import pytest
 
 import corpus_pipeline
 from tests.conftest import DATA
-from tests.llm.test_operators import BPE, base_spans, plain_components
+from tests.llm.test_operators import BPE, base_spans, plain_components, talk
 from tidemark.llm import packing, queries
 
 
@@ -38,6 +39,16 @@ def test_language_stage_keeps_clean_documents(stages):
     assert all(not any(c.isalpha() for c in before[i] or "") or len(re.findall(r"\w+", before[i])) < 8 for i in set(before) - set(after))
 
 
+def test_code_switched_documents_and_texts_of_one_id_stay(spark):
+    rng = random.Random(6)
+    rows = [(i, talk(lang, 40, rng), lang) for i, lang in enumerate(["en", "de", "es"] * 40)]
+    mixed = " ".join(talk(lang, 20, rng) for lang in ("en", "de", "es"))
+    docs = spark.createDataFrame([*rows, (900, mixed, None)], "doc_id long, text string, lang string")
+    assert 900 in texts(corpus_pipeline.keep_known_languages(spark, docs, DATA))
+    pair = spark.createDataFrame([(1, "one two three four five six"), (1, "quite another text of seven words"), (1, "one two three four five six")], "doc_id long, text string")
+    assert corpus_pipeline.drop_near_duplicates(spark, pair, DATA).count() == 2
+
+
 def test_one_document_of_each_group_stays(stages):
     before, after = texts(stages[1]), texts(stages[2])
     ids = sorted(before)

@@ -247,26 +247,30 @@ def _held(data: np.ndarray, bounds: np.ndarray, i: int) -> bool:
     return bool(((own | 32) - np.uint8(97) < 26).any()) or (bool((own >= 0x80).any()) and any(c.isalpha() for c in own.tobytes().decode("utf-8", "replace")))
 
 
-def predict_batch(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Language, score and number of words of each text."""
-    names, scores, words_of = [], [], []
+def predict_batch(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score, number of words and mean certainty of a word (its largest posterior) of each text."""
+    names, scores, words_of, certain = [], [], [], []
     for piece in slices(column, SLICE_BYTES * WIDE // max(WIDE, len(model.labels))):
         data = fold_case(piece.data)
         words = word_runs(data, piece.offsets)
         p = posteriors(emissions(model, data, words.start, words.end), words.bounds, model.transitions)
         sums = np.concatenate([np.zeros((1, len(model.labels))), np.cumsum(p, 0)])
         mass = sums[words.bounds[1:]] - sums[words.bounds[:-1]]
+        sure = np.concatenate([np.zeros(1), np.cumsum(p.max(1))])
+        sure = sure[words.bounds[1:]] - sure[words.bounds[:-1]]
         count = np.diff(words.bounds)
         best = mass.argmax(1)
         for i in range(len(count)):
             if not _held(piece.data, piece.offsets, i):
                 names.append(UNDETERMINED)
                 scores.append(0.0)
+                certain.append(0.0)
             else:  # letters outside every word leave all languages equal
                 names.append(model.labels[best[i]])
                 scores.append(float(mass[i, best[i]] / count[i]) if count[i] else 1.0 / len(model.labels))
+                certain.append(float(sure[i] / count[i]) if count[i] else 1.0 / len(model.labels))
             words_of.append(int(count[i]))
-    return names, np.clip(np.asarray(scores, float), 0, 1), np.asarray(words_of, np.int64)
+    return names, np.clip(np.asarray(scores, float), 0, 1), np.asarray(words_of, np.int64), np.clip(np.asarray(certain, float), 0, 1)
 
 
 def training_sample(labelled: DataFrame, docs: int = SAMPLE_DOCS) -> pd.DataFrame:
@@ -373,8 +377,8 @@ def fit(sample: pd.DataFrame, seed: int = 7) -> Model:
 def _run(model: Model):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores, words = predict_batch(model, batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores), pa.array(words)], ["doc_id", "lang_pred", "score", "n_words"])
+            names, scores, words, certain = predict_batch(model, batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores), pa.array(words), pa.array(certain)], ["doc_id", "lang_pred", "score", "n_words", "certainty"])
 
     return run
 
@@ -384,8 +388,9 @@ def train(labelled: DataFrame, docs: int = SAMPLE_DOCS) -> Model:
     return fit(training_sample(labelled, docs))
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row: doc_id, lang_pred, score (0 to 1) and n_words, from every word of the text alone.
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", certainty: bool = False) -> DataFrame:
+    """One row per row: doc_id, lang_pred, score (0 to 1) and n_words, from every word of the text alone;
+    with ``certainty`` also the mean over words of the largest posterior, high where each word is of some known language.
 
     A null text, or one without a letter, is ``und`` with score 0; letters in no word the model sees give an even
     score; ties go to the first language in order; repeated rows each give a row; a null id stays null; an empty table
@@ -393,7 +398,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(_run(model), f"doc_id {kind}, lang_pred string, score double, n_words long")
+    out = docs.mapInArrow(_run(model), f"doc_id {kind}, lang_pred string, score double, n_words long, certainty double")
+    return out if certainty else out.drop("certainty")
 
 
 def held_out(id_col: str = "doc_id"):
