@@ -60,53 +60,139 @@ KINDS = (
 )
 
 
-def _located(found: Column, gaps: Column) -> Column:
-    """Start, end and value of each match, from the lengths of what lies between the matches."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint,value:string>>").alias("out"))
+#: Elements of an array that are folded in one go. Prefixes are taken block by block, and of the blocks' totals likewise,
+#: so that no step copies more than one block.
+_BLOCK = 64
+#: Code points of the pieces that a text is cut into once, so that a stretch is found without reading what precedes it.
+_PIECE = 1024
 
-    def step(acc: Column, i: Column) -> Column:
-        value = F.get(found, i - 1)
-        begin = acc["at"] + F.length(F.get(gaps, i - 1))
-        end = begin + F.length(value)
-        return F.struct(end.cast("long").alias("at"), F.array_append(acc["out"], F.struct(begin.cast("long").alias("start"), end.cast("long").alias("end"), value.alias("value"))).alias("out"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.size(found)), start, step, lambda acc: acc["out"])
+def _blocks(values: Column) -> Column:
+    """Numbers of the blocks of an array, from 0."""
+    n = F.ceil(F.size(values) / _BLOCK).cast("int")
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
-_SPANS = "array<struct<start:bigint,end:bigint,score:double>>"
+def _block(values: Column, i: Column) -> Column:
+    places = F.sequence(i * _BLOCK, F.least((i + 1) * _BLOCK, F.size(values)) - 1)
+    return F.transform(places, lambda j: F.get(values, j))  # slice() reads all that precedes
+
+
+Fold = Callable[[Column, Column], Column]
+
+
+def _totals(values: Column, fold: Fold) -> Column:
+    return F.transform(_blocks(values), lambda i: F.aggregate(_block(values, i), F.lit(0).cast("long"), fold))
+
+
+def _within(block: Column, base: Column, fold: Fold) -> Column:
+    """What precedes each element of one block, from ``base`` on."""
+    start = F.struct(base.alias("at"), F.array().cast("array<bigint>").alias("out"))
+    return F.aggregate(block, start, lambda acc, x: F.struct(fold(acc["at"], x).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"])
+
+
+def _spread(values: Column, bases: Column, fold: Fold) -> Column:
+    # Zipped, as the optimiser would move an array that is named once into the function, to be made again for each element.
+    return F.flatten(F.transform(F.arrays_zip(_blocks(values).alias("i"), bases.alias("base")), lambda x: _within(_block(values, x["i"]), x["base"], fold)))
+
+
+def with_prefixes(frame: DataFrame, name: str, values: str, fold: Fold = lambda a, b: a + b) -> DataFrame:
+    """Add for an array of non-negative longs a column of what ``fold`` makes of the elements before each one.
+
+    Three levels of blocks: the work is linear up to millions of elements.
+    """
+    step = [f"{name}_{k}" for k in "abcd"]
+    frame = frame.withColumn(step[0], _totals(F.col(values), fold))
+    frame = frame.withColumn(step[1], _totals(F.col(step[0]), fold))
+    frame = frame.withColumn(step[2], _within(F.col(step[1]), F.lit(0).cast("long"), fold))
+    frame = frame.withColumn(step[3], _spread(F.col(step[0]), F.col(step[2]), fold))
+    return frame.withColumn(name, _spread(F.col(values), F.col(step[3]), fold)).drop(*step)
+
+
+def cut(text: Column) -> Column:
+    """A text's pieces of ``_PIECE`` code points."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))
+
+
+def stretch(pieces: Column, start: Column, end: Column) -> Column:
+    """Code points ``start`` to ``end`` (exclusive) of a text that was cut into ``pieces``."""
+    first = F.floor(start / _PIECE).cast("int")
+    held = F.array_join(F.transform(F.sequence(first, F.floor((end - 1) / _PIECE).cast("int")), lambda j: F.get(pieces, j)), "")
+    return F.when(end > start, F.substr(held, (start - first.cast("long") * _PIECE + 1).cast("int"), (end - start).cast("int"))).otherwise("")
+
+
+def _of_kind(k: Column, values: list[Column]) -> Column:
+    """The value of the kind numbered ``k``; only that one is computed."""
+    out = values[-1]
+    for i in range(len(values) - 2, -1, -1):
+        out = F.when(k == i, values[i]).otherwise(out)
+    return out
 
 
 def find_spans(docs: DataFrame, text_col: str = "text", prefix: str = "__pii") -> DataFrame:
-    """Add for each kind a column ``<prefix>_<kind>`` of its spans in the whole text, as code points with scores."""
+    """Add ``<prefix>_spans``: kind (its place in ``KINDS``), start, end (code points of the whole text) and score, by kind, then start.
+
+    ``<prefix>_pieces`` holds the text's pieces where anything matched, else null. All steps are linear in the text and
+    in the number of its matches.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    name = lambda k, step: f"{prefix}_{k.name}_{step}"
-    out = docs.withColumns({name(k, "m"): F.regexp_extract_all(text, F.lit(k.pattern), F.lit(0)) for k in KINDS})
-    out = out.withColumns({name(k, "g"): F.when(F.size(name(k, "m")) > 0, F.split(text, k.pattern, -1)) for k in KINDS})
-    out = out.withColumns({name(k, "s"): F.when(F.size(name(k, "m")) > 0, _located(F.col(name(k, "m")), F.col(name(k, "g")))) for k in KINDS})
+    name = lambda step: f"{prefix}_{step}"
+    matches, gaps = ([name(f"{k.name}_{s}") for k in KINDS] for s in "mg")
+    out = docs.withColumns({m: F.regexp_extract_all(text, F.lit(k.pattern), F.lit(0)) for k, m in zip(KINDS, matches)})
+    # What lies between the matches tells where they are.
+    out = out.withColumns({g: F.when(F.size(m) > 0, F.split(text, k.pattern, -1)) for k, m, g in zip(KINDS, matches, gaps)})
+
+    def listed(i: int) -> Column:
+        paired = F.arrays_zip(F.col(matches[i]).alias("m"), F.slice(F.coalesce(gaps[i], F.array().cast("array<string>")), 1, F.size(matches[i])).alias("g"))
+        return F.transform(paired, lambda x, j: F.struct(F.lit(i).alias("kind"), j.alias("j"), F.length(x["g"]).cast("long").alias("gap"), x["m"].alias("value")))
 
-    def judged(k: Kind) -> Column:
-        sure = F.col(name(k, "s")) if k.valid is None else F.filter(name(k, "s"), lambda s: k.valid(s["value"]))
+    out = out.withColumn(name("all"), F.concat(*map(listed, range(len(KINDS)))))
+    out = out.withColumns({
+        name("z"): F.transform(name("all"), lambda x: x["gap"] + F.length(x["value"])),
+        name("n"): F.array(*(F.size(m) for m in matches)),
+        name("pieces"): F.when(F.size(name("all")) > 0, cut(text)),
+        name("length"): F.length(text).cast("long"),
+    }).drop(*matches, *gaps)
+    out = with_prefixes(out, name("s"), name("z"))
+    before = F.aggregate(F.slice(name("n"), 1, len(KINDS) - 1), F.array(F.lit(0)), lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n))
+    out = out.withColumn(name("f"), before)  # where each kind's matches begin in the list
 
-        def rate(s: Column) -> Column:
-            left = F.greatest(s["start"] - NEAR, F.lit(0))
-            near = F.lower(F.concat(F.substr(text, (left + 1).cast("int"), (s["start"] - left).cast("int")), F.lit(" "), F.substr(text, (s["end"] + 1).cast("int"), F.lit(NEAR))))
-            score = F.lit(k.score) + F.when(near.rlike(k.context), LIFT).otherwise(0.0)
-            return F.struct(s["start"].alias("start"), s["end"].alias("end"), score.alias("score"))
+    def placed(x: Column) -> Column:
+        first = F.get(name("f"), x["kind"])
+        start = F.get(name("s"), first + x["j"]) - F.get(name("s"), first) + x["gap"]
+        return F.struct(x["kind"].alias("kind"), start.alias("start"), (start + F.length(x["value"])).alias("end"), x["value"].alias("value"))
 
-        rated = F.transform(sure, rate)
-        return rated if k.base else F.filter(rated, lambda s: s["score"] >= THRESHOLD)
+    sure = F.filter(name("all"), lambda x: _of_kind(x["kind"], [F.lit(True) if k.valid is None else k.valid(x["value"]) for k in KINDS]))
+    out = out.withColumn(name("l"), F.transform(sure, placed))
+    pieces, length = F.col(name("pieces")), F.col(name("length"))
 
-    empty = F.array().cast(_SPANS)
-    out = out.withColumns({f"{prefix}_{k.name}": F.when(F.size(name(k, "m")) > 0, judged(k)).otherwise(empty) for k in KINDS})
-    return out.drop(*(name(k, s) for k in KINDS for s in "mgs"))
+    def rate(s: Column) -> Column:
+        left = stretch(pieces, F.greatest(s["start"] - NEAR, F.lit(0).cast("long")), s["start"])
+        right = stretch(pieces, s["end"], F.least(s["end"] + NEAR, length))
+        near = F.lower(F.concat(left, F.lit(" "), right))
+        context = F.element_at(F.array(*(F.lit(k.context) for k in KINDS)), s["kind"] + 1)
+        score = F.element_at(F.array(*(F.lit(k.score) for k in KINDS)), s["kind"] + 1) + F.when(F.regexp(near, context), LIFT).otherwise(0.0)
+        return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), score.alias("score"))
 
+    out = out.withColumn(name("r"), F.transform(name("l"), rate))
+    base = F.array(*(F.lit(k.base) for k in KINDS))
+    out = out.withColumn(name("spans"), F.filter(name("r"), lambda s: F.element_at(base, s["kind"] + 1) | (s["score"] >= THRESHOLD)))
+    return out.drop(*map(name, ("all", "z", "n", "s", "f", "l", "r", "length")))
 
-def _listed(k: Kind) -> Column:
-    return F.transform(f"__pii_{k.name}", lambda s: F.concat_ws(":", F.lit(k.name), s["start"].cast("string"), s["end"].cast("string")))
 
+_NAMES = [k.name for k in KINDS]
 
-def _tagged(k: Kind) -> Column:
-    return F.transform(f"__pii_{k.name}", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), F.lit(f"[{k.name.upper()}]").alias("tag")))
+
+def _name(kind: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, _NAMES)), kind + 1)
+
+
+def _list(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", _name(s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def _count(spans: Column, kind: int) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -117,15 +203,14 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     result; other columns are ignored. Spans of different kinds may overlap.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    found = find_spans(docs)
-    listed = {k: _listed(k) for k in KINDS}
-    top = F.array_max(F.concat(*(F.transform(f"__pii_{k.name}", lambda s: s["score"]) for k in KINDS)))
+    found, spans = find_spans(docs), F.col("__pii_spans")
+    base = [i for i, k in enumerate(KINDS) if k.base]
     return found.select(
         "doc_id",
-        *(F.size(f"__pii_{k.name}").cast("long").alias(f"n_{k.name}") for k in KINDS),
-        F.sha2(F.concat_ws(",", *(listed[k] for k in KINDS if k.base)), 256).alias("base_sha256"),
-        F.concat_ws(",", *listed.values()).alias("spans"),
-        F.round(top, 2).alias("top_score"),
+        *(_count(spans, i).alias(f"n_{k}") for i, k in enumerate(_NAMES)),
+        F.sha2(_list(F.filter(spans, lambda s: s["kind"].isin(base))), 256).alias("base_sha256"),
+        _list(spans).alias("spans"),
+        F.round(F.array_max(F.transform(spans, lambda s: s["score"])), 2).alias("top_score"),
     )
 
 
@@ -136,16 +221,16 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     before = docs.columns
     found = find_spans(docs)
-    text = F.col(text_col)
-    tagged = F.concat(*(_tagged(k) for k in KINDS))
-    found = found.withColumn("__pii_all", F.array_sort(tagged)).drop(*(f"__pii_{k.name}" for k in KINDS))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        end = -s["back"]
-        fresh = s["start"] >= acc["at"]
-        piece = F.substr(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        return F.struct(F.greatest(acc["at"], end).alias("at"), F.when(fresh, F.array_append(F.array_append(acc["out"], piece), s["tag"])).otherwise(acc["out"]).alias("out"))
-
-    joined = F.aggregate("__pii_all", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    return found.withColumn(text_col, F.when(F.size("__pii_all") > 0, joined).otherwise(text)).select(*before)
+    text, spans = F.col(text_col), F.col("__pii_all")
+    # In order of start, the longest first, then by kind.
+    found = found.withColumn("__pii_all", F.array_sort(F.transform("__pii_spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind")))))
+    found = found.withColumn("__pii_ends", F.transform(spans, lambda s: -s["back"]))
+    found = with_prefixes(found, "__pii_seen", "__pii_ends", lambda a, b: F.greatest(a, b))  # how far the spans before each one reach
+
+    def piece(s: Column, i: Column) -> Column:
+        seen = F.get("__pii_seen", i)
+        return F.when(s["start"] >= seen, F.concat(stretch(F.col("__pii_pieces"), seen, s["start"]), F.lit("["), F.upper(_name(s["kind"])), F.lit("]"))).otherwise("")
+
+    length = F.length(text).cast("long")
+    joined = F.concat(F.array_join(F.transform(spans, piece), ""), stretch(F.col("__pii_pieces"), F.array_max("__pii_ends"), length))
+    return found.withColumn(text_col, F.when(F.size(spans) > 0, joined).otherwise(text)).select(*before)
