@@ -217,6 +217,38 @@ PII_TEXTS = [
 ]
 
 
+def thue_morse(n, a, b):
+    """Two complementary words, which no polynomial modulo 2^64 tells apart."""
+    x, y = a, b
+    for _ in range(n):
+        x, y = x + y, y + x
+    return x, y
+
+
+def test_words_that_weak_hashes_take_for_one(spark, library, tmp_path):
+    pairs = [thue_morse(10, "e", "r"), thue_morse(10, "on", "1!")]
+    texts = [w + "ing" for w in pairs[0]] + list(pairs[1]) + [f"p q r s {w}" for w in pairs[0]]
+    docs = documents(spark, texts)
+    for k in (0, 1):
+        got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs, BPE, f"file://{tmp_path}/cache{k}").collect()}
+        assert [got[i] for i in range(len(texts))] == [len(library(t)) for t in texts]
+    ids = {r.doc_id: list(r.ids) for r in packing.pack_documents(docs, BPE, 2, packing.Capacity(tokens=4096, attention=1 << 30), with_ids=True).collect()}
+    assert [ids[i] for i in range(len(texts))] == [library(t) + [2] for t in texts]
+    assert all(r.kept for r in near_dedup.near_duplicates(docs).collect())
+    one = Encoder(BPE)
+    one._same = lambda *_: False  # as if every hash met another stretch
+    assert [list(x) for x in one.ids(pa.array(texts))] == [library(t) for t in texts]
+
+
+def test_many_matches_in_one_text(spark):
+    many = " ".join(f"user{i}@mail.example.org +1 (555) {i % 1000:03}-4567 10.0.{i % 300}.7" for i in range(20000))
+    row = pii.detect(documents(spark, [many])).first()
+    want = base_spans(many)
+    assert row.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest() and row.n_email == 20000
+    text = pii.redact(documents(spark, [many])).first().text
+    assert text.startswith("[EMAIL] [PHONE] [IP] [EMAIL]") and not base_spans(text) and text.count("[EMAIL]") == 20000
+
+
 def test_personal_data_equals_the_plain_scan(spark):
     rng = random.Random(0)
     made = ["".join(rng.choice("a1.@+ -()5é\n") for _ in range(rng.randrange(60))) for _ in range(150)]

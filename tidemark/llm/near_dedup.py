@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.scratch import Scratch
-from tidemark.llm.textkernel import hash_spans, is_space, lower_ascii, mix, runs, shingles, slices
+from tidemark.llm.textkernel import is_space, lower_ascii, mix, runs, shingles, slices, word_hashes
 
 WORDS = 5
 #: Links need SHARE_OF * intersection >= SHARE * union.
@@ -115,7 +115,7 @@ def shingle_sets(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for piece in slices(column):
         data = lower_ascii(piece.data)
         words = runs(~is_space(data), piece.offsets)
-        values, bounds = shingles(hash_spans(data, words.start, words.end), words.bounds, WORDS)
+        values, bounds = shingles(word_hashes(data, words.start, words.end), words.bounds, WORDS)
         sets = [np.unique(values[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
         sizes = np.fromiter(map(len, sets), np.int64, len(sets))
         yield (np.concatenate(sets) if sets else values[:0]), np.concatenate([[0], np.cumsum(sizes)])

@@ -13,7 +13,6 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
 class Slice(NamedTuple):
@@ -96,39 +95,42 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-_powers = np.ones(1, np.uint64)
+_LANES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+_SIZE = np.uint64(0xD6E8FEB86659FD93)
 
 
-def powers(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        _powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, 1024) - 1, _BASE)]), dtype=np.uint64)
-    return _powers[:n]
+def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, limit: int = SLICE_BYTES, lane: int = 0) -> np.ndarray:
+    """64-bit hashes of data[start:end] for ordered, disjoint, non-empty spans; each ``lane`` is another function.
 
-
-def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, limit: int = SLICE_BYTES) -> np.ndarray:
-    """64-bit hashes of data[start:end] for ordered, disjoint, non-empty spans."""
+    Eight bytes at a time are mixed with their place before they are added up, so that nothing about the sum is linear
+    in the bytes; spans of one size of at most eight bytes never share a hash.
+    """
     out = np.empty(len(start), np.uint64)
     at = 0
     while at < len(start):
         stop = max(at + 1, int(np.searchsorted(end, start[at] + limit, side="right")))
         s, e = start[at:stop], end[at:stop]
         size = e - s
-        first = np.cumsum(size) - size
-        total = int(first[-1] + size[-1])
-        place = np.arange(total) - np.repeat(first, size)
-        if total == e[-1] - s[0]:
-            body = data[s[0] : e[-1]]
-        else:
-            body = data[place + np.repeat(s, size)]
-        value = (body.astype(np.uint64) + np.uint64(1)) * powers(int(size.max()))[place]
-        out[at:stop] = mix(np.add.reduceat(value, first) + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        parts = (size + 7) >> 3
+        first = np.cumsum(parts) - parts
+        place = np.arange(int(first[-1] + parts[-1])) - np.repeat(first, parts)
+        body = np.concatenate([data[s[0] : e[-1]], np.zeros(8, np.uint8)])
+        value = np.ndarray((len(body) - 7,), "<u8", body, strides=(1,))[np.repeat(s - s[0], parts) + 8 * place].astype(np.uint64)
+        left = np.repeat(size, parts) - 8 * place
+        value &= np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(8) * (np.uint64(8) - np.minimum(left, 8).astype(np.uint64)))
+        value = mix(mix(value ^ mix(place.astype(np.uint64) * _LANES[lane] + _LANES[1 - lane])) * _LANES[lane])
+        out[at:stop] = mix(np.add.reduceat(value, first) + size.astype(np.uint64) * _SIZE)
         at = stop
     return out
 
 
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Two lanes, 128 bits, of each span's hash."""
+    return np.stack([hash_spans(data, start, end, lane=k) for k in range(2)])
+
+
 def shingles(hashes: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of k consecutive words of each text, and the bounds of each text's shingles.
+    """Hashes of k consecutive words of each text, from both lanes of ``word_hashes``, and the bounds of each text's shingles.
 
     A text of fewer than k words has one shingle, its whole sequence; one without words has none.
     """
@@ -137,12 +139,12 @@ def shingles(hashes: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray
     out_bounds = np.concatenate([[0], np.cumsum(out_n)])
     first = np.repeat(bounds[:-1] - out_bounds[:-1], out_n) + np.arange(out_bounds[-1])
     width = np.repeat(np.minimum(n, k), out_n)
-    value = width.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
-    padded = np.concatenate([hashes, np.zeros(k, np.uint64)])
-    for j in range(k):
-        part = padded[first + j] * (powers(j + 2)[-1] ^ np.uint64(0x5851F42D4C957F2C))
-        value = value + np.where(width > j, mix(part), np.uint64(0))
-    return mix(value), out_bounds
+    value = mix(width.astype(np.uint64) * _SIZE)
+    padded = np.concatenate([hashes, np.zeros((2, k), np.uint64)], 1)
+    for j in range(k):  # each word's 128 bits enter the state of those before it
+        step = mix(mix(value ^ padded[0, first + j]) + padded[1, first + j])
+        value = np.where(width > j, step, value)
+    return value, out_bounds
 
 
 def word_shingle_sets(column: pa.Array, k: int = 5) -> Iterator[np.ndarray]:
@@ -150,6 +152,6 @@ def word_shingle_sets(column: pa.Array, k: int = 5) -> Iterator[np.ndarray]:
     for piece in slices(column):
         data = lower_ascii(piece.data)
         words = runs(~is_space(data), piece.offsets)
-        values, bounds = shingles(hash_spans(data, words.start, words.end), words.bounds, k)
+        values, bounds = shingles(word_hashes(data, words.start, words.end), words.bounds, k)
         for i in range(len(bounds) - 1):
             yield np.unique(values[bounds[i] : bounds[i + 1]])

@@ -18,7 +18,7 @@ import pyarrow as pa
 from tidemark.llm.textkernel import hash_spans, slices
 
 #: Stretches kept by one task before it starts over: bounds its memory, not its result.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES, CACHE_BYTES = 1_000_000, 1 << 25
 #: Stretches given to the library as one text.
 JOIN = 64
 
@@ -38,6 +38,9 @@ class Encoder:
         self._count = np.zeros(0, np.int64)
         self._at = np.zeros(0, np.int64)
         self._ids = np.zeros(0, np.uint32)
+        self._begin = np.zeros(0, np.int64)  # the known stretches themselves, as a hash alone does not tell them apart
+        self._size = np.zeros(0, np.int64)
+        self._text = np.zeros(0, np.uint8)
         self._specials: list[bytes] = []
         self._splits = False
         if path.endswith(".model"):
@@ -93,6 +96,10 @@ class Encoder:
         start = np.flatnonzero(cut)
         end = np.append(start[1:], len(data))
         where = self._look_up(data, start, end, spaced[start])
+        if not self._same(data, start, end, where):  # two stretches of one hash: each text goes to the library whole
+            raw = data.tobytes()
+            yield from (np.asarray(self._encode([raw[a:b].decode("utf-8", "replace")])[0], np.uint32) for a, b in zip(offsets[:-1], offsets[1:]))
+            return
         count = self._count[where]
         bounds = np.concatenate([[0], np.cumsum(count)])
         flat = self._ids[np.repeat(self._at[where] - bounds[:-1], count) + np.arange(bounds[-1])]
@@ -100,23 +107,35 @@ class Encoder:
         for i in range(len(offsets) - 1):
             yield flat[at[i] : at[i + 1]]
 
+    def _same(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, where: np.ndarray) -> bool:
+        """Whether every stretch is, byte for byte, the known one that its hash leads to; stretches lie end to end."""
+        size = end - start
+        return bool((self._size[where] == size).all()) and np.array_equal(self._text[np.repeat(self._begin[where] - start, size) + np.arange(len(data))], data)
+
     def _look_up(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, spaced: np.ndarray) -> np.ndarray:
         distinct, example, back = np.unique(hash_spans(data, start, end), return_index=True, return_inverse=True)
-        if len(self._known) > CACHE_ENTRIES:
-            self._known, self._count, self._at, self._ids = self._known[:0], self._count[:0], self._at[:0], self._ids[:0]
+        if len(self._known) > CACHE_ENTRIES or len(self._text) > CACHE_BYTES:
+            for kept in ("_known", "_count", "_at", "_ids", "_begin", "_size", "_text"):
+                setattr(self, kept, getattr(self, kept)[:0])
         place = np.searchsorted(self._known, distinct)
         new = np.ones(len(distinct), bool)
         inside = place < len(self._known)
         new[inside] = self._known[place[inside]] != distinct[inside]
         if new.any():
             pick = example[new]
-            ids, at, count = self._encode_new(data.tobytes(), start[pick], end[pick], spaced[pick])
+            raw = data.tobytes()
+            ids, at, count = self._encode_new(raw, start[pick], end[pick], spaced[pick])
+            size = end[pick] - start[pick]
+            begin = len(self._text) + np.cumsum(size) - size
+            self._text = np.concatenate([self._text, np.frombuffer(b"".join(raw[a:b] for a, b in zip(start[pick].tolist(), end[pick].tolist())), np.uint8)])
             at += len(self._ids)
             self._ids = np.concatenate([self._ids, ids])
             spots = place[new]
             self._known = np.insert(self._known, spots, distinct[new])
             self._count = np.insert(self._count, spots, count)
             self._at = np.insert(self._at, spots, at)
+            self._begin = np.insert(self._begin, spots, begin)
+            self._size = np.insert(self._size, spots, size)
             place = np.searchsorted(self._known, distinct)
         return place[back]
 
