@@ -1,13 +1,14 @@
 """Benchmark decontamination by the q-gram lemma.
 
 A stretch of text within k edits of an item of m bytes shares at least m - q + 1 - k q of its q-grams, and their
-diagonals (place in the text less place in the item) differ by at most k. Shared q-grams are counted in diagonal bands
-2k wide that overlap by k; bands that reach the bound are aligned with the item, within the band, and kept if the
-distance is within the budget.
+diagonals (place in the text less place in the item) differ by at most k. A text that holds too few distinct q-grams of
+an item is left at once. For the rest, shared q-grams are counted in diagonal bands 2k wide that overlap by k; bands
+that reach the bound are aligned with the item, within the band, and kept if the distance is within the budget.
+Items too short for the lemma are searched for exactly, at word bounds.
 
 Texts and items are compared with A-Z and Latin capital letters lower-cased and white space runs as one space.
-The benchmark is the stated query set: it is taken in blocks of at most ``BLOCK_BYTES``, and every block meets all
-documents.
+The benchmark is the stated query set. Tasks read the documents once and take the items in blocks of at most
+``BLOCK_BYTES``, one block in memory at a time; a benchmark beyond ``PASS_BYTES`` takes one more reading for each such part.
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidemark.llm.language_id import fold_case
 from tidemark.llm.textkernel import is_space, slices
@@ -27,8 +30,12 @@ from tidemark.llm.textkernel import is_space, slices
 Q = 8
 #: Edits allowed, as a share of an item's bytes; short items allow fewer, so that LEAST q-grams must be shared.
 BUDGET, LEAST = 0.1, 6
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES, PASS_BYTES = 1 << 20, 1 << 28
 _TABLE_BITS = 22
+#: Pairs of a text's and an item's q-gram that are held at once.
+_HELD = 1 << 21
+#: Diagonals of neighbouring bands that are aligned in one go.
+_JOINED = 1 << 12
 
 
 def normalize(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -63,6 +70,11 @@ class Block:
     bounds: np.ndarray
     item: np.ndarray
     place: np.ndarray
+    own: np.ndarray  # items of each distinct q-gram, once each, in the order of ``grams``
+    own_times: np.ndarray  # how often the q-gram stands in that item
+    own_bounds: np.ndarray
+    short_ids: list
+    short: list[bytes]
 
 
 def _grams(data: np.ndarray) -> np.ndarray:
@@ -74,11 +86,15 @@ def _grams(data: np.ndarray) -> np.ndarray:
 
 def make_block(rows: list[tuple]) -> Block:
     ids, items, grams, item, place = [], [], [], [], []
+    short_ids, short = [], []
     for name, text in rows:
         raw = np.frombuffer((text or "").encode(), np.uint8)
         folded, _, _ = normalize(raw, np.array([0, len(raw)]))
         body = folded.tobytes().rstrip(b" ")
         if edit_budget(len(body)) < 0:
+            if body.strip():
+                short_ids.append(name)
+                short.append(body.strip())
             continue
         own = _grams(np.frombuffer(body, np.uint8))
         grams.append(own)
@@ -89,15 +105,19 @@ def make_block(rows: list[tuple]) -> Block:
     budget = np.array([edit_budget(len(s)) for s in items], np.int64)
     if not items:
         none = np.zeros(0, np.int64)
-        return Block(ids, items, budget, np.zeros(0, np.uint64), np.zeros(1, np.int64), none, none)
+        return Block(ids, items, budget, np.zeros(0, np.uint64), np.zeros(1, np.int64), none, none, none, none, np.zeros(1, np.int64), short_ids, short)
     flat, item, place = np.concatenate(grams), np.concatenate(item), np.concatenate(place)
     order = np.argsort(flat, kind="stable")
     distinct, first = np.unique(flat[order], return_index=True)
-    return Block(ids, items, budget, distinct, np.append(first, len(flat)), item[order], place[order])
+    bounds, item, place = np.append(first, len(flat)), item[order], place[order]
+    new = np.ones(len(item), bool)  # places of one gram are in the order of items
+    new[1:] = item[1:] != item[:-1]
+    new[first] = True
+    return Block(ids, items, budget, distinct, bounds, item, place, item[new], np.diff(np.append(np.flatnonzero(new), len(new))), np.concatenate([[0], np.cumsum(new)])[bounds], short_ids, short)
 
 
-def banded_distance(item: bytes, text: bytes, low: int, high: int) -> tuple[int, int, int]:
-    """Least edits between ``item`` and a stretch of ``text`` on diagonals low to high, and the stretch.
+def banded_costs(item: bytes, text: bytes, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Least edits between ``item`` and the stretches of ``text`` on diagonals low to high, by where they end: edits, begins, ends.
 
     Row i of the table holds the cells of the item's first i bytes at the text places i + low - 1 to i + high.
     """
@@ -125,8 +145,14 @@ def banded_distance(item: bytes, text: bytes, low: int, high: int) -> tuple[int,
         source = np.maximum.accumulate(np.where(level == least, ramp, 0))
         cost = np.where(inside, np.minimum(least + ramp, far), far)
         begin = from_[source]
+    return cost, np.maximum(begin, 0), place + len(s)
+
+
+def banded_distance(item: bytes, text: bytes, low: int, high: int) -> tuple[int, int, int]:
+    """The least of ``banded_costs`` and its stretch."""
+    cost, begin, end = banded_costs(item, text, low, high)
     at = int(np.argmin(cost))
-    return int(cost[at]), int(max(begin[at], 0)), int(place[at] + len(s))
+    return int(cost[at]), int(begin[at]), int(end[at])
 
 
 def least_distance(item: bytes, text: bytes) -> int:
@@ -150,11 +176,140 @@ def least_distance(item: bytes, text: bytes) -> int:
     return best
 
 
+def _spread(low: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """low[i], low[i] + 1, ... n[i] of them, one after another."""
+    return np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+def _runs_of(n: np.ndarray, limit: int = _HELD) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive entries whose sizes add up to ``limit`` at most, one entry at least."""
+    upto, at = np.cumsum(n), 0
+    while at < len(n):
+        stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + limit, side="right")))
+        yield at, stop
+        at = stop
+
+
+def _candidates(block: Block, bound: np.ndarray, doc: np.ndarray, spot: np.ndarray) -> np.ndarray:
+    """Pairs (text * items + item) in which the text holds enough distinct q-grams of the item; texts come in order."""
+    items = len(block.items)
+    if not len(doc):
+        return np.zeros(0, np.int64)
+    order = np.lexsort((spot, doc))
+    doc, spot = doc[order], spot[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (spot[1:] != spot[:-1])
+    doc, spot = doc[new], spot[new]
+    n = np.diff(block.own_bounds)[spot]
+    heads = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+    ends = np.append(heads[1:], len(doc))
+    out = []
+    for a, b in _runs_of(np.add.reduceat(n, heads)):
+        part = slice(heads[a], ends[b - 1])
+        post = _spread(block.own_bounds[spot[part]], n[part])
+        key, back = np.unique(np.repeat(doc[part], n[part]) * items + block.own[post], return_inverse=True)
+        # A q-gram that stands in an item more than once counts as often as it does there at most.
+        out.append(key[np.bincount(back, block.own_times[post], len(key)) >= bound[key % items]])
+    return np.concatenate(out)
+
+
+def _bands(item: bytes, budget: int, bound: int, gram: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Numbers of the diagonal bands of one text (the q-grams ``gram`` at the places ``at``) that reach the bound.
+
+    The text is taken in windows that overlap by more than a whole match, so that repeated q-grams never spread far.
+    """
+    own = _grams(np.frombuffer(item, np.uint8))
+    order = np.argsort(own, kind="stable")
+    distinct, first = np.unique(own[order], return_index=True)
+    times = np.diff(np.append(first, len(own)))
+    spot = np.minimum(np.searchsorted(distinct, gram), len(distinct) - 1)
+    real = distinct[spot] == gram
+    at, spot = at[real], spot[real]
+    if len(at) < bound:
+        return np.zeros(0, np.int64)
+    reach, width = len(item) + budget, max(budget, 1)
+    step = max(reach, min(_HELD // int(times[spot].max()), 8 * _HELD * width // len(item)))
+    found = []
+    for low in range(0, size, step):
+        a, b = np.searchsorted(at, [low, low + step + reach])
+        if b - a < bound:
+            continue
+        first_group = low // width
+        held = np.zeros(((step + reach + len(item)) // width + 3, len(own)), bool)  # groups of diagonals x places
+        for c, d in _runs_of(times[spot[a:b]]):
+            n = times[spot[a + c : a + d]]
+            place = order[_spread(first[spot[a + c : a + d]], n)]
+            # Several places of the text may hold one q-gram: distinct ones of the item are what the lemma counts.
+            held[(np.repeat(at[a + c : a + d], n) - place + len(item)) // width - first_group, place] = True
+        found.append(first_group + np.flatnonzero((held[:-1] | held[1:]).sum(1) >= bound))  # a band is two groups
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+
+def _align(item: bytes, budget: int, bands: np.ndarray, text: bytes) -> list[tuple[int, int, int]]:
+    """Edits, start and end of the stretches within the budget in some of a text's bands; of overlapping ones the best, then the first."""
+    width = max(budget, 1)
+    out, rest = [], []
+    for band in bands.tolist():
+        low = band * width - len(item)
+        begin = max(0, low - budget)
+        exact = text.find(item, begin, max(begin, low + 3 * width + len(item)))
+        if exact >= 0:
+            out.append((0, exact, exact + len(item)))
+        else:
+            rest.append(band)
+    # Neighbouring bands are aligned together, up to _JOINED diagonals.
+    runs: list[list[int]] = []
+    for band in rest:
+        if runs and band <= runs[-1][1] + 2 and (band - runs[-1][0]) * width < _JOINED:
+            runs[-1][1] = band
+        else:
+            runs.append([band, band])
+    for first, last in runs:
+        low, high = first * width - len(item), last * width - len(item) + 2 * width
+        begin = max(0, low - budget)
+        part = text[begin : max(begin, high + width + len(item))]
+        if least_distance(item, part) > budget:
+            continue
+        cost, starts, ends = banded_costs(item, part, low - begin - budget, high - begin + width)
+        taken = np.zeros(len(part) + 1, bool)
+        near = np.flatnonzero(cost <= budget)
+        for at in near[np.lexsort((ends[near], cost[near]))].tolist():
+            s, e = int(starts[at]), int(ends[at])
+            if e > s and not taken[s:e].any():
+                taken[s:e] = True
+                out.append((int(cost[at]), begin + s, begin + e))
+    return out
+
+
+def _short_hits(block: Block, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+    """Exact places of the short items, not inside a longer word; their numbers follow those of the long ones."""
+    body = np.concatenate([data, np.zeros(16, np.uint8)])
+    heads = np.ndarray((len(data),), "<u8", body, strides=(1,))
+    word = np.concatenate([[False], (data - np.uint8(97) < 26) | (data - np.uint8(48) < 10) | (data >= 0x80), [False]])
+    doc_of = lambda at: np.searchsorted(offsets, at, side="right") - 1
+    for i, item in enumerate(block.short):
+        want = np.frombuffer(item.ljust(16, b"\0"), np.uint64)
+        size = len(item)
+        at = np.flatnonzero((heads & np.uint64((1 << 8 * min(size, 8)) - 1)) == want[0])
+        for k in range(8, size):
+            at = at[body[at + k] == item[k]]
+        doc = doc_of(at)
+        fits = at + size <= offsets[doc + 1]
+        at, doc = at[fits], doc[fits]
+        inside = (word[at] & word[at + 1] & (at > offsets[doc])) | (word[at + size] & word[at + size + 1] & (at + size < offsets[doc + 1]))
+        end = -1
+        for a, d in zip(at[~inside].tolist(), doc[~inside].tolist()):
+            if a >= end:
+                yield d, len(block.items) + i, a - int(offsets[d]), a - int(offsets[d]) + size, 0
+                end = a + size
+
+
 def find_in_slice(block: Block, table: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """(text, item, start, end, edits) in folded bytes of each text."""
+    found: list[tuple[int, int, int, int, int]] = list(_short_hits(block, data, offsets)) if block.short and len(data) else []
     grams = _grams(data)
     if not len(grams) or not len(block.grams):
-        return []
+        return found
     at = np.flatnonzero(table[((grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)])
     spot = np.minimum(np.searchsorted(block.grams, grams[at]), len(block.grams) - 1)
     real = block.grams[spot] == grams[at]
@@ -162,51 +317,19 @@ def find_in_slice(block: Block, table: np.ndarray, data: np.ndarray, offsets: np
     doc = np.searchsorted(offsets, at, side="right") - 1
     whole = at + Q <= offsets[doc + 1]
     at, spot, doc = at[whole], spot[whole], doc[whole]
-    n = block.bounds[spot + 1] - block.bounds[spot]
-    post = np.repeat(block.bounds[spot] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    local = np.repeat(at - offsets[:-1][doc], n)
-    item, doc = block.item[post], np.repeat(doc, n)
-    lengths = np.array([len(s) for s in block.items], np.int64)
-    bound = lengths - Q + 1 - block.budget * Q
-    # A text that shares too few q-grams with an item anywhere cannot reach the bound in a band.
-    key = doc * len(block.items) + item
-    likely = np.bincount(key)[key] >= bound[item]
-    key, item, place, local = key[likely], item[likely], block.place[post][likely], local[likely]
-    if not len(key):
-        return []
-    base = int(lengths.max()) + 1
-    step = (local - place + base) // np.maximum(block.budget[item], 1)  # bands step and step - 1 hold the diagonal
-    width = int(step.max()) + 2
-    both = np.concatenate([key * width + step + 1, key * width + step])
-    bands, back, count = np.unique(both, return_inverse=True, return_counts=True)
-    band_item = (bands // width) % len(block.items)
-    enough = count >= bound[band_item]
-    # Several places of the text may hold one q-gram: distinct ones of the item are what the lemma counts.
-    hit = enough[back]
-    distinct = np.unique(back[hit] * base + np.concatenate([place, place])[hit])
-    enough &= np.bincount(distinct // base, minlength=len(bands)) >= bound[band_item]
-    found: list[tuple[int, int, int, int, int]] = []
-    for f in np.flatnonzero(enough):
-        pair, band = divmod(int(bands[f]), width)
-        d, i = divmod(pair, len(block.items))
-        own, allowed = block.items[i], int(block.budget[i])
-        low = (band - 1) * max(allowed, 1) - base
-        size = int(offsets[d + 1] - offsets[d])
-        begin = max(0, low - allowed)
-        text = data[offsets[d] + begin : offsets[d] + min(size, low + 3 * max(allowed, 1) + len(own))].tobytes()
-        exact = text.find(own)
-        if exact >= 0:
-            edits, s, e = 0, exact, exact + len(own)
-        elif least_distance(own, text) > allowed:
-            continue
-        else:
-            edits, s, e = banded_distance(own, text, low - begin - allowed, low - begin + 3 * max(allowed, 1))
-        if edits <= allowed:
-            found.append((d, i, begin + s, begin + e, edits))
+    bound = np.array([len(s) for s in block.items], np.int64) - Q + 1 - block.budget * Q
+    edge = np.searchsorted(doc, np.arange(len(offsets)))
+    hits: list[tuple[int, int, int, int, int]] = []
+    for d, i in (divmod(int(k), len(block.items)) for k in _candidates(block, bound, doc, spot)):
+        here = slice(edge[d], edge[d + 1])
+        own, allowed, size = block.items[i], int(block.budget[i]), int(offsets[d + 1] - offsets[d])
+        bands = _bands(own, allowed, int(bound[i]), grams[at[here]], at[here] - offsets[d], size)
+        text = data[offsets[d] : offsets[d + 1]].tobytes() if len(bands) else b""
+        hits += [(d, i, s, e, edits) for edits, s, e in _align(own, allowed, bands, text)]
     # Overlapping bands see one stretch twice: of overlapping ones of an item, the best stays.
     kept: list[tuple[int, int, int, int, int]] = []
     last: dict[tuple[int, int], int] = {}
-    for f in sorted(found, key=lambda x: (x[0], x[1], x[2], x[4])):
+    for f in sorted(hits, key=lambda x: (x[0], x[1], x[2], x[4])):
         spot_ = last.get(f[:2])
         if spot_ is not None and f[2] < kept[spot_][3]:
             if f[4] < kept[spot_][4]:
@@ -214,25 +337,51 @@ def find_in_slice(block: Block, table: np.ndarray, data: np.ndarray, offsets: np
             continue
         last[f[:2]] = len(kept)
         kept.append(f)
-    return kept
+    return found + kept
 
 
-def _search(block: Block, id_type: pa.DataType):
+def _table(block: Block) -> np.ndarray:
+    table = np.zeros(1 << _TABLE_BITS, bool)
+    table[((block.grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
+    return table
+
+
+class _Blocks:
+    """The blocks of one pass, as tasks see them; of several, only the one at work is in memory."""
+
+    def __init__(self, shared: list[Broadcast]):
+        self._shared = shared
+        self._one: tuple[Block, np.ndarray] | None = None
+
+    def __iter__(self) -> Iterator[tuple[Block, np.ndarray]]:
+        for rows in self._shared:
+            if self._one:
+                yield self._one
+                continue
+            block = make_block(rows.value)
+            pair = block, _table(block)
+            if len(self._shared) == 1:
+                self._one = pair
+            yield pair
+
+
+def _search(shared: list[Broadcast], id_type: pa.DataType):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << _TABLE_BITS, bool)
-        table[((block.grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
+        blocks = _Blocks(shared)
         for batch in batches:
             rows: list[tuple] = []
-            for piece in slices(batch.column("text")):
-                data, offsets, place = normalize(piece.data, piece.offsets)
-                for d, i, s, e, edits in find_in_slice(block, table, data, offsets):
-                    base = piece.offsets[d]
-                    head = place[offsets[d] + s] - base
-                    tail = place[offsets[d] + e - 1] + 1 - base
-                    raw = piece.data[base : base + tail]
-                    points = np.cumsum((raw & 0xC0) != 0x80)  # code points up to and with each byte
-                    start = int(points[head - 1]) if head else 0
-                    rows.append((piece.first + d, block.ids[i], start, int(points[-1]), edits, int(block.budget[i])))
+            for block, table in blocks:
+                for piece in slices(batch.column("text")):
+                    data, offsets, place = normalize(piece.data, piece.offsets)
+                    hits = find_in_slice(block, table, data, offsets)
+                    points: dict[int, np.ndarray] = {}
+                    for d, i, s, e, edits in hits:
+                        base = piece.offsets[d]
+                        if d not in points:
+                            points = {d: np.cumsum((piece.data[base : piece.offsets[d + 1]] & 0xC0) != 0x80)}  # code points up to and with each byte
+                        head, tail = place[offsets[d] + s] - base, place[offsets[d] + e - 1] - base
+                        name, budget = (block.ids[i], int(block.budget[i])) if i < len(block.ids) else (block.short_ids[i - len(block.ids)], 0)
+                        rows.append((piece.first + d, name, int(points[d][head - 1]) if head else 0, int(points[d][tail]), edits, budget))
             columns = list(zip(*rows)) if rows else [()] * 6
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(pa.array(columns[0], pa.int64())), pa.array(columns[1], id_type), *(pa.array(c, pa.int64()) for c in columns[2:])],
@@ -242,35 +391,59 @@ def _search(block: Block, id_type: pa.DataType):
     return run
 
 
-def blocks(benchmark: DataFrame) -> Iterator[Block]:
-    """The benchmark (item_id, text) in parts of bounded size."""
-    rows, size = [], 0
+def _clean(shared: list[Broadcast], text_col: str):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = _Blocks(shared)
+        for batch in batches:
+            keep = np.ones(len(batch), bool)
+            for block, table in blocks:
+                for piece in slices(batch.column(text_col)):
+                    data, offsets, _ = normalize(piece.data, piece.offsets)
+                    keep[[piece.first + hit[0] for hit in find_in_slice(block, table, data, offsets)]] = False
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
+def passes(benchmark: DataFrame) -> Iterator[list[Broadcast]]:
+    """The benchmark (item_id, text) as broadcast blocks of bounded size, so many at a time as ``PASS_BYTES`` allows."""
+    context = benchmark.sparkSession.sparkContext
+    out: list[Broadcast] = []
+    rows, size, total = [], 0, 0
     for r in benchmark.select("item_id", "text").toLocalIterator():
         rows.append((r.item_id, r.text))
         size += len((r.text or "").encode())
         if size >= BLOCK_BYTES:
-            yield make_block(rows)
+            out.append(context.broadcast(rows))
+            total += size
             rows, size = [], 0
-    yield make_block(rows)
+        if total >= PASS_BYTES:
+            yield out
+            out, total = [], 0
+    if rows or not out:
+        out.append(context.broadcast(rows))
+    yield out
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per stretch of a document within an item's edit budget: doc_id, item_id, start, end, edits, budget.
 
-    ``start`` and ``end`` are code points of the document's text. Null and empty texts hold nothing; items whose folded
-    text has fewer than ``Q + LEAST - 1`` bytes are not searched for; repeated rows and items each give rows; a null
-    id stays null; an empty table gives an empty result; other columns are ignored.
+    ``start`` and ``end`` are code points of the document's text. Null and empty texts and items hold nothing; items
+    whose folded text has fewer than ``Q + LEAST - 1`` bytes are found where they stand unchanged between word bounds;
+    repeated rows and items each give rows; a null id stays null; an empty table gives an empty result; other columns
+    are ignored.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     benchmark = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text"))
     kinds = [f.schema[c].dataType for f, c in ((docs, "doc_id"), (benchmark, "item_id"))]
-    from pyspark.sql.pandas.types import to_arrow_type
-
     shape = f"doc_id {kinds[0].simpleString()}, item_id {kinds[1].simpleString()}, start long, end long, edits long, budget long"
-    return reduce(DataFrame.union, (docs.mapInArrow(_search(b, to_arrow_type(kinds[1])), shape) for b in blocks(benchmark)))
+    return reduce(DataFrame.union, (docs.mapInArrow(_search(shared, to_arrow_type(kinds[1])), shape) for shared in passes(benchmark)))
+
 
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose text holds an item of the benchmark; rows without a text stay, and so do all columns.
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that hold an item of the benchmark; rows with a null id stay."""
-    leaked = find_leaks(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(leaked, id_col, "left_anti").select(*docs.columns)
+    Each row is judged where it is read, so that nothing is shuffled and rows that share an id are told apart.
+    """
+    benchmark = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text"))
+    return reduce(lambda kept, shared: kept.mapInArrow(_clean(shared, text_col), kept.schema), passes(benchmark), docs)
