@@ -49,6 +49,24 @@ def test_code_switched_documents_and_texts_of_one_id_stay(spark):
     assert corpus_pipeline.drop_near_duplicates(spark, pair, DATA).count() == 2
 
 
+def test_stages_of_odd_tables(spark):
+    rng = random.Random(7)
+    shape = "doc_id long, text string, lang string, source string, n_chars long, score double, digest binary, spans string, certainty string"
+    rows = [(i, talk(lang, 40, rng), lang, "s", 0, 1.0, b"x", "y", "z") for i, lang in enumerate(["en", "de", "es"] * 20)]
+    odd = [(None, talk("en", 30, rng), None, None, None, None, None, None, None), (None, None, None, None, None, None, None, None, None), (70, "", "en", "s", 0, 0.0, b"", "", ""), rows[0], rows[0]]
+    docs = spark.createDataFrame(rows + odd, shape)
+    for table in (docs, docs.limit(0), spark.createDataFrame(odd[:3], shape)):
+        out = table
+        for name, stage in corpus_pipeline.STAGES:
+            kept = stage(spark, out, DATA)
+            assert name == "packing" or kept.columns == table.columns
+            out = kept
+        out.collect()
+    first = corpus_pipeline.keep_known_languages(spark, docs, DATA)
+    assert first.filter("doc_id IS NULL").count() == 1 and first.count() == 63
+    assert corpus_pipeline.drop_near_duplicates(spark, docs, DATA).filter("doc_id IS NULL").count() == 2
+
+
 def test_one_document_of_each_group_stays(stages):
     before, after = texts(stages[1]), texts(stages[2])
     ids = sorted(before)

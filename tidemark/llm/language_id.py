@@ -5,8 +5,9 @@ character n-grams and the lexicons that hold it; the labels are languages, with
 posterior; a text's language is the one with the largest posterior sum, its score the mean posterior.
 
 Only texts carry labels, so training chains are made of runs of words of texts in known languages, which also shows
-the model how languages alternate. Training reads a bounded sample (``SAMPLE_DOCS`` texts a language, at most
-``SAMPLE_WORDS`` consecutive words of each), drawn by hash over all labelled rows; prediction reads every word.
+the model how languages alternate. Training reads a bounded sample of rows, ``SAMPLE_DOCS`` texts a language, drawn by
+hash over all labelled rows, and all of their texts: every word counts for the lexicons, and the runs of which chains
+are made are drawn by hash from all runs of these texts, in tasks. Prediction reads every word.
 """
 
 from __future__ import annotations
@@ -17,14 +18,16 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.sampling import sample_ids
+from tidemark.llm.scratch import Scratch
 from tidemark.llm.textkernel import SLICE_BYTES, Words, hash_spans, lower_ascii, mix, runs, slices
 
 SAMPLE_DOCS = 400
-SAMPLE_WORDS = 160
+#: Runs of words that chains are made of: so many in all, and a language at least.
+SAMPLE_RUNS = (8000, 150)
 HASH_BITS = 16
 #: Words of a training chain, and how many words of one language stand together in it.
 CHAIN, RUN = 48, (6, 32)
@@ -273,23 +276,83 @@ def predict_batch(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray
     return names, np.clip(np.asarray(scores, float), 0, 1), np.asarray(words_of, np.int64), np.clip(np.asarray(certain, float), 0, 1)
 
 
-def training_sample(labelled: DataFrame, docs: int = SAMPLE_DOCS) -> pd.DataFrame:
-    """``text`` and ``lang`` of up to ``docs`` rows a language, in the order of a hash of their ids."""
-    picked = F.broadcast(sample_ids(labelled, "lang", docs))
+@dataclass
+class Sample:
+    """What the driver gets to learn from, all of it bounded by the number of labels."""
+
+    labels: list[str]
+    lexicon: np.ndarray  # ordered word hashes
+    lexicon_of: np.ndarray
+    runs: pd.DataFrame  # lang and run: some consecutive words, folded
+
+
+def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, word (its hash), n of each batch."""
+    for batch in batches:
+        langs = np.asarray(batch.column("lang").to_pylist(), object)
+        for piece in slices(batch.column("text")):
+            data = fold_case(piece.data)
+            words = word_runs(data, piece.offsets)
+            names, code = np.unique(langs[piece.first : piece.first + len(piece.offsets) - 1], return_inverse=True)
+            hashes = hash_spans(data, words.start, words.end)
+            for k, name in enumerate(names):
+                word, n = np.unique(hashes[code[words.doc] == k], return_counts=True)
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(word), pa.string()), "word": pa.array(word.view(np.int64)), "n": pa.array(n)})
+
+
+def _cut_runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, order, run: the whole texts as consecutive runs, whose lengths and order come from the hash ``seed``."""
+    for batch in batches:
+        seeds = np.asarray(batch.column("seed")).view(np.uint64)
+        for piece in slices(batch.column("text")):
+            data = fold_case(piece.data)
+            words = word_runs(data, piece.offsets)
+            lang, order, run = [], [], []
+            for d in range(len(piece.offsets) - 1):
+                at, stop = int(words.bounds[d]), int(words.bounds[d + 1])
+                step = mix(seeds[piece.first + d] + np.arange((stop - at) // RUN[0] + 1, dtype=np.uint64))
+                ends = np.minimum(at + np.cumsum(RUN[0] + (step % np.uint64(RUN[1] - RUN[0])).astype(np.int64)), stop)
+                for j, end in enumerate(ends.tolist()):
+                    if at >= stop:
+                        break
+                    lang.append(batch.column("lang")[piece.first + d])
+                    order.append(int(mix(step[j : j + 1]).view(np.int64)[0]))
+                    run.append(data[words.start[at] : words.end[end - 1]].tobytes().decode("utf-8", "replace"))
+                    at = end
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([x.as_py() for x in lang], pa.string()), "order": pa.array(order, pa.int64()), "run": pa.array(run, pa.string())})
+
+
+def training_sample(labelled: DataFrame, docs: int = SAMPLE_DOCS) -> Sample:
+    """From the whole texts of up to ``docs`` rows a language: lexicons (frequent words that one language mostly owns) and runs."""
+    scratch = Scratch(labelled.sparkSession, "language-id")
+    picked = sample_ids(labelled, "lang", docs)
     near = labelled.select("doc_id", "lang", "text").join(picked, ["doc_id", "lang"], "left_semi")
-    # A bounded stretch of each text, from a place that its id's hash chooses.
-    length, span = F.length("text"), 12 * SAMPLE_WORDS
-    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("place")), F.greatest(length - span, F.lit(0)) + 1)
-    cut = near.select("doc_id", "lang", F.substring(F.coalesce("text", F.lit("")), place.cast("int") + 1, F.lit(span)).alias("text"))
     # Rows that repeat an id count once.
-    return cut.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).toPandas().sort_values(["lang", "doc_id"], ignore_index=True)
-
-
-def fit(sample: pd.DataFrame, seed: int = 7) -> Model:
-    """Maximum conditional likelihood by Adam on chains mixed from the sample's texts."""
-    labels = sorted(sample["lang"].unique()) or [UNDETERMINED]
+    near = near.groupBy("doc_id", "lang").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    near = scratch.keep(near.select("lang", F.xxhash64(F.col("doc_id").cast("string")).alias("seed"), "text"), "sample")
+    labels = sorted(r.lang for r in near.select("lang").distinct().collect())
+    counts = scratch.keep(near.mapInArrow(_count_words, "lang string, word long, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    shares = counts.join(F.broadcast(totals), "lang").withColumn("share", F.col("n") / F.col("total"))
+    best = F.max(F.struct("share", F.col("n").alias("own"), "lang"))
+    words = shares.groupBy("word").agg(F.sum("n").alias("n"), F.sum("share").alias("shares"), best.alias("best")).filter("n >= 4 AND best.share >= 0.8 * shares").select("word", "best.lang", "best.own")
+    first = lambda order, most: F.row_number().over(Window.partitionBy("lang").orderBy(*order)) <= most
+    chosen = words.withColumn("ok", first((F.desc("own"), F.col("word")), LEXICON_WORDS)).filter("ok").select("word", "lang").collect()
+    lexicon = np.array([r.word for r in chosen], np.int64).view(np.uint64)
+    ranked = np.argsort(lexicon)
+    most = max(SAMPLE_RUNS[1], SAMPLE_RUNS[0] // max(len(labels), 1))
+    runs = near.mapInArrow(_cut_runs, "lang string, order long, run string")
+    runs = runs.withColumn("ok", first((F.col("order"), F.col("run")), most)).filter("ok").select("lang", "order", "run").toPandas()
+    scratch.keep_only()
+    return Sample(labels, lexicon[ranked], np.array([labels.index(r.lang) for r in chosen], np.int64)[ranked], runs.sort_values(["lang", "order", "run"], ignore_index=True))
+
+
+def fit(sample: Sample, seed: int = 7) -> Model:
+    """Maximum conditional likelihood by Adam on chains mixed from the sample's runs."""
+    labels = sample.labels or [UNDETERMINED]
     rng = np.random.default_rng(seed)
-    column = pa.array(sample["text"], pa.string())
+    lexicon, lexicon_of = sample.lexicon, sample.lexicon_of
+    column = pa.array(sample.runs["run"], pa.string())
     parts = [(p.first, fold_case(p.data), p.offsets) for p in slices(column, 1 << 40)]
     empty = Model(labels, np.zeros((1 << HASH_BITS, len(labels)), np.float32), np.zeros((len(labels),) * 2), np.zeros(0, np.uint64), np.zeros(0, np.int64))
     if not parts:
@@ -300,37 +363,26 @@ def fit(sample: pd.DataFrame, seed: int = 7) -> Model:
         return empty
     hashes = hash_spans(data, words.start, words.end)
     distinct, example, word = np.unique(hashes, return_index=True, return_inverse=True)
-    label_of = np.array([labels.index(x) for x in sample["lang"]])[words.doc]
     k = len(labels)
-    # Lexicons: each language's most frequent words that it mostly owns.
-    counts = np.bincount(word * k + label_of, minlength=len(distinct) * k).reshape(-1, k).astype(float)
-    share = counts / np.maximum(counts.sum(0), 1)
-    owner = share.argmax(1)
-    owned = (share.max(1) >= 0.8 * share.sum(1)) & (counts.sum(1) >= 4)
-    pick = np.concatenate([np.flatnonzero(owned & (owner == c))[np.argsort(-counts[owned & (owner == c), c], kind="stable")[:LEXICON_WORDS]] for c in range(k)]).astype(np.int64)
-    pick = np.sort(pick)  # distinct is ordered, so the lexicon is too
-    lexicon, lexicon_of = distinct[pick], owner[pick]
     features, rows = [], []
     for feature, own in word_features(data, words.start[example], words.end[example], distinct, lexicon, lexicon_of):
         features.append(feature)
         rows.append(np.arange(len(distinct)) if own is None else own)
     feature, row = np.concatenate(features), np.concatenate(rows)
-    # Chains: runs of one language's words, taken in text order from random texts, until CHAIN words stand there.
-    by_label = [np.flatnonzero(label_of == c) for c in range(k)]
+    # Chains: runs of random languages until CHAIN words stand there.
+    langs = sample.runs["lang"].to_numpy()
+    by_label = [np.flatnonzero((langs == name) & (np.diff(words.bounds) > 0)) for name in labels]
     chains = max(64, min(max(3000, k * LABEL_WORDS // CHAIN), len(hashes) // CHAIN))
     flat, tags = np.zeros((chains, CHAIN), np.int64), np.zeros((chains, CHAIN), np.int64)
     for c in range(chains):
         at = 0
-        lang = int(rng.integers(k))
         while at < CHAIN:
-            n = min(CHAIN - at, int(rng.integers(*RUN)))
-            own = by_label[lang]
-            if len(own):
-                s = int(rng.integers(len(own)))
-                run = own[s : s + n]
-                flat[c, at : at + len(run)], tags[c, at : at + len(run)] = word[run], lang
-                at += len(run)
             lang = int(rng.integers(k))
+            if len(by_label[lang]):
+                d = int(rng.choice(by_label[lang]))
+                run = word[words.bounds[d] : words.bounds[d + 1]][: CHAIN - at]
+                flat[c, at : at + len(run)], tags[c, at : at + len(run)] = run, lang
+                at += len(run)
     weights = np.zeros((1 << HASH_BITS, k))
     transitions = np.zeros((k, k))
     moments = [np.zeros_like(weights), np.zeros_like(weights), np.zeros_like(transitions), np.zeros_like(transitions)]
@@ -374,15 +426,30 @@ def fit(sample: pd.DataFrame, seed: int = 7) -> Model:
     return Model(labels, weights.astype(np.float32), transitions, lexicon, lexicon_of)
 
 
-def _run(model: Model):
+_VERDICT = (("lang_pred", "string", pa.string()), ("score", "double", pa.float64()), ("n_words", "long", pa.int64()), ("certainty", "double", pa.float64()))
+
+
+def _run(model: Model, least: float | None = None):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores, words, certain = predict_batch(model, batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores), pa.array(words), pa.array(certain)], ["doc_id", "lang_pred", "score", "n_words", "certainty"])
+            found = predict_batch(model, batch.column("text"))
+            if least is None:
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, v[2]) for c, v in zip(found, _VERDICT))], ["doc_id", *(v[0] for v in _VERDICT)])
+            else:
+                yield batch.filter(pa.array((np.asarray(found[0], object) != UNDETERMINED) & (found[3] >= least)))
 
     return run
 
 
+def keep_certain(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """Rows whose words are at least ``least`` certain, on average, of some known language, with all their columns.
+
+    Texts that are null or have no letters go. Each row is judged where it is read, so that nothing is shuffled and rows
+    without an id, or of one id, are told apart.
+    """
+    return docs.mapInArrow(_run(model, least), docs.schema)
+
+
 def train(labelled: DataFrame, docs: int = SAMPLE_DOCS) -> Model:
     """Learn from ``text`` and non-null ``lang`` of the given rows, at most ``docs`` of them a language."""
     return fit(training_sample(labelled, docs))
@@ -398,7 +465,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.mapInArrow(_run(model), f"doc_id {kind}, lang_pred string, score double, n_words long, certainty double")
+    out = docs.mapInArrow(_run(model), f"doc_id {kind}, " + ", ".join(f"{v[0]} {v[1]}" for v in _VERDICT))
     return out if certainty else out.drop("certainty")
 
 

@@ -22,6 +22,8 @@ FRAME, HOP, RATE = 576, 288, 8000
 BANDS = (2, 18, 48, 112, 289)
 #: A pair joins a peak to the next band's peak this many frames later.
 STEPS = (1, 2)
+#: Power below which a band is silent: about what rounding leaves of a constant level.
+SILENT = 1.0
 _WINDOW = np.hanning(FRAME).astype(np.float32)
 _FRAMES_AT_ONCE = 4096
 
@@ -46,7 +48,7 @@ def read_wav(data: bytes) -> tuple[np.ndarray, int]:
 
 
 def peaks(samples: np.ndarray) -> np.ndarray:
-    """frames x bands: the loudest bin of each band in each frame."""
+    """frames x bands: the loudest bin of each band in each frame, 0 where a band holds nothing above ``SILENT``."""
     frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP]
     out = np.empty((len(frames), len(BANDS) - 1), np.int32)
     for at in range(0, len(frames), _FRAMES_AT_ONCE):
@@ -54,7 +56,9 @@ def peaks(samples: np.ndarray) -> np.ndarray:
         spectrum = np.fft.rfft(block)
         power = spectrum.real**2 + spectrum.imag**2
         for b, (low, high) in enumerate(zip(BANDS[:-1], BANDS[1:])):
-            out[at : at + len(block), b] = low + np.argmax(power[:, low:high], 1)
+            part = power[:, low:high]
+            best = np.argmax(part, 1)
+            out[at : at + len(block), b] = np.where(part[np.arange(len(part)), best] > SILENT, low + best, 0)
     return out
 
 
@@ -67,8 +71,9 @@ def fingerprint(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if n <= step:
             continue
         a, b = bins[:-step], np.roll(bins[step:], -1, 1)
-        codes.append(((a << 12) | (b << 2) | step).reshape(-1))
-        times.append(np.repeat(np.arange(n - step, dtype=np.int32), bands))
+        heard = ((a > 0) & (b > 0)).reshape(-1)
+        codes.append(((a << 12) | (b << 2) | step).reshape(-1)[heard])
+        times.append(np.repeat(np.arange(n - step, dtype=np.int32), bands)[heard])
     if not codes:
         return np.zeros(0, np.int32), np.zeros(0, np.int32)
     time, code = np.concatenate(times), np.concatenate(codes).astype(np.int32)

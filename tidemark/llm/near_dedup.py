@@ -36,6 +36,8 @@ SIGMAS = 5.0
 BLOCK_SHINGLES = 1 << 15
 #: Classes of one component that stand in blocks of their own, which need not meet each other.
 LARGE = 64
+#: Parts into which the classes of one home are dealt where they meet facts about it, as one home may have most of them.
+SALTS = 64
 _CHANCE = 4 * 0.17 / (1 << MANTISSA)
 _BUCKET_BITS = REGISTERS.bit_length() - 1
 
@@ -183,28 +185,48 @@ def connected_components(links: DataFrame, scratch: Scratch, name: str, a: str =
     return roots
 
 
+def _near(regs: np.ndarray, sizes: np.ndarray, i: int) -> np.ndarray:
+    """Later classes, in order of size, whose sketches do not rule out a link with class i."""
+    stop = int(np.searchsorted(sizes * SHARE, sizes[i] * SHARE_OF, side="right"))  # sizes grow, so partners are a run
+    if stop <= i + 1:
+        return np.zeros(0, np.int64)
+    goal, rest = SHARE / SHARE_OF, slice(i + 1, stop)
+    filled = (regs[rest] > 0) | (regs[i] > 0)
+    used = filled.sum(1)
+    same = ((regs[rest] == regs[i]) & filled).sum(1)
+    ratio = sizes[i] / sizes[rest]
+    guess = (same - _CHANCE * ratio / (1 + ratio) ** 2 * used) / np.maximum(used, 1)
+    return np.flatnonzero(guess + SIGMAS * np.sqrt(goal * (1 - goal) / np.maximum(used, 1)) >= goal) + i + 1
+
+
+def _sorted_block(group: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+    group = group.drop_duplicates("node").sort_values("n", ignore_index=True)
+    return group, group["n"].to_numpy(), np.stack([np.frombuffer(r, np.uint16) for r in group["regs"]])
+
+
+def _screen_blocks(group: pd.DataFrame) -> pd.DataFrame:
+    """Classes of a pair of blocks with a partner of another component that their sketches allow; only their sets are needed."""
+    pair = group["pair"].iloc[0]
+    group, sizes, regs = _sorted_block(group)
+    root = group["root"].to_numpy()
+    wanted = np.zeros(len(group), bool)
+    for i in range(len(group)):
+        near = _near(regs, sizes, i)
+        near = near[root[near] != root[i]]
+        if len(near):
+            wanted[i] = wanted[near] = True
+    return pd.DataFrame({"pair": pair, "node": group["node"][wanted]})
+
+
 def _compare_blocks(group: pd.DataFrame) -> pd.DataFrame:
     """Links between classes of different components in a pair of blocks; a link joins them for what follows."""
-    group = group.drop_duplicates("node").sort_values("n", ignore_index=True)
-    sizes = group["n"].to_numpy()
-    regs = np.stack([np.frombuffer(r, np.uint16) for r in group["regs"]])
+    group, sizes, regs = _sorted_block(group)
     sets: dict[int, np.ndarray] = {}
     members = group["members"].to_list()
     root = group["root"].to_numpy().copy()
-    goal = SHARE / SHARE_OF
     found = []
     for i in range(len(group)):
-        stop = int(np.searchsorted(sizes * SHARE, sizes[i] * SHARE_OF, side="right"))  # sizes grow, so partners are a run
-        if stop <= i + 1:
-            continue
-        rest = slice(i + 1, stop)
-        filled = (regs[rest] > 0) | (regs[i] > 0)
-        used = filled.sum(1)
-        same = ((regs[rest] == regs[i]) & filled).sum(1)
-        ratio = sizes[i] / sizes[rest]
-        guess = (same - _CHANCE * ratio / (1 + ratio) ** 2 * used) / np.maximum(used, 1)
-        near = guess + SIGMAS * np.sqrt(goal * (1 - goal) / np.maximum(used, 1)) >= goal
-        for j in np.flatnonzero(near) + i + 1:
+        for j in _near(regs, sizes, i):
             if root[i] == root[j]:
                 continue
             for k in (i, j):
@@ -222,11 +244,17 @@ def _blocks(mixed: DataFrame) -> DataFrame:
     Large components stand apart from the rest, so that blocks of one component do not meet.
     """
     nodes = mixed.groupBy("node").agg(F.min("leader").alias("home"), F.first("root").alias("root"), F.first("n").alias("n"))
+    nodes = nodes.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+
+    def salted(facts: DataFrame) -> DataFrame:
+        """One row of each salt; facts are only of groups that are large, so their rows stay fewer than the classes'."""
+        return facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
     weights = nodes.groupBy("home", "root").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= LARGE).select("home", "root", F.lit(True).alias("large"))
-    tagged = nodes.join(weights, ["home", "root"], "left").withColumn("part", F.when(F.col("large"), F.hex("root")).otherwise("")).withColumn("size", F.floor(F.log(F.col("n")) / F.log(F.lit(SHARE_OF / SHARE))))
+    tagged = nodes.join(salted(weights), ["home", "root", "salt"], "left").withColumn("part", F.when(F.col("large"), F.hex("root")).otherwise("")).withColumn("size", F.floor(F.log(F.col("n")) / F.log(F.lit(SHARE_OF / SHARE))))
     group = ["home", "part", "size"]
-    slots = tagged.groupBy(*group).agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("slots"))
-    placed = tagged.join(slots, group).withColumn("slot", F.pmod(F.xxhash64("node"), F.col("slots")))
+    slots = tagged.groupBy(*group).agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("slots")).filter("slots > 1")
+    placed = tagged.join(salted(slots), [*group, "salt"], "left").withColumn("slot", F.pmod(F.xxhash64("node", F.lit("slot")), F.coalesce("slots", F.lit(1))))
     return placed.select("node", "root", "n", "part", "size", F.struct(*group, "slot").alias("block"))
 
 
@@ -276,13 +304,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     meet = (F.col("one.key") == F.col("two.key")) & (F.col("one.block") <= F.col("two.block")) & ((F.col("one.part") != F.col("two.part")) | (F.col("one.part") == "")) & (F.abs(F.col("one.size") - F.col("two.size")) <= 1)
     pairs = scratch.keep(one.join(two, meet).select(F.col("one.block").alias("x"), F.col("two.block").alias("y")).distinct(), "block-pairs")
     sides = pairs.select(F.xxhash64("x", "y").alias("pair"), F.explode(F.array("x", "y")).alias("block")).distinct()
-    stored = blocks.select("node", "root", "n", "block").join(full, "node")
-    dealt = sides.join(stored, "block").select("pair", "node", "root", "n", "regs", "members")
+    # Sketches travel first; the sets follow only for classes that they leave in doubt.
+    stored = scratch.keep(blocks.select("node", "root", "n", "block").join(full.select("node", "regs"), "node"), "stored")
+    sketched = sides.join(stored, "block").select("pair", "node", "root", "n", "regs")
+    wanted = scratch.keep(sketched.groupBy("pair").applyInPandas(_screen_blocks, "pair long, node binary"), "wanted")
+    dealt = wanted.join(full, "node").join(stored.select("node", "root", "n"), "node").select("pair", "node", "root", "n", "regs", "members")
     links = links.union(scratch.keep(dealt.groupBy("pair").applyInPandas(_compare_blocks, "a binary, b binary"), "block-links"))
     roots = connected_components(links, scratch, "last")
     grouped = classes.join(roots, classes["digest"] == roots["node"], "left").select("digest", "rep", F.coalesce("root", "digest").alias("root"))
     least = grouped.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = scratch.keep(grouped.join(least, "root").select("digest", "component_id"), "components")
+    scratch.keep_only("sketches", "components")
     out = sketches.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

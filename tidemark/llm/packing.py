@@ -1,8 +1,9 @@
 """Packing documents into training sequences by vector best-fit.
 
 Every sequence has three capacities: tokens, documents and attention cost (the sum of squared lengths). Longer pieces
-go first; each takes, of the open sequences that have room in all three, the one whose residual fits best, by the
-weighted dot product of demand and residual or by the norm of the residual left.
+go first; by the norm rule each takes, of the open sequences that have room in all three, the one that it leaves with
+the least weighted norm of the residual. By the dot rule one sequence is filled at a time, with the piece that fits and
+has the largest weighted dot product of demand and residual.
 
 Pieces are dealt at random into bins of about ``GROUP`` pieces, which are packed apart: thousands of pieces leave a
 part of one sequence unused, so the result is as tight as packing all at once.
@@ -32,7 +33,11 @@ GROUP = 4096
 
 @dataclass(frozen=True)
 class Capacity:
-    """What one sequence holds. The defaults of documents and attention bind only if they are lowered."""
+    """What one sequence holds.
+
+    No set of pieces within ``tokens`` costs more attention than its square, so that capacity binds only below it; one
+    piece of ``tokens`` must still fit.
+    """
 
     tokens: int = 1024
     documents: int = 1024
@@ -43,6 +48,8 @@ class Capacity:
 
 def pack_vectors(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, np.ndarray]:
     """Bin and offset of each piece; lengths are 1 to ``capacity.tokens``. Ties go to the sequence opened first."""
+    if capacity.rule == "dot":
+        return _pack_by_dot(lengths, capacity)
     n = len(lengths)
     bins, offsets = np.zeros(n, np.int64), np.zeros(n, np.int64)
     full = np.array([capacity.tokens, capacity.documents, capacity.attention], float)
@@ -60,13 +67,7 @@ def pack_vectors(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, n
         spots = np.flatnonzero(fits)
         if len(spots):
             left = room[:, spots]
-            if capacity.rule == "dot":
-                # the largest dot product of normalised demand and residual would take the emptiest; of feasible
-                # sequences the tightest is the one whose residual points least beyond the demand
-                gain = (left * (need * weights * weights)[:, None]).sum(0)
-            else:
-                gain = (((left - need[:, None]) * weights[:, None]) ** 2).sum(0)
-            spot = spots[np.argmin(gain)]
+            spot = spots[np.argmin((((left - need[:, None]) * weights[:, None]) ** 2).sum(0))]
         else:
             if live == len(names):
                 rest = np.concatenate([rest, np.zeros_like(rest)], 1)
@@ -83,6 +84,33 @@ def pack_vectors(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, n
     return bins, offsets
 
 
+def _pack_by_dot(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, np.ndarray]:
+    """Sequences filled one by one; pieces of one length are alike, so each step weighs the lengths that are left."""
+    bins, offsets = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+    order = np.argsort(lengths, kind="stable")
+    size, first, count = np.unique(lengths[order], return_index=True, return_counts=True)
+    full = np.array([capacity.tokens, capacity.documents, capacity.attention], float)
+    need = np.stack([size, np.ones(len(size)), size.astype(float) ** 2], 1)
+    if len(size) and np.any(need > full):
+        raise ValueError(f"a piece of {int(size[-1])} tokens exceeds a sequence's capacities")
+    weights = np.asarray(capacity.weights) / full**2
+    left, opened = len(lengths), 0
+    while left:
+        rest = full.copy()
+        while True:
+            fits = (count > 0) & (need <= rest).all(1)
+            if not fits.any():
+                break
+            k = int(np.argmax(np.where(fits, need @ (rest * weights), -1.0)))
+            count[k] -= 1
+            i = order[first[k] + count[k]]
+            bins[i], offsets[i] = opened, int(full[0] - rest[0])
+            rest -= need[k]
+            left -= 1
+        opened += 1
+    return bins, offsets
+
+
 def piece_bounds(n: int, size: int) -> list[tuple[int, int]]:
     """Starts and lengths of a document's pieces; a document longer than ``size`` is cut, its first piece shorter."""
     if n <= size:

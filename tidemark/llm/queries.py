@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,13 +16,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cache starts empty on every call, so that a call's cost and result stand for themselves."""
-    cache = token_counts.default_cache(spark, uuid.uuid4().hex)
-    counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), cache)
+    """Token counts of all documents. The cache lies in the shared folder: a later call finds the counts of this one.
+
+    Null and empty texts have no tokens; ``cached`` tells which texts the cache knew already.
+    """
+    counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), token_counts.default_cache(spark))
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the labelled ones that are not held out; ``und`` without letters.
+
+    Of languages with equal evidence the first in order is given; repeated rows and null ids keep their rows.
+    """
     docs = table(spark, sf_dir, "documents")
     model = language_id.train(docs.filter(~language_id.held_out()))
     # A row is told apart by its id alone, so the flag is recomputed from it.
@@ -32,53 +36,81 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document; texts without words, and rows without an id, stand alone."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stretch of a document that is an item of the benchmark within its edit budget; null texts hold none."""
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document; null and empty texts hold none."""
     return pii.detect(table(spark, sf_dir, "documents"))
 
 
 def op6_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages as WARC records against a replica in which the records of every 97th page are damaged."""
+    """The pages as WARC records against a replica: every 97th page is damaged, every 101st lost, and after every 103rd
+    stands a record that is not among the pages. One row per record of either; null fields are empty in a record."""
     pages = table(spark, sf_dir, "pages")
-    # one byte of the body, so that no range moves
-    hit = (F.col("page_id") % 97 == 13) & F.ascii("html").between(1, 127)
-    body = F.when(hit, F.concat(F.when(F.startswith("html", F.lit("~")), "!").otherwise("~"), F.substring("html", 2, 2**31 - 1))).otherwise(F.col("html"))
-    sides = [pages.select(F.col("page_id").alias("record_id"), warc_fixity.warc_record(F.col("page_id"), F.col("url"), h).alias("record")) for h in (F.col("html"), body)]
-    return warc_fixity.audit(*sides).withColumnRenamed("record_id", "page_id").withColumnsRenamed({"start": "start_offset", "end": "end_offset"})
+    id_, url, html = F.col("page_id"), F.col("url"), F.col("html")
+    hit = (id_ % 97 == 13) & F.ascii("html").between(1, 127)
+    body = F.when(hit, F.concat(F.when(F.startswith("html", F.lit("~")), "!").otherwise("~"), F.substring("html", 2, 2**31 - 1))).otherwise(html)
+    record = lambda key, text: (key.alias("record_id"), warc_fixity.warc_record(key, url, text).alias("record"))
+    kept = pages.filter(~F.coalesce(id_ % 101 == 17, F.lit(False)))
+    replica = kept.select(*record(id_, body)).union(pages.filter(id_ % 103 == 29).select(*record(-1 - id_, html)))
+    return warc_fixity.audit(pages.select(*record(id_, html)), replica).withColumnRenamed("record_id", "page_id").withColumnsRenamed({"start": "start_offset", "end": "end_offset"})
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 1024 tokens; a null or empty text is its end token."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), end_id=2)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labelled ones that are not held out; a null text counts as empty."""
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels").filter(~language_id.held_out()))
     return toxicity.score_toxicity(docs, model).withColumn("held_out", language_id.held_out())
 
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page's url; a null url has neither host nor path and is judged by the model."""
     weights, intercept = url_filter.train(url_filter.labelled_urls(spark))
     return url_filter.judge(table(spark, sf_dir, "pages"), weights, intercept)
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.text_to_audio(table(spark, sf_dir, "documents"), arrays=False).drop("sample_rate")
+    """Every document's bytes as audio, with the time-coded fingerprint; a null text is one frame of padding."""
+    return media.text_to_audio(table(spark, sf_dir, "documents")).drop("sample_rate")
+
+
+def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kinds of op5 that SQL can say."""
+    return op5_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_minhash_near_dedup, op4_decontamination, op5_pii, op6_warc_fixity, op7_best_fit_packing, op8_toxicity, op9_url_filters, op10_media_columns)}
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op9 that SQL can say."""
+    return op9_url_filters(spark, sf_dir).select("page_id", "host", "path", "rule")
+
+
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sizes and hashes of op10, without the transforms."""
+    return op10_media_columns(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "media_bytes", "media_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_minhash_near_dedup, op4_decontamination, op5_pii, op6_warc_fixity, op7_best_fit_packing, op8_toxicity, op9_url_filters, op10_media_columns, pii_base_spans, url_rules, media_payloads)}
 _LINE = "chr(13) || chr(10)"
 _RECORD = (
     f"'WARC/1.1' || {_LINE} || 'WARC-Type: resource' || {_LINE} || 'WARC-Record-ID: <urn:page:' || page_id || '>' || {_LINE} || 'WARC-Target-URI: ' || coalesce(url, '') || {_LINE}"
     f" || 'Content-Length: ' || strlen(coalesce(html, '')) || {_LINE} || {_LINE} || coalesce(html, '') || {_LINE} || {_LINE}"
 )
 
+#: E-mail, address, card and phone, as they are defined.
+_BASE = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", r"[0-9]+(?:\.[0-9]+){3}", r"[0-9](?:[ -]?[0-9])+", r"\+[0-9][ ().0-9-]+[0-9]")
+
 ORACLE_SQL: dict[str, str] = {
     "op3_minhash_near_dedup": r"""
         WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
@@ -91,10 +123,46 @@ ORACLE_SQL: dict[str, str] = {
         c AS (SELECT d, min(m) AS m FROM r GROUP BY d)
         SELECT doc_id, len(s)::BIGINT AS n_shingles, m AS component_id, doc_id = m AS kept FROM s JOIN c ON d = doc_id""",
     "op6_warc_fixity": f"""
-        WITH r AS (SELECT page_id, page_id % 97 = 13 AND ascii(html) BETWEEN 1 AND 127 AS damaged, {_RECORD} AS record FROM pages),
-        d AS (SELECT page_id, damaged, sha256(record) AS digest, strlen(record) AS n, count(*) AS copies FROM r GROUP BY ALL),
-        o AS (SELECT *, sum(n * copies) OVER (ORDER BY page_id NULLS FIRST, digest ROWS UNBOUNDED PRECEDING) AS upto FROM d)
+        WITH r AS (SELECT page_id, page_id % 97 = 13 AND ascii(html) BETWEEN 1 AND 127 AS damaged, page_id % 101 = 17 AS lost, {_RECORD} AS record FROM pages),
+        d AS (SELECT page_id, damaged, lost, sha256(record) AS digest, strlen(record) AS n, count(*) AS copies FROM r GROUP BY ALL),
+        o AS (SELECT *, sum(n * copies) OVER (ORDER BY page_id NULLS FIRST, digest ROWS UNBOUNDED PRECEDING) AS upto FROM d),
+        a AS (SELECT -1 - page_id AS page_id, url, html FROM pages WHERE page_id % 103 = 29),
+        x AS (SELECT page_id, sha256({_RECORD}) AS digest, strlen({_RECORD}) AS n, count(*) AS copies FROM a GROUP BY ALL),
+        y AS (SELECT *, sum(n * copies) OVER (ORDER BY page_id, digest ROWS UNBOUNDED PRECEDING) AS upto FROM x)
         SELECT page_id, copies::BIGINT AS copies, (upto - n * copies)::BIGINT AS start_offset, upto::BIGINT AS end_offset, digest AS record_sha256,
-            coalesce(damaged, FALSE) AS corrupt
-        FROM o""",
+            coalesce(damaged OR lost, FALSE) AS corrupt, CASE WHEN lost THEN 'missing' WHEN damaged THEN 'corrupt' ELSE 'same' END AS status
+        FROM o UNION ALL SELECT page_id, copies::BIGINT, (upto - n * copies)::BIGINT, upto::BIGINT, digest, TRUE, 'extra' FROM y""",
+    "pii_base_spans": rf"""
+        WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+        f AS ({" UNION ALL ".join(f"SELECT r, '{k}' AS kind, {i} AS o, regexp_extract_all(t, '{p}') AS m, string_split_regex(t, '{p}') AS g FROM t" for i, (k, p) in enumerate(zip(("email", "ip", "card", "phone"), _BASE)))}),
+        u AS (SELECT r, kind, o, m, g, unnest(range(1, len(m) + 1)) AS i FROM f WHERE len(m) > 0),
+        v AS (SELECT r, kind, o, m[i] AS v, regexp_replace(m[i], '[^0-9]', '', 'g') AS d,
+            (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s FROM u),
+        k AS (SELECT r, kind, o, s, s + length(v) AS e FROM v WHERE CASE kind
+            WHEN 'email' THEN TRUE
+            WHEN 'ip' THEN list_max(list_transform(string_split(v, '.'), lambda x: CASE WHEN length(ltrim(x, '0')) > 3 THEN 999 ELSE coalesce(TRY_CAST(ltrim(x, '0') AS INT), 0) END)) <= 255
+            WHEN 'phone' THEN length(d) BETWEEN 9 AND 15
+            ELSE length(d) BETWEEN 13 AND 19 AND list_sum(list_transform(range(0, length(d)), lambda i: CASE WHEN i % 2 = 0 THEN substr(d, length(d) - i, 1)::INT
+                ELSE [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][1 + substr(d, length(d) - i, 1)::INT] END)) % 10 = 0 END),
+        c AS (SELECT r, count(*) FILTER (kind = 'email') AS a, count(*) FILTER (kind = 'ip') AS b, count(*) FILTER (kind = 'card') AS c, count(*) FILTER (kind = 'phone') AS d,
+            string_agg(kind || ':' || s || ':' || e, ',' ORDER BY o, s) AS l FROM k GROUP BY r)
+        SELECT doc_id, coalesce(a, 0) AS n_email, coalesce(b, 0) AS n_ip, coalesce(c.c, 0) AS n_card, coalesce(d, 0) AS n_phone, sha256(coalesce(l, '')) AS base_sha256
+        FROM t LEFT JOIN c USING (r)""",
+    "url_rules": r"""
+        WITH a AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        b AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM a),
+        c AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM b)
+        SELECT page_id, host, path, CASE
+            WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
+            WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+            WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
+            WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule
+        FROM c""",
+    "media_payloads": r"""
+        WITH a AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+        n AS (SELECT doc_id, b, octet_length(b) AS n, 576 * greatest(1, (octet_length(b) + 575) // 576) AS p FROM a),
+        p AS (SELECT doc_id, n, p, b || unhex(repeat('FF', (p - n)::INT)) AS payload, lpad(to_hex(p), 8, '0') AS h, lpad(to_hex(p + 36), 8, '0') AS w FROM n)
+        SELECT doc_id, n::BIGINT AS n_bytes, p::BIGINT AS payload_bytes, sha256(payload) AS payload_sha256, (p + 44)::BIGINT AS media_bytes,
+            sha256(unhex('52494646' || w[7:8] || w[5:6] || w[3:4] || w[1:2] || '57415645666D74201000000001000100401F0000401F00000100080064617461' || h[7:8] || h[5:6] || h[3:4] || h[1:2]) || payload) AS media_sha256
+        FROM p""",
 }

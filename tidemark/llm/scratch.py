@@ -38,11 +38,17 @@ class Scratch:
 
     def keep(self, frame: DataFrame, name: str) -> DataFrame:
         self._count += 1
+        if name in self._paths:
+            raise ValueError(f"{name} is kept already")
         path = f"{self.root}/{self._count:03d}-{name}"
         frame.write.parquet(path)
         self._paths[name] = path
         return self.spark.read.schema(frame.schema).parquet(path)
 
+    def keep_only(self, *names: str) -> None:
+        """Remove all other tables."""
+        self.drop(*(n for n in list(self._paths) if n not in names))
+
     def drop(self, *names: str) -> None:
         for name in names:
             delete(self.spark, self._paths.pop(name))

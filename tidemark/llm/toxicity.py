@@ -6,8 +6,10 @@ ordinary content, so that the two compress alike but for what is special to toxi
 with both; the bytes that the toxic dictionary saves are the window's distance. A logistic curve fitted on labelled
 texts turns a text's largest, mean and repeated savings into a score, calibrated so that 0.5 separates the classes.
 
-Training reads a bounded sample: up to ``SAMPLE_DOCS`` labelled texts a class, drawn by hash. The intercept is moved from
-the sample's mix of classes to that of all labelled texts, which are counted. Scoring reads whole texts.
+Training reads a bounded sample of rows, up to ``SAMPLE_DOCS`` labelled texts a class, drawn by hash, and all of their
+texts: the ``SAMPLE_WINDOWS`` windows a class that dictionaries are trained on are drawn by hash from all their windows,
+and strings are counted and texts measured whole, in tasks. The intercept is moved from the sample's mix of classes to
+that of all labelled texts, which are counted. Scoring reads whole texts.
 """
 
 from __future__ import annotations
@@ -18,19 +20,18 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.sampling import sample_ids
+from tidemark.llm.scratch import Scratch
 from tidemark.llm.textkernel import is_space, lower_ascii, runs, slices
 
 WINDOW = 16
 SAMPLE_DOCS = 1000
-#: Characters of a training text, from a place that its id's hash chooses.
-SAMPLE_CHARS = 6000
+SAMPLE_WINDOWS = 20_000
 ORDINARY_BYTES, TOXIC_BYTES = 16384, 16384
 #: Significance (likelihood ratio) of a string's excess in toxic texts, and how many times more frequent it must be.
 EXCESS, TIMES = 25.0, 8.0
@@ -122,21 +123,41 @@ def _excess(a: int, n: int, b: int, m: int) -> float:
     return 2 * (part(a, n) + part(b, m))
 
 
-def _special(trained: bytes, toxic: pd.Series, ordinary: pd.Series) -> bytes:
+def _strings(trained: bytes) -> set[bytes]:
+    return {w for w in trained.split() if 3 < len(w) <= 32}
+
+
+def _heads(word: bytes) -> list[bytes]:
+    return [word[:n] for n in range(4, min(len(word), 32) + 1)]
+
+
+def _count_heads(heads: set[bytes]):
+    """toxic, head, n: in how many texts of a batch a word begins with each of some strings."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: Counter = Counter()
+            marks = batch.column("toxic").to_pylist()
+            for piece in slices(batch.column("text")):
+                raw = _flat(piece).tobytes()
+                for i, (a, b) in enumerate(zip(piece.offsets[:-1], piece.offsets[1:])):
+                    seen: set[bytes] = set()
+                    for w in set(raw[a:b].split()):
+                        seen.update(_heads(w))
+                    found.update((marks[piece.first + i], h) for h in seen & heads)
+            yield pa.RecordBatch.from_pydict({"toxic": pa.array([k[0] for k in found], pa.int32()), "head": pa.array([k[1] for k in found], pa.binary()), "n": pa.array(list(found.values()), pa.int64())})
+
+    return run
+
+
+def _special(trained: bytes, near: DataFrame, texts: tuple[int, int]) -> bytes:
     """What the trained strings have that is special to toxic text: of each, the beginning whose excess is most significant."""
-    strings = {w for w in trained.split() if 3 < len(w) <= 32}
-    heads = {w[:n] for w in strings for n in range(4, len(w) + 1)}
-
-    def texts_with(texts: pd.Series) -> Counter:
-        found: Counter = Counter()
-        for t in texts:
-            words = set(t.lower().encode().split())
-            found.update({w[:n] for w in words for n in range(4, min(len(w), 32) + 1)} & heads)
-        return found
-
-    in_toxic, in_ordinary = texts_with(toxic), texts_with(ordinary)
-    excess = {h: _excess(in_toxic[h], len(toxic), in_ordinary[h], len(ordinary)) for h in heads}
-    best = {w: max((w[:n] for n in range(4, len(w) + 1)), key=lambda h: (excess[h], len(h))) for w in strings}
+    strings = _strings(trained)
+    heads = {h for w in strings for h in _heads(w)}
+    found = near.mapInArrow(_count_heads(heads), "toxic int, head binary, n long").groupBy("toxic", "head").agg(F.sum("n").alias("n")).collect()
+    count = {(r.toxic, bytes(r.head)): r.n for r in found}
+    excess = {h: _excess(count.get((1, h), 0), texts[1], count.get((0, h), 0), texts[0]) for h in heads}
+    best = {w: max(_heads(w), key=lambda h: (excess[h], len(h))) for w in strings}
     kept = sorted({w[: len(h) + BEYOND] for w, h in best.items() if excess[h] > EXCESS})
     return b" " + b" ".join(kept) + b" " if kept else b""
 
@@ -169,53 +190,71 @@ def class_counts(docs: DataFrame, labels: DataFrame) -> tuple[int, int]:
     return found.get(0, 0), found.get(1, 0)
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_DOCS) -> pd.DataFrame:
-    """``text`` and ``toxic`` of up to ``per_class`` labelled texts of each class, in the order of a hash of their ids."""
-    picked = F.broadcast(sample_ids(_marks(labels), "toxic", per_class))
-    length = F.length("text")
-    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("place")), F.greatest(length - SAMPLE_CHARS, F.lit(0)) + 1)
+def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_DOCS) -> DataFrame:
+    """``text`` and ``toxic`` of up to ``per_class`` labelled texts of each class, picked by a hash of their ids; equal texts count once."""
+    picked = sample_ids(_marks(labels), "toxic", per_class)
     near = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(picked, "doc_id")
-    cut = near.select("doc_id", "toxic", F.substring("text", place.cast("int") + 1, F.lit(SAMPLE_CHARS)).alias("text"))
-    return cut.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).toPandas().sort_values(["doc_id"], ignore_index=True)
+    near = near.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").cast("int").alias("toxic"))
+    return near.groupBy("text").agg(F.min_by("toxic", "doc_id").alias("toxic"), F.min("doc_id").cast("string").alias("first"))
 
 
-def fit(sample: pd.DataFrame, counts: tuple[int, int] | None = None) -> Model:
-    """Dictionaries and calibration from labelled texts; without both classes every score is the share of toxic ones.
+def _cut_windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """toxic, window: all windows of whole texts."""
+    for batch in batches:
+        marks = np.asarray(batch.column("toxic"))
+        for piece in slices(batch.column("text")):
+            data = _flat(piece)
+            start, length, bounds = windows(data, piece.offsets)
+            raw = data.tobytes()
+            toxic = np.repeat(marks[piece.first : piece.first + len(bounds) - 1], np.diff(bounds))
+            yield pa.RecordBatch.from_pydict({"toxic": pa.array(toxic, pa.int32()), "window": pa.array([raw[s : s + n] for s, n in zip(start.tolist(), length.tolist())], pa.binary())})
+
 
-    ``counts`` are the ordinary and toxic documents that the sample stands for, itself by default.
+def _measure(model: Model):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        meter = _Meter(model)
+        for batch in batches:
+            x = describe(meter, batch.column("text"))
+            yield pa.RecordBatch.from_pydict({"toxic": batch.column("toxic"), "first": batch.column("first"), "x": pa.array(list(x), pa.list_(pa.float64()))})
+
+    return run
+
+
+def _trained(windows_of: list[bytes], size: int, k: int, d: int) -> bytes:
+    try:
+        return zstandard.train_dictionary(size, windows_of, k=k, d=d).as_bytes()
+    except zstandard.ZstdError:  # too little text to train on
+        return b" ".join(windows_of)[:size]
+
+
+def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_DOCS, counts: tuple[int, int] | None = None) -> Model:
+    """Dictionaries and calibration from labelled texts; with under 8 texts of a class every score is the share of toxic ones.
+
+    Of an id's labels the worst counts, and of its texts the first in order. ``counts`` are the ordinary and toxic
+    documents that the sample stands for, all that are labelled by default.
     """
-    sample = sample.drop_duplicates("text")
-    toxic, ordinary = sample[sample["toxic"] == 1]["text"], sample[sample["toxic"] == 0]["text"]
-    n0, n1 = counts or (len(ordinary), len(toxic))
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    near = scratch.keep(training_sample(docs, labels, per_class), "sample")
+    found = {r.toxic: r["count"] for r in near.groupBy("toxic").count().collect()}
+    texts = found.get(0, 0), found.get(1, 0)
+    n0, n1 = counts or class_counts(docs, labels)
     share = (n1 + 0.5) / (n0 + n1 + 1)
-    flat = Model(b"", b"", np.zeros(FEATURES), np.ones(FEATURES), np.append(np.zeros(FEATURES), math.log(share / (1 - share)) if len(toxic) else -9.0))
-    if len(toxic) < 8 or len(ordinary) < 8:
+    flat = Model(b"", b"", np.zeros(FEATURES), np.ones(FEATURES), np.append(np.zeros(FEATURES), math.log(share / (1 - share)) if n1 else -9.0))
+    if min(texts) < 8:
         return flat
-
-    def samples(texts: pd.Series) -> list[bytes]:
-        out = []
-        for piece in slices(pa.array(texts, pa.string()), 1 << 40):
-            data = _flat(piece)
-            start, length, _ = windows(data, piece.offsets)
-            raw = data.tobytes()
-            out += [raw[s : s + n] for s, n in zip(start, length) if n >= 8]
-        return out
-
-    def trained(windows_of: list[bytes], size: int, k: int, d: int) -> bytes:
-        try:
-            return zstandard.train_dictionary(size, windows_of, k=k, d=d).as_bytes()
-        except zstandard.ZstdError:  # too little text to train on
-            return b" ".join(windows_of)[:size]
-
-    of_toxic, of_ordinary = samples(toxic), samples(ordinary)
-    content = trained(of_ordinary, ORDINARY_BYTES, 32, 8)
-    raw = b" ".join(trained(of_toxic, TOXIC_BYTES, k, d) for k, d in ((16, 6), (32, 8)))
-    special = _special(raw, toxic, ordinary)
-    model = Model(content, special, flat.center, flat.scale, flat.weights)
-    x = describe(_Meter(model), pa.array(sample["text"], pa.string()))
+    cut = near.mapInArrow(_cut_windows, "toxic int, window binary").filter(F.length("window") >= 8)
+    ranked = cut.withColumn("r", F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("window"), "window"))).filter(F.col("r") <= SAMPLE_WINDOWS)
+    drawn = ranked.select("toxic", "r", "window").toPandas().sort_values(["toxic", "r"])
+    of_ordinary, of_toxic = ([bytes(w) for w in drawn[drawn["toxic"] == mark]["window"]] for mark in (0, 1))
+    content = _trained(of_ordinary, ORDINARY_BYTES, 32, 8)
+    raw = b" ".join(_trained(of_toxic, TOXIC_BYTES, k, d) for k, d in ((16, 6), (32, 8)))
+    model = Model(content, _special(raw, near, texts), flat.center, flat.scale, flat.weights)
+    measured = near.mapInArrow(_measure(model), "toxic int, first string, x array<double>").toPandas().sort_values("first")
+    x = np.stack(measured["x"].to_numpy())
     model.center, model.scale = x.mean(0), x.std(0) + 1e-9
-    model.weights = _logistic((x - model.center) / model.scale, sample["toxic"].to_numpy(float))
-    model.weights[-1] += math.log(n1 / n0) - math.log(len(toxic) / len(ordinary))
+    model.weights = _logistic((x - model.center) / model.scale, measured["toxic"].to_numpy(float))
+    model.weights[-1] += math.log(n1 / n0) - math.log(texts[1] / texts[0])
+    scratch.keep_only()
     return model
 
 
@@ -230,10 +269,6 @@ def _run(model: Model):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_DOCS) -> Model:
-    return fit(training_sample(docs, labels, per_class), class_counts(docs, labels))
-
-
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: doc_id, score (0 to 1) and predicted (1 from 0.5 on), from the whole text alone.
 
