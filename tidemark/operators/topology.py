@@ -16,31 +16,31 @@ def thresholds(long: DataFrame) -> DataFrame:
 
 
 def features(long: DataFrame, shift: int = 0) -> DataFrame:
-    """agg, var, val, sign: keys above the upper quartile (1) and below the lower (-1).
+    """kind, agg, var, val, sign: keys above the upper quartile (1) and below the lower (-1).
 
     With ``shift`` the values move cyclically along the ordered keys, which keeps their sequence but breaks its tie
     to other variables.
     """
-    rows = long.select(*VAR, "val", "x")
+    rows = long.select("kind", *VAR, "val", "x")
     if shift:
         own = Window.partitionBy(*VAR)
         placed = rows.withColumn("i", F.row_number().over(own.orderBy("val")) - 1).withColumn("n", F.count(F.lit(1)).over(own))
-        keys = placed.select(*VAR, F.col("i").alias("at"), "val")
+        keys = placed.select("kind", *VAR, F.col("i").alias("at"), "val")
         moved = placed.select(*VAR, F.pmod(F.col("i") - shift, F.col("n")).alias("at"), "x")
-        rows = moved.join(keys, [*VAR, "at"]).select(*VAR, "val", "x")
+        rows = moved.join(keys, [*VAR, "at"]).select("kind", *VAR, "val", "x")
     sign = F.when(F.col("x") > F.col("high"), 1).when(F.col("x") < F.col("low"), -1)
-    return rows.join(thresholds(long), VAR).select(*VAR, "val", sign.alias("sign")).filter("sign IS NOT NULL")
+    return rows.join(thresholds(long), VAR).select("kind", *VAR, "val", sign.alias("sign")).filter("sign IS NOT NULL")
 
 
 def relationships(one: DataFrame, two: DataFrame) -> DataFrame:
-    """agg1, var1, agg2, var2, score, strength of features that share a key, tables of a different name.
+    """agg1, var1, agg2, var2, score, strength of features that share a key of one kind, tables of a different name.
 
     score = (agreeing - opposing) / shared; strength = 2 p / (p + 1) with p the share of the first variable's features
     that are shared.
     """
-    a = one.select(F.col("agg").alias("agg1"), F.col("var").alias("var1"), "val", F.col("sign").alias("s1"))
-    b = two.select(F.col("agg").alias("agg2"), F.col("var").alias("var2"), "val", F.col("sign").alias("s2"))
-    met = a.join(b, "val").filter("agg1 <> agg2").groupBy("agg1", "var1", "agg2", "var2").agg(F.sum(F.col("s1") * F.col("s2")).alias("net"), F.count(F.lit(1)).alias("shared"))
+    a = one.select("kind", F.col("agg").alias("agg1"), F.col("var").alias("var1"), "val", F.col("sign").alias("s1"))
+    b = two.select("kind", F.col("agg").alias("agg2"), F.col("var").alias("var2"), "val", F.col("sign").alias("s2"))
+    met = a.join(b, ["kind", "val"]).filter("agg1 <> agg2").groupBy("agg1", "var1", "agg2", "var2").agg(F.sum(F.col("s1") * F.col("s2")).alias("net"), F.count(F.lit(1)).alias("shared"))
     sizes = a.groupBy("agg1", "var1").agg(F.count(F.lit(1)).alias("n1"))
     p = F.col("shared") / F.col("n1")
     return met.join(sizes, ["agg1", "var1"]).select("agg1", "var1", "agg2", "var2", (F.col("net") / F.col("shared")).alias("score"), (2 * p / (p + 1)).alias("strength"))

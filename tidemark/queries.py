@@ -333,11 +333,11 @@ def label_columns(spark, d):
 
 
 def _some_pairs(spark, d) -> DataFrame:
-    """Monthly and by-nation tables: few keys, many pairs."""
-    return index.joinable_pairs(measures.keys_of(long(spark, d)), 5).filter("kind <> 'st'")
+    """Pairs of tables of all three kinds."""
+    return index.joinable_pairs(measures.keys_of(long(spark, d)), 5)
 
 
-_FEW_JOINED = _PAIRS.replace("kp AS (", "kp0 AS (") + ", kp AS (SELECT * FROM kp0 WHERE kind <> 'st')" + _JOINED
+_FEW_JOINED = _PAIRS + _JOINED
 
 
 @query("pearson_pairs", f"{_LONG}{_FEW_JOINED}{_CORR} SELECT kind, agg1, var1, agg2, var2, n, round(r, 6) AS r, round({_P2}, 6) AS p FROM c")
@@ -467,8 +467,7 @@ def find_correlations_from(spark, d):
 @query("find_all_correlations", f"""{_ROUNDED}{_STATS}{_FEW_JOINED}{_CORR}, cp AS (SELECT c.*, {_P2} AS p FROM c {_USABLE}){_BH.format(c='cp', q='0.3')}
     SELECT kind, agg1, tbl1, var1, agg2, tbl2, var2, n, round(r, 5) AS r, round(p, 5) AS p FROM z WHERE i <= last AND abs(r) >= 0.1""")
 def find_all_correlations(spark, d):
-    m = long(spark, d, 3).filter("kind <> 'st'")
-    out = correlations(m, Options(overlap=5, r_least=0.1, correction="FDR", q=0.3))
+    out = correlations(long(spark, d, 3), Options(overlap=5, r_least=0.1, correction="FDR", q=0.3))
     return _rounded(out.select("kind", "agg1", "tbl1", "var1", "agg2", "tbl2", "var2", "n", "r", "p"), 5, "r", "p")
 
 
@@ -488,26 +487,41 @@ def sketch_corr(spark, d):
     return _rounded(sketch.sketch_correlations(long(spark, d), _some_pairs(spark, d), 32), 6, "r").drop("tbl1", "tbl2", "p")
 
 
-_FEAT = """, th AS (SELECT agg, var, quantile_cont(x, 0.75) FILTER (x <> 0) AS hi, quantile_cont(x, 0.25) FILTER (x <> 0) AS lo, count(DISTINCT x) FILTER (x <> 0) AS c FROM m WHERE kind <> 'st' GROUP BY ALL),
-    ft AS (SELECT m.agg, m.var, m.val, CASE WHEN x > hi THEN 1 ELSE -1 END AS sign FROM m JOIN th ON m.agg = th.agg AND m.var = th.var WHERE c > 1 AND (x > hi OR x < lo))"""
+_FEAT = """, th AS (SELECT agg, var, quantile_cont(x, 0.75) FILTER (x <> 0) AS hi, quantile_cont(x, 0.25) FILTER (x <> 0) AS lo, count(DISTINCT x) FILTER (x <> 0) AS c FROM m GROUP BY ALL),
+    ft AS (SELECT m.kind, m.agg, m.var, m.val, CASE WHEN x > hi THEN 1 ELSE -1 END AS sign FROM m JOIN th ON m.agg = th.agg AND m.var = th.var WHERE c > 1 AND (x > hi OR x < lo))"""
 
 
 @query("topology_features", f"{_LONG}{_FEAT} SELECT agg, var, val, sign FROM ft")
 def topology_features(spark, d):
-    return topology.features(long(spark, d).filter("kind <> 'st'"))
+    return topology.features(long(spark, d)).drop("kind")
 
 
 @query("topology_score", f"""{_LONG}{_FEAT}, n1 AS (SELECT agg, var, count(*) AS n FROM ft GROUP BY ALL),
-    g AS (SELECT a.agg AS agg1, a.var AS var1, b.agg AS agg2, b.var AS var2, sum(a.sign * b.sign) AS net, count(*) AS c FROM ft a JOIN ft b ON a.val = b.val AND a.agg <> b.agg GROUP BY ALL)
+    g AS (SELECT a.agg AS agg1, a.var AS var1, b.agg AS agg2, b.var AS var2, sum(a.sign * b.sign) AS net, count(*) AS c FROM ft a JOIN ft b ON a.kind = b.kind AND a.val = b.val AND a.agg <> b.agg GROUP BY ALL)
     SELECT agg1, var1, agg2, var2, round(net / c, 6) AS score, round(2 * (c / n) / (c / n + 1), 6) AS strength FROM g JOIN n1 ON n1.agg = agg1 AND n1.var = var1""")
 def topology_score(spark, d):
-    f = topology.features(long(spark, d).filter("kind <> 'st'"))
+    f = topology.features(long(spark, d))
     return _rounded(topology.relationships(f, f), 6, "score", "strength")
 
 
-@query("topology_significant")
+_SHIFTS = (7, 19)
+
+
+def _shifted(k: int) -> str:
+    """Features after the values of each variable moved k places along its ordered keys, with their scores."""
+    return f""", sh{k} AS (SELECT a.kind, a.agg, a.var, a.val, b.x FROM pos a JOIN pos b ON a.agg = b.agg AND a.var = b.var AND a.i = (b.i - {k} % b.n + b.n) % b.n),
+        fs{k} AS (SELECT s.kind, s.agg, s.var, s.val, CASE WHEN x > hi THEN 1 ELSE -1 END AS sign FROM sh{k} s JOIN th ON s.agg = th.agg AND s.var = th.var WHERE c > 1 AND (x > hi OR x < lo)),
+        gs{k} AS (SELECT a.agg AS agg1, a.var AS var1, b.agg AS agg2, b.var AS var2, abs(sum(a.sign * b.sign) / count(*)) AS o FROM fs{k} a JOIN ft b ON a.kind = b.kind AND a.val = b.val AND a.agg <> b.agg GROUP BY ALL)"""
+
+
+@query("topology_significant", f"""{_LONG}{_FEAT}, n1 AS (SELECT agg, var, count(*) AS n FROM ft GROUP BY ALL),
+    g AS (SELECT a.agg AS agg1, a.var AS var1, b.agg AS agg2, b.var AS var2, sum(a.sign * b.sign) / count(*) AS score, count(*) AS c FROM ft a JOIN ft b ON a.kind = b.kind AND a.val = b.val AND a.agg <> b.agg GROUP BY ALL),
+    pos AS (SELECT kind, agg, var, val, x, row_number() OVER (PARTITION BY agg, var ORDER BY val) - 1 AS i, count(*) OVER (PARTITION BY agg, var) AS n FROM m){"".join(map(_shifted, _SHIFTS))},
+    s AS (SELECT agg1, var1, agg2, var2, max(o) AS o FROM ({" UNION ALL ".join(f"SELECT * FROM gs{k}" for k in _SHIFTS)}) GROUP BY ALL)
+    SELECT agg1, var1, agg2, var2, round(g.score, 6) AS score, round(2 * (c / n) / (c / n + 1), 6) AS strength FROM g JOIN n1 ON n1.agg = agg1 AND n1.var = var1
+    LEFT JOIN s USING (agg1, var1, agg2, var2) WHERE s.o IS NULL OR s.o < abs(g.score)""")
 def topology_significant(spark, d):
-    return topology.significant(long(spark, d).filter("kind = 'temporal'"), [7, 19])
+    return _rounded(topology.significant(long(spark, d), list(_SHIFTS)), 6, "score", "strength")
 
 
 # Graphs
