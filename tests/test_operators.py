@@ -119,8 +119,8 @@ def test_points_on_edges_and_outside(spark):
 
 
 def test_features_and_shifts(spark):
-    rows = [("a_k", "x", f"{i:02d}", float(i)) for i in range(1, 13)]
-    long = frame(spark, rows, "agg string, var string, val string, x double")
+    rows = [("temporal", "a_k", "x", f"{i:02d}", float(i)) for i in range(1, 13)]
+    long = frame(spark, rows, "kind string, agg string, var string, val string, x double")
     plain = {(r.val, r.sign) for r in topology.features(long).collect()}
     assert plain == {("10", 1), ("11", 1), ("12", 1), ("01", -1), ("02", -1), ("03", -1)}
     moved = {(r.val, r.sign) for r in topology.features(long, 2).collect()}
@@ -223,3 +223,18 @@ def test_threshold_search(spark):
     found = graph.search_thresholds(corrs, steps, 6, 0.9)
     assert list(found) == [(1.0, 0.5)] and all(s[4] == 0.7 for s in found[1.0, 0.5])
     assert graph.best_settings(found, [0.5, 1.0]).keys() == {0.5, 1.0}
+
+
+def test_saved_tables_and_listing(spark, tmp_path):
+    from tidemark.sources.catalog import Catalog, Entry
+
+    catalog, other = (Catalog(spark, f"file://{tmp_path}/{n}") for n in "ab")
+    entry = catalog.register(Entry("t", "Trips", "x.csv", t_attrs=["day"], s_attrs=[("area", "zip")], num_columns=["fare"]))
+    assert [r[0] for r in catalog.listing()] == ["t", "t_day_month", "t_area_zip", "t_day_month_area_zip"]
+    assert entry.control_variables() == ["avg_fare"] and Entry("u", "u", "u").control_variables() == ["count"] and entry.control_variables(True) == ["avg_fare", "count"]
+    frame = spark.createDataFrame([(1, "a")], "x int, y string")
+    path = catalog.save(frame, "mine", {"query": "by hand"})
+    assert spark.read.csv(path, header=True).columns == ["x", "y"] and catalog.provenance("mine") == {"name": "mine", "columns": ["x", "y"], "query": "by hand"}
+    catalog.write("measures", frame)
+    other.write("measures", spark.createDataFrame([(2, "b")], "x int, y string"))
+    assert catalog.merge(other).read("measures").count() == 2

@@ -105,3 +105,14 @@ def varying(long: DataFrame) -> DataFrame:
     """agg, n_vars: variables of each aggregated table that take more than one value."""
     distinct = long.groupBy("agg", "var").agg((F.min("x") < F.max("x")).alias("varies"))
     return distinct.groupBy("agg").agg(F.count_if("varies").alias("n_vars"))
+
+
+def rows_per_key(long: DataFrame) -> DataFrame:
+    """agg, avg_rows, median_rows: how many raw rows stand behind a key of each aggregated table."""
+    return long.filter(F.col("var") == "count").groupBy("agg").agg(F.avg("x").alias("avg_rows"), F.percentile("x", 0.5).alias("median_rows"))
+
+
+def value_profile(long: DataFrame) -> DataFrame:
+    """agg, var, missing_ratio, zero_ratio of each aggregated variable's values, to two places."""
+    n = F.count(F.lit(1))
+    return long.groupBy("agg", "var").agg(F.round(F.count_if(F.col("x").isNull()) / n, 2).alias("missing_ratio"), F.round(F.count_if(F.col("x") == 0) / n, 2).alias("zero_ratio"))

@@ -25,6 +25,7 @@ class Engine:
         self.catalog.write("measures", long)
         stored = self.catalog.read("measures")
         self.catalog.write("stats", measures.column_stats(stored))
+        self.catalog.write("value_profiles", measures.value_profile(stored))
         self.catalog.write("index", index.inverted_index(measures.keys_of(stored)))
         profiles = [measures.column_profile(s.df, s.tbl, s.measures) for s in sources if s.measures]
         for i, p in enumerate(profiles):
@@ -34,8 +35,32 @@ class Engine:
     def long(self) -> DataFrame:
         return self.catalog.read("measures")
 
-    def find_correlations_from(self, tbl: str, options: Options = Options()) -> DataFrame:
-        return self._shown(correlations(self.long, options, tbl))
+    def find_correlations_from(self, tbl: str, options: Options = Options(), controls: list[tuple[str, str]] | None = None) -> DataFrame:
+        """Correlations of one table's variables; with ``controls`` (agg, var) those found are taken again with these held fixed."""
+        found = correlations(self.long, options, tbl)
+        if not controls:
+            return self._shown(found)
+        pairs = [tuple(r) for r in found.select("agg1", "var1", "agg2", "var2").collect()]  # one table's findings
+        return self.control_variables(pairs, controls) if pairs else found.select("agg1", "var1", "agg2", "var2", "n", "r", "p")
+
+    def store_features(self) -> DataFrame:
+        """Peaks and dips of all variables, stored beside the measures for later tests of relationships."""
+        from tidemark.operators import topology
+
+        self.catalog.write("features", topology.features(self.long))
+        return self.catalog.read("features")
+
+    def relationships(self) -> DataFrame:
+        """Topological relationships of all variables, from the stored features."""
+        from tidemark.operators import topology
+
+        found = self.catalog.read("features")
+        return topology.relationships(found, found)
+
+    def merge(self, other: "Engine") -> "Engine":
+        """Search the tables of both."""
+        self.catalog.merge(other.catalog)
+        return self
 
     def find_all_correlations(self, options: Options = Options(correction="FDR"), path: str | None = None) -> DataFrame:
         from tidemark.sources.results import write_results
@@ -70,7 +95,12 @@ class Engine:
         return "\n".join([*lines, f"r {row['correlation coefficient']} p {row['p value']} n {row['number of samples']} {row['spatio-temporal key type']}"])
 
     def _shown(self, corrs: DataFrame) -> DataFrame:
-        return to_results(corrs, self.catalog.read("stats"), self.catalog.read("profiles"), {e.tbl: e.name for e in self.catalog.entries.values()})
+        entries = self.catalog.entries.values()
+        told = {f"{e.tbl}.{c}": t for e in entries for c, t in e.descriptions.items()}
+        return to_results(
+            corrs, self.catalog.read("stats"), self.catalog.read("profiles"), {e.tbl: e.name for e in entries}, values=self.catalog.read("value_profiles"),
+            domains={e.tbl: e.domain for e in entries}, descriptions=told,
+        )
 
 
 class Assistant:

@@ -6,6 +6,9 @@ The collection: ``orders`` and ``lineitem`` by month and by the nation of their
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -332,9 +335,24 @@ def label_columns(spark, d):
 # Statistics
 
 
-def _some_pairs(spark, d) -> DataFrame:
-    """Pairs of tables of all three kinds."""
-    return index.joinable_pairs(measures.keys_of(long(spark, d)), 5)
+def _stored(frame: DataFrame) -> DataFrame:
+    """The long form, written once, so that keys, pairs and measures read it rather than the raw tables again."""
+    spark = frame.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    path = f"{root.rstrip('/')}/tidemark-long-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
+def _with_pairs(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The long form and the joinable pairs of its tables, of all three kinds."""
+    m = _stored(long(spark, d))
+    return m, index.joinable_pairs(measures.keys_of(m), 5)
 
 
 _FEW_JOINED = _PAIRS + _JOINED
@@ -342,13 +360,13 @@ _FEW_JOINED = _PAIRS + _JOINED
 
 @query("pearson_pairs", f"{_LONG}{_FEW_JOINED}{_CORR} SELECT kind, agg1, var1, agg2, var2, n, round(r, 6) AS r, round({_P2}, 6) AS p FROM c")
 def pearson_pairs(spark, d):
-    out = correlate.pearson_pairs(long(spark, d), _some_pairs(spark, d))
+    out = correlate.pearson_pairs(*_with_pairs(spark, d))
     return _rounded(out, 6, "r", "p").drop("tbl1", "tbl2")
 
 
-@query("pearson_masked", f"{_LONG}{_FEW_JOINED} SELECT kind, agg1, var1, agg2, var2, count(*) AS n, round({_R.format(x='x', y='y')}, 6) AS r FROM j WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY ALL")
+@query("pearson_masked", f"{_LONG}{_FEW_JOINED}, c AS (SELECT kind, agg1, var1, agg2, var2, count(*) AS n, {_R.format(x='x', y='y')} AS r FROM j WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY ALL) SELECT kind, agg1, var1, agg2, var2, n, round(r, 6) AS r, round({_P2}, 6) AS p FROM c")
 def pearson_masked(spark, d):
-    return _rounded(correlate.masked_pairs(long(spark, d), _some_pairs(spark, d)), 6, "r").drop("p")
+    return _rounded(correlate.masked_pairs(*_with_pairs(spark, d)), 6, "r", "p")
 
 
 @query("pearson_pvalue", f"SELECT n, i, round({_P2}, 9) AS p FROM (SELECT n::BIGINT AS n, i::BIGINT AS i, (i / 10.0)::DOUBLE AS r FROM range(3, 60) t(n), range(-9, 10) u(i))")
@@ -362,16 +380,16 @@ _IMPUTED = f"{_LONG}{_STATS}{_FEW_JOINED}{_CORR}, i AS (SELECT c.*, x.s AS s1, x
 
 @query("impute_avg", f"{_IMPUTED} SELECT agg1, var1, agg2, var2, round((sxy - m2 * sx - m1 * sy + n * m1 * m2) / sqrt(r1 * r2), 6) AS r_impute_avg FROM i")
 def impute_avg(spark, d):
-    m = long(spark, d)
-    return _rounded(correlate.pearson_pairs(m, _some_pairs(spark, d), measures.column_stats(m)), 6, "r_impute_avg").select("agg1", "var1", "agg2", "var2", "r_impute_avg")
+    m, pairs = _with_pairs(spark, d)
+    return _rounded(correlate.pearson_pairs(m, pairs, measures.column_stats(m)), 6, "r_impute_avg").select("agg1", "var1", "agg2", "var2", "r_impute_avg")
 
 
 @query("impute_zero", f"{_IMPUTED} SELECT agg1, var1, agg2, var2, round((nn * sxy - s1 * s2) / nullif(sqrt(nn * q1 - s1 * s1) * sqrt(nn * q2 - s2 * s2), 0) + 1e-7, 4) AS r_impute_zero FROM i WHERE nn * q1 - s1 * s1 > 0.01 * s1 * s1 AND nn * q2 - s2 * s2 > 0.01 * s2 * s2")
 def impute_zero(spark, d):
-    m = long(spark, d)
+    m, pairs = _with_pairs(spark, d)
     stats = measures.column_stats(m)
     sizes = [stats.select(F.col("agg").alias(f"agg{i}"), F.col("var").alias(f"var{i}"), F.col("sum").alias(f"s{i}"), F.col("sum_square").alias(f"q{i}"), F.col("cnt").alias(f"c{i}")) for i in "12"]
-    out = correlate.pearson_pairs(m, _some_pairs(spark, d), stats).join(sizes[0], ["agg1", "var1"]).join(sizes[1], ["agg2", "var2"]).withColumn("nn", F.expr("c1 + c2 - n"))
+    out = correlate.pearson_pairs(m, pairs, stats).join(sizes[0], ["agg1", "var1"]).join(sizes[1], ["agg2", "var2"]).withColumn("nn", F.expr("c1 + c2 - n"))
     out = out.filter("nn * q1 - s1 * s1 > 0.01 * s1 * s1 AND nn * q2 - s2 * s2 > 0.01 * s2 * s2")
     return _rounded(out, 4, "r_impute_zero").select("agg1", "var1", "agg2", "var2", "r_impute_zero")
 
@@ -397,7 +415,7 @@ def impute_outer(spark, d):
     c AS (SELECT kind, agg1, var1, agg2, var2, count(*) AS n, {_R.format(x='rx', y='ry')} AS r FROM k2 GROUP BY ALL)
     SELECT kind, agg1, var1, agg2, var2, n, round(r, 6) AS r, round({_P2}, 6) AS p FROM c WHERE r <> 0""")
 def spearman(spark, d):
-    return _rounded(correlate.spearman_pairs(correlate.joined_pairs(long(spark, d), _some_pairs(spark, d))), 6, "r", "p")
+    return _rounded(correlate.spearman_pairs(correlate.joined_pairs(*_with_pairs(spark, d))), 6, "r", "p")
 
 
 @query("kendall", f"""{_LONG}{_FEW_JOINED}, f AS (SELECT kind, agg1, var1, agg2, var2, val, coalesce(x, 0) AS x, coalesce(y, 0) AS y FROM j),
@@ -405,7 +423,7 @@ def spearman(spark, d):
         FROM f a JOIN f b ON a.agg1 = b.agg1 AND a.var1 = b.var1 AND a.agg2 = b.agg2 AND a.var2 = b.var2 AND a.val < b.val GROUP BY ALL)
     SELECT kind, agg1, var1, agg2, var2, round(s / sqrt((m - tx)::DOUBLE * (m - ty)), 6) AS r FROM s WHERE m > tx AND m > ty AND s <> 0""")
 def kendall(spark, d):
-    return _rounded(correlate.kendall_pairs(correlate.joined_pairs(long(spark, d), _some_pairs(spark, d))), 6, "r").drop("n", "p")
+    return _rounded(correlate.kendall_pairs(correlate.joined_pairs(*_with_pairs(spark, d))), 6, "r").drop("n", "p")
 
 
 _LINES = "WITH f AS (SELECT strftime(l_shipdate, '%Y-%m') AS val, avg(l_quantity) AS a, avg(l_extendedprice) AS b, avg(l_tax) AS c, avg(l_discount) AS e FROM lineitem GROUP BY 1), m AS (SELECT count(*) AS n, corr(a, b) AS ab, corr(a, c) AS ac, corr(b, c) AS bc, corr(a, e) AS ae, corr(b, e) AS be, corr(c, e) AS ce FROM f), p1 AS (SELECT *, (ab - ac * bc) / sqrt((1 - ac * ac) * (1 - bc * bc)) AS r1, (ae - ac * ce) / sqrt((1 - ac * ac) * (1 - ce * ce)) AS ae_c, (be - bc * ce) / sqrt((1 - bc * bc) * (1 - ce * ce)) AS be_c FROM m)"
@@ -439,7 +457,7 @@ _BH = """, w AS (SELECT *, row_number() OVER (PARTITION BY agg1, var1 ORDER BY p
 
 @query("bh_fdr", f"{_LONG}{_FEW_JOINED}{_CORR}, cp AS (SELECT *, {_P2} AS p FROM c){_BH.format(c='cp', q='0.4')} SELECT kind, agg1, var1, agg2, var2, n, round(r, 6) AS r, round(p, 6) AS p FROM z WHERE i <= last AND abs(r) >= 0.1")
 def bh_fdr(spark, d):
-    out = correlate.benjamini_hochberg(correlate.pearson_pairs(long(spark, d), _some_pairs(spark, d)), 0.4, 0.1)
+    out = correlate.benjamini_hochberg(correlate.pearson_pairs(*_with_pairs(spark, d)), 0.4, 0.1)
     return _rounded(out, 6, "r", "p").drop("tbl1", "tbl2")
 
 
@@ -457,17 +475,17 @@ _USABLE = "JOIN st u ON u.agg = agg1 AND u.var = var1 AND u.res <> 0 JOIN st v O
 
 
 @query("find_correlations_from", f"""{_ROUNDED}{_STATS}{_PAIRS.replace("kp AS (", "kp0 AS (")}, kp AS (SELECT kind, CASE WHEN agg1 LIKE 'orders%' THEN agg1 ELSE agg2 END AS agg1, CASE WHEN agg1 LIKE 'orders%' THEN agg2 ELSE agg1 END AS agg2 FROM kp0 WHERE agg1 LIKE 'orders%' OR agg2 LIKE 'orders%'){_JOINED}{_CORR},
-    f AS (SELECT c.* FROM c {_USABLE} WHERE abs(r) >= 0.02)
-    SELECT kind, agg1, tbl1, var1, agg2, tbl2, var2, n, round(r, 5) AS r FROM f""")
+    f AS (SELECT c.*, {_P2} AS p FROM c {_USABLE} WHERE abs(r) >= 0.02)
+    SELECT kind, agg1, tbl1, var1, agg2, tbl2, var2, n, round(r, 5) AS r, round(p, 5) AS p FROM f WHERE p <= 0.5""")
 def find_correlations_from(spark, d):
-    out = correlations(long(spark, d, 3), Options(overlap=5, r_least=0.02, p_most=2.0), "orders")
-    return _rounded(out.select("kind", "agg1", "tbl1", "var1", "agg2", "tbl2", "var2", "n", "r"), 5, "r")
+    out = correlations(_stored(long(spark, d, 3)), Options(overlap=5, r_least=0.02, p_most=0.5), "orders")
+    return _rounded(out.select("kind", "agg1", "tbl1", "var1", "agg2", "tbl2", "var2", "n", "r", "p"), 5, "r", "p")
 
 
 @query("find_all_correlations", f"""{_ROUNDED}{_STATS}{_FEW_JOINED}{_CORR}, cp AS (SELECT c.*, {_P2} AS p FROM c {_USABLE}){_BH.format(c='cp', q='0.3')}
     SELECT kind, agg1, tbl1, var1, agg2, tbl2, var2, n, round(r, 5) AS r, round(p, 5) AS p FROM z WHERE i <= last AND abs(r) >= 0.1""")
 def find_all_correlations(spark, d):
-    out = correlations(long(spark, d, 3), Options(overlap=5, r_least=0.1, correction="FDR", q=0.3))
+    out = correlations(_stored(long(spark, d, 3)), Options(overlap=5, r_least=0.1, correction="FDR", q=0.3))
     return _rounded(out.select("kind", "agg1", "tbl1", "var1", "agg2", "tbl2", "var2", "n", "r", "p"), 5, "r", "p")
 
 
@@ -484,23 +502,33 @@ def kmv_sketch(spark, d):
 @query("sketch_corr", f"""{_LONG}{_FEW_JOINED}{_SK}, js AS (SELECT j.* FROM j JOIN kk a ON a.agg = agg1 AND a.val = j.val JOIN kk b ON b.agg = agg2 AND b.val = j.val)
     SELECT kind, agg1, var1, agg2, var2, count(*) AS n, round({_R0}, 6) AS r FROM js GROUP BY ALL HAVING count(*) >= 3 AND count(DISTINCT x) <> 1 AND count(DISTINCT y) <> 1""")
 def sketch_corr(spark, d):
-    return _rounded(sketch.sketch_correlations(long(spark, d), _some_pairs(spark, d), 32), 6, "r").drop("tbl1", "tbl2", "p")
+    return _rounded(sketch.sketch_correlations(*_with_pairs(spark, d), 32), 6, "r").drop("tbl1", "tbl2", "p")
 
 
 _FEAT = """, th AS (SELECT agg, var, quantile_cont(x, 0.75) FILTER (x <> 0) AS hi, quantile_cont(x, 0.25) FILTER (x <> 0) AS lo, count(DISTINCT x) FILTER (x <> 0) AS c FROM m GROUP BY ALL),
     ft AS (SELECT m.kind, m.agg, m.var, m.val, CASE WHEN x > hi THEN 1 ELSE -1 END AS sign FROM m JOIN th ON m.agg = th.agg AND m.var = th.var WHERE c > 1 AND (x > hi OR x < lo))"""
 
 
+@query("rows_per_key", f"{_LONG} SELECT agg, round(avg(x), 6) AS avg_rows, round(median(x), 6) AS median_rows FROM m WHERE var = 'count' GROUP BY agg")
+def rows_per_key(spark, d):
+    return _rounded(measures.rows_per_key(long(spark, d)), 6, "avg_rows", "median_rows")
+
+
+@query("value_profile", f"{_LONG} SELECT agg, var, round(avg((x IS NULL)::INT), 2) AS missing_ratio, round(avg(coalesce(x = 0, FALSE)::INT), 2) AS zero_ratio FROM m GROUP BY ALL")
+def value_profile(spark, d):
+    return measures.value_profile(long(spark, d))
+
+
 @query("topology_features", f"{_LONG}{_FEAT} SELECT agg, var, val, sign FROM ft")
 def topology_features(spark, d):
-    return topology.features(long(spark, d)).drop("kind")
+    return topology.features(_stored(long(spark, d))).drop("kind")
 
 
 @query("topology_score", f"""{_LONG}{_FEAT}, n1 AS (SELECT agg, var, count(*) AS n FROM ft GROUP BY ALL),
     g AS (SELECT a.agg AS agg1, a.var AS var1, b.agg AS agg2, b.var AS var2, sum(a.sign * b.sign) AS net, count(*) AS c FROM ft a JOIN ft b ON a.kind = b.kind AND a.val = b.val AND a.agg <> b.agg GROUP BY ALL)
     SELECT agg1, var1, agg2, var2, round(net / c, 6) AS score, round(2 * (c / n) / (c / n + 1), 6) AS strength FROM g JOIN n1 ON n1.agg = agg1 AND n1.var = var1""")
 def topology_score(spark, d):
-    f = topology.features(long(spark, d))
+    f = topology.features(_stored(long(spark, d)))
     return _rounded(topology.relationships(f, f), 6, "score", "strength")
 
 
@@ -521,13 +549,13 @@ def _shifted(k: int) -> str:
     SELECT agg1, var1, agg2, var2, round(g.score, 6) AS score, round(2 * (c / n) / (c / n + 1), 6) AS strength FROM g JOIN n1 ON n1.agg = agg1 AND n1.var = var1
     LEFT JOIN s USING (agg1, var1, agg2, var2) WHERE s.o IS NULL OR s.o < abs(g.score)""")
 def topology_significant(spark, d):
-    return _rounded(topology.significant(long(spark, d), list(_SHIFTS)), 6, "score", "strength")
+    return _rounded(topology.significant(_stored(long(spark, d)), list(_SHIFTS)), 6, "score", "strength")
 
 
 # Graphs
 
 def _corrs(spark, d) -> DataFrame:
-    return correlate.pearson_pairs(long(spark, d), _some_pairs(spark, d)).filter("abs(r) >= 0.05")
+    return correlate.pearson_pairs(*_with_pairs(spark, d)).filter("abs(r) >= 0.05")
 
 
 _C = f"{_LONG}{_FEW_JOINED}{_CORR}, g AS (SELECT * FROM c WHERE abs(r) >= 0.05), e AS (SELECT least(tbl1 || '--' || var1, tbl2 || '--' || var2) AS src, greatest(tbl1 || '--' || var1, tbl2 || '--' || var2) AS dst, max(abs(r)) AS weight FROM g GROUP BY 1, 2)"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,11 @@ class Entry:
     t_attrs: list[str] = field(default_factory=list)
     s_attrs: list[tuple[str, str]] = field(default_factory=list)
     num_columns: list[str] = field(default_factory=list)
+    descriptions: dict[str, str] = field(default_factory=dict)  # of columns
+
+    def control_variables(self, counted: bool = False) -> list[str]:
+        """Variables that may be held fixed: means of the measures; the count where there are none, or on request."""
+        return [f"avg_{c}" for c in self.num_columns] + ["count"] * (counted or not self.num_columns)
 
 
 class Catalog:
@@ -29,6 +35,7 @@ class Catalog:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self.entries: dict[str, Entry] = {}
+        self.merged: list[str] = []  # roots of other catalogs whose derived tables are read with this one's
 
     def register(self, entry: Entry) -> Entry:
         self.entries[entry.tbl] = entry
@@ -44,10 +51,25 @@ class Catalog:
         return self.register(Entry(name, name, path, t_attrs=[c for c, _ in found["t_attrs"]], s_attrs=found["s_attrs"], num_columns=found["num_columns"]))
 
     def merge(self, other: Catalog) -> Catalog:
-        """Entries of both; the other's win."""
+        """Entries, measures, statistics and profiles of both; of entries the other's win."""
         self.entries |= other.entries
+        self.merged += [r for r in (other.root, *other.merged) if r != self.root and r not in self.merged]
         return self
 
+    def _exists(self, path: str) -> bool:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
+
+    def save(self, df: DataFrame, name: str, provenance: dict) -> str:
+        """``df`` as CSV files in a folder of this name, and beside it where it comes from, as JSON."""
+        path = f"{self.root}/saved/{name}"
+        df.write.mode("overwrite").option("header", True).csv(path)
+        self.spark.createDataFrame([(json.dumps({"name": name, "columns": df.columns, **provenance}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}.provenance")
+        return path
+
+    def provenance(self, name: str) -> dict:
+        return json.loads(self.spark.read.text(f"{self.root}/saved/{name}.provenance").first()["value"])
+
     def read_raw(self, tbl: str) -> DataFrame:
         from tidemark.sources.csv import read_csv
 
@@ -59,7 +81,8 @@ class Catalog:
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(f"{self.root}/{name}")
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}")
+        others = [self.spark.read.parquet(f"{r}/{name}") for r in self.merged if self._exists(f"{r}/{name}")]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), others, self.spark.read.parquet(f"{self.root}/{name}"))
 
     def drop(self, name: str) -> None:
         where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
@@ -83,12 +106,14 @@ class Catalog:
             self.entries[e.tbl] = e
         return self
 
-    def listing(self) -> list[tuple[str, str, str]]:
-        """tbl, name, link of raw tables, followed by those of the aggregated tables each gives."""
+    def listing(self, t_units: tuple[str, ...] = ("month",)) -> list[tuple[str, str, str]]:
+        """tbl, name, link of raw tables, each followed by the tables aggregated from it: by time, by place, by both."""
         out = []
         for e in self.entries.values():
-            out.append((e.tbl, e.name, e.link))
-            out += [(f"{e.tbl}_{a}_{u}", f"{e.name} aggregated by {a} ({u})", "") for a, u in e.s_attrs]
+            times = [(f"{t}_{u}", f"{t} ({u})") for t in e.t_attrs for u in t_units]
+            places = [(f"{a}_{u}", f"{a} ({u})") for a, u in e.s_attrs]
+            keys = times + places + [(f"{t}_{p}", f"{tn} and {pn}") for t, tn in times for p, pn in places]
+            out += [(e.tbl, e.name, e.link), *((f"{e.tbl}_{k}", f"{e.name} aggregated by {n}", "") for k, n in keys)]
         return out
 
     def profile(self) -> dict[str, int]:

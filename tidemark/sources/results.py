@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The columns of result files, in their order.
 _SIDE = ("domain", "table_id", "table_name", "agg_table", "agg_attr", "description", "agg_attr{}_missing_ratio", "agg_attr{}_zero_ratio", "original_attr{}_missing_ratio", "original_attr{}_zero_ratio", "cv")
 RESULT_COLUMNS = (
     *(c.format(1) if "{}" in c else f"{c}1" for c in _SIDE), *(c.format(2) if "{}" in c else f"{c}2" for c in _SIDE),
@@ -12,25 +13,32 @@ RESULT_COLUMNS = (
 )
 
 
-def to_results(corrs: DataFrame, stats: DataFrame, profiles: DataFrame, names: dict[str, str] | None = None, drop_count: bool = False) -> DataFrame:
+def to_results(corrs: DataFrame, stats: DataFrame, profiles: DataFrame, names: dict[str, str] | None = None, drop_count: bool = False, values: DataFrame | None = None, domains: dict[str, str] | None = None, descriptions: dict[str, str] | None = None) -> DataFrame:
     """The 28 columns from correlations (kind, agg1, tbl1, var1, ..., n, r, p), column_stats and column_profile.
 
     A variable's variation coefficient is taken of its aggregated table; ratios of a count are null. Statistics have
-    one row a variable and are joined, not collected. ``names`` gives tables' titles.
+    one row a variable and are joined, not collected. ``names`` and ``domains`` give tables' titles and fields,
+    ``descriptions`` texts of ``table.column``, and ``values`` (value_profile) the ratios of aggregated variables.
     """
-    table = F.create_map(*(F.lit(x) for kv in (names or {"": ""}).items() for x in kv))
+    as_map = lambda d: F.create_map(*(F.lit(x) for kv in (d or {"": ""}).items() for x in kv))
+    table, field, text = map(as_map, (names, domains, descriptions))
     out = corrs.filter("var1 <> 'count' AND var2 <> 'count'") if drop_count else corrs
     spread = F.sqrt(F.col("res_sum") / F.nullif(F.col("cnt") - 1, F.lit(0)))
     for i in "12":
         s = stats.select(F.col("agg").alias(f"agg{i}"), F.col("var").alias(f"var{i}"), F.try_divide(spread, F.abs("avg")).alias(f"cv{i}"))
         p = profiles.select(F.col("tbl").alias(f"tbl{i}"), F.concat(F.lit("avg_"), "var").alias(f"var{i}"), F.col("missing_ratio").alias(f"miss{i}"), F.col("zero_ratio").alias(f"zero{i}"))
         out = out.join(s, [f"agg{i}", f"var{i}"], "left").join(p, [f"tbl{i}", f"var{i}"], "left")
+        if values is not None:
+            v = values.select(F.col("agg").alias(f"agg{i}"), F.col("var").alias(f"var{i}"), F.col("missing_ratio").alias(f"vmiss{i}"), F.col("zero_ratio").alias(f"vzero{i}"))
+            out = out.join(v, [f"agg{i}", f"var{i}"], "left")
     have = set(out.columns)
     null = F.lit(None).cast("double")
 
     def side(i: str) -> list:
-        values = [F.lit(""), F.col(f"tbl{i}"), F.coalesce(F.get(F.array(table[F.col(f"tbl{i}")]), F.lit(0)), F.col(f"tbl{i}")), F.col(f"agg{i}"), F.col(f"var{i}"), F.lit(""), null, null, F.col(f"miss{i}"), F.col(f"zero{i}"), F.col(f"cv{i}")]
-        return [v.alias(c.format(i) if "{}" in c else f"{c}{i}") for v, c in zip(values, _SIDE)]
+        of_values = [F.col(f"v{c}{i}") if values is not None else null for c in ("miss", "zero")]
+        told = F.coalesce(text[F.concat_ws(".", f"tbl{i}", F.regexp_replace(f"var{i}", "^avg_", ""))], F.lit(""))
+        cells = [F.coalesce(field[F.col(f"tbl{i}")], F.lit("")), F.col(f"tbl{i}"), F.coalesce(F.get(F.array(table[F.col(f"tbl{i}")]), F.lit(0)), F.col(f"tbl{i}")), F.col(f"agg{i}"), F.col(f"var{i}"), told, *of_values, F.col(f"miss{i}"), F.col(f"zero{i}"), F.col(f"cv{i}")]
+        return [v.alias(c.format(i) if "{}" in c else f"{c}{i}") for v, c in zip(cells, _SIDE)]
 
     pick = lambda c: F.col(c) if c in have else null
     tail = [F.bround("r", 3), F.bround(pick("r_impute_avg"), 3), F.bround(pick("r_impute_zero"), 3), F.bround("p", 3), F.col("n"), F.col("kind")]
