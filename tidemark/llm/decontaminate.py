@@ -235,7 +235,7 @@ def _bands(item: bytes, budget: int, bound: int, gram: np.ndarray, at: np.ndarra
         if b - a < bound:
             continue
         first_group = low // width
-        held = np.zeros(((step + reach + len(item)) // width + 3, len(own)), bool)  # groups of diagonals x places
+        held = np.zeros(((min(step + reach, size - low) + len(item)) // width + 3, len(own)), bool)  # groups of diagonals x places
         for c, d in _runs_of(times[spot[a:b]]):
             n = times[spot[a + c : a + d]]
             place = order[_spread(first[spot[a + c : a + d]], n)]
