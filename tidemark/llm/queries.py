@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, language_id, media, near_dedup, packing, pii, token_counts, toxicity, url_filter, warc_fixity
+from tidemark.llm import decontaminate, language_id, media, near_dedup, packing, pii, spelling, token_counts, toxicity, url_filter, warc_fixity, whitening
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -86,6 +86,16 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_to_audio(table(spark, sf_dir, "documents")).drop("sample_rate")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents with the commoner word that each is a variant of, and where that leads."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All usable embeddings in the coordinates of their 32 largest components, scaled to unit variance."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The kinds of op5 that SQL can say."""
     return op5_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
@@ -101,13 +111,25 @@ def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_media_columns(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "media_bytes", "media_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_minhash_near_dedup, op4_decontamination, op5_pii, op6_warc_fixity, op7_best_fit_packing, op8_toxicity, op9_url_filters, op10_media_columns, pii_base_spans, url_rules, media_payloads)}
+def whitening_deviations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op13 that SQL can say, with the trace that the components share."""
+    rows = op13_embedding_whitening(spark, sf_dir)
+    return rows.groupBy("vec_id").agg(F.first("n").alias("n"), F.first("deviation").alias("deviation"), F.count(F.lit(1)).alias("components"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_minhash_near_dedup, op4_decontamination, op5_pii, op6_warc_fixity, op7_best_fit_packing, op8_toxicity, op9_url_filters, op10_media_columns, op11_spelling_variants, op13_embedding_whitening, pii_base_spans, url_rules, media_payloads, whitening_deviations)}
+
+
 _LINE = "chr(13) || chr(10)"
 _RECORD = (
     f"'WARC/1.1' || {_LINE} || 'WARC-Type: resource' || {_LINE} || 'WARC-Record-ID: <urn:page:' || page_id || '>' || {_LINE} || 'WARC-Target-URI: ' || coalesce(url, '') || {_LINE}"
     f" || 'Content-Length: ' || strlen(coalesce(html, '')) || {_LINE} || {_LINE} || coalesce(html, '') || {_LINE} || {_LINE}"
 )
 
+#: The checksum of zlib over the bytes of {s}: its table by eight halvings, then one step a byte.
+_CRC_TABLE = "ct AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i)))"
+_CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(range(1, strlen({s}) + 1), lambda k: ('0x' || substr(hex(encode({s})), 2 * k - 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
 #: E-mail, address, card and phone, as they are defined.
 _BASE = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", r"[0-9]+(?:\.[0-9]+){3}", r"[0-9](?:[ -]?[0-9])+", r"\+[0-9][ ().0-9-]+[0-9]")
 
@@ -158,6 +180,25 @@ ORACLE_SQL: dict[str, str] = {
             WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
             WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule
         FROM c""",
+    "op11_spelling_variants": f"""
+        WITH RECURSIVE {_CRC_TABLE},
+        r AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents),
+        g AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS k FROM r WHERE length(run) >= 6 GROUP BY ALL),
+        h AS (SELECT run, k, {_CRC.format(s="(coalesce(doc_id::VARCHAR, '') || ':' || run)")} AS h FROM g, ct),
+        f AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, k FROM h),
+        v AS (SELECT word, sum(k)::BIGINT AS n FROM f WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+        d AS (SELECT DISTINCT word, n, substr(word, 1, i - 1) || substr(word, i + 1) AS key, i FROM v, lateral (SELECT unnest(range(1, length(word) + 1)) AS i)),
+        p AS (SELECT a.word, a.n, b.word AS other, b.n AS m FROM d a JOIN d b ON a.key = b.key AND a.i = b.i AND a.word <> b.word
+            UNION SELECT d.word, d.n, v.word, v.n FROM d JOIN v ON d.key = v.word UNION SELECT v.word, v.n, d.word, d.n FROM d JOIN v ON d.key = v.word),
+        b AS (SELECT word, count(*) AS n_near, arg_min(other, (-m, other)) AS other, max(m) AS m FROM p GROUP BY word),
+        o AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * v.n THEN other END AS form, CASE WHEN m >= 5 * v.n THEN m END AS form_n FROM v LEFT JOIN b USING (word)),
+        c AS (SELECT word, word AS at, form AS next FROM o UNION ALL SELECT c.word, c.next, o.form FROM c JOIN o ON o.word = c.next)
+        SELECT o.word, o.form, c.at AS root, o.n, o.n_near, o.form_n FROM o JOIN c ON c.word = o.word AND c.next IS NULL""",
+    "whitening_deviations": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda c: floor(64 * c::DOUBLE)::BIGINT + 1000000) AS x FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) > 0 AND list_count(embedding) = len(embedding) AND len(list_filter(embedding, lambda c: NOT isfinite(c))) = 0),
+        e AS (SELECT unnest(x) AS x, generate_subscripts(x, 1) AS i FROM v), s AS (SELECT i, sum(x)::BIGINT AS s FROM e GROUP BY i), l AS (SELECT list(s ORDER BY i) AS s FROM s), n AS (SELECT count(*) AS n FROM v)
+        SELECT vec_id, n, list_sum(list_transform(range(1, len(x) + 1), lambda i: (n * x[i] - s[i]) * (n * x[i] - s[i])))::BIGINT AS deviation, least(32, len(x))::BIGINT AS components FROM v, l, n""",
     "media_payloads": r"""
         WITH a AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
         n AS (SELECT doc_id, b, octet_length(b) AS n, 576 * greatest(1, (octet_length(b) + 575) // 576) AS p FROM a),
