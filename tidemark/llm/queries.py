@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, language_id, media, near_dedup, packing, pii, spelling, token_counts, toxicity, url_filter, warc_fixity, whitening
+from tidemark.llm import decontaminate, language_id, language_model, media, near_dedup, packing, pii, spelling, token_counts, toxicity, url_filter, warc_fixity, whitening
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -91,6 +91,11 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability by token frequencies and by the mixed bit predictors."""
+    return language_model.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All usable embeddings in the coordinates of their 32 largest components, scaled to unit variance."""
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
@@ -111,13 +116,18 @@ def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_media_columns(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "media_bytes", "media_sha256")
 
 
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op12 that SQL can say."""
+    return op12_lm_scoring(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"))
+
+
 def whitening_deviations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part of op13 that SQL can say, with the trace that the components share."""
     rows = op13_embedding_whitening(spark, sf_dir)
     return rows.groupBy("vec_id").agg(F.first("n").alias("n"), F.first("deviation").alias("deviation"), F.count(F.lit(1)).alias("components"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_minhash_near_dedup, op4_decontamination, op5_pii, op6_warc_fixity, op7_best_fit_packing, op8_toxicity, op9_url_filters, op10_media_columns, op11_spelling_variants, op13_embedding_whitening, pii_base_spans, url_rules, media_payloads, whitening_deviations)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_minhash_near_dedup, op4_decontamination, op5_pii, op6_warc_fixity, op7_best_fit_packing, op8_toxicity, op9_url_filters, op10_media_columns, op11_spelling_variants, op12_lm_scoring, op13_embedding_whitening, pii_base_spans, url_rules, media_payloads, lm_base_scores, whitening_deviations)}
 
 
 _LINE = "chr(13) || chr(10)"
@@ -194,6 +204,14 @@ ORACLE_SQL: dict[str, str] = {
         o AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * v.n THEN other END AS form, CASE WHEN m >= 5 * v.n THEN m END AS form_n FROM v LEFT JOIN b USING (word)),
         c AS (SELECT word, word AS at, form AS next FROM o UNION ALL SELECT c.word, c.next, o.form FROM c JOIN o ON o.word = c.next)
         SELECT o.word, o.form, c.at AS root, o.n, o.n_near, o.form_n FROM o JOIN c ON c.word = o.word AND c.next IS NULL""",
+    "lm_base_scores": rf"""
+        WITH {_CRC_TABLE},
+        d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id IS NOT NULL AND {_CRC.format(s="coalesce(doc_id::VARCHAR, '')")} % 7 = 2, FALSE) AS held_out,
+            list_append(list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> ''), NULL) AS w FROM documents, ct),
+        u AS (SELECT r, held_out, unnest(w) AS w FROM d), c AS (SELECT w, count(*) AS c FROM u WHERE NOT held_out GROUP BY w),
+        n AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM c),
+        s AS (SELECT u.r, count(*) AS n_tokens, count(c) AS n_known, sum(log10((coalesce(c, 0) + 1) / (SELECT n + v + 1 FROM n))) AS base_score FROM u LEFT JOIN c ON u.w IS NOT DISTINCT FROM c.w GROUP BY u.r)
+        SELECT doc_id, held_out, n_tokens, n_known, (SELECT n FROM n) AS train_tokens, round(base_score, 6) AS base_score FROM d JOIN s USING (r)""",
     "whitening_deviations": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda c: floor(64 * c::DOUBLE)::BIGINT + 1000000) AS x FROM embeddings
             WHERE embedding IS NOT NULL AND len(embedding) > 0 AND list_count(embedding) = len(embedding) AND len(list_filter(embedding, lambda c: NOT isfinite(c))) = 0),
