@@ -27,6 +27,8 @@ from tidemark.llm.textkernel import is_space, lower_ascii, mix, runs, slices
 
 #: Words with a code of their own; all others are spelled.
 HEAD = 1 << 16
+#: Rarer words are spelled, so that new words are spelled by contexts that have seen rare ones.
+LEAST_CODED = 8
 #: Words so frequent that the last one seen tells the kind of text.
 MARKERS = 256
 #: Words that stand for themselves as the word before; of others the last three bytes do.
@@ -36,7 +38,7 @@ ORDERS = (2, 4, 6)
 #: Slots of each predictor's table, as powers of two.
 TABLE_BITS = (20, 22, 22)
 #: Added to both counts of a slot.
-PRIOR = 0.4
+PRIOR = 0.2
 #: Bits after which weights start anew, and the rate at which they learn.
 BLOCK, RATE, FIRST_WEIGHT = 2048, np.float32(0.05), 0.4
 #: Bytes of text that are mixed at a time, and coded at a time.
@@ -146,7 +148,7 @@ def bits_of(tokens: Tokens, vocabulary: Vocabulary) -> Bits:
     marker = np.where(last >= begin, ids[np.maximum(last, 0)] + 1, 0).astype(np.uint64)
     padded = np.concatenate([np.zeros(_PAD, np.uint8), tokens.data, np.zeros(_PAD, np.uint8)])
     before8 = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))  # the eight bytes before a place
-    ending = before8[tokens.start + tokens.size] >> np.uint64(40)
+    ending = before8[tokens.start + tokens.size] >> (8 * (8 - np.minimum(np.maximum(tokens.size, 1), 3))).astype(np.uint64)
     own = np.where((ids >= 0) & (ids < KNOWN), ids.astype(np.uint64), ending + np.uint64(KNOWN))
     before = np.where(np.arange(n) == begin, np.uint64(1 << 40), np.concatenate([own[:1], own[:-1]]))
     # symbols: a word's own, or an escape, bytes and an end
@@ -299,9 +301,12 @@ def _successors(rare: DataFrame) -> np.ndarray:
 
 
 def learn_vocabulary(counts: DataFrame, texts: int) -> Vocabulary:
-    """The ``HEAD`` most frequent words, equal ones in code-point order, and the codes; ``counts`` is a stored table (word, n)."""
+    """The ``HEAD`` most frequent words of at least ``LEAST_CODED`` occurrences, equal ones in code-point order, and the codes.
+
+    ``counts`` is a stored table (word, n).
+    """
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    head = counts.orderBy(F.desc("n"), "word").limit(HEAD).collect()  # a bounded table
+    head = counts.filter(F.col("n") >= LEAST_CODED).orderBy(F.desc("n"), "word").limit(HEAD).collect()  # a bounded table
     rare = counts.join(F.broadcast(counts.sparkSession.createDataFrame([(r.word,) for r in head], "word string")), "word", "left_anti")
     own = [r.n for r in head]
     return Vocabulary.of([r.word for r in head], own, int(total) - sum(own), texts, int(distinct) + (texts > 0), _successors(rare))
