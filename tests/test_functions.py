@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import keys as K
 from tidemark.functions.names import is_measure_name, key_attributes, measure_columns
-from tidemark.functions.stats import correlation_p
+from tidemark.functions.stats import correlation_log_p, correlation_p, two_sided_normal
 
 
 def one(spark, column):
@@ -51,6 +51,47 @@ def test_p_value_limits(spark):
     assert abs(p(0.6, 10) - 0.06668) < 1e-4
 
 
+def exact_tail(r, n):
+    """log10 of the two-sided p-value: the tail's density is integrated from below by a series of positive terms, in 60 digits."""
+    from decimal import Decimal, getcontext
+
+    getcontext().prec = 60
+    a, x = Decimal(n - 2) / 2, 1 - Decimal(r) ** 2
+    ratio = Decimal(1)  # Gamma(a + 1/2) / (Gamma(a) Gamma(1/2)), by steps of one from 1/2 or 1
+    pi = Decimal("3.14159265358979323846264338327950288419716939937510582097494459")
+    at = Decimal(1) / 2 if n % 2 else Decimal(1)
+    ratio = 1 / pi if n % 2 else Decimal(1) / 2
+    while at < a:
+        ratio *= (at + Decimal("0.5")) / at
+        at += 1
+    term, total, k = Decimal(1), Decimal(0), 0
+    while term > total * Decimal(10) ** -25:
+        total += term
+        term *= (a + Decimal("0.5") + k) / (a + 1 + k) * x
+        k += 1
+    return float((ratio * total * abs(Decimal(r)) / a).log10() + a * x.log10())
+
+
+def test_p_values_hold_at_every_size(spark):
+    cases = [(r, n) for n in (3, 4, 5, 8, 17, 100, 1999, 2000, 2001, 20_000) for r in (0.01, -0.05, 0.3, 0.5, -0.8, 0.95, 0.999)] + [(0.001, 1_000_001), (0.02, 1_000_000)]
+    rows = spark.createDataFrame([(float(r), n) for r, n in cases], "r double, n long").select("r", "n", (correlation_log_p(F.col("r"), F.col("n")) / F.log(F.lit(10.0))).alias("l"), correlation_p(F.col("r"), F.col("n")).alias("p")).collect()
+    for row in rows:
+        if row.n * row.r**2 > 5e4 or row.n > 50_000 and row.r < 0.01:
+            continue
+        want = exact_tail(row.r, row.n)
+        assert abs(row.l - want) < 1e-9 / 2.4, row  # 1e-9 of p
+        assert row.p == 0 if want < -320 else abs(row.p / 10**want - 1) < 1e-9 or want < -300
+    assert one(spark, correlation_log_p(F.lit(0.0), F.lit(9))) == 0 and one(spark, correlation_p(F.lit(1.0), F.lit(9))) == 0 and one(spark, correlation_p(F.lit(0.5), F.lit(2))) is None
+
+
+def test_tails_of_the_normal_distribution(spark):
+    import math
+
+    z = [0.0, 0.1, 1.0, 2.0, 2.449, 2.45, 3.0, -6.0, 10.0, 35.0]
+    rows = spark.createDataFrame([(v,) for v in z], "z double").select("z", two_sided_normal(F.col("z")).alias("p")).collect()
+    assert all(abs(r.p / math.erfc(abs(r.z) / math.sqrt(2)) - 1) < 1e-12 for r in rows)
+
+
 def test_bounds_of_time(spark):
     rows = spark.createDataFrame([(dt.datetime(2024, 1, 1, 23, 59, 59),), (dt.datetime(2024, 1, 2),)], "ts timestamp_ntz")
     assert [r.v for r in rows.select(K.time_key(F.col("ts"), K.TimeUnit.DAY).alias("v")).collect()] == ["2024-01-01", "2024-01-02"]

@@ -2,6 +2,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from tidemark.functions.stats import packed_correlations
 from tidemark.operators import bins, correlate, evaluate, factors, graph, index, joins, labels, measures, spatial, topology
 from tidemark.operators.measures import Source
 from tidemark.plans.engine import Assistant, Engine
@@ -67,6 +68,43 @@ def test_partial_correlation_equals_the_inverse_covariance(spark):
     assert len(got) == 1 and abs(got[0].r + p[0, 1] / np.sqrt(p[0, 0] * p[1, 1])) < 1e-9
 
 
+def test_ten_controls_in_one_pass(spark):
+    import time
+
+    rng = np.random.default_rng(4)
+    data = rng.normal(size=(500, 14)) @ rng.normal(size=(14, 14))
+    names = [f"v{i}" for i in range(14)]
+    df = frame(spark, [tuple(map(float, r)) for r in data], ", ".join(f"{n} double" for n in names))
+    began = time.time()
+    got = {(r.x, r.y): r for r in correlate.partial_correlations(df, [("v0", "v1"), ("v2", "v3"), ("v0", "v3")], names[4:], None).collect()}
+    assert time.time() - began < 30  # a busy machine; alone it takes a few seconds
+    for x, y in got:
+        own = [int(x[1:]), int(y[1:]), *range(4, 14)]
+        p = np.linalg.inv(np.cov(data[:, own], rowvar=False))
+        assert abs(got[x, y].r + p[0, 1] / np.sqrt(p[0, 0] * p[1, 1])) < 1e-8
+    assert len(got) == 3
+    # a control given twice, and one that is constant, change nothing; a variable that a control explains has no row
+    more = df.withColumn("twice", F.col("v4") * 2 + 1).withColumn("flat", F.lit(3.0)).withColumn("told", 1 - F.col("v0"))
+    again = correlate.partial_correlations(more, [("v0", "v1")], [*names[4:], "twice", "flat"], None).first()
+    assert abs(again.r - correlate.partial_correlations(df, [("v0", "v1")], names[4:], None).first().r) < 1e-9
+    assert correlate.partial_correlations(more, [("v0", "v1")], ["told"], None).count() == 0
+
+
+def test_controls_of_all_pairs_in_one_job(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40, 4)) @ rng.normal(size=(4, 4))
+    cells = [("k", f"{'abc'[i]}_k", "abc"[i], v, str(k), float(x[k, j])) for j, (i, v) in enumerate([(0, "p"), (1, "q"), (1, "r"), (2, "s")]) for k in range(40) if (i, k) != (2, 7)]
+    long = frame(spark, cells, "kind string, agg string, tbl string, var string, val string, x double")
+    corrs = frame(spark, [("a_k", "p", "b_k", "q"), ("a_k", "p", "b_k", "r"), ("b_k", "q", "c_k", "s")], "agg1 string, var1 string, agg2 string, var2 string")
+    got = {(r.var1, r.var2): (r.n, r.r) for r in correlate.partial_pairs(long, corrs, [("c_k", "s")], None).collect()}
+    kept = np.delete(x, 7, 0)  # the control's table lacks a key
+    for (a, b), (i, j) in {("p", "q"): (0, 1), ("p", "r"): (0, 2)}.items():
+        p = np.linalg.inv(np.cov(kept[:, [i, j, 3]], rowvar=False))
+        assert got[a, b][0] == 39 and abs(got[a, b][1] + p[0, 1] / np.sqrt(p[0, 0] * p[1, 1])) < 1e-9
+    assert len(got) == 2
+    assert correlate.partial_pairs(long, corrs, [], None).count() == 3
+
+
 def test_false_discovery_rate(spark):
     ps = {"x": [0.001, 0.01, 0.02, 0.0401, 0.5], "z": [0.025, 0.5]}
     corrs = frame(spark, [("t", "a", v, f"b{i}", "y", 0.5, p) for v, own in ps.items() for i, p in enumerate(own)], "kind string, agg1 string, var1 string, agg2 string, var2 string, r double, p double")
@@ -203,9 +241,8 @@ def test_communities_of_a_known_structure(spark):
     of, edges = synthetic.community_graph(3, 5, 3, inside=0.9, across=0.0, seed=2)
     df = synthetic.sample(spark, len(of), edges, 800, seed=5)
     names = [f"x{i}" for i in range(len(of))]
-    row, r = correlate.correlation_matrix(df, names)
-    values = row.select(*(c.alias("|".join(sorted(k))) for k, c in r.items())).first().asDict()
-    strong = [tuple(f"t--{v}" for v in k.split("|")) for k, v in values.items() if abs(v) >= 0.3]
+    m = np.reshape(df.agg(packed_correlations([F.col(n) for n in names])).first()[0], (len(names), len(names)))
+    strong = [(f"t--{a}", f"t--{b}") for i, a in enumerate(names) for j, b in enumerate(names[:i]) if abs(m[i, j]) >= 0.3]
     found = graph.louvain([(a, b, 1.0) for a, b in strong], 0)
     parts = frame(spark, [(n, of[int(n[4:])], c) for n, c in found.items()], "node string, a int, b int")
     assert evaluate.partition_scores(parts).first().ari > 0.5
@@ -238,3 +275,51 @@ def test_saved_tables_and_listing(spark, tmp_path):
     catalog.write("measures", frame)
     other.write("measures", spark.createDataFrame([(2, "b")], "x int, y string"))
     assert catalog.merge(other).read("measures").count() == 2
+
+
+def _tables(engine):
+    """What an engine has stored, in order."""
+    rows = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+    keys = engine.catalog.index().withColumn("aggs", F.array_join("aggs", "|"))
+    return [rows(engine.catalog.read(n)) for n in ("measures", "stats", "value_profiles", "profiles", "keys")] + [rows(keys)]
+
+
+def test_a_catalog_grows_source_by_source(spark, tmp_path):
+    def source(tbl, months, factor=1.0, flaw=None):
+        rows = [(f"2020-{m:02d}", f"p{m % 3}", factor * m if m != flaw else None) for m in months for _ in range(2)]
+        df = spark.createDataFrame(rows, "t string, s string, x double")
+        return Source(tbl, df, {"month": F.col("t")}, {"place": F.col("s")}, ("x",))
+
+    one, two, three = source("007", range(1, 9)), source("a/b=c d", range(4, 13), -2.0, 5), source("third", range(2, 4))
+    whole = Engine(spark, f"file://{tmp_path}/whole")
+    whole.ingest([one, two, three])
+    grown = Engine(spark, f"file://{tmp_path}/grown")
+    for s in (one, two, three):
+        grown.ingest([s])
+    assert _tables(grown) == _tables(whole)
+    assert {r.tbl for r in grown.long.select("tbl").distinct().collect()} == {"007", "a/b=c d", "third"}
+    # again, with other rows: the old ones are gone, also from the index
+    other = source("a/b=c d", range(11, 14), 5.0)
+    grown.ingest([other])
+    replaced = Engine(spark, f"file://{tmp_path}/replaced")
+    replaced.ingest([other, three, one])
+    assert _tables(grown) == _tables(replaced)
+    assert grown.catalog.index().filter("val = '2020-13'").first().aggs == ["a/b=c d_month"]
+    # the same again changes nothing
+    grown.ingest([other])
+    assert _tables(grown) == _tables(replaced)
+    # taken out
+    grown.remove(["007", "unknown"])
+    left = Engine(spark, f"file://{tmp_path}/left")
+    left.ingest([three, other])
+    assert _tables(grown) == _tables(left)
+    assert grown.find_all_correlations(Options(overlap=2, r_least=0.0, p_most=1.0)).count() == left.find_all_correlations(Options(overlap=2, r_least=0.0, p_most=1.0)).count()
+    # a source without a row keeps no part
+    grown.ingest([source("third", [])])
+    assert "third" not in {r.tbl for r in grown.long.select("tbl").distinct().collect()} and grown.catalog.index().filter(F.array_contains("aggs", "third_month")).count() == 0
+    # two catalogs read as one have one row a key
+    both = Engine(spark, f"file://{tmp_path}/both")
+    both.ingest([one])
+    both.merge(left)
+    keys = both.catalog.index()
+    assert keys.count() == keys.select("kind", "val").distinct().count() and keys.filter("cnt > 1").count() > 0

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Samples up to which the p-value is an exact finite series; above, a normal approximation of Student's t.
-EXACT_SAMPLES = 2000
+#: Steps of the continued fractions and series below; with the ranges they are used in, more change nothing in a double.
+STEPS = 64
 
 
 def pearson(x: Column, y: Column) -> Column:
@@ -16,48 +16,100 @@ def pearson(x: Column, y: Column) -> Column:
     return F.coalesce(F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0)), F.lit(0.0))
 
 
-def two_sided_normal(z: Column) -> Column:
-    """P(|Z| >= z) to about 1e-7, by a rational approximation of the error function."""
-    x = F.abs(z) / F.sqrt(F.lit(2.0))
-    t = 1 / (1 + 0.3275911 * x)
-    series = ((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t
-    return series * F.exp(-x * x)
+def _fraction(start: Column, first: Column, second: Column | None, m_terms) -> Column:
+    """Value of a continued fraction by Lentz's method: ``m_terms(m)`` are the partial numerators of step m, with their denominators."""
+    state = F.struct(first.alias("c"), second.alias("d"), start.alias("h"))
+
+    def step(acc: Column, m: Column) -> Column:
+        for above, below in m_terms(m):
+            d = 1 / (below + above * acc["d"])
+            c = below + above / acc["c"]
+            acc = F.struct(c.alias("c"), d.alias("d"), (acc["h"] * c * d).alias("h"))
+        return acc
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), state, step, lambda acc: acc["h"])
+
+
+def log_gamma_ratio(a: Column) -> Column:
+    """log(Gamma(a + 1/2) / Gamma(a)) for a > 0: a is moved up by 16, where an asymptotic series is exact in a double.
+
+    The ratio itself is expanded, so that nothing cancels for large a, as it would between two logarithms.
+    """
+    up = F.aggregate(F.sequence(F.lit(0), F.lit(15)), F.lit(0.0), lambda acc, j: acc + F.log1p(-0.5 / (a + j + 0.5)))
+    z = a + 16
+    return up + 0.5 * F.log(z) - 1 / (8 * z) + 1 / (192 * F.pow(z, F.lit(3.0))) - 1 / (640 * F.pow(z, F.lit(5.0))) + 17 / (14336 * F.pow(z, F.lit(7.0)))
+
+
+def correlation_log_p(r: Column, n: Column, controls: int = 0) -> Column:
+    """Natural logarithm of the two-sided p-value of a correlation of n samples with ``controls`` variables held fixed; null without freedom.
+
+    With v degrees of freedom p is the regularised incomplete beta function of 1 - r^2 at (v / 2, 1 / 2). It is taken
+    by its continued fraction in logarithms, at whichever end the fraction converges, so tails far below the
+    smallest double keep their order. -infinity for |r| = 1.
+    """
+    v = (n - 2 - controls).cast("double")
+    a, size = v / 2, F.abs(r).cast("double")
+    square = size * size
+    tail = 1 - square < (a + 1) / (a + 2.5)
+    p, q, x = F.when(tail, a).otherwise(0.5), F.when(tail, 0.5).otherwise(a), F.when(tail, 1 - square).otherwise(square)
+
+    def terms(m: Column) -> list[tuple[Column, Column]]:
+        one = m * (q - m) * x / ((p - 1 + 2 * m) * (p + 2 * m))
+        two = -(p + m) * (p + q + m) * x / ((p + 2 * m) * (p + 1 + 2 * m))
+        return [(one, F.lit(1.0)), (two, F.lit(1.0))]
+
+    d = 1 / (1 - (p + q) * x / (p + 1))
+    whole = a * F.log1p(-square) + F.log(size) + log_gamma_ratio(a) - 0.5 * F.log(F.pi()) - F.log(p) + F.log(_fraction(d, F.lit(1.0), d, terms))
+    out = F.when(tail, whole).otherwise(F.log1p(-F.exp(whole)))
+    nothing = F.lit(None).cast("double")
+    return F.when(v < 1, nothing).when(size >= 1, F.lit(float("-inf"))).when(size == 0, 0.0).otherwise(F.least(out, F.lit(0.0)))
 
 
 def correlation_p(r: Column, n: Column, controls: int = 0) -> Column:
-    """Two-sided p-value of a correlation of n samples with ``controls`` variables held fixed; null without freedom.
+    """Two-sided p-value; below the smallest double it is 0, where ``correlation_log_p`` still tells."""
+    return F.exp(correlation_log_p(r, n, controls))
 
-    For an integer number v of degrees of freedom, P(|T| >= t) is a finite sum in sin and cos of atan(t / sqrt(v)),
-    and here sin is |r|.
+
+def two_sided_normal(z: Column) -> Column:
+    """P(|Z| >= z): a series of the incomplete gamma function of z^2 / 2 for small z, its continued fraction beyond."""
+    x = z.cast("double") * z / 2
+    term = F.struct(F.lit(2.0).alias("t"), F.lit(2.0).alias("s"))
+    series = F.aggregate(
+        F.sequence(F.lit(1), F.lit(STEPS)), term, lambda acc, m: F.struct((acc["t"] * x / (m + 0.5)).alias("t"), (acc["s"] + acc["t"] * x / (m + 0.5)).alias("s")), lambda acc: acc["s"]
+    )
+    d = 1 / (x + 0.5)
+    fraction = _fraction(d, F.lit(1e300), d, lambda m: [(-m * (m - 0.5), x + 0.5 + 2 * m)])
+    scale = F.exp(-x) * F.sqrt(x / F.pi())
+    return F.when(x < 3, F.greatest(1 - scale * series, F.lit(0.0))).otherwise(scale * fraction)
+
+
+def packed_correlations(columns: list[Column]) -> Column:
+    """Aggregate: the correlations of every two columns as an array of len(columns)^2, row by row; 0 with a constant, 1 with itself."""
+    k = len(columns)
+    spread = [F.stddev_pop(c) for c in columns]
+    r = {(i, j): F.coalesce(F.covar_pop(columns[i], columns[j]) / F.nullif(spread[i] * spread[j], F.lit(0.0)), F.lit(0.0)) for i in range(k) for j in range(i)}
+    return F.array(*(F.lit(1.0) if i == j else r[max(i, j), min(i, j)] for i in range(k) for j in range(k)))
+
+
+def held_fixed(r: Column, k: int, controls: range) -> Column:
+    """A packed matrix of correlations of k variables after those at the places ``controls`` are held fixed, one after the other.
+
+    Each elimination touches every entry once, so the work is k^2 a control. A control that those before it explain
+    changes nothing; entries of a variable that the controls explain are null.
     """
-    v = n - 2 - controls
-    sin, cos2 = F.abs(r), F.greatest(1 - r * r, F.lit(0.0))
-    zero = F.struct(F.lit(1.0).alias("t"), F.lit(0.0).alias("s"))
-
-    def series(terms: Column, shift: int) -> Column:
-        steps = F.sequence(F.lit(1), F.greatest(terms, F.lit(1)).cast("int"))
-
-        def add(acc: Column, k: Column) -> Column:
-            factor = (2 * k - 1) / (2 * k) if shift == 0 else (2 * k) / (2 * k + 1)
-            return F.struct((acc["t"] * factor * cos2).alias("t"), (acc["s"] + acc["t"]).alias("s"))
-
-        return F.aggregate(steps, zero, add, lambda acc: acc["s"])
-
-    even = 1 - sin * series(F.floor(v / 2), 0)
-    odd = 1 - 2 / F.pi() * (F.asin(F.least(sin, F.lit(1.0))) + F.when(v == 1, 0.0).otherwise(sin * F.sqrt(cos2) * series(F.floor((v - 1) / 2), 1)))
-    t = sin * F.sqrt(v / F.nullif(cos2, F.lit(0.0)))
-    normal = two_sided_normal(t * (1 - 1 / (4 * v)) / F.sqrt(1 + t * t / (2 * v)))
-    exact = F.when(v % 2 == 0, even).otherwise(odd)
-    return F.when(v < 1, F.lit(None).cast("double")).when(sin >= 1, 0.0).when(n > EXACT_SAMPLES, normal).otherwise(F.greatest(exact, F.lit(0.0)))
-
-
-def partial_from(r: dict[frozenset, Column], x: str, y: str, controls: tuple[str, ...]) -> Column:
-    """Partial correlation from pairwise ones, one control taken out at a time; null where a control explains all."""
-    if not controls:
-        return r[frozenset((x, y))]
-    *rest, z = controls
-    xy, xz, yz = (partial_from(r, a, b, tuple(rest)) for a, b in ((x, y), (x, z), (y, z)))
-    return (xy - xz * yz) / F.nullif(F.sqrt(F.greatest((1 - xz * xz) * (1 - yz * yz), F.lit(0.0))), F.lit(0.0))
+
+    def eliminate(m: Column, c: Column) -> Column:
+        at = lambda i, j: F.coalesce(F.get(m, i * k + j), F.lit(0.0))
+
+        def entry(q: Column) -> Column:
+            i, j = F.floor(q / k).cast("int"), (q % k).cast("int")
+            left = lambda b: F.nullif(F.when(1 - b * b > 1e-12, 1 - b * b).otherwise(0.0), F.lit(0.0))
+            fixed = (F.get(m, q) - at(i, c) * at(j, c)) / F.sqrt(left(at(i, c)) * left(at(j, c)))
+            return F.when((i == c) | (j == c), F.get(m, q)).otherwise(fixed)
+
+        return F.transform(F.sequence(F.lit(0), F.lit(k * k - 1)), entry)
+
+    return F.aggregate(F.array(*map(F.lit, controls)), r, eliminate) if len(controls) else r
 
 
 def imputed_mean(xy: Column, sx: Column, sy: Column, n: Column, mean_x: Column, mean_y: Column, res_x: Column, res_y: Column) -> Column:

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.stats import correlation_p, imputed_mean, imputed_zero, partial_from, two_sided_normal
+from tidemark.functions.stats import correlation_p, held_fixed, imputed_mean, imputed_zero, packed_correlations, two_sided_normal
 
 PAIR = ["kind", "agg1", "var1", "agg2", "var2"]
 
@@ -116,27 +114,51 @@ def kendall_pairs(joined: DataFrame, bits: int = 31) -> DataFrame:
 COEFFICIENTS = {"spearman": spearman_pairs, "kendall": kendall_pairs}
 
 
-def correlation_matrix(frame: DataFrame, columns: list[str]) -> tuple[DataFrame, dict[frozenset, Column]]:
-    """One row with n and every pairwise correlation of a joined frame (nulls as 0), and columns that name them."""
-    known = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns}
-    named = {}
-    for i, (a, b) in enumerate(combinations(columns, 2)):
-        named[frozenset((a, b))] = (f"r{i}", F.coalesce(F.covar_pop(known[a], known[b]) / F.nullif(F.stddev_pop(known[a]) * F.stddev_pop(known[b]), F.lit(0.0)), F.lit(0.0)))
-    row = frame.agg(F.count(F.lit(1)).alias("n"), *(c.alias(n) for n, c in named.values()))
-    return row, {k: F.col(n) for k, (n, _) in named.items()}
-
-
 def partial_correlations(frame: DataFrame, wanted: list[tuple[str, str]], controls: list[str], round_dp: int | None = 3) -> DataFrame:
-    """x, y, n, r, p with the controls held fixed; pairs with a control, or whose r is null, 0 or -1, are left out."""
+    """x, y, n, r, p of a joined frame (nulls as 0) with the controls held fixed; pairs with a control, or whose r is null, 0 or -1, are left out.
+
+    One pass takes all correlations, and the controls are eliminated from their matrix once for all pairs.
+    """
     wanted = [(x, y) for x, y in wanted if x not in controls and y not in controls]
     columns = list(dict.fromkeys([c for w in wanted for c in w] + controls))
-    row, r = correlation_matrix(frame, columns)
-    out = []
-    for x, y in wanted:
-        value = partial_from(r, x, y, tuple(controls))
-        p = correlation_p(value, F.col("n"), len(controls))
-        out.append(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.col("n").alias("n"), (F.bround(value, round_dp) if round_dp is not None else value).alias("r"), p.alias("p")))
-    return row.select(F.inline(F.array(*out))).filter("r IS NOT NULL AND NOT isnan(r) AND r <> 0 AND r <> -1")
+    k, at = len(columns), {c: i for i, c in enumerate(columns)}
+    known = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns]
+    row = frame.agg(F.count(F.lit(1)).alias("n"), packed_correlations(known).alias("m"))
+    row = row.select("n", held_fixed(F.col("m"), k, range(k - len(controls), k)).alias("m"))
+    out = row.select("n", F.inline(F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.get("m", F.lit(at[x] * k + at[y])).alias("r")) for x, y in wanted))))
+    return _told(out, ["x", "y"], len(controls), round_dp)
+
+
+def _told(out: DataFrame, names: list[str], controls: int, round_dp: int | None) -> DataFrame:
+    r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("r")))
+    out = out.withColumn("p", correlation_p(r, F.col("n"), controls)).withColumn("r", F.bround(r, round_dp) if round_dp is not None else r)
+    return out.select(*names, "n", "r", "p").filter("r IS NOT NULL AND NOT isnan(r) AND r <> 0 AND r <> -1")
+
+
+def partial_pairs(long: DataFrame, corrs: DataFrame, controls: list[tuple[str, str]], round_dp: int | None = 3) -> DataFrame:
+    """agg1, var1, agg2, var2, n, r, p of given correlations (agg1, var1, agg2, var2) with control variables (agg, var) held fixed, all in one job.
+
+    Samples are the keys of both tables and of every control's table; nulls count as 0. The controls are brought side
+    by side once; pairs whose own variable is a control are left out, as are r that are null, 0 or -1.
+    """
+    names = ["agg1", "var1", "agg2", "var2"]
+    is_control = lambda i: F.coalesce(F.array_contains(F.array(*(F.struct(F.lit(a).alias(f"agg{i}"), F.lit(v).alias(f"var{i}")) for a, v in controls)), F.struct(f"agg{i}", f"var{i}")), F.lit(False))
+    wanted = corrs.select(*names).distinct()
+    if controls:
+        wanted = wanted.filter(~is_control(1) & ~is_control(2))
+    x = F.coalesce("x", F.lit(0.0))
+    one = long.select(F.col("agg").alias("agg1"), F.col("var").alias("var1"), "val", x.alias("x"))
+    two = long.select(F.col("agg").alias("agg2"), F.col("var").alias("var2"), "val", x.alias("y"))
+    rows = wanted.join(one, ["agg1", "var1"]).join(two, ["agg2", "var2", "val"])
+    if controls:
+        tables = sorted({a for a, _ in controls})
+        own = long.filter(F.col("agg").isin(tables))
+        beside = own.groupBy("val").agg(F.count_distinct("agg").alias("_tables"), *(F.coalesce(F.max(F.when((F.col("agg") == a) & (F.col("var") == v), x)), F.lit(0.0)).alias(f"c{i}") for i, (a, v) in enumerate(controls)))
+        rows = rows.join(beside.filter(F.col("_tables") == len(tables)), "val")
+    k = 2 + len(controls)
+    met = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("n"), packed_correlations([F.col(c) for c in ("x", "y", *(f"c{i}" for i in range(k - 2)))]).alias("m"))
+    fixed = met.select(*names, "n", held_fixed(F.col("m"), k, range(2, k)).alias("m"))
+    return _told(fixed.select(*names, "n", F.get("m", F.lit(1)).alias("r")), names, len(controls), round_dp)
 
 
 def benjamini_hochberg(corrs: DataFrame, q: float = 0.05, r_least: float = 0.0, group: tuple[str, ...] = ("agg1", "var1")) -> DataFrame:

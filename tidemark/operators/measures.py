@@ -84,18 +84,18 @@ def keys_of(long: DataFrame) -> DataFrame:
     return long.filter(F.col("var") == "count").select("kind", "agg", "tbl", "val")
 
 
-def column_stats(long: DataFrame, known_only: bool = False) -> DataFrame:
-    """agg, var, sum, sum_square, avg, res_sum, cnt. ``cnt`` and ``res_sum`` count keys with a null x too, unless ``known_only``."""
+def column_stats(long: DataFrame, known_only: bool = False, by: tuple[str, ...] = ("agg", "var")) -> DataFrame:
+    """agg, var (or ``by``), sum, sum_square, avg, res_sum, cnt. ``cnt`` and ``res_sum`` count keys with a null x too, unless ``known_only``."""
     rows = F.count("x") if known_only else F.count(F.lit(1))
     spread = F.coalesce(F.var_samp("x"), F.lit(None).cast("double"))
-    return long.groupBy("agg", "var").agg(
+    return long.groupBy(*by).agg(
         F.sum("x").alias("sum"), F.sum(F.col("x") * F.col("x")).alias("sum_square"), F.avg("x").alias("avg"), ((rows - 1) * spread).alias("res_sum"), rows.alias("cnt")
     )
 
 
 def column_profile(df: DataFrame, tbl: str, columns: tuple[str, ...]) -> DataFrame:
-    """tbl, var, missing_ratio, zero_ratio of raw columns, of all rows, to two places."""
-    n = F.count(F.lit(1))
+    """tbl, var, missing_ratio, zero_ratio of raw columns, of all rows, to two places; null for a table without rows."""
+    n = F.nullif(F.count(F.lit(1)), F.lit(0))
     ratios = df.agg(*(F.struct(F.round(F.count_if(F.col(c).isNull()) / n, 2).alias("missing_ratio"), F.round(F.count_if(F.col(c) == 0) / n, 2).alias("zero_ratio")).alias(c) for c in columns))
     rows = F.array(*(F.struct(F.lit(tbl).alias("tbl"), F.lit(c).alias("var"), F.col(c)["missing_ratio"].alias("missing_ratio"), F.col(c)["zero_ratio"].alias("zero_ratio")) for c in columns))
     return ratios.select(F.inline(rows))
@@ -112,7 +112,7 @@ def rows_per_key(long: DataFrame) -> DataFrame:
     return long.filter(F.col("var") == "count").groupBy("agg").agg(F.avg("x").alias("avg_rows"), F.percentile("x", 0.5).alias("median_rows"))
 
 
-def value_profile(long: DataFrame) -> DataFrame:
+def value_profile(long: DataFrame, by: tuple[str, ...] = ("agg", "var")) -> DataFrame:
     """agg, var, missing_ratio, zero_ratio of each aggregated variable's values, to two places."""
     n = F.count(F.lit(1))
-    return long.groupBy("agg", "var").agg(F.round(F.count_if(F.col("x").isNull()) / n, 2).alias("missing_ratio"), F.round(F.count_if(F.col("x") == 0) / n, 2).alias("zero_ratio"))
+    return long.groupBy(*by).agg(F.round(F.count_if(F.col("x").isNull()) / n, 2).alias("missing_ratio"), F.round(F.count_if(F.col("x") == 0) / n, 2).alias("zero_ratio"))

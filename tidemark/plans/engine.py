@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import correlate, index, joins, measures
-from tidemark.plans.search import Options, control, correlations
+from tidemark.plans.search import Options, correlations
 from tidemark.sources.catalog import Catalog
 from tidemark.sources.results import to_results
 
@@ -20,16 +21,30 @@ class Engine:
         self.spark, self.catalog = spark, Catalog(spark, root)
 
     def ingest(self, sources: list[measures.Source], cross: bool = True) -> None:
-        """Aggregate every source by all its keys and store measures, statistics, profiles and the inverted index."""
-        long = measures.measures(sources, cross)
-        self.catalog.write("measures", long)
-        stored = self.catalog.read("measures")
-        self.catalog.write("stats", measures.column_stats(stored))
-        self.catalog.write("value_profiles", measures.value_profile(stored))
-        self.catalog.write("index", index.inverted_index(measures.keys_of(stored)))
+        """Aggregate sources by all their keys and add them to the catalog: measures, statistics, profiles and index.
+
+        Sources that are there already are replaced, all others stay as they are: tables are split by source, and the
+        index takes in the keys that these sources gain or lose.
+        """
+        names = [s.tbl for s in sources]
+        if not names:
+            return
+        catalog = self.catalog
+        catalog.replace_parts("measures", measures.measures(sources, cross), "tbl", names)
+        own = catalog.own("measures").filter(F.col("tbl").isin(names))
+        catalog.replace_parts("stats", measures.column_stats(own, by=("tbl", "agg", "var")), "tbl", names)
+        catalog.replace_parts("value_profiles", measures.value_profile(own, by=("tbl", "agg", "var")), "tbl", names)
         profiles = [measures.column_profile(s.df, s.tbl, s.measures) for s in sources if s.measures]
-        for i, p in enumerate(profiles):
-            self.catalog.write("profiles", p, mode="append" if i else "overwrite")
+        if profiles:
+            catalog.replace_parts("profiles", reduce(DataFrame.unionByName, profiles), "tbl", names)
+        catalog.update_keys(measures.keys_of(own), names)
+
+    def remove(self, tables: list[str]) -> None:
+        """Take sources out of measures, statistics, profiles and index; unknown names change nothing."""
+        keys = self.catalog.own("keys")
+        self.catalog.update_keys(keys.select("kind", "agg", "tbl", "val").limit(0), tables)
+        for name in ("measures", "stats", "value_profiles", "profiles"):
+            self.catalog.drop_parts(name, "tbl", tables)
 
     @property
     def long(self) -> DataFrame:
@@ -40,8 +55,7 @@ class Engine:
         found = correlations(self.long, options, tbl)
         if not controls:
             return self._shown(found)
-        pairs = [tuple(r) for r in found.select("agg1", "var1", "agg2", "var2").collect()]  # one table's findings
-        return self.control_variables(pairs, controls) if pairs else found.select("agg1", "var1", "agg2", "var2", "n", "r", "p")
+        return correlate.partial_pairs(self.long, found, controls)
 
     def store_features(self) -> DataFrame:
         """Peaks and dips of all variables, stored beside the measures for later tests of relationships."""
@@ -70,9 +84,11 @@ class Engine:
             write_results(found, path)
         return found
 
-    def control_variables(self, corrs: list[tuple[str, str, str, str]], controls: list[tuple[str, str]]) -> DataFrame:
-        used = {c[0] for c in corrs} | {c[2] for c in corrs} | {c[0] for c in controls}
-        return control({a: self.catalog.read_agg(a) for a in used}, corrs, controls)
+    def control_variables(self, corrs: DataFrame | list[tuple[str, str, str, str]], controls: list[tuple[str, str]]) -> DataFrame:
+        """Correlations (agg1, var1, agg2, var2) again with the variables (agg, var) held fixed."""
+        if not isinstance(corrs, DataFrame):
+            corrs = self.spark.createDataFrame(corrs, "agg1 string, var1 string, agg2 string, var2 string")
+        return correlate.partial_pairs(self.long, corrs, controls)
 
     def join_and_project(self, variables: list[tuple[str, str]], constraints: dict[str, int] | None = None, samples: bool = False) -> DataFrame:
         tables = {a: self.catalog.read_agg(a) for a in dict.fromkeys(t for t, _ in variables)}
@@ -98,7 +114,7 @@ class Engine:
         entries = self.catalog.entries.values()
         told = {f"{e.tbl}.{c}": t for e in entries for c, t in e.descriptions.items()}
         return to_results(
-            corrs, self.catalog.read("stats"), self.catalog.read("profiles"), {e.tbl: e.name for e in entries}, values=self.catalog.read("value_profiles"),
+            corrs, self.catalog.read("stats").drop("tbl"), self.catalog.read("profiles"), {e.tbl: e.name for e in entries}, values=self.catalog.read("value_profiles").drop("tbl"),
             domains={e.tbl: e.domain for e in entries}, descriptions=told,
         )
 

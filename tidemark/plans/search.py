@@ -50,23 +50,3 @@ def correlations(long: DataFrame, options: Options, start: str | None = None) ->
         return correlate.benjamini_hochberg(out, options.q, options.r_least)
     return out.filter((F.abs("r") >= options.r_least) & (F.col("p") <= options.p_most))
 
-
-def control(tables: dict[str, DataFrame], corrs: list[tuple[str, str, str, str]], controls: list[tuple[str, str]], round_dp: int | None = 3) -> DataFrame:
-    """Given correlations (agg1, var1, agg2, var2) again with control variables (agg, var) held fixed: agg1, var1, agg2, var2, n, r, p.
-
-    Each pair of tables is joined once with the tables of the controls.
-    """
-    from functools import reduce
-
-    from tidemark.operators.joins import join_and_project
-
-    named = lambda agg, var: f"{agg}_{var}"[:63]
-    out = []
-    for a, b in dict.fromkeys((c[0], c[2]) for c in corrs):
-        own = [c for c in corrs if (c[0], c[2]) == (a, b)]
-        variables = list(dict.fromkeys([(a, c[1]) for c in own] + [(b, c[3]) for c in own] + controls))
-        frame = join_and_project(tables, variables)
-        found = correlate.partial_correlations(frame, [(named(a, c[1]), named(b, c[3])) for c in own], [named(*c) for c in controls], round_dp)
-        names = F.create_map(*(F.lit(x) for v in variables for x in (named(*v), v[1])))
-        out.append(found.select(F.lit(a).alias("agg1"), names[F.col("x")].alias("var1"), F.lit(b).alias("agg2"), names[F.col("y")].alias("var2"), "n", "r", "p"))
-    return reduce(DataFrame.unionByName, out)

@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import keys as K
-from tidemark.functions.stats import correlation_p
+from tidemark.functions.stats import correlation_log_p
 from tidemark.operators import bins, correlate, evaluate, factors, graph, index, joins, labels, measures, sketch, spatial, topology
 from tidemark.operators.measures import Source, Variable
-from tidemark.plans.search import Options, control, correlations
+from tidemark.plans.engine import Engine
+from tidemark.plans.search import Options, correlations
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -169,12 +170,12 @@ def measures_long(spark, d):
 
 @query("inv_index", f"{_LONG} SELECT kind, val, array_to_string(list_sort(list(DISTINCT agg)), '|') AS aggs FROM k GROUP BY ALL")
 def inv_index(spark, d):
-    return index.inverted_index(measures.keys_of(long(spark, d))).withColumn("aggs", F.array_join("aggs", "|"))
+    return index.inverted_index(measures.keys_of(_stored(long(spark, d)))).withColumn("aggs", F.array_join("aggs", "|"))
 
 
 @query("inv_index_cnt", f"{_LONG} SELECT kind, val, count(DISTINCT agg) AS cnt FROM k GROUP BY ALL")
 def inv_index_cnt(spark, d):
-    return index.index_counts(measures.keys_of(long(spark, d)))
+    return index.index_counts(measures.keys_of(_stored(long(spark, d))))
 
 
 _CNT = ", ic AS (SELECT kind, val, count(DISTINCT agg) AS cnt FROM k GROUP BY ALL), tc AS (SELECT agg, val, cnt FROM k JOIN ic USING (kind, val))"
@@ -183,12 +184,12 @@ _COST = ", sc AS (SELECT agg, count(*) AS n_keys, sum(cnt)::BIGINT AS rows_to_re
 
 @query("agg_cnt", f"{_LONG}{_CNT} SELECT agg, val, cnt FROM tc")
 def agg_cnt(spark, d):
-    return index.table_counts(measures.keys_of(long(spark, d)))
+    return index.table_counts(measures.keys_of(_stored(long(spark, d))))
 
 
 @query("rows_to_read", f"{_LONG}{_CNT}{_COST} SELECT * FROM sc")
 def rows_to_read(spark, d):
-    return index.search_costs(measures.keys_of(long(spark, d)), 5)
+    return index.search_costs(measures.keys_of(_stored(long(spark, d))), 5)
 
 
 _CAND = "SELECT a.agg, b.agg AS cand, count(*) AS overlap FROM k a JOIN k b ON a.kind = b.kind AND a.val = b.val AND a.tbl <> b.tbl GROUP BY ALL HAVING count(*) >= 5"
@@ -196,7 +197,7 @@ _CAND = "SELECT a.agg, b.agg AS cand, count(*) AS overlap FROM k a JOIN k b ON a
 
 @query("join_candidates", f"{_LONG} {_CAND}")
 def join_candidates(spark, d):
-    return index.candidates(measures.keys_of(long(spark, d)), 5)
+    return index.candidates(measures.keys_of(_stored(long(spark, d))), 5)
 
 
 _SAMPLED = """, rk AS (SELECT *, row_number() OVER (PARTITION BY agg ORDER BY cnt DESC, val) AS r FROM tc),
@@ -208,24 +209,24 @@ _SAMPLED = """, rk AS (SELECT *, row_number() OVER (PARTITION BY agg ORDER BY cn
 
 @query("join_candidates_sampled", f"{_LONG}{_CNT}{_COST}{_SAMPLED} SELECT * FROM es")
 def join_candidates_sampled(spark, d):
-    return index.sampled_candidates(measures.keys_of(long(spark, d)), 5)
+    return index.sampled_candidates(measures.keys_of(_stored(long(spark, d))), 5)
 
 
 @query("join_cost", f"""{_LONG}, s AS (SELECT kind, agg, count(*) AS cnt FROM k GROUP BY ALL HAVING count(*) >= 5),
     w AS (SELECT *, row_number() OVER o - 1 AS i, count(*) OVER (PARTITION BY kind) AS n, avg(cnt) OVER (PARTITION BY kind ORDER BY cnt DESC, agg ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM s WINDOW o AS (PARTITION BY kind ORDER BY cnt DESC, agg))
     SELECT kind, agg, cnt, round(i / n * cnt + (1 - i / n) * rest, 2) AS cost FROM w""")
 def join_cost(spark, d):
-    return index.join_costs(measures.keys_of(long(spark, d)), 5)
+    return index.join_costs(measures.keys_of(_stored(long(spark, d))), 5)
 
 
 @query("joinable_pairs", f"{_LONG}{_PAIRS} SELECT * FROM kp")
 def joinable_pairs(spark, d):
-    return index.joinable_pairs(measures.keys_of(long(spark, d)), 5)
+    return index.joinable_pairs(measures.keys_of(_stored(long(spark, d))), 5)
 
 
 @query("all_pairs", f"{_LONG}{_PAIRS} SELECT x.kind, x.agg AS agg1, y.agg AS agg2 FROM sz x JOIN sz y ON x.kind = y.kind AND x.tbl <> y.tbl AND (x.n, x.agg) < (y.n, y.agg) WHERE x.n >= 5 AND y.n >= 5")
 def all_pairs(spark, d):
-    return index.all_pairs(measures.keys_of(long(spark, d)), 5)
+    return index.all_pairs(measures.keys_of(_stored(long(spark, d))), 5)
 
 
 @query("discovery_method", f"""{_LONG}{_PAIRS}{_CNT}{_COST}{_SAMPLED},
@@ -236,7 +237,7 @@ def all_pairs(spark, d):
     f AS (SELECT *, overhead + least(max_joinable, n_cands) * n AS find_cost FROM t)
     SELECT agg, round(overhead, 3) AS overhead, round(find_cost, 3) AS find_cost, all_cost, CASE WHEN find_cost <= all_cost THEN 'INDEX_SEARCH' WHEN overhead >= all_cost THEN 'JOIN_ALL' WHEN overhead + guess <= all_cost THEN 'INDEX_SEARCH' ELSE 'JOIN_ALL' END AS method FROM f""")
 def discovery_method(spark, d):
-    return _rounded(index.choose_method(measures.keys_of(long(spark, d)), 5), 3, "overhead", "find_cost")
+    return _rounded(index.choose_method(measures.keys_of(_stored(long(spark, d))), 5), 3, "overhead", "find_cost")
 
 
 def _monthly(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -316,7 +317,7 @@ def col_profile(spark, d):
 
 @query("total_vars", f"{_LONG} SELECT agg, count(*) FILTER (c > 1) AS n_vars FROM (SELECT agg, var, count(DISTINCT x) AS c FROM m GROUP BY ALL) GROUP BY agg")
 def total_vars(spark, d):
-    return measures.varying(long(spark, d))
+    return measures.varying(_stored(long(spark, d)))
 
 
 @query("label_columns", r"""WITH e AS (SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S') AS made, CASE WHEN event_id % 10 < 6 THEN lpad((60000 + event_id % 1000)::VARCHAR, 5, '0') ELSE 'none' END AS area,
@@ -335,18 +336,22 @@ def label_columns(spark, d):
 # Statistics
 
 
-def _stored(frame: DataFrame) -> DataFrame:
-    """The long form, written once, so that keys, pairs and measures read it rather than the raw tables again."""
-    spark = frame.sparkSession
+def _shared(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; a local session without one gets a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/tidemark-long-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def _stored(frame: DataFrame) -> DataFrame:
+    """The long form, written once, so that keys, pairs and measures read it rather than the raw tables again."""
+    path = f"{_shared(frame.sparkSession)}/tidemark-long-{uuid.uuid4().hex}"
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
 def _with_pairs(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -369,10 +374,18 @@ def pearson_masked(spark, d):
     return _rounded(correlate.masked_pairs(*_with_pairs(spark, d)), 6, "r", "p")
 
 
-@query("pearson_pvalue", f"SELECT n, i, round({_P2}, 9) AS p FROM (SELECT n::BIGINT AS n, i::BIGINT AS i, (i / 10.0)::DOUBLE AS r FROM range(3, 60) t(n), range(-9, 10) u(i))")
+_TAILS = "SELECT p_partkey, 3 + (p_partkey * 31 + p_size) % 1997 AS n, ((p_partkey * 7 + p_size) % 39 - 19) / 20.0::DOUBLE AS r FROM part"
+
+
+@query("pearson_pvalue", f"""WITH t AS ({_TAILS}), q AS (SELECT *, ((n - 2) / 2)::DOUBLE AS a, 1 - r * r AS x FROM t WHERE abs(r) >= 0.2 AND abs(r) < 1)
+    SELECT p_partkey, n::BIGINT AS n, round((a * ln(x) + ln(abs(r)) + lgamma(a + 0.5) - lgamma(a) - lgamma(0.5) - ln(a)
+        + ln((SELECT sum(exp(lgamma(a + 0.5 + k) - lgamma(a + 0.5) - lgamma(a + 1 + k) + lgamma(a + 1) + k * ln(x))) FROM range(0, 1200) s(k)))) / ln(10), 7) AS log10_p FROM q""")
 def pearson_pvalue(spark, d):
-    grid = spark.range(3, 60).withColumnRenamed("id", "n").withColumn("i", F.explode(F.sequence(F.lit(-9), F.lit(9)))).withColumn("i", F.col("i").cast("bigint"))
-    return grid.withColumn("p", F.round(correlation_p(F.col("i") / 10, F.col("n")), 9))
+    """The order of magnitude of p for correlations made from parts; SQL sums the tail as a series of positive terms."""
+    k = F.col("p_partkey")
+    r = ((k * 7 + F.col("p_size")) % 39 - 19) / 20.0
+    rows = table(spark, d, "part").select("p_partkey", (3 + (k * 31 + F.col("p_size")) % 1997).cast("long").alias("n"), r.alias("r")).filter("abs(r) >= 0.2 AND abs(r) < 1")
+    return rows.select("p_partkey", "n", F.round(correlation_log_p(F.col("r"), F.col("n")) / F.log(F.lit(10.0)), 7).alias("log10_p"))
 
 
 _IMPUTED = f"{_LONG}{_STATS}{_FEW_JOINED}{_CORR}, i AS (SELECT c.*, x.s AS s1, x.ss AS q1, x.mean AS m1, x.res AS r1, x.cnt AS c1, y.s AS s2, y.ss AS q2, y.mean AS m2, y.res AS r2, y.cnt AS c2, x.cnt + y.cnt - c.n AS nn FROM c JOIN st x ON x.agg = agg1 AND x.var = var1 JOIN st y ON y.agg = agg2 AND y.var = var2 WHERE x.res <> 0 AND y.res <> 0)"
@@ -384,13 +397,13 @@ def impute_avg(spark, d):
     return _rounded(correlate.pearson_pairs(m, pairs, measures.column_stats(m)), 6, "r_impute_avg").select("agg1", "var1", "agg2", "var2", "r_impute_avg")
 
 
-@query("impute_zero", f"{_IMPUTED} SELECT agg1, var1, agg2, var2, round((nn * sxy - s1 * s2) / nullif(sqrt(nn * q1 - s1 * s1) * sqrt(nn * q2 - s2 * s2), 0) + 1e-7, 4) AS r_impute_zero FROM i WHERE nn * q1 - s1 * s1 > 0.01 * s1 * s1 AND nn * q2 - s2 * s2 > 0.01 * s2 * s2")
+@query("impute_zero", f"""{_IMPUTED}, e AS (SELECT i.*, a.val, a.x AS x FROM i JOIN m a ON a.agg = agg1 AND a.var = var1), f AS (SELECT i.agg1, i.var1, i.agg2, i.var2, b.val, b.x AS y FROM i JOIN m b ON b.agg = agg2 AND b.var = var2),
+    o AS (SELECT agg1, var1, agg2, var2, val, coalesce(e.x, 0) AS x, coalesce(f.y, 0) AS y FROM e FULL JOIN f USING (agg1, var1, agg2, var2, val))
+    SELECT agg1, var1, agg2, var2, round(covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) + 1e-7, 4) AS r_impute_zero FROM o GROUP BY ALL""")
 def impute_zero(spark, d):
+    """All pairs; SQL joins the tables outright and fills the keys that one of them lacks."""
     m, pairs = _with_pairs(spark, d)
-    stats = measures.column_stats(m)
-    sizes = [stats.select(F.col("agg").alias(f"agg{i}"), F.col("var").alias(f"var{i}"), F.col("sum").alias(f"s{i}"), F.col("sum_square").alias(f"q{i}"), F.col("cnt").alias(f"c{i}")) for i in "12"]
-    out = correlate.pearson_pairs(m, pairs, stats).join(sizes[0], ["agg1", "var1"]).join(sizes[1], ["agg2", "var2"]).withColumn("nn", F.expr("c1 + c2 - n"))
-    out = out.filter("nn * q1 - s1 * s1 > 0.01 * s1 * s1 AND nn * q2 - s2 * s2 > 0.01 * s2 * s2")
+    out = correlate.pearson_pairs(m, pairs, measures.column_stats(m))
     return _rounded(out, 4, "r_impute_zero").select("agg1", "var1", "agg2", "var2", "r_impute_zero")
 
 
@@ -443,12 +456,50 @@ def partial_corr_2(spark, d):
     return _rounded(correlate.partial_correlations(_line_means(spark, d), [("avg_l_quantity", "avg_l_extendedprice")], ["avg_l_tax", "avg_l_discount"], None), 6, "r", "p")
 
 
-@query("control_variables", f"""{_MONTHLY}, j AS (SELECT p, q, t FROM a JOIN b USING (val)), m AS (SELECT count(*) AS n, corr(p, q) AS pq, corr(p, t) AS pt, corr(q, t) AS qt FROM j)
-    SELECT 'orders' AS agg1, 'avg_o_totalprice' AS var1, 'lineitem' AS agg2, 'avg_l_quantity' AS var2, n, round((pq - pt * qt) / sqrt((1 - pt * pt) * (1 - qt * qt)), 6) AS r FROM m""")
+_ELIMINATE = """WITH RECURSIVE f AS ({f}), v AS (SELECT unnest({names}) AS c, generate_subscripts({names}, 1) AS i), w AS (SELECT val, i, x FROM (UNPIVOT f ON COLUMNS(* EXCLUDE val) INTO NAME c VALUE x) JOIN v USING (c)),
+    r0 AS (SELECT a.i, b.i AS j, coalesce(corr(a.x, b.x), 0) AS r FROM w a JOIN w b USING (val) GROUP BY ALL){steps}"""
+
+
+def _eliminated(frame: str, names: list[str], controls: int) -> str:
+    """The correlations of a frame's columns (val and names), the last ``controls`` of them held fixed one after the other, as r{controls}."""
+    steps = "".join(
+        f", r{s + 1} AS (SELECT a.i, a.j, (a.r - b.r * c.r) / sqrt((1 - b.r * b.r) * (1 - c.r * c.r)) AS r FROM r{s} a JOIN r{s} b ON b.i = a.i AND b.j = {len(names) - s} JOIN r{s} c ON c.i = a.j AND c.j = {len(names) - s} WHERE a.i <> {len(names) - s} AND a.j <> {len(names) - s})"
+        for s in range(controls)
+    )
+    return _ELIMINATE.format(f=frame, names=names, steps=steps)
+
+
+_MEANS = "SELECT strftime(l_shipdate, '%Y-%m') AS val, avg(l_quantity) AS a, avg(l_extendedprice) AS b, avg(l_tax) AS c, avg(l_discount) AS e, count(*)::DOUBLE AS n FROM lineitem GROUP BY 1"
+
+
+@query("partial_corr_3", f"""{_eliminated(_MEANS, ["a", "b", "c", "e", "n"], 3)}, m AS (SELECT r, (SELECT count(*) FROM f) AS n FROM r3 WHERE i = 1 AND j = 2)
+    SELECT 'avg_l_quantity' AS x, 'avg_l_extendedprice' AS y, n, round(r, 6) AS r, round({_P.format(v='(n - 5)', r='r')}, 6) AS p FROM m""")
+def partial_corr_3(spark, d):
+    return _rounded(correlate.partial_correlations(_line_means(spark, d), [("avg_l_quantity", "avg_l_extendedprice")], ["avg_l_tax", "avg_l_discount", "count"], None), 6, "r", "p")
+
+
+_BOTH = f"SELECT val, p, q, t, a.n::DOUBLE AS n1, b.n::DOUBLE AS n2 FROM ({_MONTHLY} SELECT * FROM a) a JOIN ({_MONTHLY} SELECT * FROM b) b USING (val)"
+
+
+@query("control_variables", f"""{_eliminated(_BOTH, ["p", "q", "t", "n1", "n2"], 3)}, m AS (SELECT r, (SELECT count(*) FROM f) AS n FROM r3 WHERE i = 1 AND j = 2)
+    SELECT 'orders_month' AS agg1, 'avg_o_totalprice' AS var1, 'lineitem_month' AS agg2, 'avg_l_quantity' AS var2, n, round(r, 6) AS r, round({_P.format(v='(n - 5)', r='r')}, 6) AS p FROM m""")
 def control_variables(spark, d):
-    a, b = _monthly(spark, d)
-    out = control({"orders": a, "lineitem": b}, [("orders", "avg_o_totalprice", "lineitem", "avg_l_quantity")], [("lineitem", "avg_l_tax")], None)
-    return _rounded(out, 6, "r").drop("p")
+    """One correlation of two tables with three variables of both held fixed."""
+    wanted = spark.createDataFrame([("orders_month", "avg_o_totalprice", "lineitem_month", "avg_l_quantity")], "agg1 string, var1 string, agg2 string, var2 string")
+    controls = [("lineitem_month", "avg_l_tax"), ("orders_month", "count"), ("lineitem_month", "count")]
+    return _rounded(correlate.partial_pairs(long(spark, d), wanted, controls, None), 6, "r", "p")
+
+
+@query("control_all", f"""{_LONG}{_PAIRS}{_JOINED}, z AS (SELECT val, x AS z FROM m WHERE agg = 'lineitem_nation' AND var = 'count'),
+    g AS (SELECT agg1, var1, agg2, var2, coalesce(x, 0) AS x, coalesce(y, 0) AS y, z FROM j JOIN z USING (val) WHERE kind = 'spatial' AND (agg1, var1) <> ('lineitem_nation', 'count') AND (agg2, var2) <> ('lineitem_nation', 'count')),
+    c AS (SELECT agg1, var1, agg2, var2, count(*) AS n, coalesce(corr(x, y), 0) AS xy, coalesce(corr(x, z), 0) AS xz, coalesce(corr(y, z), 0) AS yz FROM g GROUP BY ALL),
+    q AS (SELECT *, (xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)) AS r FROM c)
+    SELECT agg1, var1, agg2, var2, n, round(r, 6) AS r, round({_P.format(v='(n - 3)', r='r')}, 6) AS p FROM q""")
+def control_all(spark, d):
+    """All correlations of places, of every pair of tables in one job, with the number of line items held fixed."""
+    m, pairs = _with_pairs(spark, d)
+    found = correlate.pair_moments(correlate.joined_pairs(m, pairs.filter("kind = 'spatial'")))
+    return _rounded(correlate.partial_pairs(m, found, [("lineitem_nation", "count")], None), 6, "r", "p")
 
 
 _BH = """, w AS (SELECT *, row_number() OVER (PARTITION BY agg1, var1 ORDER BY p, kind, agg2, var2) AS i, count(*) OVER (PARTITION BY agg1, var1) AS k FROM {c}),
@@ -489,6 +540,35 @@ def find_all_correlations(spark, d):
     return _rounded(out.select("kind", "agg1", "tbl1", "var1", "agg2", "tbl2", "var2", "n", "r", "p"), 5, "r", "p")
 
 
+# A catalog that grows
+
+_GROWN = _RAW.replace("FROM lineitem JOIN supplier ON l_suppkey = s_suppkey", "FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity > 25 AND l_shipdate >= TIMESTAMP '1993-01-01'")
+
+
+def _grown(spark, d):
+    """Four sources come in two calls, one of them again with other rows, and the orders are taken out."""
+    tables = {s.tbl: s for s in sources(spark, d)}
+    engine = Engine(spark, f"{_shared(spark)}/tidemark-catalog-{uuid.uuid4().hex}")
+    engine.ingest([tables["lineitem"], tables["orders"], tables["customer"]])
+    engine.ingest([tables["supplier"]])
+    line = tables["lineitem"]
+    engine.ingest([Source(line.tbl, line.df.filter("l_quantity > 25 AND l_shipdate >= timestamp_ntz'1993-01-01'"), line.times, line.places, line.measures)])
+    engine.remove(["orders"])
+    return engine
+
+
+@query("catalog_index", f"WITH {_GROWN}, m AS (SELECT * FROM m0 WHERE tbl <> 'orders') SELECT kind, val, string_agg(agg, '|' ORDER BY agg) AS aggs, count(*) AS cnt FROM m WHERE var = 'count' GROUP BY ALL")
+def catalog_index(spark, d):
+    return _grown(spark, d).catalog.index().withColumn("aggs", F.array_join("aggs", "|"))
+
+
+@query("catalog_stats", f"WITH {_GROWN}, m AS (SELECT * REPLACE (round_even(x, 3) AS x) FROM m0 WHERE tbl <> 'orders') SELECT tbl, agg, var, count(*) AS cnt, round(avg(x), 3) AS avg, round(coalesce(stddev_samp(x), 0), 3) AS spread FROM m GROUP BY ALL")
+def catalog_stats(spark, d):
+    rows = _grown(spark, d).catalog.read("stats")
+    spread = F.sqrt(F.coalesce("res_sum", F.lit(0.0)) / F.greatest(F.col("cnt") - 1, F.lit(1)))
+    return rows.select("tbl", "agg", "var", "cnt", F.round("avg", 3).alias("avg"), F.round(spread, 3).alias("spread"))
+
+
 # Sketches and topology
 
 _SK = ", kk AS (SELECT agg, val FROM (SELECT agg, val, row_number() OVER (PARTITION BY agg ORDER BY md5(val), val) AS r FROM k) WHERE r <= 32)"
@@ -496,7 +576,7 @@ _SK = ", kk AS (SELECT agg, val FROM (SELECT agg, val, row_number() OVER (PARTIT
 
 @query("kmv_sketch", f"{_LONG}{_SK} SELECT agg, val FROM kk")
 def kmv_sketch(spark, d):
-    return measures.keys_of(sketch.sketch(long(spark, d), 32)).select("agg", "val")
+    return measures.keys_of(sketch.sketch(_stored(long(spark, d)), 32)).select("agg", "val")
 
 
 @query("sketch_corr", f"""{_LONG}{_FEW_JOINED}{_SK}, js AS (SELECT j.* FROM j JOIN kk a ON a.agg = agg1 AND a.val = j.val JOIN kk b ON b.agg = agg2 AND b.val = j.val)
@@ -703,7 +783,7 @@ def region_adjacency(spark, d):
     b AS (SELECT count(*) FILTER (f.agg IS NOT NULL AND t.agg IS NOT NULL) AS tp, count(*) FILTER (t.agg IS NULL) AS fp, count(*) FILTER (f.agg IS NULL) AS fn FROM f FULL JOIN t ON f.agg = t.agg AND f.cand = t.cand)
     SELECT tp, fp, fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall FROM b""")
 def discovery_precision_recall(spark, d):
-    k = measures.keys_of(long(spark, d))
+    k = measures.keys_of(_stored(long(spark, d)))
     out = evaluate.precision_recall(index.candidates(k, 60), index.candidates(k, 5), ["agg", "cand"])
     return _rounded(out, 6, "precision", "recall").drop("f_score")
 
@@ -720,15 +800,11 @@ def partition_scores(spark, d):
 @query("events_rollup_stream", "SELECT event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS bin_start, count(*) AS n, round(avg(value), 6) AS avg_value FROM events GROUP BY ALL")
 def events_rollup_stream(spark, d):
     """The stream's rows as they stand once all input has been read."""
-    import tempfile
-    import uuid
-
     from tidemark.streaming import rollup
 
     schema = table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
     name = f"rollup_{uuid.uuid4().hex[:8]}"
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
-    rollup.start(rollup.rollup(stream), name, f"{root}/{name}").awaitTermination()
+    rollup.start(rollup.rollup(stream), name, f"{_shared(spark)}/{name}").awaitTermination()
     return _rounded(spark.table(name).withColumn("bin_start", F.date_format("bin_start", "yyyy-MM-dd HH:mm")), 6, "avg_value")
 

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import asdict, dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+
+#: Parts of the merged index; a key's part is fixed by its hash.
+INDEX_PARTS = 64
 
 
 @dataclass
@@ -80,13 +85,88 @@ class Catalog:
         writer = df.write.mode(mode)
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(f"{self.root}/{name}")
 
+    def _open(self, path: str) -> DataFrame:
+        """A stored table; names of its parts stay text, whatever they look like."""
+        df = self.spark.read.parquet(path)
+        kinds = {"tbl": StringType(), "part": IntegerType()}
+        if not set(kinds) & set(df.columns):
+            return df
+        return self.spark.read.schema(StructType([StructField(f.name, kinds.get(f.name, f.dataType)) for f in df.schema])).parquet(path)
+
     def read(self, name: str) -> DataFrame:
-        others = [self.spark.read.parquet(f"{r}/{name}") for r in self.merged if self._exists(f"{r}/{name}")]
-        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), others, self.spark.read.parquet(f"{self.root}/{name}"))
+        others = [self._open(f"{r}/{name}") for r in self.merged if self._exists(f"{r}/{name}")]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), others, self.own(name))
+
+    def own(self, name: str) -> DataFrame:
+        """A table of this catalog alone."""
+        return self._open(f"{self.root}/{name}")
+
+    def has(self, name: str) -> bool:
+        return self._exists(f"{self.root}/{name}")
+
+    def replace_parts(self, name: str, df: DataFrame, by: str, parts: list) -> None:
+        """Write ``df`` in place of the given parts of a table that is split by a column, and of these alone.
+
+        Parts that get no rows are removed. The rows are staged first, so ``df`` may read the table itself, and a failed
+        write leaves the old parts.
+        """
+        staged = f"{self.root}/{name}.staged-{uuid.uuid4().hex}"
+        df.write.parquet(staged)
+        rows = self.spark.read.schema(df.schema).parquet(staged)
+        filled = {r[0] for r in rows.select(by).distinct().collect()}  # at most the given parts
+        if filled - set(parts):
+            raise ValueError(f"rows of other parts: {sorted(filled - set(parts))[:5]}")
+        rows.hint("rebalance", by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(f"{self.root}/{name}")
+        self.drop_parts(name, by, [v for v in parts if v not in filled])
+        self._delete(staged)
+
+    def drop_parts(self, name: str, by: str, parts: list) -> None:
+        escape = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        for v in parts:
+            self._delete(f"{self.root}/{name}/{by}={escape(str(v))}")
+
+    # The inverted index of a catalog that grows. ``keys`` holds each table's keys, split by raw table; ``index`` the
+    # merged lists (kind, val, aggs, cnt), split by a hash of the key.
+
+    def update_keys(self, fresh: DataFrame, tables: list[str]) -> None:
+        """Make ``fresh`` (kind, agg, tbl, val) all the keys of these raw tables, in ``keys`` and in the merged index.
+
+        Only keys that one of the tables gains or loses are merged: their lists are rewritten, with the other keys of
+        the parts that they fall in. A second run after a failed one ends in the same index.
+        """
+        own = fresh.select("kind", "agg", "tbl", "val")
+        old = self.own("keys").filter(F.col("tbl").isin(tables)).select(own.columns) if self.has("keys") else own.limit(0)
+        gained, lost = own.join(old, own.columns, "left_anti"), old.join(own, own.columns, "left_anti")
+        changed = gained.withColumn("more", F.lit(True)).unionByName(lost.withColumn("more", F.lit(False)))
+        lists = changed.groupBy("kind", "val").agg(F.collect_set(F.when(F.col("more"), F.col("agg"))).alias("more"), F.collect_set(F.when(~F.col("more"), F.col("agg"))).alias("less"))
+        place = F.pmod(F.xxhash64("kind", "val"), F.lit(INDEX_PARTS)).cast("int")
+        staged = f"{self.root}/changes-{uuid.uuid4().hex}"
+        lists.withColumn("place", place).write.parquet(staged)
+        changes = self.spark.read.parquet(staged).withColumnRenamed("place", "part")
+        parts = [r.part for r in changes.select("part").distinct().collect()]  # at most INDEX_PARTS
+        if parts:
+            empty = F.array().cast("array<string>")
+            now = self.own("index").filter(F.col("part").isin(parts)).select("part", "kind", "val", "aggs") if self.has("index") else changes.select("part", "kind", "val", empty.alias("aggs")).limit(0)
+            kept = F.array_except(F.coalesce("aggs", empty), F.coalesce("less", empty))
+            merged = now.join(changes, ["part", "kind", "val"], "full_outer").select("part", "kind", "val", F.sort_array(F.array_union(kept, F.coalesce("more", empty))).alias("aggs"))
+            self.replace_parts("index", merged.filter(F.size("aggs") > 0).withColumn("cnt", F.size("aggs").cast("long")), "part", parts)
+        self.replace_parts("keys", own, "tbl", tables)
+        self._delete(staged)
+
+    def index(self) -> DataFrame:
+        """kind, val, aggs, cnt of this catalog and those merged with it, one row a key."""
+        rows = self.read("index").select("kind", "val", "aggs", "cnt")
+        if not self.merged:
+            return rows
+        together = rows.groupBy("kind", "val").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("aggs")))).alias("aggs"))
+        return together.withColumn("cnt", F.size("aggs").cast("long"))
+
+    def _delete(self, path: str) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
     def drop(self, name: str) -> None:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        self._delete(f"{self.root}/{name}")
 
     def read_agg(self, agg: str, variables: list[str] | None = None, round_dp: int | None = 3) -> DataFrame:
         """An aggregated table from the long form: ``val`` and its variables."""
