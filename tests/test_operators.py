@@ -59,6 +59,21 @@ def test_rank_coefficients_with_ties(spark):
     assert abs(got.r - tau) < 1e-12 and 0 <= got.p <= 1
 
 
+def test_one_large_pair_spreads_over_tasks(spark):
+    """Ranks of a group come from many ranges, also where one value fills a third of it."""
+    from tidemark.operators.ranges import average_ranks, running_totals
+
+    n = 20_000
+    rows = spark.range(n).select(F.lit("g").alias("g"), F.when(F.col("id") % 3 == 0, 7).otherwise(F.xxhash64("id") % 1000).cast("double").alias("x"))
+    got = average_ranks(rows, ["g"], "x", "rank").toPandas()
+    assert (got["rank"] == got["x"].rank()).all() and len(got) == n
+    plain = spark.range(n).select(F.lit("g").alias("g"), "id", (F.col("id") % 5).alias("w"))
+    out = running_totals(plain, ["g"], ["id"], "w").toPandas().sort_values("id")
+    assert (out["before"] == out["w"].cumsum() - out["w"]).all()
+    shares = plain.repartitionByRange(8, "g", "id").groupBy(F.spark_partition_id()).count().collect()
+    assert len(shares) == 8 and max(r["count"] for r in shares) < n / 4
+
+
 def test_partial_correlation_equals_the_inverse_covariance(spark):
     rng = np.random.default_rng(3)
     data = rng.normal(size=(50, 5)) @ rng.normal(size=(5, 5))
@@ -163,8 +178,54 @@ def test_features_and_shifts(spark):
     assert plain == {("10", 1), ("11", 1), ("12", 1), ("01", -1), ("02", -1), ("03", -1)}
     moved = {(r.val, r.sign) for r in topology.features(long, 2).collect()}
     assert ("08", 1) in moved and len(moved) == 6
-    order = topology.breadth_first_order(list(range(9)), {i: [j for j in range(9) if abs(i // 3 - j // 3) + abs(i % 3 - j % 3) == 1] for i in range(9)}, 1)
-    assert sorted(order) == list(range(9))
+
+
+def plain_places(graph, h):
+    """Level after level from the smallest hash of each part, parts by that hash."""
+    left, out = set(graph), []
+    while left:
+        level, part = [min(left, key=h.get)], []
+        while level:
+            part += sorted(level, key=h.get)
+            left -= set(level)
+            level = {n for v in level for n in graph[v] if n in left}
+        out += part
+    return out
+
+
+def test_breadth_first_places_by_joins(spark):
+    import hashlib
+
+    rng = np.random.default_rng(2)
+    near = [(f"p{a}", f"p{b}") for a, b in rng.integers(0, 30, (26, 2))] + [("p1", "p1"), ("p2", "nowhere")]
+    adjacency = frame(spark, near, "region string, neighbour string")
+    spatial_keys = [("spatial", "a", f"p{i}") for i in range(30)] + [("spatial", "b", f"p{i}") for i in range(0, 30, 2)]
+    st_keys = [("st", "c", f"20{t:02d},p{i}") for t in range(6) for i in range(12) if (t * i) % 5 != 3]
+    keys = frame(spark, spatial_keys + st_keys, "kind string, agg string, val string")
+    graphs = {a: {v: set() for _, x, v in spatial_keys + st_keys if x == a} for a in "abc"}
+    for x, y in near + [(b, a) for a, b in near]:
+        for a in "ab":
+            if x != y and x in graphs[a] and y in graphs[a]:
+                graphs[a][x].add(y)
+        for t in range(6):
+            u, v = f"20{t:02d},{x}", f"20{t:02d},{y}"
+            if x != y and u in graphs["c"] and v in graphs["c"]:
+                graphs["c"][u].add(v)
+    for v in graphs["c"]:
+        t, p = v.split(",")
+        for other in (f"{int(t) - 1},{p}", f"{int(t) + 1},{p}"):
+            if other in graphs["c"]:
+                graphs["c"][v].add(other)
+    got = topology.breadth_first_places(keys, topology.key_graph(keys, adjacency), [None, 7]).toPandas()
+    for turn, seed in enumerate((None, 7)):
+        for a, graph in graphs.items():
+            h = {v: "0" + v if seed is None else hashlib.md5(f"{seed}|{v}".encode()).hexdigest() + v for v in graph}
+            own = got[(got["turn"] == turn) & (got["agg"] == a)].sort_values("at")
+            assert list(own["val"]) == plain_places(graph, h) and list(own["at"]) == list(range(len(graph)))
+    # each key takes the value of one other, and no two the same
+    mapping = topology.shuffled_keys(keys, topology.key_graph(keys, adjacency), [1, 2]).toPandas()
+    assert len(mapping) == 2 * len(spatial_keys + st_keys) and not mapping.duplicated(["turn", "agg", "source"]).any()
+    assert topology.shuffled_keys(keys.limit(0), topology.key_graph(keys.limit(0), adjacency), [1]).count() == 0
 
 
 def test_communities_and_factors(spark):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.stats import correlation_p, held_fixed, imputed_mean, imputed_zero, packed_correlations, two_sided_normal
+from tidemark.operators.ranges import average_ranks, dense_places, running_totals, stored
 
 PAIR = ["kind", "agg1", "var1", "agg2", "var2"]
 
@@ -68,34 +69,35 @@ def masked_pairs(long: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def spearman_pairs(joined: DataFrame) -> DataFrame:
-    """PAIR, n, r, p of average ranks; nulls as 0; pairs with r = 0 left out, as in every coefficient taken pair by pair."""
-    x, y = F.coalesce("x", F.lit(0.0)), F.coalesce("y", F.lit(0.0))
-    rows = joined.select(*PAIR, x.alias("x"), y.alias("y"))
+    """PAIR, n, r, p of average ranks; nulls as 0; pairs with r = 0 left out, as in every coefficient taken pair by pair.
+
+    Ranks come from ranges of values, so the keys of one pair spread over all tasks.
+    """
+    rows = joined.select(*PAIR, F.coalesce("x", F.lit(0.0)).alias("x"), F.coalesce("y", F.lit(0.0)).alias("y"))
     for c in "xy":
-        rank = F.rank().over(Window.partitionBy(*PAIR).orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*PAIR, c)) - 1) / 2
-        rows = rows.withColumn(f"r{c}", rank)
+        rows = average_ranks(rows, PAIR, c, f"r{c}")
     r = F.coalesce(F.covar_pop("rx", "ry") / F.nullif(F.stddev_pop("rx") * F.stddev_pop("ry"), F.lit(0.0)), F.lit(0.0))
     return rows.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n"), r.alias("r")).withColumn("p", correlation_p(F.col("r"), F.col("n"))).filter("r <> 0")
 
 
-def kendall_pairs(joined: DataFrame, bits: int = 31) -> DataFrame:
-    """PAIR, n, r (tau-b), p (normal approximation with ties); nulls as 0.
+def kendall_pairs(joined: DataFrame) -> DataFrame:
+    """PAIR, n, r (tau-b), p (normal approximation with ties); nulls as 0; pairs with r = 0 left out.
 
-    Two samples differ in x first at one bit of its rank. For each bit, samples that agree above it stand in one
-    window in the order of y, and those with the bit set count the ones without it before and after them: n log n rows
-    are sorted, and no group is held in memory.
+    Two samples differ in x first at one bit of its place among the distinct values. For each bit, samples that agree
+    above it are one group in the order of y: those with the bit set count the ones without it before and after them.
+    Samples of one group and one y are summed up, and the counts before them come from ranges, so n log n rows are
+    dealt out and neither a pair nor a group is held by one task.
     """
-    own = Window.partitionBy(*PAIR)
     rows = joined.select(*PAIR, F.coalesce("x", F.lit(0.0)).alias("x"), F.coalesce("y", F.lit(0.0)).alias("y"))
-    rows = rows.select(*PAIR, (F.dense_rank().over(own.orderBy("x")) - 1).alias("i"), (F.dense_rank().over(own.orderBy("y")) - 1).alias("j"))
-    top = rows.withColumn("levels", F.greatest(F.lit(1), F.ceil(F.log2(F.max("i").over(own) + 1)).cast("int")))
-    deep = top.withColumn("b", F.explode(F.sequence(F.lit(0), F.least("levels", F.lit(bits)) - 1)))
-    deep = deep.select(*PAIR, "b", "j", F.expr("shiftright(i, b + 1)").alias("head"), F.expr("shiftright(i, b) & 1").alias("bit"))
-    side = Window.partitionBy(*PAIR, "b", "head")
-    zero = 1 - F.col("bit")
-    before = F.coalesce(F.sum(zero).over(side.orderBy("j").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    upto = F.sum(zero).over(side.orderBy("j").rangeBetween(Window.unboundedPreceding, 0))
-    balance = deep.select(*PAIR, (F.col("bit") * (before - (F.sum(zero).over(side) - upto))).alias("s")).groupBy(*PAIR).agg(F.sum("s").alias("s"))
+    rows = stored(dense_places(dense_places(rows, PAIR, "x", "i"), PAIR, "y", "j").select(*PAIR, "i", "j"), "places")
+    levels = rows.groupBy(*PAIR).agg(F.greatest(F.lit(1), F.ceil(F.log2(F.max("i") + 1)).cast("int")).alias("levels"))  # a row a pair
+    deep = rows.join(levels, PAIR).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("levels") - 1)))
+    bit = F.expr("shiftright(i, b) & 1")
+    group = [*PAIR, "b", "head"]
+    cells = deep.select(*PAIR, "b", F.expr("shiftright(i, b + 1)").alias("head"), "j", bit.alias("bit")).groupBy(*group, "j").agg(F.sum("bit").alias("ones"), F.sum(1 - F.col("bit")).alias("zeros"))
+    counted = running_totals(cells, group, ["j"], "zeros", "before")
+    sums = counted.groupBy(*group).agg(F.sum(F.col("ones") * (2 * F.col("before") + F.col("zeros"))).alias("met"), F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
+    balance = sums.groupBy(*PAIR).agg(F.sum(F.col("met") - F.col("ones") * F.col("zeros")).alias("s"))
 
     def ties(c: str) -> DataFrame:
         t = rows.groupBy(*PAIR, c).agg(F.count(F.lit(1)).cast("double").alias("t"))

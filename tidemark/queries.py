@@ -6,7 +6,6 @@ The collection: ``orders`` and ``lineitem`` by month and by the nation of their
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import keys as K
 from tidemark.functions.stats import correlation_log_p
-from tidemark.operators import bins, correlate, evaluate, factors, graph, index, joins, labels, measures, sketch, spatial, topology
+from tidemark.operators import bins, correlate, evaluate, factors, graph, index, joins, labels, measures, ranges, sketch, spatial, topology
 from tidemark.operators.measures import Source, Variable
 from tidemark.plans.engine import Engine
 from tidemark.plans.search import Options, correlations
@@ -336,22 +335,9 @@ def label_columns(spark, d):
 # Statistics
 
 
-def _shared(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a local session without one gets a temporary folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 def _stored(frame: DataFrame) -> DataFrame:
     """The long form, written once, so that keys, pairs and measures read it rather than the raw tables again."""
-    path = f"{_shared(frame.sparkSession)}/tidemark-long-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    return ranges.stored(frame, "long")
 
 
 def _with_pairs(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -397,9 +383,9 @@ def impute_avg(spark, d):
     return _rounded(correlate.pearson_pairs(m, pairs, measures.column_stats(m)), 6, "r_impute_avg").select("agg1", "var1", "agg2", "var2", "r_impute_avg")
 
 
-@query("impute_zero", f"""{_IMPUTED}, e AS (SELECT i.*, a.val, a.x AS x FROM i JOIN m a ON a.agg = agg1 AND a.var = var1), f AS (SELECT i.agg1, i.var1, i.agg2, i.var2, b.val, b.x AS y FROM i JOIN m b ON b.agg = agg2 AND b.var = var2),
-    o AS (SELECT agg1, var1, agg2, var2, val, coalesce(e.x, 0) AS x, coalesce(f.y, 0) AS y FROM e FULL JOIN f USING (agg1, var1, agg2, var2, val))
-    SELECT agg1, var1, agg2, var2, round(covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) + 1e-7, 4) AS r_impute_zero FROM o GROUP BY ALL""")
+@query("impute_zero", f"""{_IMPUTED}, ze AS (SELECT i.agg1, i.var1, i.agg2, i.var2, a.val, a.x AS x FROM i JOIN m a ON a.agg = agg1 AND a.var = var1), zf AS (SELECT i.agg1, i.var1, i.agg2, i.var2, b.val, b.x AS y FROM i JOIN m b ON b.agg = agg2 AND b.var = var2),
+    zo AS (SELECT agg1, var1, agg2, var2, val, coalesce(ze.x, 0) AS x, coalesce(zf.y, 0) AS y FROM ze FULL JOIN zf USING (agg1, var1, agg2, var2, val))
+    SELECT agg1, var1, agg2, var2, round(covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) + 1e-7, 4) AS r_impute_zero FROM zo GROUP BY ALL""")
 def impute_zero(spark, d):
     """All pairs; SQL joins the tables outright and fills the keys that one of them lacks."""
     m, pairs = _with_pairs(spark, d)
@@ -431,12 +417,19 @@ def spearman(spark, d):
     return _rounded(correlate.spearman_pairs(correlate.joined_pairs(*_with_pairs(spark, d))), 6, "r", "p")
 
 
+_ERFC = "1 - 2 * {x} / sqrt(pi()) * exp(-{x} * {x}) * (SELECT sum(exp(k * ln(2 * {x} * {x}) - (k + 1) * ln(2) - lgamma(k + 1.5) + lgamma(0.5))) FROM range(0, 150) e(k))"
+
+
 @query("kendall", f"""{_LONG}{_FEW_JOINED}, f AS (SELECT kind, agg1, var1, agg2, var2, val, coalesce(x, 0) AS x, coalesce(y, 0) AS y FROM j),
     s AS (SELECT a.kind, a.agg1, a.var1, a.agg2, a.var2, sum(sign(a.x - b.x) * sign(a.y - b.y)) AS s, sum((a.x = b.x)::INT) AS tx, sum((a.y = b.y)::INT) AS ty, count(*) AS m
-        FROM f a JOIN f b ON a.agg1 = b.agg1 AND a.var1 = b.var1 AND a.agg2 = b.agg2 AND a.var2 = b.var2 AND a.val < b.val GROUP BY ALL)
-    SELECT kind, agg1, var1, agg2, var2, round(s / sqrt((m - tx)::DOUBLE * (m - ty)), 6) AS r FROM s WHERE m > tx AND m > ty AND s <> 0""")
+        FROM f a JOIN f b ON a.agg1 = b.agg1 AND a.var1 = b.var1 AND a.agg2 = b.agg2 AND a.var2 = b.var2 AND a.val < b.val GROUP BY ALL),
+    u AS (SELECT kind, agg1, var1, agg2, var2, x AS v, 1 AS side, count(*)::DOUBLE AS t FROM f GROUP BY ALL UNION ALL SELECT kind, agg1, var1, agg2, var2, y, 2, count(*) FROM f GROUP BY ALL),
+    w AS (SELECT kind, agg1, var1, agg2, var2, sum(t) FILTER (side = 1) AS n, sum(t * (t - 1) * (t - 2)) FILTER (side = 1) AS x0, sum(t * (t - 1) * (t - 2)) FILTER (side = 2) AS y0,
+        sum(t * (t - 1) * (2 * t + 5)) FILTER (side = 1) AS x1, sum(t * (t - 1) * (2 * t + 5)) FILTER (side = 2) AS y1 FROM u GROUP BY ALL),
+    z AS (SELECT *, abs(s) / sqrt((n * (n - 1) * (2 * n + 5) - x1 - y1) / 18 + 2.0::DOUBLE * tx * ty / (n * (n - 1)) + x0 * y0 / (9 * n * (n - 1) * (n - 2))) / sqrt(2) AS q FROM s JOIN w USING (kind, agg1, var1, agg2, var2) WHERE m > tx AND m > ty AND s <> 0)
+    SELECT kind, agg1, var1, agg2, var2, n::BIGINT AS n, round(s / sqrt((m - tx)::DOUBLE * (m - ty)), 6) AS r, round({_ERFC.format(x='q')}, 6) AS p FROM z""")
 def kendall(spark, d):
-    return _rounded(correlate.kendall_pairs(correlate.joined_pairs(*_with_pairs(spark, d))), 6, "r").drop("n", "p")
+    return _rounded(correlate.kendall_pairs(correlate.joined_pairs(*_with_pairs(spark, d))), 6, "r", "p")
 
 
 _LINES = "WITH f AS (SELECT strftime(l_shipdate, '%Y-%m') AS val, avg(l_quantity) AS a, avg(l_extendedprice) AS b, avg(l_tax) AS c, avg(l_discount) AS e FROM lineitem GROUP BY 1), m AS (SELECT count(*) AS n, corr(a, b) AS ab, corr(a, c) AS ac, corr(b, c) AS bc, corr(a, e) AS ae, corr(b, e) AS be, corr(c, e) AS ce FROM f), p1 AS (SELECT *, (ab - ac * bc) / sqrt((1 - ac * ac) * (1 - bc * bc)) AS r1, (ae - ac * ce) / sqrt((1 - ac * ac) * (1 - ce * ce)) AS ae_c, (be - bc * ce) / sqrt((1 - bc * bc) * (1 - ce * ce)) AS be_c FROM m)"
@@ -548,7 +541,7 @@ _GROWN = _RAW.replace("FROM lineitem JOIN supplier ON l_suppkey = s_suppkey", "F
 def _grown(spark, d):
     """Four sources come in two calls, one of them again with other rows, and the orders are taken out."""
     tables = {s.tbl: s for s in sources(spark, d)}
-    engine = Engine(spark, f"{_shared(spark)}/tidemark-catalog-{uuid.uuid4().hex}")
+    engine = Engine(spark, f"{ranges.shared_root(spark)}/tidemark-catalog-{uuid.uuid4().hex}")
     engine.ingest([tables["lineitem"], tables["orders"], tables["customer"]])
     engine.ingest([tables["supplier"]])
     line = tables["lineitem"]
@@ -632,6 +625,33 @@ def topology_significant(spark, d):
     return _rounded(topology.significant(_stored(long(spark, d)), list(_SHIFTS)), 6, "score", "strength")
 
 
+_BFS = f""", pk AS (SELECT DISTINCT kind, agg, val, CASE WHEN kind = 'st' THEN split_part(val, ',', 1) ELSE '' END AS t, CASE WHEN kind = 'st' THEN split_part(val, ',', 2) ELSE val END AS s FROM m),
+    tt AS (SELECT agg, t, lead(t) OVER (PARTITION BY agg ORDER BY t) AS u FROM (SELECT DISTINCT agg, t FROM pk WHERE kind = 'st')),
+    ed AS (SELECT a.agg, a.val, b.val AS other FROM pk a JOIN pk b ON a.agg = b.agg AND a.t = b.t AND a.s <> b.s AND abs(a.s::INT % 5 - b.s::INT % 5) <= 1 AND abs(a.s::INT // 5 - b.s::INT // 5) <= 1
+        UNION ALL SELECT a.agg, unnest([a.val, b.val]), unnest([b.val, a.val]) FROM pk a JOIN tt ON a.agg = tt.agg AND a.t = tt.t JOIN pk b ON b.agg = a.agg AND b.t = tt.u AND b.s = a.s),
+    rc AS (SELECT agg, val, val AS far FROM pk UNION SELECT rc.agg, rc.val, ed.other FROM rc JOIN ed ON ed.agg = rc.agg AND ed.val = rc.far),
+    nd AS (SELECT turn, agg, val, part, CASE WHEN turn = 0 THEN '0' || val ELSE md5([{_SHIFTS[0]}, {_SHIFTS[1]}][turn] || '|' || val) || val END AS h FROM (SELECT agg, val, min(far) AS part FROM rc GROUP BY ALL), range(0, 3) r(turn)),
+    sa AS (SELECT turn, agg, part, min(h) AS start FROM nd GROUP BY ALL),
+    lv AS (SELECT turn, agg, val, 0 AS level FROM nd JOIN sa USING (turn, agg, part) WHERE h = start UNION SELECT turn, lv.agg, ed.other, level + 1 FROM lv JOIN ed ON ed.agg = lv.agg AND ed.val = lv.val WHERE level < 24),
+    ps AS (SELECT nd.turn, nd.agg, nd.val, row_number() OVER (PARTITION BY nd.turn, nd.agg ORDER BY start, level, h) AS at FROM nd JOIN sa USING (turn, agg, part) JOIN (SELECT turn, agg, val, min(level) AS level FROM lv GROUP BY ALL) USING (turn, agg, val))"""
+
+
+@query("topology_shuffled", f"""{_LONG.replace("WITH", "WITH RECURSIVE", 1).replace("'%Y-%m'", "'%Y'").replace("SELECT * FROM m0", "SELECT * FROM m0 WHERE kind <> 'temporal'")}{_FEAT}{_BFS}, n1 AS (SELECT agg, var, count(*) AS n FROM ft GROUP BY ALL),
+    g AS (SELECT a.agg AS agg1, a.var AS var1, b.agg AS agg2, b.var AS var2, sum(a.sign * b.sign) / count(*) AS score, count(*) AS c FROM ft a JOIN ft b ON a.kind = b.kind AND a.val = b.val AND a.agg <> b.agg GROUP BY ALL),
+    mv AS (SELECT q.turn, p.agg, p.val, q.val AS source FROM ps p JOIN ps q ON p.turn = 0 AND q.turn > 0 AND q.agg = p.agg AND q.at = p.at),
+    sf AS (SELECT mv.turn, m.kind, m.agg, m.var, mv.val, CASE WHEN x > hi THEN 1 ELSE -1 END AS sign FROM mv JOIN m ON m.agg = mv.agg AND m.val = mv.source JOIN th ON th.agg = m.agg AND th.var = m.var WHERE c > 1 AND (x > hi OR x < lo)),
+    bs AS (SELECT agg1, var1, agg2, var2, max(o) AS o FROM (SELECT a.turn, a.agg AS agg1, a.var AS var1, b.agg AS agg2, b.var AS var2, abs(sum(a.sign * b.sign) / count(*)) AS o FROM sf a JOIN ft b ON a.kind = b.kind AND a.val = b.val AND a.agg <> b.agg GROUP BY ALL) GROUP BY ALL)
+    SELECT agg1, var1, agg2, var2, round(g.score, 6) AS score, round(2 * (c / n) / (c / n + 1), 6) AS strength FROM g JOIN n1 ON n1.agg = agg1 AND n1.var = var1
+    LEFT JOIN bs USING (agg1, var1, agg2, var2) WHERE bs.o IS NULL OR bs.o < abs(g.score)""")
+def topology_shuffled(spark, d):
+    """Places, and places by year, whose peaks agree more than after any shuffle that keeps neighbours near; nations lie on a grid of five by five."""
+    year = lambda c: {"month": K.time_key(F.col(c), K.TimeUnit.YEAR)}
+    by_year = [Source(s.tbl, s.df, year({"orders": "o_orderdate", "lineitem": "l_shipdate"}[s.tbl]) if s.times else {}, s.places, s.measures) for s in sources(spark, d)]
+    m = _stored(measures.measures(by_year, round_dp=None).filter("kind <> 'temporal'"))
+    near = spatial.adjacency(_grid(spark, d)).select(F.substring("region", 4, 9).alias("region"), F.substring("neighbour", 4, 9).alias("neighbour"))
+    return _rounded(topology.significant(m, list(_SHIFTS), near), 6, "score", "strength")
+
+
 # Graphs
 
 def _corrs(spark, d) -> DataFrame:
@@ -773,10 +793,14 @@ def point_in_polygon(spark, d):
 @query("region_adjacency", """WITH r AS (SELECT n_nationkey AS k, n_nationkey % 5 AS x, n_nationkey // 5 AS y FROM nation)
     SELECT 'box' || a.k AS region, 'box' || b.k AS neighbour FROM r a JOIN r b ON a.k <> b.k AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1""")
 def region_adjacency(spark, d):
+    return spatial.adjacency(_grid(spark, d))
+
+
+def _grid(spark, d) -> DataFrame:
+    """Nations as unit boxes, five in a row."""
     x, y = (F.col("n_nationkey") % 5).cast("double"), F.floor(F.col("n_nationkey") / 5).cast("double")
     corner = lambda a, b: F.struct((x + a).alias("lon"), (y + b).alias("lat"))
-    regions = table(spark, d, "nation").select(F.concat(F.lit("box"), F.col("n_nationkey").cast("string")).alias("region"), F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1)).alias("ring"))
-    return spatial.adjacency(regions)
+    return table(spark, d, "nation").select(F.concat(F.lit("box"), F.col("n_nationkey").cast("string")).alias("region"), F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1)).alias("ring"))
 
 
 @query("discovery_precision_recall", f"""{_LONG}, f AS (SELECT agg, cand FROM ({_CAND.replace('>= 5', '>= 60')})), t AS (SELECT agg, cand FROM ({_CAND})),
@@ -805,6 +829,6 @@ def events_rollup_stream(spark, d):
     schema = table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
     name = f"rollup_{uuid.uuid4().hex[:8]}"
-    rollup.start(rollup.rollup(stream), name, f"{_shared(spark)}/{name}").awaitTermination()
+    rollup.start(rollup.rollup(stream), name, f"{ranges.shared_root(spark)}/{name}").awaitTermination()
     return _rounded(spark.table(name).withColumn("bin_start", F.date_format("bin_start", "yyyy-MM-dd HH:mm")), 6, "avg_value")
 
