@@ -311,6 +311,30 @@ def test_communities_of_a_known_structure(spark):
     assert synthetic.calibrate([2.0], [200_000], [1.0], [100_000]) == 1.0
 
 
+def test_threshold_grid_and_skyline_equal_brute_force(spark):
+    import itertools
+
+    rng = np.random.default_rng(6)
+    names = [f"{s}{i}" for s in ("missing_ratio", "zero_ratio", "missing_ratio_o", "zero_ratio_o") for i in (1, 2)]
+    rows = [(*(round(float(v), 1) for v in rng.random(8)), round(float(rng.uniform(-1, 1)), 1) if k % 9 else None, int(rng.integers(3, 60)), f"t{rng.integers(0, 9)}", f"t{rng.integers(0, 9)}") for k in range(150)]
+    corrs = frame(spark, rows, ", ".join(f"{n} double" for n in names) + ", r_val double, samples int, tbl1 string, tbl2 string").repartition(5)
+    axes = {"missing_ratio": [1.0, 0.8], "zero_ratio": [1.0, 0.9, 0.5], "missing_ratio_o": [1.0], "zero_ratio_o": [1.0, 0.7], "r_val": [0.0, 0.2, 0.6], "samples": [0.0, 20.0, 1000.0]}
+    want = {}
+    for t in itertools.product(*axes.values()):
+        kept = [r for r in rows if all(max(r[2 * i], r[2 * i + 1]) <= t[i] for i in range(4)) and r[8] is not None and abs(r[8]) >= t[4] and r[9] >= t[5]]
+        cover = round(len({x for r in kept for x in r[10:]}) / 9, 2)
+        if cover >= 0.3:
+            want[t] = (cover, len(kept))
+    got = {tuple(r[:6]): (r.coverage, r.n_edges) for r in graph.threshold_grid(corrs, axes, 9, 0.3).collect()}
+    assert got == want and len(want) > 10
+    assert graph.threshold_grid(corrs.limit(0), axes, 9, 0.0).count() == 0
+
+    pts = [(float(a), int(b)) for a, b in rng.integers(0, 40, (300, 2))] + [(float("nan"), 99)]
+    plain = {p for p in pts[:-1] if not any(q != p and q[0] >= p[0] and q[1] >= p[1] for q in pts[:-1])}
+    df = frame(spark, [*pts, (None, 5), (100.0, None)], "coverage double, score long").repartition(7)
+    assert sorted(map(tuple, graph.skyline(df).collect())) == sorted(plain) and graph.skyline(df.limit(0)).count() == 0
+
+
 def test_threshold_search(spark):
     rows = [(0.1, 0.2, 0.0, 0.0, 0.1, 0.1, 0.0, 0.0, r, 10 + k, a, b) for k, (r, a, b) in enumerate([(0.9, "a", "b"), (0.8, "b", "c"), (-0.85, "a", "c"), (0.9, "x", "y"), (0.95, "y", "z"), (0.9, "x", "z"), (0.4, "a", "x")])]
     names = [f"{s}{i}" for s in ("missing_ratio", "zero_ratio", "missing_ratio_o", "zero_ratio_o") for i in (1, 2)]

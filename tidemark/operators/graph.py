@@ -5,8 +5,11 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 #: Quality signals of a correlation and whether a threshold bounds them from above (-1) or below (1).
 SIGNALS = {"missing_ratio": -1, "zero_ratio": -1, "missing_ratio_o": -1, "zero_ratio_o": -1, "r_val": 1, "samples": 1}
@@ -158,17 +161,77 @@ def within_community(corrs: DataFrame, nodes: DataFrame, same_table: bool = True
     return placed.drop("_a", "_b") if same_table else placed.filter("tbl1 <> tbl2").drop("_a", "_b")
 
 
-def threshold_grid(corrs: DataFrame, grid: DataFrame, n_tables: int, least_coverage: float) -> DataFrame:
-    """Coverage and modularity-free graph sizes for every row of thresholds: grid columns, coverage, n_edges.
+def _reached(name: str, thresholds: list[float]) -> Column:
+    """How many of a signal's thresholds, from the loosest on, a correlation passes; what passes one passes all looser ones."""
+    return F.aggregate(F.array(*(F.coalesce(signal_condition(name, t), F.lit(False)).cast("int") for t in thresholds)), F.lit(0), lambda n, one: n + one)
 
-    ``grid`` has a column for each signal and is a stated list of settings; every correlation is tested against each.
+
+def _settings_reached(shape: tuple[int, ...]):
+    """Of cells (t, cell), sorted by t, the number of distinct t that reach each setting: a cell reaches all settings that are looser on every axis."""
+
+    def run(batches):
+        total, own, table = np.zeros(shape, np.int32), np.zeros(shape, bool), None
+
+        def close():
+            nonlocal own
+            for axis in range(len(shape)):
+                own = np.flip(np.logical_or.accumulate(np.flip(own, axis), axis), axis)
+            np.add(total, own, out=total)
+            own = np.zeros(shape, bool)
+
+        for batch in batches:
+            names, cells = batch.column("t").to_pylist(), np.asarray(batch.column("cell"))
+            cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo == hi:
+                    continue
+                if table is not None and names[lo] != table:
+                    close()
+                table = names[lo]
+                own.ravel()[cells[lo:hi]] = True
+        if table is not None:
+            close()
+        at = np.flatnonzero(total.ravel())
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at].astype(np.int64))], ["cell", "n_tables"])
+
+    return run
+
+
+def _suffix_sums(shape: tuple[int, ...]):
+    """Of cells (cell, n), the number of correlations in each setting: sums over all cells that are as tight or tighter on every axis."""
+
+    def run(batches):
+        total = np.zeros(shape, np.int64)
+        for batch in batches:
+            total.ravel()[np.asarray(batch.column("cell"))] += np.asarray(batch.column("n"))
+        for axis in range(len(shape)):
+            total = np.flip(np.cumsum(np.flip(total, axis), axis), axis)
+        at = np.flatnonzero(total.ravel())
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], ["cell", "n_edges"])
+
+    return run
+
+
+def threshold_grid(corrs: DataFrame, axes: dict[str, list[float]], n_tables: int, least_coverage: float) -> DataFrame:
+    """Coverage and size of the graph under every combination of thresholds: t_<signal>, coverage, n_edges, for those that cover enough tables.
+
+    ``axes`` lists each signal's thresholds from the loosest on. A correlation is put once, at the tightest threshold
+    that it passes on each axis. The correlations of all settings are then sums over the cells that are as tight or
+    tighter, taken along one axis after the other; so is, table by table, whether a setting has any. What a task holds
+    is one number a setting, and no correlation meets a setting.
     """
-    passed = reduce(lambda a, b: a & b, (signal_condition(n, F.col(f"t_{n}")) for n in SIGNALS))
-    names = [f"t_{n}" for n in SIGNALS]
-    kept = corrs.join(F.broadcast(grid), passed)
-    tables = kept.select(*names, F.explode(F.array("tbl1", "tbl2")).alias("t")).distinct().groupBy(*names).agg(F.round(F.count(F.lit(1)) / n_tables, 2).alias("coverage"))
-    sizes = kept.groupBy(*names).agg(F.count(F.lit(1)).alias("n_edges"))
-    return tables.join(sizes, names).filter(F.col("coverage") >= least_coverage)
+    shape = tuple(len(axes[n]) for n in SIGNALS)
+    ranks = [_reached(n, axes[n]) for n in SIGNALS]
+    placed = corrs.select("tbl1", "tbl2", *(r.alias(f"k{i}") for i, r in enumerate(ranks))).filter(" AND ".join(f"k{i} > 0" for i in range(len(shape))))
+    strides = [int(np.prod(shape[i + 1 :], dtype=np.int64)) for i in range(len(shape))]
+    cell = reduce(lambda a, b: a + b, ((F.col(f"k{i}") - 1).cast("long") * w for i, w in enumerate(strides)))
+    cells = placed.select("tbl1", "tbl2", cell.alias("cell"))
+    edges = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).repartition(1).mapInArrow(_suffix_sums(shape), "cell long, n_edges long")  # at most a row a setting
+    owned = cells.select(F.explode(F.array("tbl1", "tbl2")).alias("t"), "cell").distinct().repartition("t").sortWithinPartitions("t")
+    tables = owned.mapInArrow(_settings_reached(shape), "cell long, n_tables long").groupBy("cell").agg(F.sum("n_tables").alias("n"))
+    kept = tables.select("cell", F.round(F.col("n") / n_tables, 2).alias("coverage")).filter(F.col("coverage") >= least_coverage).join(edges, "cell")
+    settings = [F.get(F.array(*(F.lit(float(t)) for t in axes[n])), (F.floor(F.col("cell") / w) % k).cast("int")).alias(f"t_{n}") for n, w, k in zip(SIGNALS, strides, shape)]
+    return kept.select(*settings, "coverage", "n_edges")
 
 
 def signal_ranges(corrs: DataFrame, steps: dict[str, float], n_tables: int, least_coverage: float) -> dict[str, list[float]]:
@@ -205,12 +268,8 @@ def search_thresholds(corrs: DataFrame, steps: dict[str, float], n_tables: int,
     enough is small and is parted on the driver.
     """
     ranges = signal_ranges(corrs, steps, n_tables, least_coverage)
-    axes = [F.array(*(F.lit(float(t)) for t in ranges[n])) for n in SIGNALS]
-    grid = corrs.sparkSession.range(1)
-    for n, axis in zip(SIGNALS, axes):
-        grid = grid.withColumn(f"t_{n}", F.explode(axis))
     points: dict[tuple[float, float], list[list[float]]] = {}
-    for r in threshold_grid(corrs, grid.drop("id"), n_tables, least_coverage).collect():
+    for r in threshold_grid(corrs, ranges, n_tables, least_coverage).collect():
         setting = [r[f"t_{n}"] for n in SIGNALS]
         edges = [(e.src, e.dst, 1.0) for e in table_edges(filter_signals(corrs, setting)).filter("src <> dst").collect()]
         score = round(plain_modularity(edges, louvain(edges, seed)), 2)
@@ -244,7 +303,23 @@ def best_settings(points: dict[tuple[float, float], list[list[float]]], targets:
 
 
 def skyline(points: DataFrame, x: str = "coverage", y: str = "score") -> DataFrame:
-    """Points that no other one matches or beats in both coordinates; of equal points the last stays, once."""
-    best = points.groupBy(x).agg(F.max(y).alias(y))
-    later = F.max(y).over(Window.orderBy(F.desc(x)).rowsBetween(Window.unboundedPreceding, -1))
-    return best.withColumn("_later", later).filter(F.col("_later").isNull() | (F.col(y) > F.col("_later"))).drop("_later")
+    """Points that no other one matches or beats in both coordinates, one of equal ones; nulls are no points.
+
+    Each task keeps the skyline of its own rows, in one pass after a sort; what is left, the few rows that their
+    neighbours did not beat, is compared once more.
+    """
+    kinds = [points.schema[c].dataType for c in (x, y)]
+    schema = StructType([StructField(x, kinds[0]), StructField(y, kinds[1])])
+
+    def run(batches):
+        best: list[tuple] = []
+        for batch in batches:
+            rows = sorted({*best, *zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())}, reverse=True)
+            best = []
+            for p in rows:  # from the largest x down, the largest y of each first
+                if not best or p[1] > best[-1][1]:
+                    best.append(p)
+        yield pa.RecordBatch.from_pylist([{x: a, y: b} for a, b in best], schema=to_arrow_schema(schema))
+
+    known = points.select(x, y).filter(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(F.col(x).cast("double")) & ~F.isnan(F.col(y).cast("double")))
+    return known.mapInArrow(run, schema).repartition(1).mapInArrow(run, schema)

@@ -703,17 +703,18 @@ def coverage_ratio(spark, d):
     return graph.covered_tables(_quality(spark, d).filter(graph.signal_condition("r_val", 0.85)))
 
 
-_GRID = "SELECT 1.0::DOUBLE AS t_missing_ratio, 1.0::DOUBLE AS t_zero_ratio, 1.0::DOUBLE AS t_missing_ratio_o, 1.0::DOUBLE AS t_zero_ratio_o, i / 20.0::DOUBLE AS t_r_val, s::BIGINT AS t_samples FROM range(0, 20, 5) a(i), range(0, 50, 10) b(s)"
+#: Thresholds of all six signals, the loosest first.
+_AXES = {"missing_ratio": [1.0, 0.9, 0.7], "zero_ratio": [1.0, 0.8, 0.6], "missing_ratio_o": [1.0, 0.9, 0.5], "zero_ratio_o": [1.0, 0.95, 0.7], "r_val": [0.0, 0.25, 0.5, 0.75], "samples": [0.0, 10.0, 20.0, 30.0, 40.0]}
+_GRID = "SELECT * FROM " + ", ".join(f"(SELECT unnest({list(v)}::DOUBLE[]) AS t_{k})" for k, v in _AXES.items())
+_T = ", ".join(f"t_{k}" for k in _AXES)
 
 
-@query("threshold_grid", f"""WITH q AS ({_Q}), g AS ({_GRID}), k AS (SELECT * FROM q JOIN g ON {_PASS.format('t_missing_ratio', 't_zero_ratio', 't_missing_ratio_o', 't_zero_ratio_o', 't_r_val', 't_samples')}),
-    t AS (SELECT t_r_val, t_samples, count(DISTINCT t) AS n FROM (SELECT t_r_val, t_samples, tbl1 AS t FROM k UNION ALL SELECT t_r_val, t_samples, tbl2 FROM k) GROUP BY ALL),
-    z AS (SELECT t_r_val, t_samples, count(*) AS n_edges FROM k GROUP BY ALL) SELECT t_r_val, t_samples, round(n / 19, 2) AS coverage, n_edges FROM t JOIN z USING (t_r_val, t_samples) WHERE round(n / 19, 2) >= 0.5""")
+@query("threshold_grid", f"""WITH q AS ({_Q}), g AS ({_GRID}), k AS (SELECT * FROM q JOIN g ON {_PASS.format(*(f"t_{k}" for k in _AXES))}),
+    t AS (SELECT {_T}, count(DISTINCT t) AS n FROM (SELECT {_T}, tbl1 AS t FROM k UNION ALL SELECT {_T}, tbl2 FROM k) GROUP BY ALL),
+    z AS (SELECT {_T}, count(*) AS n_edges FROM k GROUP BY ALL) SELECT {_T}, round(n / 19, 2) AS coverage, n_edges FROM t JOIN z USING ({_T}) WHERE round(n / 19, 2) >= 0.5""")
 def threshold_grid(spark, d):
-    grid = spark.range(0, 20, 5).withColumn("t_samples", F.explode(F.expr("sequence(0L, 40L, 10L)")))
-    one = F.lit(1.0)
-    grid = grid.select(one.alias("t_missing_ratio"), one.alias("t_zero_ratio"), one.alias("t_missing_ratio_o"), one.alias("t_zero_ratio_o"), (F.col("id") / 20.0).alias("t_r_val"), "t_samples")
-    return graph.threshold_grid(_quality(spark, d), grid, 19, 0.5).select("t_r_val", "t_samples", "coverage", "n_edges")
+    """Every combination of the thresholds of all six signals that keeps half of the tables."""
+    return graph.threshold_grid(_quality(spark, d), _AXES, 19, 0.5)
 
 
 _E = "SELECT DISTINCT 'n' || least(s_nationkey, s_suppkey % 23) AS src, 'n' || greatest(s_nationkey, s_suppkey % 23) AS dst FROM supplier WHERE s_nationkey <> s_suppkey % 23"
