@@ -42,7 +42,7 @@ PRIOR = 0.2
 #: Bits after which weights start anew, and the rate at which they learn.
 BLOCK, RATE, FIRST_WEIGHT = 2048, np.float32(0.05), 0.4
 #: Bytes of text that are mixed at a time, and coded at a time.
-SLICE, PIECE = 1 << 21, 1 << 18
+SLICE, PIECE = 1 << 20, 1 << 18
 _CHUNK = 2048
 _SCALE = 2000.0
 #: A prediction, in the logistic domain, that counts as sure.
@@ -270,7 +270,7 @@ def count_tokens(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch.column(0), 8 * SLICE):
+            for piece in slices(batch.column(0), 4 * SLICE):
                 counted = pc.value_counts(words_of(piece)[0])
                 yield pa.RecordBatch.from_arrays([counted.field(0).cast(pa.string()), counted.field(1)], ["word", "n"])
 
@@ -429,9 +429,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     schema.add("rare", T.ArrayType(T.StringType()))
     scored = scratch.keep(rows.mapInArrow(_score(model), schema).withColumn("row", F.monotonically_increasing_id()), "scored")
     # Words without a code are at most one in HEAD of the training tokens each, so no key is hot in their join.
-    each = scored.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count(F.lit(1)).alias("k"))
+    each = scored.select("row", F.explode("rare").alias("word"))
     chance = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(vocabulary.total + vocabulary.distinct + 1)))
-    extra = each.join(counts, "word", "left").groupBy("row").agg(F.sum(F.col("k") * chance).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("k"))).alias("seen"))
+    extra = each.join(counts, "word", "left").groupBy("row").agg(F.sum(chance).alias("more"), F.count_if(F.col("n") > 0).alias("seen"))
     out = scored.drop("rare").join(extra, "row", "left")
     return out.select(
         F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(vocabulary.total).cast("long").alias("train_tokens"),
