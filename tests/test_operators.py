@@ -311,6 +311,38 @@ def test_communities_of_a_known_structure(spark):
     assert synthetic.calibrate([2.0], [200_000], [1.0], [100_000]) == 1.0
 
 
+def test_hashes_and_sketches_merge(spark):
+    from tidemark.operators import sketch
+
+    def plain(key):  # 32-bit Murmur3 as published
+        data, h = key.encode(), 0
+        turn = lambda x, r: ((x << r) | (x >> (32 - r))) & 0xFFFFFFFF
+        scramble = lambda k: turn(k * 0xCC9E2D51 & 0xFFFFFFFF, 15) * 0x1B873593 & 0xFFFFFFFF
+        whole = len(data) // 4 * 4
+        for i in range(0, whole, 4):
+            h = (turn(h ^ scramble(int.from_bytes(data[i : i + 4], "little")), 13) * 5 + 0xE6546B64) & 0xFFFFFFFF
+        h ^= scramble(int.from_bytes(data[whole:], "little")) if data[whole:] else 0
+        h ^= len(data)
+        h = (h ^ h >> 16) * 0x85EBCA6B & 0xFFFFFFFF
+        h = (h ^ h >> 13) * 0xC2B2AE35 & 0xFFFFFFFF
+        h ^= h >> 16
+        return h - 2**32 if h >= 2**31 else h
+
+    assert plain("foo") == -156908512
+    keys = ["foo", "", "a", "ab", "abc", "abcd", "abcde", "2020-01", "漢字 ñ", *(f"key{i}" for i in range(400))]
+    df = frame(spark, [(k,) for k in keys], "val string").withColumns({"h": sketch.murmur3(F.col("val")), "u": sketch.unit_hash(F.col("val"))})
+    for r in df.collect():
+        x = (plain(r.val) + 1) * (0.6180339887498949025 + 1)
+        assert r.h == plain(r.val) and r.u == x - np.floor(x)
+    rows = frame(spark, [("t" if i % 3 else "s", k) for i, k in enumerate(keys)] + [("t", k) for k in keys[:100]], "agg string, val string").distinct()
+    one, two = rows.filter("val < 'key2'"), rows.filter("val >= 'key1'")
+    united = sketch.unite(sketch.key_sketch(one, 20), sketch.key_sketch(two, 20), k=20)
+    assert sorted(map(tuple, united.collect())) == sorted(map(tuple, sketch.key_sketch(rows, 20).collect())) and united.count() == 40
+    guess = {r.agg: r.n_keys for r in sketch.estimate_keys(sketch.key_sketch(rows, 64), 64).collect()}
+    true = {r.agg: r["count"] for r in rows.groupBy("agg").count().collect()}
+    assert all(0.6 < guess[a] / true[a] < 1.6 for a in true) and sketch.estimate_keys(sketch.key_sketch(rows.limit(5), 64), 64).agg(F.sum("n_keys")).first()[0] == 5
+
+
 def test_threshold_grid_and_skyline_equal_brute_force(spark):
     import itertools
 

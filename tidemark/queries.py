@@ -564,12 +564,29 @@ def catalog_stats(spark, d):
 
 # Sketches and topology
 
-_SK = ", kk AS (SELECT agg, val FROM (SELECT agg, val, row_number() OVER (PARTITION BY agg ORDER BY md5(val), val) AS r FROM k) WHERE r <= 32)"
+_SCRAMBLE = "(((({k}) * 3432918353 % 4294967296 * 32768 % 4294967296 + (({k}) * 3432918353 % 4294967296) // 131072) % 4294967296) * 461845907 % 4294967296)"
+_BLOCK = "(list_reduce(list_transform(range(0, {n}), lambda q: ('0x' || substr(hx, ({at} + q) * 2 + 1, 2))::UBIGINT * pow(256, q)::UBIGINT), lambda p, q: p + q))"
+#: Murmur3 of the bytes of val, block by block, then its golden place.
+_SK = f""", mb AS (SELECT agg, val, hex(encode(val)) AS hx, strlen(val) AS n FROM k),
+    mh AS (SELECT agg, val, n, hx, list_reduce(list_prepend(0::UBIGINT, list_transform(range(0, n // 4), lambda i: {_BLOCK.format(n=4, at='4 * i')})),
+        lambda h, w: ((xor(h, {_SCRAMBLE.format(k='w')}) * 8192 % 4294967296 + xor(h, {_SCRAMBLE.format(k='w')}) // 524288) % 4294967296 * 5 + 3864292196) % 4294967296) AS h FROM mb),
+    mt AS (SELECT agg, val, xor(CASE WHEN n % 4 = 0 THEN h ELSE xor(h, {_SCRAMBLE.format(k=_BLOCK.format(n='n % 4', at='n // 4 * 4'))}) END, n::UBIGINT) AS h FROM mh),
+    m1 AS (SELECT agg, val, xor(h, h // 65536) * 2246822507 % 4294967296 AS h FROM mt), m2 AS (SELECT agg, val, xor(h, h // 8192) * 3266489909 % 4294967296 AS h FROM m1), m3 AS (SELECT agg, val, xor(h, h // 65536)::BIGINT AS h FROM m2),
+    mu AS (SELECT agg, val, (CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END + 1)::DOUBLE * 1.6180339887498949025::DOUBLE AS g FROM m3), mg AS (SELECT agg, val, g - floor(g) AS place FROM mu),
+    kk AS (SELECT agg, val, place FROM (SELECT agg, val, place, row_number() OVER (PARTITION BY agg ORDER BY place, val) AS r FROM mg) WHERE r <= 32)"""
+
+
+@query("kmv_sketch", f"{_LONG}{_SK} SELECT agg, val, round(place, 9) AS place FROM kk")
+def kmv_sketch(spark, d):
+    return _rounded(sketch.key_sketch(measures.keys_of(_stored(long(spark, d))), 32), 9, "place")
 
 
-@query("kmv_sketch", f"{_LONG}{_SK} SELECT agg, val FROM kk")
-def kmv_sketch(spark, d):
-    return measures.keys_of(sketch.sketch(_stored(long(spark, d)), 32)).select("agg", "val")
+@query("kmv_united", f"{_LONG.replace('k AS (SELECT kind, agg, tbl, val', 'k AS (SELECT DISTINCT kind, kind AS agg, kind AS tbl, val')}{_SK} SELECT agg, val, round(place, 9) AS place FROM kk")
+def kmv_united(spark, d):
+    """One sketch for the keys of each kind, from the stored sketches of the tables; SQL takes it from all keys."""
+    keys = measures.keys_of(_stored(long(spark, d)))
+    own = ranges.stored(sketch.key_sketch(keys, 32), "sketch").join(F.broadcast(keys.select("agg", "kind").distinct()), "agg")
+    return _rounded(sketch.unite(own.select(F.col("kind").alias("agg"), "val", "place"), k=32), 9, "place")
 
 
 @query("sketch_corr", f"""{_LONG}{_FEW_JOINED}{_SK}, js AS (SELECT j.* FROM j JOIN kk a ON a.agg = agg1 AND a.val = j.val JOIN kk b ON b.agg = agg2 AND b.val = j.val)
