@@ -171,6 +171,59 @@ def test_points_on_edges_and_outside(spark):
     assert {(r.region, r.neighbour) for r in spatial.adjacency(regions).collect()} >= {("a", "b"), ("b", "c")}
 
 
+def box(name, x0, y0, x1, y1, clockwise=False):
+    ring = [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
+    return (name, ring[::-1] if clockwise else ring)
+
+
+REGION = "region string, ring array<struct<lon: double, lat: double>>"
+
+
+def test_regions_that_touch(spark):
+    shapes = [
+        box("a", 0.0, 0.0, 2.0, 2.0), box("shifted", 2.0, 1.0, 4.0, 3.0), box("below", 0.5, -1.0, 1.0, 0.0, True), box("crossing", 1.5, 1.5, 2.5, 5.0), box("within", 0.25, 0.25, 0.75, 0.75),
+        box("at_side", 0.0, 0.5, 1.0, 1.0), box("far", 9.0, 9.0, 9.5, 9.5), box("corner", -1.0, -1.0, 0.0, 0.0), box("copy", 9.0, 9.0, 9.5, 9.5), ("tip", [(2.0, 0.5), (3.0, 0.0), (3.0, 0.7)]), box("beside", 0.5, 0.0, 3.5, 2.0),
+    ]
+    got = {(r.region, r.neighbour) for r in spatial.adjacency(frame(spark, shapes, REGION)).collect()}
+    want = {("a", "shifted"), ("a", "below"), ("a", "corner"), ("a", "tip"), ("at_side", "beside"), ("within", "at_side"), ("beside", "below"), ("beside", "corner")}
+    want -= {("at_side", "beside"), ("within", "at_side"), ("beside", "corner")}  # these overlap, or are apart
+    assert got == want | {(b, a) for a, b in want}
+    assert spatial.adjacency(frame(spark, shapes, REGION).limit(0)).count() == 0
+
+
+def test_shapefiles_in_parts(spark, tmp_path):
+    import struct
+
+    from tidemark.sources import shapefile
+
+    shapes = [
+        ("001", "North", [[(0.0, 0.0), (0.0, 4.0), (4.0, 4.0), (4.0, 0.0), (0.0, 0.0)], [(1.0, 1.0), (3.0, 1.0), (3.0, 3.0), (1.0, 3.0), (1.0, 1.0)]]),  # with a hole
+        ("002", "", [[(5.0, 0.0), (5.0, 1.0), (6.0, 1.0), (6.0, 0.0), (5.0, 0.0)], [(8.0, 0.0), (8.0, 1.0), (9.0, 1.0), (9.0, 0.0), (8.0, 0.0)]]),  # two parts
+        ("003", "Null", None), ("004", "Gone", [[(0.0, 0.0), (1.0, 1.0), (1.0, 0.0), (0.0, 0.0)]]), ("005", "Caf\xe9", [[(4.0, 0.0), (4.0, 9.0), (4.5, 9.0), (4.0, 0.0)]]),
+    ]
+    body, index, rows = b"", b"", b""
+    for i, (code, name, rings) in enumerate(shapes):
+        flat = [p for ring in rings or [] for p in ring]
+        starts = [sum(map(len, rings[:k])) for k in range(len(rings))] if rings else []
+        content = struct.pack("<i", 0) if rings is None else struct.pack(f"<i4d2i{len(starts)}i", 5, 0, 0, 9, 9, len(starts), len(flat), *starts) + b"".join(struct.pack("<2d", *p) for p in flat)
+        index += struct.pack(">2i", (100 + len(body)) // 2, len(content) // 2)
+        body += struct.pack(">2i", i + 1, len(content) // 2) + content
+        rows += (b"*" if name == "Gone" else b" ") + code.encode().ljust(4) + name.encode("latin-1").ljust(8)
+    field = lambda n, size: n.encode().ljust(11, b"\0") + b"C" + bytes(4) + bytes([size]) + bytes(15)
+    (tmp_path / "t.shp").write_bytes(bytes(100) + body)
+    (tmp_path / "t.shx").write_bytes(bytes(100) + index)
+    (tmp_path / "t.dbf").write_bytes(b"\x03" + bytes(3) + struct.pack("<IHH", len(shapes), 32 + 64 + 1, 13) + bytes(20) + field("CODE", 4) + field("NAME", 8) + b"\x0d" + rows)
+    got = shapefile.read_shapefile(spark, f"file://{tmp_path}/t.shp", records=2)
+    assert got.rdd.getNumPartitions() == 3
+    have = {r.record: r for r in got.collect()}
+    assert sorted(have) == [0, 1, 2, 4] and have[1].NAME is None and have[4].NAME == "Caf\xe9" and have[2].rings is None
+    assert [[tuple(p) for p in ring] for ring in have[0].rings] == [ring[:-1] for ring in shapes[0][2]]
+    places = shapefile.regions(got, "CODE")
+    points = frame(spark, [(1, 0.5, 0.5), (2, 2.0, 2.0), (3, 5.5, 0.5), (4, 8.5, 0.5), (5, 7.0, 0.5), (6, 4.1, 8.0)], "point_id int, lon double, lat double")
+    assert {r.point_id: r.region for r in spatial.locate(points, places, 1.0).collect()} == {1: "001", 3: "002", 4: "002", 6: "005"}
+    assert {(r.region, r.neighbour) for r in spatial.adjacency(places, 1.0).collect()} == {("001", "005"), ("005", "001")}
+
+
 def test_features_and_shifts(spark):
     rows = [("temporal", "a_k", "x", f"{i:02d}", float(i)) for i in range(1, 13)]
     long = frame(spark, rows, "kind string, agg string, var string, val string, x double")
