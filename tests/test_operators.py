@@ -364,6 +364,40 @@ def test_communities_of_a_known_structure(spark):
     assert synthetic.calibrate([2.0], [200_000], [1.0], [100_000]) == 1.0
 
 
+def test_pairs_that_share_enough_without_counting_all(spark):
+    """Common keys that all tables have do not pair them all; the pairs are those of the full count."""
+    from tidemark.operators.counters import Counters
+
+    rng = np.random.default_rng(8)
+    rows = set()
+    for t in range(40):
+        rows |= {("k", f"t{t:02d}_k", f"t{t % 37:02d}", f"common{i}") for i in range(3)}
+        rows |= {("k", f"t{t:02d}_k", f"t{t % 37:02d}", f"own{rng.integers(0, 60)}") for _ in range(int(rng.integers(0, 12)))}
+    keys = frame(spark, sorted(rows), "kind string, agg string, tbl string, val string")
+    for threshold in (1, 2, 4, 5):
+        full, early = Counters(), Counters()
+        want = {tuple(r)[:3] for r in index.joinable_pairs(keys, threshold, full).collect()}
+        assert {tuple(r) for r in index.pairs_at_least(keys, threshold, early).collect()} == want
+        if threshold == 5:
+            assert sum(early.values().values()) < 0.6 * full.values()["keys_met"] and want
+    assert index.pairs_at_least(keys.limit(0), 2).count() == 0
+
+
+def test_counts_of_a_search(spark):
+    from tidemark.operators.counters import Counters
+    from tidemark.plans.search import correlations
+
+    long, *_ = two_tables(spark)
+    found = {}
+    for method in ("INDEX_SEARCH", "PREFIX_SEARCH", "JOIN_ALL", "COST_MODEL"):
+        watch = Counters()
+        found[method] = {(r.agg1, r.var1, r.agg2, r.var2) for r in correlations(long, Options(overlap=5, r_least=0.0, p_most=1.0, method=method), watch=watch).collect()}
+        counts = watch.values()
+        assert counts["pairs"] == 1 and counts["kept"] == len(found[method]) <= counts["tested"]
+        assert method != "INDEX_SEARCH" or counts["keys_met"] == 10
+    assert len(set(map(frozenset, found.values()))) == 1 and found["JOIN_ALL"]
+
+
 def test_hashes_and_sketches_merge(spark):
     from tidemark.operators import sketch
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.counters import Counters
+from tidemark.operators.ranges import running_totals, stored
+
 
 def inverted_index(keys: DataFrame) -> DataFrame:
     """kind, val and the sorted names of the aggregated tables that have the key."""
@@ -68,18 +71,52 @@ def join_costs(keys: DataFrame, threshold: int) -> DataFrame:
     return sizes.select("kind", "agg", "cnt", F.round(done * F.col("cnt") + (1 - done) * F.avg("cnt").over(after), 2).alias("cost"))
 
 
-def joinable_pairs(keys: DataFrame, threshold: int) -> DataFrame:
-    """kind, agg1, agg2, overlap, every unordered pair once: the first is the table with fewer keys, then by name."""
+def joinable_pairs(keys: DataFrame, threshold: int, watch: Counters | None = None) -> DataFrame:
+    """kind, agg1, agg2, overlap, every unordered pair once: the first is the table with fewer keys, then by name.
+
+    ``watch`` counts the keys that two tables share (keys_met).
+    """
     sizes = keys.groupBy("kind", "agg", "tbl").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= threshold)
     # Tables too small to reach the threshold never meet the others' keys.
     sized = keys.join(sizes.select("agg", "n"), "agg")
     a = sized.select("kind", "val", F.struct("n", "agg", "tbl").alias("a"))
     b = sized.select("kind", "val", F.struct("n", "agg", "tbl").alias("b"))
     met = a.join(b, ["kind", "val"]).filter((F.col("a") < F.col("b")) & (F.col("a.tbl") != F.col("b.tbl")))
+    met = watch.on(met, "keys_met") if watch else met
     pairs = met.groupBy("kind", F.col("a.agg").alias("agg1"), F.col("b.agg").alias("agg2")).agg(F.count(F.lit(1)).alias("overlap"))
     return pairs.filter(F.col("overlap") >= threshold)
 
 
+def pairs_at_least(keys: DataFrame, threshold: int, watch: Counters | None = None) -> DataFrame:
+    """kind, agg1, agg2: the pairs of ``joinable_pairs``, without counting all that they share.
+
+    Each table's keys are ordered from the rarest to the commonest. Two tables that share ``threshold`` keys share one
+    among all but their ``threshold`` - 1 commonest each, so only these meet, and the keys that most tables have do not
+    pair them all. Pairs that share enough there are done; the others, few by then, are counted in full. ``watch``
+    counts the keys met in both steps (keys_met, keys_checked).
+    """
+    known = stored(keys.select("kind", "val", "agg", "tbl").distinct(), "keys")
+    shared = known.join(index_counts(known.select("kind", "val", "agg")).filter("cnt > 1"), ["kind", "val"])
+    sizes = known.groupBy("agg").agg(F.count(F.lit(1)).alias("n"))  # a row a table
+    usable = shared.groupBy("agg").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= threshold).join(sizes, "agg")
+    ranked = running_totals(shared.withColumn("_one", F.lit(1).cast("long")), ["agg"], ["cnt", "val"], "_one", "at").drop("_one", "cnt").join(usable, "agg")
+    ranked = stored(ranked.withColumn("rare", F.col("at") <= F.col("m") - threshold), "ranked")
+
+    def side(rows: DataFrame, i: str) -> DataFrame:
+        return rows.select("kind", "val", F.struct("n", "agg", "tbl").alias(f"s{i}"))
+
+    rare = ranked.filter("rare")
+    met = side(rare, "1").join(side(rare, "2"), ["kind", "val"]).filter((F.col("s1") < F.col("s2")) & (F.col("s1.tbl") != F.col("s2.tbl")))
+    met = watch.on(met, "keys_met") if watch else met
+    found = stored(met.groupBy("kind", F.col("s1.agg").alias("agg1"), F.col("s2.agg").alias("agg2")).agg(F.count(F.lit(1)).alias("k")), "found")
+    open_ = found.filter(F.col("k") < threshold).select("kind", "agg1", "agg2")
+    own = ranked.select("kind", F.col("agg").alias("agg1"), "val")
+    checked = open_.join(own, ["kind", "agg1"]).join(own.withColumnRenamed("agg1", "agg2"), ["kind", "agg2", "val"])
+    checked = watch.on(checked, "keys_checked") if watch else checked
+    late = checked.groupBy("kind", "agg1", "agg2").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= threshold)
+    return found.filter(F.col("k") >= threshold).select("kind", "agg1", "agg2").unionByName(late.select("kind", "agg1", "agg2"))
+
+
 def all_pairs(keys: DataFrame, threshold: int) -> DataFrame:
     """kind, agg1, agg2: every pair of tables of one kind and of different raw tables, with no look at their keys.
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import correlate, index, joins, measures
+from tidemark.operators.counters import Counters
 from tidemark.plans.search import Options, correlations
 from tidemark.sources.catalog import Catalog
 from tidemark.sources.results import to_results
@@ -76,10 +77,11 @@ class Engine:
         self.catalog.merge(other.catalog)
         return self
 
-    def find_all_correlations(self, options: Options = Options(correction="FDR"), path: str | None = None) -> DataFrame:
+    def find_all_correlations(self, options: Options = Options(correction="FDR"), path: str | None = None, watch: Counters | None = None) -> DataFrame:
+        """Correlations of all tables; with a ``path`` they are written too, and ``watch`` counts what each phase saw."""
         from tidemark.sources.results import write_results
 
-        found = self._shown(correlations(self.long, options))
+        found = self._shown(correlations(self.long, options, watch=watch))
         if path:
             write_results(found, path)
         return found

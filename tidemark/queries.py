@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import keys as K
 from tidemark.functions.stats import correlation_log_p
 from tidemark.operators import bins, correlate, evaluate, factors, graph, index, joins, labels, measures, ranges, sketch, spatial, topology
+from tidemark.operators.counters import Counters
 from tidemark.operators.measures import Source, Variable
 from tidemark.plans.engine import Engine
 from tidemark.plans.search import Options, correlations
@@ -223,6 +224,21 @@ def joinable_pairs(spark, d):
     return index.joinable_pairs(measures.keys_of(_stored(long(spark, d))), 5)
 
 
+@query("joinable_early", f"{_LONG}{_PAIRS} SELECT kind, agg1, agg2 FROM kp")
+def joinable_early(spark, d):
+    return index.pairs_at_least(measures.keys_of(_stored(long(spark, d))), 5)
+
+
+@query("search_counts", f"""{_LONG}{_PAIRS}{_JOINED}{_CORR}{_STATS}, f AS (SELECT c.*, {_P2} AS p FROM c JOIN st u ON u.agg = agg1 AND u.var = var1 AND u.res <> 0 JOIN st v ON v.agg = agg2 AND v.var = var2 AND v.res <> 0)
+    SELECT 'keys_met' AS phase, (SELECT count(*) FROM k a JOIN k b ON a.kind = b.kind AND a.val = b.val AND a.tbl < b.tbl)::BIGINT AS n UNION ALL SELECT 'pairs', count(*) FROM kp UNION ALL SELECT 'tested', count(*) FROM f
+    UNION ALL SELECT 'kept', count(*) FILTER (abs(r) >= 0.1 AND p <= 0.5) FROM f""")
+def search_counts(spark, d):
+    """What each phase of a search over all tables saw."""
+    watch = Counters()
+    correlations(_stored(long(spark, d)), Options(overlap=5, r_least=0.1, p_most=0.5), watch=watch).write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame(list(watch.values().items()), "phase string, n long")
+
+
 @query("all_pairs", f"{_LONG}{_PAIRS} SELECT x.kind, x.agg AS agg1, y.agg AS agg2 FROM sz x JOIN sz y ON x.kind = y.kind AND x.tbl <> y.tbl AND (x.n, x.agg) < (y.n, y.agg) WHERE x.n >= 5 AND y.n >= 5")
 def all_pairs(spark, d):
     return index.all_pairs(measures.keys_of(_stored(long(spark, d))), 5)
