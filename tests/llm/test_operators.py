@@ -200,6 +200,46 @@ def distances(item, text):
     return prev
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="ab ", min_size=1, max_size=150), min_size=1, max_size=6), st.text(alphabet="abc ", min_size=1, max_size=300))
+def test_distances_of_many_items_at_once(items, text):
+    raw = [i.encode() for i in items]
+    assert decontaminate.least_distances(raw, text.encode()).tolist() == [decontaminate.least_distance(i, text.encode()) for i in raw]
+
+
+def test_many_short_and_many_similar_items():
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcde") for _ in range(n))
+    short = [word(rng.randint(1, 4)) for _ in range(150)] + ["ab cd", "a b", "aaaa bbbb cc", "é", "aaaa bbbb cd"] * 2
+    texts = [" ".join(word(rng.randint(1, 5)) for _ in range(200)) + " aaaa bbbb cc é. ab cd-a b", "", "ab", "é"]
+    stem = " ".join(word(6) for _ in range(14))
+    long = [f"{stem} {' '.join(word(5) for _ in range(6))}" for _ in range(60)]
+    texts += [f"{word(5)} {stem} {word(9)}", f"x {long[7][:-2]} y {long[9]}", long[30].replace("a", "b", 3)]
+    block = decontaminate.make_block(list(enumerate(short + long)))
+    raw = [t.encode() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    data, bounds, _ = decontaminate.normalize(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    hits = decontaminate.find_in_slice(block, decontaminate._table(block), data, bounds)
+    n = len(block.items)
+    got = sorted((d, block.short_ids[i - n], s, e) for d, i, s, e, _ in hits if i >= n)
+    want = []
+    for d in range(len(texts)):
+        own = data[bounds[d] : bounds[d + 1]].tobytes()
+        for i, item in enumerate(short):
+            end = 0
+            for m in re.finditer(b"(?=" + re.escape(item.encode()) + b")", own):
+                s, e = m.start(), m.start() + len(item.encode())
+                wordy = lambda c: bool(re.match(rb"[a-z0-9\x80-\xff]", c))
+                inside = s and wordy(own[s - 1 : s]) and wordy(own[s : s + 1]) or e < len(own) and wordy(own[e - 1 : e]) and wordy(own[e : e + 1])
+                if not inside and s >= end:
+                    want.append((d, i, s, e))
+                    end = e
+    assert got == sorted(want) and len(want) > 50
+    found = {(d, block.ids[i] - len(short)) for d, i, *_ in hits if i < n}
+    plain = {(d, i) for d in range(len(texts)) for i, item in enumerate(long) if decontaminate.least_distance(block.items[i], data[bounds[d] : bounds[d + 1]].tobytes()) <= decontaminate.edit_budget(len(block.items[i]))}
+    assert found == plain and {(5, 7), (5, 9), (6, 30)} <= found
+
+
 @pytest.mark.parametrize("letters", ["ab", "abcdefgh ", "="])
 def test_leaks_equal_all_alignments(letters):
     rng = random.Random(len(letters))

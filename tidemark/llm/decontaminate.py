@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ _TABLE_BITS = 22
 _HELD = 1 << 21
 #: Diagonals of neighbouring bands that are aligned in one go.
 _JOINED = 1 << 12
+#: Candidate items of one text from which on they are screened together, and how many at a time.
+_TOGETHER, _SCREENED = 4, 2048
 
 
 def normalize(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,6 +79,9 @@ class Block:
     short_ids: list
     short: list[bytes]
 
+    def __post_init__(self):
+        self.short_items = ShortItems(self.short)
+
 
 def _grams(data: np.ndarray) -> np.ndarray:
     """The q-gram at every byte, as a number."""
@@ -281,32 +287,132 @@ def _align(item: bytes, budget: int, bands: np.ndarray, text: bytes) -> list[tup
     return out
 
 
-def _short_hits(block: Block, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
-    """Exact places of the short items, not inside a longer word; their numbers follow those of the long ones."""
-    body = np.concatenate([data, np.zeros(16, np.uint8)])
-    heads = np.ndarray((len(data),), "<u8", body, strides=(1,))
-    word = np.concatenate([[False], (data - np.uint8(97) < 26) | (data - np.uint8(48) < 10) | (data >= 0x80), [False]])
-    doc_of = lambda at: np.searchsorted(offsets, at, side="right") - 1
-    for i, item in enumerate(block.short):
-        want = np.frombuffer(item.ljust(16, b"\0"), np.uint64)
-        size = len(item)
-        at = np.flatnonzero((heads & np.uint64((1 << 8 * min(size, 8)) - 1)) == want[0])
-        for k in range(8, size):
-            at = at[body[at + k] == item[k]]
-        doc = doc_of(at)
-        fits = at + size <= offsets[doc + 1]
-        at, doc = at[fits], doc[fits]
-        inside = (word[at] & word[at + 1] & (at > offsets[doc])) | (word[at + size] & word[at + size + 1] & (at + size < offsets[doc + 1]))
-        end = -1
-        for a, d in zip(at[~inside].tolist(), doc[~inside].tolist()):
-            if a >= end:
-                yield d, len(block.items) + i, a - int(offsets[d]), a - int(offsets[d]) + size, 0
-                end = a + size
+class ShortItems:
+    """The short items of a block by their bytes: for each size the ordered distinct ones, as two numbers, and the items that have them."""
+
+    def __init__(self, items: list[bytes]):
+        places: dict[bytes, list[int]] = {}
+        for i, item in enumerate(items):
+            places.setdefault(item, []).append(i)
+        self.sizes = []
+        for size in sorted({len(item) for item in places}):
+            own = [item for item in places if len(item) == size]
+            both = np.array([np.frombuffer(item.ljust(16, b"\0"), np.uint64) for item in own])
+            order = np.lexsort((both[:, 1], both[:, 0]))
+            both = both[order]
+            table = np.zeros(1 << 16, bool)
+            table[self._spot(both[:, 0], both[:, 1])] = True
+            self.sizes.append((size, both, table, [places[own[k]] for k in order]))
+
+    @staticmethod
+    def _spot(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return (((low ^ (high * np.uint64(0xC2B2AE3D27D4EB4F))) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
+
+    def find(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, start, end) of the exact places not inside a longer word; of overlapping ones of an item the first.
+
+        Each size is one pass over the places where a word may begin, whatever the number of items.
+        """
+        body = np.concatenate([data, np.zeros(16, np.uint8)])
+        word = np.concatenate([[False], (data - np.uint8(97) < 26) | (data - np.uint8(48) < 10) | (data >= 0x80), [False]])
+        edge = np.zeros(len(data) + 1, bool)
+        edge[offsets] = True
+        cut = edge | ~(word[:-1] & word[1:])  # a word may begin or end before each byte
+        begins = np.flatnonzero(cut[:-1])
+        heads = np.ndarray((len(data) + 8,), "<u8", body, strides=(1,))
+        for size, both, table, items in self.sizes:
+            at = begins[begins + size <= len(data)]
+            at = at[cut[at + size]]
+            low = heads[at] & np.uint64((1 << 8 * min(size, 8)) - 1)
+            high = heads[at + 8] & np.uint64((1 << 8 * (size - 8)) - 1) if size > 8 else np.zeros(len(at), np.uint64)
+            likely = table[self._spot(low, high)]
+            at, low, high = at[likely], low[likely], high[likely]
+            doc = np.searchsorted(offsets, at, side="right") - 1
+            fits = at + size <= offsets[doc + 1]
+            at, low, high, doc = at[fits], low[fits], high[fits], doc[fits]
+            first, last = (np.searchsorted(both[:, 0], low, side=side) for side in ("left", "right"))
+            end: dict[int, int] = {}
+            for k in range(len(at)):
+                spot = first[k] + int(np.searchsorted(both[first[k] : last[k], 1], high[k]))
+                if spot < last[k] and both[spot, 1] == high[k] and at[k] >= end.get(spot, 0):
+                    end[spot] = int(at[k]) + size
+                    begin = int(at[k] - offsets[doc[k]])
+                    for i in items[spot]:
+                        yield int(doc[k]), i, begin, begin + size
+
+
+def least_distances(items: list[bytes], text: bytes) -> np.ndarray:
+    """``least_distance`` of each item, all of them advancing together along the text; items are at most 64 bytes a word long.
+
+    Bit k of an item's words is its byte k; sums carry from word to word.
+    """
+    n, words = len(items), -(-max(map(len, items)) // 64)
+    size = np.array([len(i) for i in items])
+    flat = np.frombuffer(b"".join(items), np.uint8)
+    row = np.repeat(np.arange(n), size)
+    k = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+    letters, code = np.unique(np.frombuffer(text, np.uint8), return_inverse=True)
+    match = np.zeros((len(letters), words, n), np.uint64)
+    spot = np.searchsorted(letters, flat)
+    known = letters[np.minimum(spot, len(letters) - 1)] == flat
+    np.bitwise_or.at(match, (spot[known], k[known] // 64, row[known]), np.uint64(1) << (k[known] % 64).astype(np.uint64))
+    one = np.uint64(1)
+    up, down = np.full((words, n), ~np.uint64(0)), np.zeros((words, n), np.uint64)
+    last, shift = ((size - 1) // 64, np.arange(n)), ((size - 1) % 64).astype(np.uint64)
+    score = size.astype(np.int64)
+    best = score.copy()
+    for c in code:
+        eq = match[c]
+        x = eq | down
+        part = eq & up
+        total = part + up
+        over = total < up
+        for w in range(1, words):
+            total[w] += over[w - 1]
+            over[w] |= over[w - 1] & (total[w] == 0)
+        h = (total ^ up) | eq
+        rise, fall = down | ~(h | up), up & h
+        score += ((rise[last] >> shift) & one).astype(np.int64) - ((fall[last] >> shift) & one).astype(np.int64)
+        np.minimum(best, score, out=best)
+        high = np.uint64(63)
+        left, right = rise << one, fall << one
+        left[1:] |= rise[:-1] >> high
+        right[1:] |= fall[:-1] >> high
+        up, down = right | ~(x | left), left & x
+    return best
+
+
+def _near_enough(block: Block, pairs: list[tuple[int, int]], at: np.ndarray, edge: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs (text, item) without those whose item is too far from every part of the text that holds any of the q-grams.
+
+    Items that share a long stem are candidates of each text with the stem; where a text has several, they are screened
+    together, so the stem costs each of them some bit operations rather than an alignment.
+    """
+    out = []
+    for d, own in groupby(pairs, key=lambda p: p[0]):
+        items = [i for _, i in own]
+        if len(items) >= _TOGETHER:
+            reach = max(len(block.items[i]) + int(block.budget[i]) for i in items)
+            low, high = int(offsets[d]), int(offsets[d + 1])
+            starts = at[edge[d] : edge[d + 1]]
+            cover = np.zeros(high - low + 1, np.int32)
+            np.add.at(cover, np.maximum(starts - reach - low, 0), 1)
+            np.add.at(cover, np.minimum(starts + reach - low, high - low), -1)
+            text = data[low:high][np.cumsum(cover[:-1]) > 0].tobytes()  # parts that lie apart are put together: distances can only fall
+            kept = []
+            by_size = sorted(items, key=lambda i: len(block.items[i]))
+            for k in range(0, len(by_size), _SCREENED):
+                some = by_size[k : k + _SCREENED]
+                near = least_distances([block.items[i] for i in some], text) <= block.budget[some]
+                kept += [i for i, ok in zip(some, near) if ok]
+            items = sorted(kept)
+        out += [(d, i) for i in items]
+    return out
 
 
 def find_in_slice(block: Block, table: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """(text, item, start, end, edits) in folded bytes of each text."""
-    found: list[tuple[int, int, int, int, int]] = list(_short_hits(block, data, offsets)) if block.short and len(data) else []
+    found: list[tuple[int, int, int, int, int]] = [(d, len(block.items) + i, s, e, 0) for d, i, s, e in block.short_items.find(data, offsets)] if block.short and len(data) else []
     grams = _grams(data)
     if not len(grams) or not len(block.grams):
         return found
@@ -320,7 +426,8 @@ def find_in_slice(block: Block, table: np.ndarray, data: np.ndarray, offsets: np
     bound = np.array([len(s) for s in block.items], np.int64) - Q + 1 - block.budget * Q
     edge = np.searchsorted(doc, np.arange(len(offsets)))
     hits: list[tuple[int, int, int, int, int]] = []
-    for d, i in (divmod(int(k), len(block.items)) for k in _candidates(block, bound, doc, spot)):
+    pairs = [divmod(int(k), len(block.items)) for k in _candidates(block, bound, doc, spot)]
+    for d, i in _near_enough(block, pairs, at, edge, data, offsets):
         here = slice(edge[d], edge[d + 1])
         own, allowed, size = block.items[i], int(block.budget[i]), int(offsets[d + 1] - offsets[d])
         bands = _bands(own, allowed, int(bound[i]), grams[at[here]], at[here] - offsets[d], size)
