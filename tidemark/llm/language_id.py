@@ -5,9 +5,9 @@ character n-grams and the lexicons that hold it; the labels are languages, with
 posterior; a text's language is the one with the largest posterior sum, its score the mean posterior.
 
 Only texts carry labels, so training chains are made of runs of words of texts in known languages, which also shows
-the model how languages alternate. Training reads a bounded sample of rows, ``SAMPLE_DOCS`` texts a language, drawn by
-hash over all labelled rows, and all of their texts: every word counts for the lexicons, and the runs of which chains
-are made are drawn by hash from all runs of these texts, in tasks. Prediction reads every word.
+the model how languages alternate. Training reads a bounded sample of rows (``SAMPLE_DOCS``), drawn by hash over all
+labelled rows, and the whole of their texts: every word counts for the lexicons, and every run stands in a chain once.
+Prediction reads every word.
 """
 
 from __future__ import annotations
@@ -25,9 +25,8 @@ from tidemark.llm.sampling import sample_ids
 from tidemark.llm.scratch import Scratch
 from tidemark.llm.textkernel import SLICE_BYTES, Words, hash_spans, lower_ascii, mix, runs, slices
 
-SAMPLE_DOCS = 400
-#: Runs of words that chains are made of: so many in all, and a language at least.
-SAMPLE_RUNS = (8000, 150)
+#: Rows to learn from, whose whole texts are used: so many in all, and a language at least.
+SAMPLE_DOCS = (320, 8)
 HASH_BITS = 16
 #: Words of a training chain, and how many words of one language stand together in it.
 CHAIN, RUN = 48, (6, 32)
@@ -36,8 +35,8 @@ EPOCHS = 12
 BLOCK = 32
 #: With more labels than this, chains are stepped through word by word, as a block's product has their square.
 WIDE = 16
-#: Words of training chains whose probabilities are held at once, and such words a label where labels are many.
-HELD, LABEL_WORDS = 1 << 14, 2250
+#: Words of training chains whose probabilities are held at once.
+HELD = 1 << 14
 #: Characters of an observation in scripts that are written without spaces.
 PIECE = 2
 UNDETERMINED = "und"
@@ -322,10 +321,12 @@ def _cut_runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"lang": pa.array([x.as_py() for x in lang], pa.string()), "order": pa.array(order, pa.int64()), "run": pa.array(run, pa.string())})
 
 
-def training_sample(labelled: DataFrame, docs: int = SAMPLE_DOCS) -> Sample:
-    """From the whole texts of up to ``docs`` rows a language: lexicons (frequent words that one language mostly owns) and runs."""
+def training_sample(labelled: DataFrame, docs: tuple[int, int] = SAMPLE_DOCS) -> Sample:
+    """From the whole texts of a few rows a language, ``docs[0]`` in all and ``docs[1]`` a language at least: lexicons
+    (frequent words that one language mostly owns) and all runs of words."""
     scratch = Scratch(labelled.sparkSession, "language-id")
-    picked = sample_ids(labelled, "lang", docs)
+    languages = labelled.filter("lang IS NOT NULL").select("lang").distinct().count()
+    picked = sample_ids(labelled, "lang", max(docs[1], docs[0] // max(languages, 1)))
     near = labelled.select("doc_id", "lang", "text").join(picked, ["doc_id", "lang"], "left_semi")
     # Rows that repeat an id count once.
     near = near.groupBy("doc_id", "lang").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
@@ -340,13 +341,16 @@ def training_sample(labelled: DataFrame, docs: int = SAMPLE_DOCS) -> Sample:
     chosen = words.withColumn("ok", first((F.desc("own"), F.col("word")), LEXICON_WORDS)).filter("ok").select("word", "lang").collect()
     lexicon = np.array([r.word for r in chosen], np.int64).view(np.uint64)
     ranked = np.argsort(lexicon)
-    most = max(SAMPLE_RUNS[1], SAMPLE_RUNS[0] // max(len(labels), 1))
-    runs = near.mapInArrow(_cut_runs, "lang string, order long, run string")
-    runs = runs.withColumn("ok", first((F.col("order"), F.col("run")), most)).filter("ok").select("lang", "order", "run").toPandas()
+    runs = near.mapInArrow(_cut_runs, "lang string, order long, run string").toPandas()
     scratch.keep_only()
     return Sample(labels, lexicon[ranked], np.array([labels.index(r.lang) for r in chosen], np.int64)[ranked], runs.sort_values(["lang", "order", "run"], ignore_index=True))
 
 
+def _ranges(low: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """low[i], low[i] + 1, ... n[i] of them, one after another."""
+    return np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
 def fit(sample: Sample, seed: int = 7) -> Model:
     """Maximum conditional likelihood by Adam on chains mixed from the sample's runs."""
     labels = sample.labels or [UNDETERMINED]
@@ -369,20 +373,13 @@ def fit(sample: Sample, seed: int = 7) -> Model:
         features.append(feature)
         rows.append(np.arange(len(distinct)) if own is None else own)
     feature, row = np.concatenate(features), np.concatenate(rows)
-    # Chains: runs of random languages until CHAIN words stand there.
-    langs = sample.runs["lang"].to_numpy()
-    by_label = [np.flatnonzero((langs == name) & (np.diff(words.bounds) > 0)) for name in labels]
-    chains = max(64, min(max(3000, k * LABEL_WORDS // CHAIN), len(hashes) // CHAIN))
-    flat, tags = np.zeros((chains, CHAIN), np.int64), np.zeros((chains, CHAIN), np.int64)
-    for c in range(chains):
-        at = 0
-        while at < CHAIN:
-            lang = int(rng.integers(k))
-            if len(by_label[lang]):
-                d = int(rng.choice(by_label[lang]))
-                run = word[words.bounds[d] : words.bounds[d + 1]][: CHAIN - at]
-                flat[c, at : at + len(run)], tags[c, at : at + len(run)] = run, lang
-                at += len(run)
+    # Chains: all runs in random order, one after the other, cut every CHAIN words; the last begins again with the first.
+    lang_of = np.searchsorted(labels, sample.runs["lang"].to_numpy())
+    order = rng.permutation(len(words.bounds) - 1)
+    length = np.diff(words.bounds)[order]
+    stream = word[_ranges(words.bounds[:-1][order], length)]
+    chains = -(-len(stream) // CHAIN)
+    flat, tags = (np.resize(x, chains * CHAIN).reshape(chains, CHAIN) for x in (stream, np.repeat(lang_of[order], length)))
     weights = np.zeros((1 << HASH_BITS, k))
     transitions = np.zeros((k, k))
     moments = [np.zeros_like(weights), np.zeros_like(weights), np.zeros_like(transitions), np.zeros_like(transitions)]
@@ -450,8 +447,8 @@ def keep_certain(docs: DataFrame, model: Model, least: float) -> DataFrame:
     return docs.mapInArrow(_run(model, least), docs.schema)
 
 
-def train(labelled: DataFrame, docs: int = SAMPLE_DOCS) -> Model:
-    """Learn from ``text`` and non-null ``lang`` of the given rows, at most ``docs`` of them a language."""
+def train(labelled: DataFrame, docs: tuple[int, int] = SAMPLE_DOCS) -> Model:
+    """Learn from ``text`` and non-null ``lang`` of some of the given rows: ``docs[0]`` in all, ``docs[1]`` a language at least."""
     return fit(training_sample(labelled, docs))
 
 

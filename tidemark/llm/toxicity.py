@@ -7,8 +7,7 @@ with both; the bytes that the toxic dictionary saves are the window's distance.
 texts turns a text's largest, mean and repeated savings into a score, calibrated so that 0.5 separates the classes.
 
 Training reads a bounded sample of rows, up to ``SAMPLE_DOCS`` labelled texts a class, drawn by hash, and all of their
-texts: the ``SAMPLE_WINDOWS`` windows a class that dictionaries are trained on are drawn by hash from all their windows,
-and strings are counted and texts measured whole, in tasks. The intercept is moved from the sample's mix of classes to
+texts: dictionaries are trained on all their windows, and strings are counted and texts measured whole, in tasks. The intercept is moved from the sample's mix of classes to
 that of all labelled texts, which are counted. Scoring reads whole texts.
 """
 
@@ -22,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.sampling import sample_ids
@@ -31,7 +30,6 @@ from tidemark.llm.textkernel import is_space, lower_ascii, runs, slices
 
 WINDOW = 16
 SAMPLE_DOCS = 1000
-SAMPLE_WINDOWS = 20_000
 ORDINARY_BYTES, TOXIC_BYTES = 16384, 16384
 #: Significance (likelihood ratio) of a string's excess in toxic texts, and how many times more frequent it must be.
 EXCESS, TIMES = 25.0, 8.0
@@ -243,8 +241,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_DOCS, coun
     if min(texts) < 8:
         return flat
     cut = near.mapInArrow(_cut_windows, "toxic int, window binary").filter(F.length("window") >= 8)
-    ranked = cut.withColumn("r", F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("window"), "window"))).filter(F.col("r") <= SAMPLE_WINDOWS)
-    drawn = ranked.select("toxic", "r", "window").toPandas().sort_values(["toxic", "r"])
+    # All windows of the sampled rows, in an order that does not hang on how they were read.
+    drawn = cut.withColumn("h", F.xxhash64("window")).toPandas().sort_values(["toxic", "h", "window"])
     of_ordinary, of_toxic = ([bytes(w) for w in drawn[drawn["toxic"] == mark]["window"]] for mark in (0, 1))
     content = _trained(of_ordinary, ORDINARY_BYTES, 32, 8)
     raw = b" ".join(_trained(of_toxic, TOXIC_BYTES, k, d) for k, d in ((16, 6), (32, 8)))
