@@ -37,8 +37,9 @@ _TABLE_BITS = 22
 _HELD = 1 << 21
 #: Diagonals of neighbouring bands that are aligned in one go.
 _JOINED = 1 << 12
-#: Candidate items of one text from which on they are screened together, and how many at a time.
-_TOGETHER, _SCREENED = 4, 2048
+#: Candidate items of one text from which on they may be screened together, how many at a time, and how many steps along
+#: the text one item's alignment is worth. Whichever way is taken, the results are the same.
+_TOGETHER, _SCREENED, _STEPS = 32, 2048, 500
 
 
 def normalize(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -391,7 +392,7 @@ def _near_enough(block: Block, pairs: list[tuple[int, int]], at: np.ndarray, edg
     out = []
     for d, own in groupby(pairs, key=lambda p: p[0]):
         items = [i for _, i in own]
-        if len(items) >= _TOGETHER:
+        if len(items) >= _TOGETHER:  # below, aligning each costs less than a step along the text
             reach = max(len(block.items[i]) + int(block.budget[i]) for i in items)
             low, high = int(offsets[d]), int(offsets[d + 1])
             starts = at[edge[d] : edge[d + 1]]
@@ -399,6 +400,9 @@ def _near_enough(block: Block, pairs: list[tuple[int, int]], at: np.ndarray, edg
             np.add.at(cover, np.maximum(starts - reach - low, 0), 1)
             np.add.at(cover, np.minimum(starts + reach - low, high - low), -1)
             text = data[low:high][np.cumsum(cover[:-1]) > 0].tobytes()  # parts that lie apart are put together: distances can only fall
+            if len(text) * (_TOGETHER + len(items) // 16) > _STEPS * len(items):  # a long text: its bands rule most items out sooner
+                out += [(d, i) for i in items]
+                continue
             kept = []
             by_size = sorted(items, key=lambda i: len(block.items[i]))
             for k in range(0, len(by_size), _SCREENED):
