@@ -66,9 +66,11 @@ def build_trees(first: DataFrame, second: DataFrame, scratch: Scratch, fanout: i
     end = F.col("upto") + F.when(F.col("side") == 0, F.col("bytes0_before")).otherwise(F.col("bytes1_before"))
     node = F.floor(F.greatest(F.col("n_before") + F.col("i") - 1, F.lit(0)) / fanout).cast("long")
     placed = scratch.keep(placed.select("side", "record_id", "digest", "length", "copies", node.alias("node"), (end - size).alias("start"), end.alias("end")), "placed")
-    # A lowest node may hold any number of added records, so its records' hashes are added up, sixty bits at a time.
-    name = F.concat_ws(":", F.coalesce(F.col("record_id").cast("string"), F.lit("null")), "length", "copies", "digest")
-    hashed = placed.select("side", "node", size.alias("size"), F.sha2(name, 256).alias("h"))
+    # A record enters its node with its offset range from the node's start on, so the node holds the order too. It may
+    # hold any number of added records, so their hashes are added up, sixty bits at a time, instead of being listed.
+    begins = placed.groupBy("side", "node").agg(F.min("start").alias("begin"))
+    name = F.concat_ws(":", F.coalesce(F.col("record_id").cast("string"), F.lit("null")), F.col("start") - F.col("begin"), F.col("end") - F.col("begin"), "copies", "digest")
+    hashed = placed.join(begins, ["side", "node"]).select("side", "node", size.alias("size"), F.sha2(name, 256).alias("h"))
     words = [F.sum(F.conv(F.substring("h", 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")) for k in range(4)]
     grouped = hashed.groupBy("side", "node").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"), *(w.alias(f"w{k}") for k, w in enumerate(words)))
     level = scratch.keep(grouped.select("side", "node", F.sha2(F.concat_ws(":", "n", "size", *(f"w{k}" for k in range(4))), 256).alias("digest"), "size"), "level0")
