@@ -527,3 +527,58 @@ def test_a_catalog_grows_source_by_source(spark, tmp_path):
     both.merge(left)
     keys = both.catalog.index()
     assert keys.count() == keys.select("kind", "val").distinct().count() and keys.filter("cnt > 1").count() > 0
+
+
+def test_portals_are_read_in_parallel_tasks(spark):
+    import json
+
+    from tidemark.sources import portal
+
+    def fetch(url: str) -> bytes:
+        if "broken" in url:
+            raise OSError("gone")
+        if url.endswith("/domains"):
+            return json.dumps({"results": [{"domain": "a.org", "count": "3"}]}).encode()
+        if "/catalog/" in url:
+            at = int(url.split("offset=")[1].split("&")[0])
+            return json.dumps({"results": [{"resource": {"id": f"t{k}", "name": f"Table {k}", "columns_field_name": ["day", "x"], "columns_datatype": ["Calendar date", "Number"]}} for k in range(at, min(at + 2, 5))]}).encode()
+        return url.encode()
+
+    tables = frame(spark, [("a.org", f"t{i}") for i in range(5)] + [("a.org", "broken")], "domain string, id string").repartition(3)
+    got = {r.id: r for r in portal.download(tables, fetch, 7).collect()}
+    assert bytes(got["t3"].content) == b"https://a.org/resource/t3.csv?$limit=7" and got["t3"].ok
+    assert not got["broken"].ok and got["broken"].error == "gone" and got["broken"].content is None
+    assert portal.domains(fetch) == [("a.org", 3)] and portal.metadata_url("a.org", "t1").endswith("/t1")
+    listed = portal.datasets(spark, "a.org", 5, fetch, page=2)
+    assert sorted(r.id for r in listed.collect()) == [f"t{k}" for k in range(5)]
+    assert labels.portal_tables(listed).first().t_attrs == ["day"]
+
+
+def test_maps_of_results_and_chosen_columns(spark, tmp_path):
+    from tidemark.sources.results import correlation_map
+
+    rows = [("1", "One", "avg_x_t1", "2", "Two", "avg_y_t2", 0.5), ("2", "Two", "avg_y_t1", "1", "One", "avg_x_t2", -0.7), ("3", "Three", "count", "1", "One", "avg_x", 1.0), ("4", "Four", "a", "1", "One", "b", None)]
+    results = frame(spark, rows, "table_id1 string, table_name1 string, agg_attr1 string, table_id2 string, table_name2 string, agg_attr2 string, `correlation coefficient` double")
+    assert {tuple(r) for r in correlation_map(results).collect()} == {("One--avg_x", "Two--avg_y", -0.7), ("One--avg_x", "Three--count", 1.0)}
+    assert {tuple(r) for r in correlation_map(results, "id", perfect=False).collect()} == {("1--avg_x", "2--avg_y", -0.7)}
+    df = spark.createDataFrame([(pd.Timestamp("2020-03-04").to_pydatetime(), "a", 1)], "t timestamp, s string, n int")
+    df.write.parquet(f"file://{tmp_path}/raw")
+    catalog = Catalog(spark, f"file://{tmp_path}/catalog")
+    catalog.register(Entry("raw", "raw", f"file://{tmp_path}/raw", num_columns=["n"]))
+    assert catalog.select_columns("raw", ["s", "n"]).first() == ("a", 1)
+    assert catalog.select_columns("raw", ["t", "s"], joined="/", formats={"t": "yyyy-MM"}).first().value == "2020-03/a"
+
+
+def test_controls_that_a_table_offers(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    def source(tbl):
+        rows = [(f"k{i:02d}", *map(float, rng.normal(size=2))) for i in range(30) for _ in range(2)]
+        return Source(tbl, frame(spark, rows, "s string, x double, y double"), {}, {"place": F.col("s")}, ("x", "y"))
+
+    engine = Engine(spark, f"file://{tmp_path}")
+    engine.ingest([source("a"), source("b"), source("c")])
+    engine.catalog.register(Entry("c", "c", "", num_columns=["x", "y"]))
+    corrs = [("a_place", "avg_x", "b_place", "avg_x")]
+    by_table = engine.control_by_table(corrs, "c_place").first()
+    by_hand = engine.control_variables(corrs, [("c_place", "avg_x"), ("c_place", "avg_y")]).first()
+    assert by_table == by_hand and by_table.n == 30

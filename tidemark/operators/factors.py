@@ -4,18 +4,23 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Variables that the driver's matrix may have.
 MOST_VARIABLES = 5000
 
 
 def correlation_matrix(corrs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Names and matrix from correlations (tbl1, var1, tbl2, var2, r); 1 on the diagonal, 0 where none is known."""
-    rows = corrs.select("tbl1", "var1", "tbl2", "var2", "r").limit(MOST_VARIABLES**2).collect()
+    """Names and matrix from correlations (tbl1, var1, tbl2, var2, r); 1 on the diagonal, 0 where none is known.
+
+    More than ``MOST_VARIABLES`` are refused before anything is gathered; of several correlations of a pair the largest counts.
+    """
+    ends = corrs.select("tbl1", "var1").union(corrs.select("tbl2", "var2")).distinct()
+    if ends.limit(MOST_VARIABLES + 1).count() > MOST_VARIABLES:
+        raise ValueError(f"more than {MOST_VARIABLES} variables")
+    rows = corrs.groupBy("tbl1", "var1", "tbl2", "var2").agg(F.max_by("r", F.abs("r")).alias("r")).collect()
     pairs = {(f"{r.tbl1}--{r.var1}", f"{r.tbl2}--{r.var2}"): r.r for r in rows}
     names = sorted({n for p in pairs for n in p})
-    if len(names) > MOST_VARIABLES:
-        raise ValueError(f"more than {MOST_VARIABLES} variables")
     at = {n: i for i, n in enumerate(names)}
     out = np.eye(len(names))
     for (a, b), r in pairs.items():

@@ -92,6 +92,11 @@ class Engine:
             corrs = self.spark.createDataFrame(corrs, "agg1 string, var1 string, agg2 string, var2 string")
         return correlate.partial_pairs(self.long, corrs, controls)
 
+    def control_by_table(self, corrs: DataFrame | list[tuple[str, str, str, str]], agg: str, counted: bool = False) -> DataFrame:
+        """Correlations again with all variables that its raw table offers as controls held fixed, of an aggregated table."""
+        tbl = self.long.filter(F.col("agg") == agg).select("tbl").first()["tbl"]
+        return self.control_variables(corrs, [(agg, v) for v in self.catalog.entries[tbl].control_variables(counted)])
+
     def join_and_project(self, variables: list[tuple[str, str]], constraints: dict[str, int] | None = None, samples: bool = False) -> DataFrame:
         tables = {a: self.catalog.read_agg(a) for a in dict.fromkeys(t for t, _ in variables)}
         return joins.join_and_project(tables, variables, constraints, samples)

@@ -638,6 +638,14 @@ def topology_score(spark, d):
     return _rounded(topology.relationships(f, f), 6, "score", "strength")
 
 
+@query("feature_overlap", f"""{_LONG}{_FEAT}, fn AS (SELECT agg, var, count(*) AS n FROM ft GROUP BY ALL),
+    fo AS (SELECT a.agg AS agg1, a.var AS var1, b.agg AS agg2, b.var AS var2, count(*) AS both FROM ft a JOIN ft b ON a.kind = b.kind AND a.val = b.val AND a.agg <> b.agg GROUP BY ALL)
+    SELECT agg1, var1, agg2, var2, both, x.n + y.n - both AS either, round(both / (x.n + y.n - both), 6) AS jaccard FROM fo JOIN fn x ON x.agg = agg1 AND x.var = var1 JOIN fn y ON y.agg = agg2 AND y.var = var2""")
+def feature_overlap(spark, d):
+    f = _stored(topology.features(_stored(long(spark, d))))
+    return _rounded(topology.feature_overlap(f, f), 6, "jaccard")
+
+
 _SHIFTS = (7, 19)
 
 

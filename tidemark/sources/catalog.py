@@ -81,6 +81,12 @@ class Catalog:
         path = self.entries[tbl].path
         return read_csv(self.spark, path) if path.endswith(".csv") else self.spark.read.parquet(path)
 
+    def select_columns(self, tbl: str, columns: list[str], joined: str | None = None, formats: dict[str, str] | None = None) -> DataFrame:
+        """Columns of a raw table; ``formats`` gives patterns for times, ``joined`` the mark that puts all of them into one text."""
+        shown = [F.date_format(c, formats[c]).alias(c) if formats and c in formats else F.col(c) for c in columns]
+        rows = self.read_raw(tbl)
+        return rows.select(F.concat_ws(joined, *shown).alias("value")) if joined is not None else rows.select(*shown)
+
     def write(self, name: str, df: DataFrame, partition_by: str | None = None, mode: str = "overwrite") -> None:
         writer = df.write.mode(mode)
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(f"{self.root}/{name}")

@@ -64,3 +64,18 @@ def drop_words(results: DataFrame, words: list[str]) -> DataFrame:
     """Without the variables ``avg_<word>``."""
     bad = [f"avg_{w}" for w in words]
     return results.filter(~F.col("agg_attr1").isin(bad) & ~F.col("agg_attr2").isin(bad)) if bad else results
+
+
+def correlation_map(results: DataFrame, by: str = "name", perfect: bool = True) -> DataFrame:
+    """one, two, r: each pair of variables once, as ``table--attribute`` in order, with its coefficient.
+
+    ``by`` names tables by their title (name) or their id; attributes lose the ending that tells the sides apart. Without
+    ``perfect`` coefficients of 1 and -1 are left out; of several correlations of a pair the largest |r| stays.
+    """
+    column = {"name": "table_name", "id": "table_id"}[by]
+    node = lambda i: F.concat_ws("--", f"{column}{i}", F.regexp_replace(f"agg_attr{i}", f"_t{i}$", ""))
+    r = F.col("correlation coefficient").cast("double")
+    rows = results.select(F.array_sort(F.array(node(1), node(2))).alias("n"), r.alias("r")).filter("r IS NOT NULL")
+    if not perfect:
+        rows = rows.filter(F.abs("r") < 1)
+    return rows.groupBy(F.get("n", F.lit(0)).alias("one"), F.get("n", F.lit(1)).alias("two")).agg(F.max_by("r", F.abs("r")).alias("r"))
