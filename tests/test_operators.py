@@ -582,3 +582,26 @@ def test_controls_that_a_table_offers(spark, tmp_path):
     by_table = engine.control_by_table(corrs, "c_place").first()
     by_hand = engine.control_variables(corrs, [("c_place", "avg_x"), ("c_place", "avg_y")]).first()
     assert by_table == by_hand and by_table.n == 30
+
+
+def test_communities_by_joins(spark):
+    from tidemark.operators import synthetic
+
+    of, edges = synthetic.community_graph(4, 6, 4, inside=1.0, across=0.02, seed=3)
+    rows = [(f"t{a // 5}--{a:02d}", f"t{b // 5}--{b:02d}", 1.0) for a, b in edges]
+    df = frame(spark, rows, "src string, dst string, weight double")
+    found = {r.node: r.community for r in graph.part_graph(df).collect()}
+    plain = graph.louvain(rows, 0)
+    assert found.keys() == plain.keys()
+    names = {c: i for i, c in enumerate(sorted(set(found.values())))}
+    ours, theirs = (graph.plain_modularity(rows, p) for p in ({n: names[c] for n, c in found.items()}, plain))
+    assert ours >= theirs - 0.03 and ours > 0.4
+    assert all(c == min(n for n in found if found[n] == c) for c in found.values())
+    assert {r.node: r.community for r in graph.part_graph(df).collect()} == found  # the same seed, the same parts
+    assert graph.part_graph(df.limit(0)).count() == 0
+    loop = frame(spark, [("a", "a", 3.0), ("a", "b", 1.0), ("c", "d", 2.0)], "src string, dst string, weight double")
+    assert {r.node: r.community for r in graph.part_graph(loop).collect()}["d"] == "c"
+    signals = {f"{n}{i}": 0.0 for n in ("missing_ratio", "zero_ratio", "missing_ratio_o", "zero_ratio_o") for i in (1, 2)}
+    corrs = frame(spark, [(*signals.values(), 0.9, 10, *a.split("--"), *b.split("--")) for a, b, _ in rows], ", ".join(f"{n} double" for n in signals) + ", r_val double, samples int, tbl1 string, var1 string, tbl2 string, var2 string")
+    report = graph.community_report(corrs, [1.0, 1.0, 1.0, 1.0, 0.5, 5]).toPandas()
+    assert len(report) == len(found) and report.groupby("cluster")["node"].count().is_monotonic_decreasing and report["degree"].max() > 1

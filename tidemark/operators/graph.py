@@ -6,11 +6,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
+from tidemark.operators.ranges import stored
+
 #: Quality signals of a correlation and whether a threshold bounds them from above (-1) or below (1).
 SIGNALS = {"missing_ratio": -1, "zero_ratio": -1, "missing_ratio_o": -1, "zero_ratio_o": -1, "r_val": 1, "samples": 1}
 
@@ -135,6 +137,67 @@ def louvain(edges: list[tuple[str, str, float]], seed: int = 0) -> dict[str, int
         weights = folded
 
 
+def part_graph(edges: DataFrame, seed: int = 0, most_turns: int = 40) -> DataFrame:
+    """node, community of a weighted graph (src, dst, weight), by moves that raise the modularity, and contraction, all in joins.
+
+    A community is named by its smallest node. In each turn every node rates the communities of its neighbours by what
+    joining them would gain; a half of the nodes, picked by a hash of node, seed and turn, may move to the best, so that
+    neighbours do not swap for ever. When none of either half moves, communities become the nodes of a smaller graph,
+    until nothing is merged. Sides of equal ends count twice for a node's degree; an empty graph has no rows.
+    """
+    links = stored(edges.filter("weight > 0").groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.sum(F.col("weight").cast("double")).alias("w")), "edges")
+    both = lambda e: e.select("src", "dst", "w").unionAll(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
+    whole = links.agg(F.sum("w")).first()[0]
+    member = None  # of the first graph's nodes
+    while True:
+        near = stored(both(links), "near")
+        degree = stored(near.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")), "degree")
+        at = stored(degree.select("node", "k", F.col("node").alias("c")), "parts")
+        still, turn, merged = 0, 0, False
+        while still < 2 and turn < most_turns and whole:
+            turn += 1
+            totals = at.groupBy("c").agg(F.sum("k").alias("total"), F.count(F.lit(1)).alias("size"))
+            met = near.filter("src <> dst").join(at.select(F.col("node").alias("dst"), "c"), "dst").groupBy(F.col("src").alias("node"), "c").agg(F.sum("w").alias("to"))
+            rated = met.unionByName(at.select("node", "c", F.lit(0.0).alias("to"))).groupBy("node", "c").agg(F.sum("to").alias("to"))
+            rated = rated.join(at.select("node", "k", F.col("c").alias("own")), "node").join(totals, "c")
+            gain = F.round(F.col("to") - F.col("k") * (F.col("total") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)) / (2 * whole), 9)
+            choice = rated.withColumn("gain", gain).groupBy("node", "k", "own").agg(
+                F.min(F.struct((-F.col("gain")).alias("less"), "c", "size")).alias("best"), F.max(F.when(F.col("c") == F.col("own"), F.struct("gain", "size"))).alias("now")
+            )
+            may = F.pmod(F.xxhash64("node", F.lit(seed + turn // 2)) + turn, F.lit(2)) == 0
+            alone = (F.col("now.size") == 1) & (F.col("best.size") == 1) & (F.col("best.c") > F.col("own"))  # of two single nodes the larger moves
+            moves = may & ~alone & (-F.col("best.less") > F.col("now.gain"))
+            at = stored(choice.select("node", "k", F.when(moves, F.col("best.c")).otherwise(F.col("own")).alias("c"), moves.alias("moved")), "parts")
+            moved = bool(at.filter("moved").limit(1).count())
+            at = at.drop("moved")
+            still, merged = (0, True) if moved else (still + 1, merged)
+        least = at.groupBy("c").agg(F.min("node").alias("community"))
+        placed = at.join(least, "c").select("node", "community")
+        member = placed if member is None else member.join(placed.withColumnRenamed("node", "inner"), member["community"] == F.col("inner")).select(member["node"], placed["community"])
+        member = stored(member, "member")
+        if not merged:
+            return member
+        of = lambda end: placed.select(F.col("node").alias(end), F.col("community").alias(f"c_{end}"))
+        joined = links.join(of("src"), "src").join(of("dst"), "dst")
+        links = stored(joined.groupBy(F.least("c_src", "c_dst").alias("src"), F.greatest("c_src", "c_dst").alias("dst")).agg(F.sum("w").alias("w")), "edges")
+
+
+def community_report(corrs: DataFrame, thresholds: list[float], seed: int = 0, within_table: bool = True) -> DataFrame:
+    """cluster, node, tbl, var, degree: the communities of the correlations that pass the six signals, the largest first.
+
+    Clusters are numbered by falling size, equal ones by their smallest node; ``degree`` counts a variable's neighbours
+    within its cluster.
+    """
+    edges = stored(variable_edges(filter_signals(corrs, thresholds).withColumnRenamed("r_val", "r"), within_table), "edges")
+    parts = part_graph(edges.select("src", "dst", F.lit(1.0).alias("weight")), seed)
+    sizes = parts.groupBy("community").agg(F.count(F.lit(1)).alias("size"))  # a row a community
+    numbered = sizes.withColumn("cluster", F.row_number().over(Window.orderBy(F.desc("size"), "community")) - 1)
+    own = lambda end: parts.select(F.col("node").alias(end), F.col("community").alias(f"c_{end}"))
+    inner = degrees(edges.join(own("src"), "src").join(own("dst"), "dst").filter("c_src = c_dst"))
+    split = F.split("node", "--", 2)
+    return parts.join(numbered, "community").join(inner, "node", "left").select("cluster", "node", F.get(split, F.lit(0)).alias("tbl"), F.get(split, F.lit(1)).alias("var"), F.coalesce("degree", F.lit(0)).alias("degree"))
+
+
 def communities(edges: DataFrame, seed: int = 0, most: int = 5_000_000) -> dict[str, dict[str, list[str]]]:
     """``Cluster i`` -> table -> variables, the largest first. The graph has one edge a correlated pair of variables; more than ``most`` are refused."""
     rows = edges.select("src", "dst").limit(most + 1).collect()

@@ -151,14 +151,14 @@ def relationships(one: DataFrame, two: DataFrame, by: tuple[str, ...] = ()) -> D
 
 
 def feature_overlap(one: DataFrame, two: DataFrame) -> DataFrame:
-    """agg1, var1, agg2, var2, both, either, jaccard of the keys at which two variables have features, tables of a different name."""
+    """agg1, var1, agg2, var2, shared, either, jaccard of the keys at which two variables have features, tables of a different name."""
     ids = ["agg1", "var1", "agg2", "var2"]
     a = one.select("kind", F.col("agg").alias("agg1"), F.col("var").alias("var1"), "val")
     b = two.select("kind", F.col("agg").alias("agg2"), F.col("var").alias("var2"), "val")
-    met = a.join(b, ["kind", "val"]).filter("agg1 <> agg2").groupBy(*ids).agg(F.count(F.lit(1)).alias("both"))
+    met = a.join(b, ["kind", "val"]).filter("agg1 <> agg2").groupBy(*ids).agg(F.count(F.lit(1)).alias("shared"))
     sizes = lambda df, i: df.groupBy(f"agg{i}", f"var{i}").agg(F.count(F.lit(1)).alias(f"n{i}"))
-    either = F.col("n1") + F.col("n2") - F.col("both")
-    return met.join(sizes(a, 1), ["agg1", "var1"]).join(sizes(b, 2), ["agg2", "var2"]).select(*ids, "both", either.alias("either"), (F.col("both") / either).alias("jaccard"))
+    either = F.col("n1") + F.col("n2") - F.col("shared")
+    return met.join(sizes(a, 1), ["agg1", "var1"]).join(sizes(b, 2), ["agg2", "var2"]).select(*ids, "shared", either.alias("either"), (F.col("shared") / either).alias("jaccard"))
 
 
 def significant(long: DataFrame, shifts: list[int], adjacency: DataFrame | None = None) -> DataFrame:

@@ -639,8 +639,8 @@ def topology_score(spark, d):
 
 
 @query("feature_overlap", f"""{_LONG}{_FEAT}, fn AS (SELECT agg, var, count(*) AS n FROM ft GROUP BY ALL),
-    fo AS (SELECT a.agg AS agg1, a.var AS var1, b.agg AS agg2, b.var AS var2, count(*) AS both FROM ft a JOIN ft b ON a.kind = b.kind AND a.val = b.val AND a.agg <> b.agg GROUP BY ALL)
-    SELECT agg1, var1, agg2, var2, both, x.n + y.n - both AS either, round(both / (x.n + y.n - both), 6) AS jaccard FROM fo JOIN fn x ON x.agg = agg1 AND x.var = var1 JOIN fn y ON y.agg = agg2 AND y.var = var2""")
+    fo AS (SELECT a.agg AS agg1, a.var AS var1, b.agg AS agg2, b.var AS var2, count(*) AS shared FROM ft a JOIN ft b ON a.kind = b.kind AND a.val = b.val AND a.agg <> b.agg GROUP BY ALL)
+    SELECT agg1, var1, agg2, var2, shared, x.n + y.n - shared AS either, round(shared / (x.n + y.n - shared), 6) AS jaccard FROM fo JOIN fn x ON x.agg = agg1 AND x.var = var1 JOIN fn y ON y.agg = agg2 AND y.var = var2""")
 def feature_overlap(spark, d):
     f = _stored(topology.features(_stored(long(spark, d))))
     return _rounded(topology.feature_overlap(f, f), 6, "jaccard")
@@ -790,10 +790,23 @@ def skyline(spark, d):
 
 @query("louvain")
 def louvain(spark, d):
-    """node, cluster of the correlation graph's communities."""
-    found = graph.communities(graph.variable_edges(_corrs(spark, d)))
-    rows = [F.struct(F.lit(f"{t}--{v}").alias("node"), F.lit(c).alias("cluster")) for c, tables in found.items() for t, vs in tables.items() for v in vs]
-    return spark.range(1).select(F.inline(F.array(*rows)))
+    """node, community of the correlation graph."""
+    return graph.part_graph(graph.variable_edges(_corrs(spark, d)))
+
+
+@query("louvain_blocks", "SELECT 'n' || p_partkey AS node, 'n' || min(p_partkey) OVER (PARTITION BY p_partkey // 6) AS community FROM part WHERE p_partkey < 6 * (SELECT (max(p_partkey) + 1) // 6 FROM part) AND p_partkey >= 6")
+def louvain_blocks(spark, d):
+    """Parts in cliques of six, each joined with the next by one light edge: the communities are the cliques."""
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("k"))
+    most = F.floor((parts.agg(F.max("k")).first()[0] + 1) / F.lit(6)) * 6
+    k = parts.filter((F.col("k") >= 6) & (F.col("k") < most))
+    block = k.withColumn("b", F.floor(F.col("k") / 6))
+    inside = block.join(block.withColumnRenamed("k", "j"), "b").filter("k < j").select("k", "j", F.lit(1.0).alias("weight"))
+    across = k.filter("k % 6 = 5").select("k", (F.col("k") + 1).alias("j"), F.lit(0.0001).alias("weight")).filter(F.col("j") < most)
+    name = lambda c: F.concat(F.lit("n"), F.lpad(F.col(c).cast("string"), 9, "0"))
+    found = graph.part_graph(inside.unionByName(across).select(name("k").alias("src"), name("j").alias("dst"), "weight"))
+    bare = lambda c: F.regexp_replace(c, "^n0*", "n").alias(c)
+    return found.select(bare("node"), bare("community"))
 
 
 @query("factor_loadings")
