@@ -191,7 +191,7 @@ def class_counts(docs: DataFrame, labels: DataFrame) -> tuple[int, int]:
 def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_DOCS) -> DataFrame:
     """``text`` and ``toxic`` of up to ``per_class`` labelled texts of each class, picked by a hash of their ids; equal texts count once."""
     picked = sample_ids(_marks(labels), "toxic", per_class)
-    near = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(picked, "doc_id")
+    near = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")  # at most ``per_class`` ids a class
     near = near.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").cast("int").alias("toxic"))
     return near.groupBy("text").agg(F.min_by("toxic", "doc_id").alias("toxic"), F.min("doc_id").cast("string").alias("first"))
 
