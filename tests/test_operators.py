@@ -74,6 +74,17 @@ def test_one_large_pair_spreads_over_tasks(spark):
     assert len(shares) == 8 and max(r["count"] for r in shares) < n / 4
 
 
+def test_quantiles_by_ranges(spark):
+    from tidemark.operators.ranges import quantiles
+
+    rng = np.random.default_rng(11)
+    rows = [("a", float(v)) for v in rng.integers(0, 9, 101)] + [("b", float(v)) for v in rng.normal(size=50)] + [("c", 5.0), ("d", None), ("e", 1.0), ("e", 2.0)]
+    got = {r.g: (r.low, r.mid, r.high) for r in quantiles(frame(spark, rows, "g string, x double"), ["g"], "x", {"low": 0.25, "mid": 0.5, "high": 0.9}).collect()}
+    assert got.keys() == set("abce")
+    for g in got:
+        assert np.allclose(got[g], np.quantile([x for k, x in rows if k == g], [0.25, 0.5, 0.9]))
+
+
 def test_partial_correlation_equals_the_inverse_covariance(spark):
     rng = np.random.default_rng(3)
     data = rng.normal(size=(50, 5)) @ rng.normal(size=(5, 5))

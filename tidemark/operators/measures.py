@@ -109,7 +109,10 @@ def varying(long: DataFrame) -> DataFrame:
 
 def rows_per_key(long: DataFrame) -> DataFrame:
     """agg, avg_rows, median_rows: how many raw rows stand behind a key of each aggregated table."""
-    return long.filter(F.col("var") == "count").groupBy("agg").agg(F.avg("x").alias("avg_rows"), F.percentile("x", 0.5).alias("median_rows"))
+    from tidemark.operators.ranges import quantiles
+
+    counts = long.filter(F.col("var") == "count").select("agg", "x")
+    return counts.groupBy("agg").agg(F.avg("x").alias("avg_rows")).join(quantiles(counts, ["agg"], "x", {"median_rows": 0.5}), "agg", "left")
 
 
 def value_profile(long: DataFrame, by: tuple[str, ...] = ("agg", "var")) -> DataFrame:

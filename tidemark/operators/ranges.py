@@ -62,3 +62,22 @@ def dense_places(rows: DataFrame, group: list[str], value: str, name: str) -> Da
     """``rows`` with the place (from 0) of ``value`` among the distinct values of its group."""
     distinct = rows.select(*group, value).distinct().withColumn("_one", F.lit(1).cast("long"))
     return rows.join(running_totals(distinct, group, [value], "_one", name).drop("_one"), [*group, value])
+
+
+def quantiles(rows: DataFrame, group: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """group and a column for each share: exact quantiles of the known values, interpolated between neighbours.
+
+    Values are counted first and their places come from ranges; of a group only the few values around its quantiles
+    meet. A group without a value has no row.
+    """
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(*group, F.col(value).cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("_k"))
+    placed = stored(running_totals(counted, group, ["_x"], "_k", "_before"), "placed")
+    sizes = placed.groupBy(*group).agg(F.sum("_k").alias("_n"))  # a row a group
+    wanted = F.array(*(F.struct(F.lit(name).alias("name"), ((F.col("_n") - 1) * share).alias("at")) for name, share in shares.items()))
+    spots = placed.join(sizes, group).withColumn("_w", F.explode(wanted)).select(*group, "_x", "_k", "_before", "_w.name", "_w.at")
+    holds = lambda at: (F.col("_before") <= at) & (at < F.col("_before") + F.col("_k"))
+    met = spots.filter(holds(F.floor("at")) | holds(F.ceil("at")))
+    low, high = F.max(F.when(holds(F.floor("at")), F.col("_x"))), F.max(F.when(holds(F.ceil("at")), F.col("_x")))
+    each = met.groupBy(*group, "name", "at").agg(low.alias("low"), high.alias("high"))
+    one = each.withColumn("q", F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at")))
+    return one.groupBy(*group).agg(*(F.max(F.when(F.col("name") == name, F.col("q"))).alias(name) for name in shares))

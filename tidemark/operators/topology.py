@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.ranges import running_totals, stored
+from tidemark.operators.ranges import quantiles, running_totals, stored
 
 VAR = ["agg", "var"]
 
@@ -15,8 +15,9 @@ VAR = ["agg", "var"]
 def thresholds(long: DataFrame) -> DataFrame:
     """agg, var, high, low: quartiles of the values that are neither 0 nor null; none for constants."""
     x = F.when((F.col("x") != 0) & ~F.isnan("x"), F.col("x"))
-    out = long.groupBy(*VAR).agg(F.percentile(x, 0.75).alias("high"), F.percentile(x, 0.25).alias("low"), (F.min(x) < F.max(x)).alias("varies"))
-    return out.filter("varies").drop("varies")
+    known = long.select(*VAR, x.alias("x")).filter("x IS NOT NULL")
+    varying = known.groupBy(*VAR).agg((F.min("x") < F.max("x")).alias("varies")).filter("varies").select(*VAR)
+    return quantiles(known.join(varying, VAR, "left_semi"), VAR, "x", {"high": 0.75, "low": 0.25})
 
 
 def _signed(rows: DataFrame, long: DataFrame, more: list[str] | None = None) -> DataFrame:
