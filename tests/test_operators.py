@@ -616,3 +616,19 @@ def test_communities_by_joins(spark):
     corrs = frame(spark, [(*signals.values(), 0.9, 10, *a.split("--"), *b.split("--")) for a, b, _ in rows], ", ".join(f"{n} double" for n in signals) + ", r_val double, samples int, tbl1 string, var1 string, tbl2 string, var2 string")
     report = graph.community_report(corrs, [1.0, 1.0, 1.0, 1.0, 0.5, 5]).toPandas()
     assert len(report) == len(found) and report.groupby("cluster")["node"].count().is_monotonic_decreasing and report["degree"].max() > 1
+
+
+def test_rollups_of_several_batches(spark, tmp_path):
+    from tidemark.streaming import rollup
+
+    def add(k, rows):
+        frame(spark, rows, "ts timestamp, event_type string, value double").coalesce(1).write.parquet(f"file://{tmp_path}/in/{k}")
+
+    at = lambda h, m: pd.Timestamp(f"2024-01-01 {h:02d}:{m:02d}").to_pydatetime()
+    run = lambda: rollup.start(rollup.rollup(spark.readStream.schema("ts timestamp, event_type string, value double").parquet(f"file://{tmp_path}/in/*")), f"file://{tmp_path}/out", f"file://{tmp_path}/cp").awaitTermination()
+    add(0, [(at(1, 5), "a", 1.0), (at(1, 50), "a", 3.0), (at(2, 0), "b", 5.0)])
+    run()
+    add(1, [(at(1, 59), "a", 8.0), (at(3, 0), "b", 2.0)])
+    run()
+    got = {(r.event_type, r.bin_start.hour): (r.n, r.avg_value) for r in rollup.current(spark, f"file://{tmp_path}/out").collect()}
+    assert got == {("a", 1): (3, 4.0), ("b", 2): (1, 5.0), ("b", 3): (1, 2.0)}

@@ -896,7 +896,6 @@ def events_rollup_stream(spark, d):
 
     schema = table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
-    name = f"rollup_{uuid.uuid4().hex[:8]}"
-    rollup.start(rollup.rollup(stream), name, f"{ranges.shared_root(spark)}/{name}").awaitTermination()
-    return _rounded(spark.table(name).withColumn("bin_start", F.date_format("bin_start", "yyyy-MM-dd HH:mm")), 6, "avg_value")
-
+    root = f"{ranges.shared_root(spark)}/tidemark-rollup-{uuid.uuid4().hex}"
+    rollup.start(rollup.rollup(stream), f"{root}/bins", f"{root}/checkpoint").awaitTermination()
+    return _rounded(rollup.current(spark, f"{root}/bins").withColumn("bin_start", F.date_format("bin_start", "yyyy-MM-dd HH:mm")), 6, "avg_value")

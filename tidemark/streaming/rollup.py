@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -14,6 +14,21 @@ def rollup(events: DataFrame, ts: str = "ts", value: str = "value", group: str =
     return bins.select(group, F.col("w.start").alias("bin_start"), "n", f"avg_{value}")
 
 
-def start(bins: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:
-    """Run a rollup over what is there now into a table in memory."""
-    return bins.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def start(bins: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Run a rollup over what is there now; each batch writes the bins that it changed to a folder of its own.
+
+    A batch that is run again after a failure replaces its folder, so no bin is counted twice. ``current`` reads the result.
+    """
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return bins.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current(spark: SparkSession, path: str, group: str = "event_type") -> DataFrame:
+    """Every bin as the last batch that changed it left it."""
+    rows = spark.read.parquet(path)
+    values = [c for c in rows.columns if c not in (group, "bin_start", "batch")]
+    last = rows.groupBy(group, "bin_start").agg(F.max_by(F.struct(*values), "batch").alias("v"))
+    return last.select(group, "bin_start", "v.*")
