@@ -503,7 +503,7 @@ def control_variables(spark, d):
     g AS (SELECT agg1, var1, agg2, var2, coalesce(x, 0) AS x, coalesce(y, 0) AS y, z FROM j JOIN z USING (val) WHERE kind = 'spatial' AND (agg1, var1) <> ('lineitem_nation', 'count') AND (agg2, var2) <> ('lineitem_nation', 'count')),
     c AS (SELECT agg1, var1, agg2, var2, count(*) AS n, coalesce(corr(x, y), 0) AS xy, coalesce(corr(x, z), 0) AS xz, coalesce(corr(y, z), 0) AS yz FROM g GROUP BY ALL),
     q AS (SELECT *, (xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)) AS r FROM c)
-    SELECT agg1, var1, agg2, var2, n, round(r, 6) AS r, round({_P.format(v='(n - 3)', r='r')}, 6) AS p FROM q""")
+    SELECT agg1, var1, agg2, var2, n, round(r, 6) AS r, round({_P.format(v='(n - 3)', r='r')}, 6) AS p FROM q WHERE r IS NOT NULL AND NOT isnan(r) AND r <> 0 AND r <> -1""")
 def control_all(spark, d):
     """All correlations of places, of every pair of tables in one job, with the number of line items held fixed."""
     m, pairs = _with_pairs(spark, d)
