@@ -65,7 +65,7 @@ def test_variants_equal_the_plain_version(spark):
     assert got == plain_variants(plain_words(rows)) and any(r[0] and r[1] != r[0] for r in got.values())
 
 
-@settings(max_examples=15, deadline=None)
+@settings(max_examples=6, deadline=None)
 @given(st.lists(st.text(alphabet="abé", min_size=1, max_size=6), min_size=2, max_size=40, unique=True), st.integers(0, 1000))
 def test_neighbours_of_any_words(spark, words, seed):
     counts = {w: int(n) for w, n in zip(words, np.random.default_rng(seed).zipf(1.3, len(words)).clip(1, 10**6))}
