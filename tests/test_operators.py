@@ -103,7 +103,7 @@ def test_ten_controls_in_one_pass(spark):
     df = frame(spark, [tuple(map(float, r)) for r in data], ", ".join(f"{n} double" for n in names))
     began = time.time()
     got = {(r.x, r.y): r for r in correlate.partial_correlations(df, [("v0", "v1"), ("v2", "v3"), ("v0", "v3")], names[4:], None).collect()}
-    assert time.time() - began < 30  # a busy machine; alone it takes a few seconds
+    assert time.time() - began < 60  # a busy machine; alone it takes a few seconds
     for x, y in got:
         own = [int(x[1:]), int(y[1:]), *range(4, 14)]
         p = np.linalg.inv(np.cov(data[:, own], rowvar=False))
