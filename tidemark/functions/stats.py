@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Steps of the continued fractions and series below; with the ranges they are used in, more change nothing in a double.
 STEPS = 64
@@ -16,28 +21,44 @@ def pearson(x: Column, y: Column) -> Column:
     return F.coalesce(F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0)), F.lit(0.0))
 
 
-def _fraction(start: Column, first: Column, second: Column | None, m_terms) -> Column:
+def _fraction(start: np.ndarray, c: np.ndarray, m_terms) -> np.ndarray:
     """Value of a continued fraction by Lentz's method: ``m_terms(m)`` are the partial numerators of step m, with their denominators."""
-    state = F.struct(first.alias("c"), second.alias("d"), start.alias("h"))
-
-    def step(acc: Column, m: Column) -> Column:
+    d = h = start
+    for m in range(1, STEPS + 1):
         for above, below in m_terms(m):
-            d = 1 / (below + above * acc["d"])
-            c = below + above / acc["c"]
-            acc = F.struct(c.alias("c"), d.alias("d"), (acc["h"] * c * d).alias("h"))
-        return acc
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), state, step, lambda acc: acc["h"])
+            d = 1 / (below + above * d)
+            c = below + above / c
+            h = h * c * d
+    return h
 
 
-def log_gamma_ratio(a: Column) -> Column:
+def _log_gamma_ratio(a: np.ndarray) -> np.ndarray:
     """log(Gamma(a + 1/2) / Gamma(a)) for a > 0: a is moved up by 16, where an asymptotic series is exact in a double.
 
     The ratio itself is expanded, so that nothing cancels for large a, as it would between two logarithms.
     """
-    up = F.aggregate(F.sequence(F.lit(0), F.lit(15)), F.lit(0.0), lambda acc, j: acc + F.log1p(-0.5 / (a + j + 0.5)))
+    up = sum(np.log1p(-0.5 / (a + j + 0.5)) for j in range(16))
     z = a + 16
-    return up + 0.5 * F.log(z) - 1 / (8 * z) + 1 / (192 * F.pow(z, F.lit(3.0))) - 1 / (640 * F.pow(z, F.lit(5.0))) + 17 / (14336 * F.pow(z, F.lit(7.0)))
+    return up + 0.5 * np.log(z) - 1 / (8 * z) + 1 / (192 * z**3) - 1 / (640 * z**5) + 17 / (14336 * z**7)
+
+
+@F.arrow_udf(DoubleType())
+def _log_beta_tail(half: pa.Array, size: pa.Array) -> pa.Array:
+    """Logarithm of the regularised incomplete beta function of 1 - size^2 at (half, 1/2), a batch of rows at a time."""
+    with np.errstate(all="ignore"):  # rows without freedom or with a size of 0 or 1 are told apart by the caller
+        a, r = (np.asarray(x.cast(pa.float64()).to_numpy(zero_copy_only=False)) for x in (half, size))
+        square = r * r
+        tail = 1 - square < (a + 1) / (a + 2.5)
+        p, q, x = np.where(tail, a, 0.5), np.where(tail, 0.5, a), np.where(tail, 1 - square, square)
+
+        def terms(m: int) -> list[tuple[np.ndarray, float]]:
+            one = m * (q - m) * x / ((p - 1 + 2 * m) * (p + 2 * m))
+            two = -(p + m) * (p + q + m) * x / ((p + 2 * m) * (p + 1 + 2 * m))
+            return [(one, 1.0), (two, 1.0)]
+
+        value = _fraction(1 / (1 - (p + q) * x / (p + 1)), np.ones_like(p), terms)
+        whole = a * np.log1p(-square) + np.log(r) + _log_gamma_ratio(a) - 0.5 * math.log(math.pi) - np.log(p) + np.log(value)
+        return pa.array(np.where(tail, whole, np.log1p(-np.exp(whole))))
 
 
 def correlation_log_p(r: Column, n: Column, controls: int = 0) -> Column:
@@ -45,22 +66,12 @@ def correlation_log_p(r: Column, n: Column, controls: int = 0) -> Column:
 
     With v degrees of freedom p is the regularised incomplete beta function of 1 - r^2 at (v / 2, 1 / 2). It is taken
     by its continued fraction in logarithms, at whichever end the fraction converges, so tails far below the
-    smallest double keep their order. -infinity for |r| = 1.
+    smallest double keep their order. -infinity for |r| = 1. Batches of rows go through the fraction together; as an
+    expression of Spark it is interpreted, and takes milliseconds a row.
     """
     v = (n - 2 - controls).cast("double")
-    a, size = v / 2, F.abs(r).cast("double")
-    square = size * size
-    tail = 1 - square < (a + 1) / (a + 2.5)
-    p, q, x = F.when(tail, a).otherwise(0.5), F.when(tail, 0.5).otherwise(a), F.when(tail, 1 - square).otherwise(square)
-
-    def terms(m: Column) -> list[tuple[Column, Column]]:
-        one = m * (q - m) * x / ((p - 1 + 2 * m) * (p + 2 * m))
-        two = -(p + m) * (p + q + m) * x / ((p + 2 * m) * (p + 1 + 2 * m))
-        return [(one, F.lit(1.0)), (two, F.lit(1.0))]
-
-    d = 1 / (1 - (p + q) * x / (p + 1))
-    whole = a * F.log1p(-square) + F.log(size) + log_gamma_ratio(a) - 0.5 * F.log(F.pi()) - F.log(p) + F.log(_fraction(d, F.lit(1.0), d, terms))
-    out = F.when(tail, whole).otherwise(F.log1p(-F.exp(whole)))
+    size = F.abs(r).cast("double")
+    out = _log_beta_tail(v / 2, size)
     nothing = F.lit(None).cast("double")
     return F.when(v < 1, nothing).when(size >= 1, F.lit(float("-inf"))).when(size == 0, 0.0).otherwise(F.least(out, F.lit(0.0)))
 
@@ -70,17 +81,24 @@ def correlation_p(r: Column, n: Column, controls: int = 0) -> Column:
     return F.exp(correlation_log_p(r, n, controls))
 
 
+@F.arrow_udf(DoubleType())
+def _normal_tail(z: pa.Array) -> pa.Array:
+    with np.errstate(all="ignore"):
+        z = np.asarray(z.to_numpy(zero_copy_only=False))
+        x = z * z / 2
+        term = total = np.full_like(x, 2.0)
+        for m in range(1, STEPS + 1):
+            term = term * x / (m + 0.5)
+            total = total + term
+        fraction = _fraction(1 / (x + 0.5), np.full_like(x, 1e300), lambda m: [(-m * (m - 0.5), x + 0.5 + 2 * m)])
+        scale = np.exp(-x) * np.sqrt(x / math.pi)
+        return pa.array(np.where(x < 3, np.maximum(1 - scale * total, 0.0), scale * fraction))
+
+
 def two_sided_normal(z: Column) -> Column:
-    """P(|Z| >= z): a series of the incomplete gamma function of z^2 / 2 for small z, its continued fraction beyond."""
-    x = z.cast("double") * z / 2
-    term = F.struct(F.lit(2.0).alias("t"), F.lit(2.0).alias("s"))
-    series = F.aggregate(
-        F.sequence(F.lit(1), F.lit(STEPS)), term, lambda acc, m: F.struct((acc["t"] * x / (m + 0.5)).alias("t"), (acc["s"] + acc["t"] * x / (m + 0.5)).alias("s")), lambda acc: acc["s"]
-    )
-    d = 1 / (x + 0.5)
-    fraction = _fraction(d, F.lit(1e300), d, lambda m: [(-m * (m - 0.5), x + 0.5 + 2 * m)])
-    scale = F.exp(-x) * F.sqrt(x / F.pi())
-    return F.when(x < 3, F.greatest(1 - scale * series, F.lit(0.0))).otherwise(scale * fraction)
+    """P(|Z| >= z): a series of the incomplete gamma function of z^2 / 2 for small z, its continued fraction beyond; null for a null."""
+    z = z.cast("double")
+    return F.when(z.isNotNull(), _normal_tail(z))
 
 
 def packed_correlations(columns: list[Column]) -> Column:
