@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.scratch import Scratch
-from tidemark.llm.textkernel import is_space, lower_ascii, mix, runs, slices
+from tidemark.llm.textkernel import is_space, lower_ascii, mix, runs, slices, tidy
 
 #: Words with a code of their own; all others are spelled.
 HEAD = 1 << 16
@@ -41,8 +41,8 @@ TABLE_BITS = (20, 22, 22)
 PRIOR = 0.2
 #: Bits after which weights start anew, and the rate at which they learn.
 BLOCK, RATE, FIRST_WEIGHT = 2048, np.float32(0.05), 0.4
-#: Bytes of text that are mixed at a time, and coded at a time.
-SLICE, PIECE = 1 << 20, 1 << 18
+#: Bytes of text that are mixed at a time, and coded at a time: what is worked out for each bit should stay in a processor's cache.
+SLICE, PIECE = 1 << 20, 1 << 16
 _CHUNK = 2048
 _SCALE = 2000.0
 #: A prediction, in the logistic domain, that counts as sure.
@@ -129,6 +129,18 @@ def tokens_of(piece, vocabulary: Vocabulary) -> tuple[Tokens, pa.Array]:
     return Tokens(ids, start, size, body, bounds + np.arange(texts + 1)), words
 
 
+def pieces_of(tokens: Tokens) -> Iterator[Tokens]:
+    """The tokens of runs of whole texts, at most ``PIECE`` bytes of words together unless one text is longer."""
+    upto = np.concatenate([[0], np.cumsum(tokens.size)])[tokens.bounds]
+    at, texts = 0, len(tokens.bounds) - 1
+    while at < texts:
+        stop = max(at + 1, int(np.searchsorted(upto, upto[at] + PIECE, side="right")) - 1)
+        own = slice(tokens.bounds[at], tokens.bounds[stop])
+        start = np.where(tokens.size[own] > 0, tokens.start[own] - upto[at], 0)
+        yield Tokens(tokens.ids[own], start, tokens.size[own], tokens.data[upto[at] : upto[stop]], tokens.bounds[at : stop + 1] - tokens.bounds[at])
+        at = stop
+
+
 class Bits(NamedTuple):
     """Every decision of a slice: the slots of its contexts, its outcome, its kind, and the bounds of each text's decisions."""
 
@@ -175,17 +187,28 @@ def bits_of(tokens: Tokens, vocabulary: Vocabulary) -> Bits:
     codes = vocabulary.codes[symbol]
     deep = np.frexp(codes.astype(np.float64))[1] - 1  # the place of the leading one
     ends = np.cumsum(deep)
-    which = np.repeat(np.arange(len(symbol)), deep)
-    left = ends[which] - np.arange(len(which))
-    codes = codes[which]
-    node = (codes >> left).view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    which = np.arange(len(symbol)).repeat(deep)
+    left = ends.take(which)
+    left -= np.arange(len(left))
+    codes = codes.take(which)
+    node = (codes >> left).view(np.uint64)
+    node *= np.uint64(0xD6E8FEB86659FD93)
     left -= 1
-    outcome = (codes >> left) & 1
-    slots = tuple((((context[r][which] ^ node) * _ODD) >> np.uint64(64 - b)).view(np.int64) for r, b in enumerate(TABLE_BITS))
-    kind = np.where(spelled, 2, 0)[which] + ((left < (deep - 3)[which]) & ~spelled[which])
+    outcome = codes >> left
+    outcome &= 1
+    slots = []
+    for row, b in zip(context, TABLE_BITS):
+        slot = row.take(which)
+        slot ^= node
+        slot *= _ODD
+        slot >>= np.uint64(64 - b)
+        slots.append(slot.view(np.int64))
+    # a word's own bits: whether they are its code's first three
+    kind = np.where(spelled, np.int8(2), np.int8(0)).take(which)
+    kind += left < np.where(spelled, -1, deep - 3).astype(np.int8).take(which)
     totals = np.concatenate([[0], ends])
     by_token = totals[np.concatenate([[0], upto])]
-    return Bits(slots, outcome, kind, by_token[tokens.bounds])
+    return Bits(tuple(slots), outcome, kind, by_token[tokens.bounds])
 
 
 #: Sets of weights.
@@ -194,17 +217,21 @@ GATES = 27
 
 def inputs_of(bits: Bits, tables: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     """Each context's prediction of the outcome that came, and the set of weights: the bit's kind, and how sure the last two contexts are."""
-    sign = (2 * bits.outcome - 1).astype(np.int16)
-    found = [t.take(s) * sign for t, s in zip(tables, bits.slots)]
-    gate = bits.kind * 9
+    sign = bits.outcome.astype(np.int16)
+    sign *= 2
+    sign -= 1
+    found = [t.take(s) for t, s in zip(tables, bits.slots)]
+    gate = bits.kind * np.int8(9)
     for x, step in zip(found[1:], (3, 1)):
         size = np.abs(x)
-        gate += step * ((size > 0).astype(np.int8) + (size > SURE))
+        gate += np.int8(step) * ((size > 0).view(np.int8) + (size > SURE).view(np.int8))
+    for x in found:
+        x *= sign
     return found, gate.astype(np.int16)
 
 
 def mix_bits(inputs: list[np.ndarray], gate: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """log10 probability of each text's outcomes.
+    """log10 probability of each text's outcomes, from three inputs a bit.
 
     Texts are cut into blocks of ``BLOCK`` bits, each of which starts from equal weights and refines them after every
     bit; the blocks of a slice advance together.
@@ -219,37 +246,41 @@ def mix_bits(inputs: list[np.ndarray], gate: np.ndarray, bounds: np.ndarray) ->
     steps = int(length.max(initial=0))
     active = len(length) - np.searchsorted(length[::-1], np.arange(steps), side="right")
     column = np.concatenate([[0], np.cumsum(active)])
-    # the bits of all blocks at one step stand together
+    # the bits of all blocks at one step stand together, each with its inputs and its gate side by side
     to = np.empty(len(gate), np.int64)
     for i, (b, k) in enumerate(zip(begin.tolist(), length.tolist())):
         np.add(column[:k], i, out=to[b : b + k])
-    own = []
-    for x in (*inputs, gate):
-        own.append(np.empty_like(x))
-        own[-1][to] = x
-    rows = own.pop()
-    weights = [np.full(len(length) * GATES, FIRST_WEIGHT / _SCALE, np.float32) for _ in inputs]
+    beside = np.empty((len(gate), 4), np.int16)
+    for i, x in enumerate((*inputs, gate)):
+        beside[:, i] = x
+    moved = np.empty(len(gate), np.int64)
+    moved[to] = beside.view(np.int64)[:, 0]
+    beside = moved.view(np.int16).reshape(-1, 4)
+    # A set of three weights, and a fourth number that nothing reads, is moved as one of 16 bytes. Weights are kept
+    # negated, as the odds against an outcome are what the steps need.
+    weights = np.full(4 * len(length) * GATES, -FIRST_WEIGHT / _SCALE, np.float32).view(np.complex128)
     base = np.arange(len(length)) * GATES
     scores, chance = np.zeros(len(length)), np.ones(len(length))
-    rate = np.float32(RATE / _SCALE**2)
+    rate, one, least, most = (np.float32(v) for v in (RATE / _SCALE**2, 1, -20, 20))
     for t in range(steps):
-        a, b = column[t], column[t + 1]
-        row = base[: b - a] + rows[a:b]
-        xs = [x[a:b].astype(np.float32) for x in own]
-        held = [w.take(row) for w in weights]
-        dot = held[0] * xs[0]
-        for w, x in zip(held[1:], xs[1:]):
-            dot += w * x
-        np.clip(dot, -20, 20, out=dot)
-        np.negative(dot, out=dot)
+        own = beside[column[t] : column[t + 1]]
+        n_own = len(own)
+        row = base[:n_own] + own[:, 3]
+        x = own.astype(np.float32)
+        held = weights.take(row).view(np.float32)
+        each = held * x.reshape(-1)
+        dot = each[0::4] + each[1::4]
+        dot += each[2::4]
+        np.maximum(dot, least, out=dot)
+        np.minimum(dot, most, out=dot)
         np.exp(dot, out=dot)
-        dot += 1
-        chance[: b - a] /= dot
-        wrong = rate - rate / dot
-        for all_, w, x in zip(weights, held, xs):
-            x *= wrong
-            x += w
-            all_[row] = x
+        dot += one
+        chance[:n_own] /= dot
+        np.divide(rate, dot, out=dot)
+        np.subtract(rate, dot, out=dot)
+        np.multiply(x.reshape(-1), dot.repeat(4), out=each)
+        held -= each
+        weights[row] = held.view(np.complex128)
         if t % 8 == 7:
             scores += np.log10(chance)
             chance[:] = 1
@@ -274,7 +305,7 @@ def count_tokens(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 counted = pc.value_counts(words_of(piece)[0])
                 yield pa.RecordBatch.from_arrays([counted.field(0).cast(pa.string()), counted.field(1)], ["word", "n"])
 
-    return docs.select(text_col).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(text_col).mapInArrow(tidy(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _successors(rare: DataFrame) -> np.ndarray:
@@ -317,11 +348,12 @@ def _count_slots(vocabulary):
         own = vocabulary.value
         tables = [np.zeros(2 << b, np.uint32) for b in TABLE_BITS]
         for batch in batches:
-            for piece in slices(batch.column(0), PIECE):
-                bits = bits_of(tokens_of(piece, own)[0], own)
-                ones = np.ones(len(bits.outcome), np.uint32)
-                for table, slot in zip(tables, bits.slots):
-                    np.add.at(table, 2 * slot + bits.outcome, ones)
+            for big in slices(batch.column(0), SLICE):
+                for piece in pieces_of(tokens_of(big, own)[0]):
+                    bits = bits_of(piece, own)
+                    ones = np.ones(len(bits.outcome), np.uint32)
+                    for table, slot in zip(tables, bits.slots):
+                        np.add.at(table, 2 * slot + bits.outcome, ones)
         pack = zstandard.ZstdCompressor(level=1).compress
         chunk = 0
         for table in tables:
@@ -357,8 +389,8 @@ def learn_tables(docs: DataFrame, vocabulary, text_col: str = "text") -> list[np
 
     Every task counts in tables of its own and sends the chunks that it touched, compressed; those are added up by chunk.
     """
-    parts = docs.select(text_col).mapInArrow(_count_slots(vocabulary), "chunk long, counts binary")
-    found = parts.repartition("chunk").mapInArrow(_predict, "chunk long, value binary").toArrow()
+    parts = docs.select(text_col).mapInArrow(tidy(_count_slots(vocabulary)), "chunk long, counts binary")
+    found = parts.repartition("chunk").mapInArrow(tidy(_predict), "chunk long, value binary").toArrow()
     flat = np.zeros((sum(1 << b for b in TABLE_BITS) // _CHUNK, _CHUNK), np.int16)
     for chunk, value in zip(found["chunk"].to_pylist(), found["value"].to_pylist()):
         flat[chunk] = np.frombuffer(value, np.int16)
@@ -368,6 +400,19 @@ def learn_tables(docs: DataFrame, vocabulary, text_col: str = "text") -> list[np
 # Scoring
 
 
+def _mixed(tokens: Tokens, vocabulary: Vocabulary, tables: list[np.ndarray]) -> np.ndarray:
+    """log10 probability of each text by the mixed predictors."""
+    inputs, gate, bounds, at = [], [], [np.zeros(1, np.int64)], 0
+    for piece in pieces_of(tokens):
+        bits = bits_of(piece, vocabulary)
+        x, g = inputs_of(bits, tables)
+        inputs.append(x)
+        gate.append(g)
+        bounds.append(bits.bounds[1:] + at)
+        at += len(g)
+    return mix_bits([np.concatenate(x) for x in zip(*inputs)], np.concatenate(gate), np.concatenate(bounds))
+
+
 def _score(model):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, tables = model.value
@@ -375,45 +420,32 @@ def _score(model):
         for batch in batches:
             for big in slices(batch.column("text"), SLICE):
                 texts = len(big.offsets) - 1
-                whole = pa.LargeStringArray.from_buffers(texts, pa.py_buffer(np.ascontiguousarray(big.offsets)), pa.py_buffer(np.ascontiguousarray(big.data)))
-                inputs, gate, bounds, at = [], [], [np.zeros(1, np.int64)], 0
-                sizes, known, sums, rare = [], [], [], []
-                for piece in slices(whole, PIECE):
-                    tokens, words = tokens_of(piece, vocabulary)
-                    bits = bits_of(tokens, vocabulary)
-                    x, g = inputs_of(bits, tables)
-                    inputs.append(x)
-                    gate.append(g)
-                    bounds.append(bits.bounds[1:] + at)
-                    at += len(g)
-                    own = tokens.bounds[:-1]
-                    coded = tokens.ids >= 0
-                    seen = coded & (vocabulary.counts[tokens.ids] > 0)
-                    sizes.append(np.diff(tokens.bounds))
-                    known.append(np.add.reduceat(seen.astype(np.int64), own))
-                    sums.append(np.add.reduceat(np.where(coded, base[tokens.ids], 0.0), own))
-                    rest = np.flatnonzero(~coded)
-                    text = np.searchsorted(tokens.bounds, rest, side="right") - 1
-                    spelled = words.take(pa.array(rest - text))  # a word's place among words: its token less the ends before it
-                    cuts = np.searchsorted(text, np.arange(len(own) + 1))
-                    rare.append(pa.LargeListArray.from_arrays(pa.array(cuts), spelled))
-                score = mix_bits([np.concatenate(x) for x in zip(*inputs)], np.concatenate(gate), np.concatenate(bounds))
+                tokens, words = tokens_of(big, vocabulary)
+                own, coded = tokens.bounds[:-1], tokens.ids >= 0
+                known = np.add.reduceat((coded & (vocabulary.counts[tokens.ids] > 0)).astype(np.int64), own)
+                sums = np.add.reduceat(np.where(coded, base[tokens.ids], 0.0), own)
+                rest = np.flatnonzero(~coded)
+                text = np.searchsorted(tokens.bounds, rest, side="right") - 1
+                spelled = words.take(pa.array(rest - text))  # a word's place among words: its token less the ends before it
+                rare = pa.LargeListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(texts + 1))), spelled)
+                score = pa.array(_mixed(tokens, vocabulary, tables)) if tables else pa.nulls(texts, pa.float64())
                 rows = batch.slice(big.first, texts)
-                columns = [pa.array(np.concatenate(sizes)), pa.array(np.concatenate(known)), pa.array(np.concatenate(sums)), pa.array(score), pa.array(np.diff(big.offsets))]
-                lists = pa.concat_arrays(rare).cast(pa.list_(pa.string()))
+                columns = [pa.array(np.diff(tokens.bounds)), pa.array(known), pa.array(sums), score, pa.array(np.diff(big.offsets))]
+                lists = rare.cast(pa.list_(pa.string()))
                 yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("held_out"), *columns, lists], ["id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_bytes", "rare"])
 
     return run
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mixed: bool = True) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte: a row per row of ``docs``.
 
     Both scores are log10 probabilities of the lower-cased text's tokens, its words and one end; the model learns from
     the rows that are not held out. A null text counts as empty: its end alone. Repeated rows and ids count, and are
     scored, each time; a null id stays null and is never held out; other columns are ignored; an empty table gives no
     rows. Without training rows every token has the base score 0, and the model predicts each bit at even odds.
-    ``bits_per_byte`` is null for texts without bytes.
+    ``bits_per_byte`` is null for texts without bytes. Where only the token frequencies are wanted, ``mixed`` is false:
+    the predictors are neither learned nor asked, and ``score`` is null.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "language-model")
@@ -422,12 +454,12 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     counts = scratch.keep(count_tokens(train), "counts")
     vocabulary = learn_vocabulary(counts, train.count())
     shared = spark.sparkContext.broadcast(vocabulary)
-    model = spark.sparkContext.broadcast((vocabulary, learn_tables(train, shared)))
+    model = spark.sparkContext.broadcast((vocabulary, learn_tables(train, shared) if mixed else None))
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType())])
     for name in ("n_tokens", "n_known", "base_score", "score", "n_bytes"):
         schema.add(name, T.DoubleType() if name.endswith("score") else T.LongType())
     schema.add("rare", T.ArrayType(T.StringType()))
-    scored = scratch.keep(rows.mapInArrow(_score(model), schema).withColumn("row", F.monotonically_increasing_id()), "scored")
+    scored = scratch.keep(rows.mapInArrow(tidy(_score(model)), schema).withColumn("row", F.monotonically_increasing_id()), "scored")
     # Words without a code are at most one in HEAD of the training tokens each, so no key is hot in their join.
     each = scored.select("row", F.explode("rare").alias("word"))
     chance = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(vocabulary.total + vocabulary.distinct + 1)))

@@ -6,7 +6,9 @@ They run inside tasks on a few megabytes at a time: one slice of an Arrow batch
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 from typing import NamedTuple
 
 import numpy as np
@@ -15,6 +17,31 @@ import pyarrow as pa
 SLICE_BYTES = 1 << 20
 
 
+def give_back() -> None:
+    """Return freed memory to the system, where the C library and Arrow can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """A task's function over batches, after which its worker gives back what it no longer needs.
+
+    Spark keeps workers for later tasks, more of them than an executor has cores, and each would hold on to the most
+    that any of its tasks took.
+    """
+
+    @wraps(run)
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
 class Slice(NamedTuple):
     """Texts ``first`` to ``first + len(offsets) - 1`` of a batch; text i is data[offsets[i]:offsets[i + 1]]."""
 
