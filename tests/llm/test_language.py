@@ -263,3 +263,26 @@ def test_exact_sums_and_steps(spark):
 
 def test_results_leave_no_folder_behind_but_their_own(spark):
     assert scratch.shared_root(spark).startswith("file:")
+
+
+def test_base_scores_need_no_predictors(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"a b word{i % 7} b") for i in range(40)], "doc_id long, text string")
+    want = sorted(map(tuple, language_model.score_texts(docs).select("doc_id", "n_tokens", "n_known", "base_score").collect()))
+    monkeypatch.delattr(language_model, "learn_tables")
+    rows = language_model.score_texts(docs, mixed=False).collect()
+    assert sorted((r.doc_id, r.n_tokens, r.n_known, r.base_score) for r in rows) == want and all(r.score is None for r in rows)
+
+
+def test_vocabulary_is_met_once_a_slice(monkeypatch):
+    """Looking words up builds a table of the vocabulary, whose cost must not recur with every few texts."""
+    import pyarrow as pa
+
+    vocabulary = language_model.Vocabulary.of(["a", "bc"], [20, 9], 3, 5, 4, np.zeros((256, 257), np.int64))
+    shared = type("Shared", (), {"value": vocabulary})
+    texts = pa.array(["a bc other " * 900] * 100)
+    calls, plain = [], language_model.pc.index_in
+    monkeypatch.setattr(language_model.pc, "index_in", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    assert list(language_model._count_slots(shared)([pa.RecordBatch.from_arrays([texts], ["text"])])) and len(calls) == 1
+    tokens, _ = language_model.tokens_of(next(language_model.slices(texts)), vocabulary)
+    whole, parts = language_model.bits_of(tokens, vocabulary), [language_model.bits_of(p, vocabulary) for p in language_model.pieces_of(tokens)]
+    assert len(parts) > 9 and all(np.array_equal(a, np.concatenate(b)) for a, b in zip(whole.slots, zip(*(p.slots for p in parts))))

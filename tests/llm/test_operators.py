@@ -767,3 +767,22 @@ def test_scratch_needs_a_shared_folder(spark):
 def test_shingle_sets_do_not_cross_texts():
     a, b, both = word_shingle_sets(pa.array(["a b c d e f", "g h i j k", "a b c d e f g h i j k"]))
     assert len(a) == 2 and len(b) == 1 and set(a) < set(both) and len(both) == 7
+
+
+def test_tasks_give_memory_back():
+    from tidemark.llm.textkernel import tidy
+
+    held = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096
+
+    def run(batches):
+        for _ in batches:
+            kept = [bytearray(60_000) for _ in range(4000)]
+            yield len(kept)
+        last = bytearray(60_000)  # lies above what is freed
+        ends.append(last)
+        del kept
+
+    ends: list = []
+    before = held()
+    assert list(tidy(run)([1, 2])) == [4000, 4000]
+    assert held() - before < 60_000_000

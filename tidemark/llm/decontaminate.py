@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tidemark.llm.language_id import fold_case
-from tidemark.llm.textkernel import is_space, slices
+from tidemark.llm.textkernel import is_space, slices, tidy
 
 Q = 8
 #: Edits allowed, as a share of an item's bytes; short items allow fewer, so that LEAST q-grams must be shared.
@@ -548,7 +548,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     benchmark = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text"))
     kinds = [f.schema[c].dataType for f, c in ((docs, "doc_id"), (benchmark, "item_id"))]
     shape = f"doc_id {kinds[0].simpleString()}, item_id {kinds[1].simpleString()}, start long, end long, edits long, budget long"
-    return reduce(DataFrame.union, (docs.mapInArrow(_search(shared, to_arrow_type(kinds[1])), shape) for shared in passes(benchmark)))
+    return reduce(DataFrame.union, (docs.mapInArrow(tidy(_search(shared, to_arrow_type(kinds[1]))), shape) for shared in passes(benchmark)))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -557,4 +557,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     Each row is judged where it is read, so that nothing is shuffled and rows that share an id are told apart.
     """
     benchmark = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text"))
-    return reduce(lambda kept, shared: kept.mapInArrow(_clean(shared, text_col), kept.schema), passes(benchmark), docs)
+    return reduce(lambda kept, shared: kept.mapInArrow(tidy(_clean(shared, text_col)), kept.schema), passes(benchmark), docs)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.scratch import Scratch
-from tidemark.llm.textkernel import is_space, lower_ascii, mix, runs, shingles, slices, word_hashes
+from tidemark.llm.textkernel import is_space, lower_ascii, mix, runs, shingles, slices, tidy, word_hashes
 
 WORDS = 5
 #: Links need SHARE_OF * intersection >= SHARE * union.
@@ -269,7 +269,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(spark, "near-dedup")
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sketches = scratch.keep(docs.mapInArrow(_sketch, f"doc_id {kind}, n_shingles long, digest binary, bands array<long>, regs binary"), "sketches")
+    sketches = scratch.keep(docs.mapInArrow(tidy(_sketch), f"doc_id {kind}, n_shingles long, digest binary, bands array<long>, regs binary"), "sketches")
     usable = sketches.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = scratch.keep(usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")), "classes")
     chosen = usable.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi")
@@ -280,14 +280,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     needed = members.select("node").distinct()
     needed = scratch.keep(needed.join(classes, needed["node"] == classes["digest"]).select("node", "rep", "n"), "needed")
     texts = docs.join(needed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
-    sets = texts.mapInArrow(_sets, "digest binary, members binary")
+    sets = texts.mapInArrow(tidy(_sets), "digest binary, members binary")
     own = chosen.select(F.col("digest").alias("node"), "regs").join(needed.select("node"), "node", "left_semi").dropDuplicates(["node"])
     full = scratch.keep(sets.withColumnRenamed("digest", "node").dropDuplicates(["node"]).join(own, "node"), "sets")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         sides = [full.select(F.col("node").alias(s), F.col("regs").alias(f"regs_{s}"), F.col("members").alias(f"members_{s}")) for s in "ab"]
         joined = pairs.join(sides[0], "a").join(sides[1], "b")
-        return scratch.keep(joined.select("a", "b", "regs_a", "regs_b", "members_a", "members_b").mapInArrow(_verify, "a binary, b binary"), name)
+        return scratch.keep(joined.select("a", "b", "regs_a", "regs_b", "members_a", "members_b").mapInArrow(tidy(_verify), "a binary, b binary"), name)
 
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()

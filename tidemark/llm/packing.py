@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.scratch import Scratch
-from tidemark.llm.textkernel import mix
+from tidemark.llm.textkernel import mix, tidy
 from tidemark.llm.tokenization import Encoder
 
 #: Pieces packed by one task at a time.
@@ -175,7 +175,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity:
     kind = docs.schema["doc_id"].dataType.simpleString()
     shape = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, slot long" + (", ids array<int>" if with_ids else "")
     scratch = Scratch(docs.sparkSession, "packing")
-    pieces = scratch.keep(docs.mapInArrow(_pieces(tokenizer_path, end_id, capacity.tokens, with_ids), shape), "pieces")
+    pieces = scratch.keep(docs.mapInArrow(tidy(_pieces(tokenizer_path, end_id, capacity.tokens, with_ids)), shape), "pieces")
     groups = max(1, math.ceil(pieces.count() / GROUP))
     dealt = pieces.withColumn("bin_group", F.pmod("slot", F.lit(groups)))
     packed = dealt.groupBy("bin_group").applyInPandas(_pack_group(capacity), f"{shape}, bin_group long, sequence_id long, offset long")
