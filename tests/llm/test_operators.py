@@ -1,10 +1,12 @@
 """The corpus operators against plain versions on small tables with nulls, empties, copies, ties and clashing columns."""
 
 import hashlib
+import io
 import random
 import re
+import subprocess
+import sys
 import wave
-import io
 import zlib
 from collections import Counter
 
@@ -785,3 +787,25 @@ def test_tasks_give_memory_back():
     before = held()
     assert list(tidy(run)([1, 2])) == [4000, 4000]
     assert held() - before < 60_000_000
+
+
+def test_groups_give_memory_back():
+    from tidemark.llm.textkernel import tidy_group
+
+    held = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096
+
+    def run(group):
+        kept = [bytearray(60_000) for _ in range(4000)]
+        ends.extend(kept[::100])  # lie among what is freed
+        return len(kept)
+
+    ends: list = []
+    before = held()
+    assert tidy_group(run)(range(1000)) == 4000
+    assert held() - before < 60_000_000
+
+
+def test_an_encoder_holds_little():
+    code = "import re, numpy, pyarrow, tokenizers; from tidemark.llm.tokenization import Encoder; held = lambda: int(re.search(r'Anonymous: *([0-9]+)', open('/proc/self/smaps_rollup').read())[1]) / 1024; a = held(); e = Encoder(%r); print(held() - a)"
+    got = float(subprocess.run([sys.executable, "-c", code % BPE], capture_output=True, text=True, check=True).stdout)
+    assert got < 25  # 33 MB where the file is also read as JSON

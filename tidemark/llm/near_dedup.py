@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.scratch import Scratch
-from tidemark.llm.textkernel import is_space, lower_ascii, mix, runs, shingles, slices, tidy, word_hashes
+from tidemark.llm.textkernel import is_space, lower_ascii, mix, runs, shingles, slices, tidy, tidy_group, word_hashes
 
 WORDS = 5
 #: Links need SHARE_OF * intersection >= SHARE * union.
@@ -307,9 +307,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Sketches travel first; the sets follow only for classes that they leave in doubt.
     stored = scratch.keep(blocks.select("node", "root", "n", "block").join(full.select("node", "regs"), "node"), "stored")
     sketched = sides.join(stored, "block").select("pair", "node", "root", "n", "regs")
-    wanted = scratch.keep(sketched.groupBy("pair").applyInPandas(_screen_blocks, "pair long, node binary"), "wanted")
+    wanted = scratch.keep(sketched.groupBy("pair").applyInPandas(tidy_group(_screen_blocks), "pair long, node binary"), "wanted")
     dealt = wanted.join(full, "node").join(stored.select("node", "root", "n"), "node").select("pair", "node", "root", "n", "regs", "members")
-    links = links.union(scratch.keep(dealt.groupBy("pair").applyInPandas(_compare_blocks, "a binary, b binary"), "block-links"))
+    links = links.union(scratch.keep(dealt.groupBy("pair").applyInPandas(tidy_group(_compare_blocks), "a binary, b binary"), "block-links"))
     roots = connected_components(links, scratch, "last")
     grouped = classes.join(roots, classes["digest"] == roots["node"], "left").select("digest", "rep", F.coalesce("root", "digest").alias("root"))
     least = grouped.groupBy("root").agg(F.min("rep").alias("component_id"))

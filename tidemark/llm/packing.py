@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.scratch import Scratch
-from tidemark.llm.textkernel import mix, tidy
+from tidemark.llm.textkernel import mix, tidy, tidy_group
 from tidemark.llm.tokenization import Encoder
 
 #: Pieces packed by one task at a time.
@@ -178,5 +178,5 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity:
     pieces = scratch.keep(docs.mapInArrow(tidy(_pieces(tokenizer_path, end_id, capacity.tokens, with_ids)), shape), "pieces")
     groups = max(1, math.ceil(pieces.count() / GROUP))
     dealt = pieces.withColumn("bin_group", F.pmod("slot", F.lit(groups)))
-    packed = dealt.groupBy("bin_group").applyInPandas(_pack_group(capacity), f"{shape}, bin_group long, sequence_id long, offset long")
+    packed = dealt.groupBy("bin_group").applyInPandas(tidy_group(_pack_group(capacity)), f"{shape}, bin_group long, sequence_id long, offset long")
     return packed.drop("slot", "bin_group")

@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
+#: Rows from which on a group is worth the call that gives memory back.
+TIDY_ROWS = 256
 
 
 def give_back() -> None:
@@ -42,6 +44,20 @@ def tidy(run: Callable) -> Callable:
     return tidied
 
 
+def tidy_group(run: Callable) -> Callable:
+    """A function over a group's frame, after which its worker gives back what a group of some size took."""
+
+    @wraps(run)
+    def tidied(group):
+        try:
+            return run(group)
+        finally:
+            if len(group) >= TIDY_ROWS:
+                give_back()
+
+    return tidied
+
+
 class Slice(NamedTuple):
     """Texts ``first`` to ``first + len(offsets) - 1`` of a batch; text i is data[offsets[i]:offsets[i + 1]]."""
 

@@ -8,14 +8,13 @@ file, and every text that holds a special string, is encoded whole by its librar
 from __future__ import annotations
 
 import hashlib
-import json
 import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-from tidemark.llm.textkernel import hash_spans, slices
+from tidemark.llm.textkernel import give_back, hash_spans, slices
 
 #: Stretches kept by one task before it starts over: bounds its memory, not its result.
 CACHE_ENTRIES, CACHE_BYTES = 1_000_000, 1 << 25
@@ -51,22 +50,22 @@ class Encoder:
         else:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
+            from tokenizers.pre_tokenizers import ByteLevel
 
             tokenizer = Tokenizer.from_file(path)
             tokenizer.no_truncation()
             tokenizer.no_padding()
             self._encode = lambda texts: [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            with open(path, encoding="utf-8") as f:
-                spec = json.load(f)
-            pre = spec.get("pre_tokenizer") or {}
-            self._splits = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
-            added = spec.get("added_tokens") or []
-            self._specials = [t["content"].encode() for t in added]
-            self._splits = self._splits and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or " " in t["content"] for t in added)
+            pre, added = tokenizer.pre_tokenizer, tokenizer.get_added_tokens_decoder().values()
+            self._splits = tokenizer.normalizer is None and isinstance(pre, ByteLevel) and not pre.add_prefix_space and pre.use_regex
+            self._specials = [t.content.encode() for t in added]
+            self._splits = self._splits and not any(t.lstrip or t.rstrip or t.single_word or " " in t.content for t in added)
             if self._splits:  # in these vocabularies a token's characters stand for its bytes
                 vocabulary = tokenizer.get_vocab(with_added_tokens=False)
                 self._bytes = np.ones(max(vocabulary.values()) + 1, np.int64)
                 self._bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]
+                del vocabulary
+            give_back()  # reading the file takes more than what is kept
 
     def ids(self, column: pa.Array) -> Iterator[np.ndarray]:
         for piece in slices(column):
