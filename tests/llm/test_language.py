@@ -286,3 +286,12 @@ def test_vocabulary_is_met_once_a_slice(monkeypatch):
     tokens, _ = language_model.tokens_of(next(language_model.slices(texts)), vocabulary)
     whole, parts = language_model.bits_of(tokens, vocabulary), [language_model.bits_of(p, vocabulary) for p in language_model.pieces_of(tokens)]
     assert len(parts) > 9 and all(np.array_equal(a, np.concatenate(b)) for a, b in zip(whole.slots, zip(*(p.slots for p in parts))))
+
+
+def test_only_the_mixing_asks_for_kinds():
+    import pyarrow as pa
+
+    vocabulary = language_model.Vocabulary.of(["a", "bc"], [20, 9], 3, 5, 4, np.zeros((256, 257), np.int64))
+    tokens, _ = language_model.tokens_of(next(language_model.slices(pa.array(["a bc other " * 9]))), vocabulary)
+    plain, spare = language_model.bits_of(tokens, vocabulary), language_model.bits_of(tokens, vocabulary, kinds=False)
+    assert spare.kind is None and len(plain.kind) == len(plain.outcome) and all(map(np.array_equal, plain.slots, spare.slots))

@@ -42,7 +42,7 @@ PRIOR = 0.2
 #: Bits after which weights start anew, and the rate at which they learn.
 BLOCK, RATE, FIRST_WEIGHT = 2048, np.float32(0.05), 0.4
 #: Bytes of text that are mixed at a time, and coded at a time: what is worked out for each bit should stay in a processor's cache.
-SLICE, PIECE = 1 << 20, 1 << 16
+SLICE, PIECE = 1 << 20, 1 << 15
 _CHUNK = 2048
 _SCALE = 2000.0
 #: A prediction, in the logistic domain, that counts as sure.
@@ -146,12 +146,12 @@ class Bits(NamedTuple):
 
     slots: tuple[np.ndarray, ...]
     outcome: np.ndarray
-    kind: np.ndarray
+    kind: np.ndarray | None
     bounds: np.ndarray
 
 
-def bits_of(tokens: Tokens, vocabulary: Vocabulary) -> Bits:
-    """Contexts of a word: none, the last marker, the word before. Of a spelled byte: as many of the word's bytes before it as ``ORDERS`` says."""
+def bits_of(tokens: Tokens, vocabulary: Vocabulary, kinds: bool = True) -> Bits:
+    """The decisions of a slice; their kinds, which only the mixing needs, on request. Contexts of a word: none, the last marker, the word before. Of a spelled byte: as many of the word's bytes before it as ``ORDERS`` says."""
     ids, n = tokens.ids, len(tokens.ids)
     end = vocabulary.end
     # the last marker before a token, and what is kept of the word before, within its text
@@ -204,8 +204,10 @@ def bits_of(tokens: Tokens, vocabulary: Vocabulary) -> Bits:
         slot >>= np.uint64(64 - b)
         slots.append(slot.view(np.int64))
     # a word's own bits: whether they are its code's first three
-    kind = np.where(spelled, np.int8(2), np.int8(0)).take(which)
-    kind += left < np.where(spelled, -1, deep - 3).astype(np.int8).take(which)
+    kind = None
+    if kinds:
+        kind = np.where(spelled, np.int8(2), np.int8(0)).take(which)
+        kind += left < np.where(spelled, -1, deep - 3).astype(np.int8).take(which)
     totals = np.concatenate([[0], ends])
     by_token = totals[np.concatenate([[0], upto])]
     return Bits(tuple(slots), outcome, kind, by_token[tokens.bounds])
@@ -281,11 +283,11 @@ def mix_bits(inputs: list[np.ndarray], gate: np.ndarray, bounds: np.ndarray) ->
         np.multiply(x.reshape(-1), dot.repeat(4), out=each)
         held -= each
         weights[row] = held.view(np.complex128)
-        if t % 8 == 7:
-            scores += np.log10(chance)
+        if t % 32 == 31:  # 32 of the least chances, one in 1 + exp(20), are still a double
+            scores += np.log(chance)
             chance[:] = 1
-    scores += np.log10(chance)
-    return np.bincount(text, scores, len(n)) if len(n) else np.zeros(0)
+    scores += np.log(chance)
+    return np.bincount(text, scores, len(n)) / np.log(10) if len(n) else np.zeros(0)
 
 
 # Training
@@ -350,10 +352,12 @@ def _count_slots(vocabulary):
         for batch in batches:
             for big in slices(batch.column(0), SLICE):
                 for piece in pieces_of(tokens_of(big, own)[0]):
-                    bits = bits_of(piece, own)
+                    bits = bits_of(piece, own, kinds=False)
                     ones = np.ones(len(bits.outcome), np.uint32)
                     for table, slot in zip(tables, bits.slots):
-                        np.add.at(table, 2 * slot + bits.outcome, ones)
+                        slot <<= 1
+                        slot |= bits.outcome
+                        np.add.at(table, slot, ones)
         pack = zstandard.ZstdCompressor(level=1).compress
         chunk = 0
         for table in tables:
