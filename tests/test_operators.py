@@ -632,3 +632,26 @@ def test_rollups_of_several_batches(spark, tmp_path):
     run()
     got = {(r.event_type, r.bin_start.hour): (r.n, r.avg_value) for r in rollup.current(spark, f"file://{tmp_path}/out").collect()}
     assert got == {("a", 1): (3, 4.0), ("b", 2): (1, 5.0), ("b", 3): (1, 2.0)}
+
+
+def test_a_turn_deals_edges_out_twice(spark, monkeypatch):
+    plans, plain = [], graph.stored
+
+    def stored(frame, name="rows"):
+        if "moved" in frame.columns:
+            plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return plain(frame, name)
+
+    monkeypatch.setattr(graph, "stored", stored)
+    names = ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")
+    before = [spark.conf.get(n) for n in names]
+    try:
+        for name, value in zip(names, ("false", "-1")):
+            spark.conf.set(name, value)
+        found = graph.part_graph(spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("a", "c", 1.0)], "src string, dst string, weight double"))
+        assert {tuple(r) for r in found.collect()} == {("a", "a"), ("b", "a"), ("c", "a")}
+    finally:
+        for name, value in zip(names, before):
+            spark.conf.set(name, value)
+    shuffles = [p.count("Exchange hashpartitioning") - p.count("ReusedExchange") for p in plans]
+    assert plans and max(shuffles) <= 6, shuffles

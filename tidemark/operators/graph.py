@@ -156,10 +156,14 @@ def part_graph(edges: DataFrame, seed: int = 0, most_turns: int = 40) -> DataFra
         still, turn, merged = 0, 0, False
         while still < 2 and turn < most_turns and whole:
             turn += 1
+            # Communities carry their sums to the nodes first, so that what grows with the edges is dealt out twice: by the
+            # far end, which brings its community, and by the near end, where all of a node's choices stay together.
             totals = at.groupBy("c").agg(F.sum("k").alias("total"), F.count(F.lit(1)).alias("size"))
-            met = near.filter("src <> dst").join(at.select(F.col("node").alias("dst"), "c"), "dst").groupBy(F.col("src").alias("node"), "c").agg(F.sum("w").alias("to"))
-            rated = met.unionByName(at.select("node", "c", F.lit(0.0).alias("to"))).groupBy("node", "c").agg(F.sum("to").alias("to"))
-            rated = rated.join(at.select("node", "k", F.col("c").alias("own")), "node").join(totals, "c")
+            sums = at.join(totals, "c")
+            met = near.filter("src <> dst").join(sums.select(F.col("node").alias("dst"), "c", "total", "size"), "dst").select(F.col("src").alias("node"), "c", "w", "total", "size")
+            met = met.unionByName(sums.select("node", "c", F.lit(0.0).alias("w"), "total", "size")).repartition("node")
+            rated = met.groupBy("node", "c").agg(F.sum("w").alias("to"), F.max("total").alias("total"), F.max("size").alias("size"))
+            rated = rated.join(at.select("node", "k", F.col("c").alias("own")), "node")
             gain = F.round(F.col("to") - F.col("k") * (F.col("total") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)) / (2 * whole), 9)
             choice = rated.withColumn("gain", gain).groupBy("node", "k", "own").agg(
                 F.min(F.struct((-F.col("gain")).alias("less"), "c", "size")).alias("best"), F.max(F.when(F.col("c") == F.col("own"), F.struct("gain", "size"))).alias("now")
